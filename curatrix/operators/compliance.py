@@ -88,11 +88,15 @@ def rule_actions(entities: DataFrame, rule: Rule) -> DataFrame:
     ).select("object_id", "passed", "a.*")
 
 
+def _without(tags: Column, key: str) -> Column:
+    return F.map_filter(tags, lambda k, v: k != key)
+
+
 def apply_tag_actions(tags: Column, actions: tuple[Action, ...]) -> Column:
     """Tag map after ASSIGN_TAG and REMOVE_TAG, in order."""
     for a in actions:
         if a.kind in ("ASSIGN_TAG", "REMOVE_TAG"):
-            tags = F.map_filter(tags, lambda k, _v, key=a.key: k != key)
+            tags = _without(tags, a.key)
         if a.kind == "ASSIGN_TAG":
             tags = F.map_concat(tags, F.create_map(F.lit(a.key), F.lit(a.value)))
     return tags

@@ -38,8 +38,8 @@ def previous_in_order(df: DataFrame, keys: list[str], ts: str, tie: str, cols: l
 def hot_keys(df: DataFrame, keys: list[str], share: float = 0.01) -> DataFrame:
     """Keys that own at least ``share`` of the rows: never more than 1/share of them, so small whatever the data."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total"))
-    return counts.join(F.broadcast(total), F.col("_n") >= F.col("_total") * share).select(*keys)
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return counts.filter(F.col("_n") >= total * share).select(*keys)
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", salts: int = 32, share: float = 0.01) -> DataFrame:

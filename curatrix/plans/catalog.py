@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from curatrix.plans import compliance_queries, contract_queries, quality_queries  # noqa: F401
+from curatrix.plans import (  # noqa: F401
+    access_queries,
+    compliance_queries,
+    contract_queries,
+    linking_queries,
+    quality_queries,
+    summary_queries,
+)
 from curatrix.plans.registry import QUERIES, Data, oracle_text
 
 

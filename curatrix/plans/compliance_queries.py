@@ -15,7 +15,7 @@ from curatrix.plans.registry import query
 
 def with_tags(d):
     """Entities with their tags as a map."""
-    pairs = F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(k), F.col(c))) for k, c in (("env", "tag_env"), ("tier", "tag_tier"))])
+    pairs = F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(k).alias("k"), F.col(c).alias("v"))) for k, c in (("env", "tag_env"), ("tier", "tag_tier"))])
     return d["entities"].withColumn("tags", F.map_from_entries(F.filter(pairs, lambda x: x.isNotNull())))
 
 

@@ -232,3 +232,63 @@ FRAMES["products_new"] = """
 SELECT c_custkey AS product_id, CASE WHEN c_custkey % 5 = 0 THEN c_name || 'x' WHEN c_custkey % 5 = 1 THEN NULL ELSE c_name END AS name,
        CASE WHEN c_custkey % 3 = 0 THEN '2.0.0' ELSE '1.0.0' END AS version, c_mktsegment AS domain, CAST(NULL AS STRING) AS status,
        'p' || CAST(c_nationkey AS STRING) AS purpose, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE 'none' END AS limitations, c_mktsegment AS usage FROM {customer}"""
+
+# ---- tags -------------------------------------------------------------------------------------------------------
+FRAMES["catalog_tags"] = """
+SELECT 'c' || CAST(r_regionkey AS STRING) AS catalog_name, 'domain' AS tag_name, CASE WHEN r_regionkey = 2 THEN NULL ELSE r_name END AS tag_value FROM {region}"""
+FRAMES["schema_tags"] = """
+SELECT DISTINCT 'c' || CAST(l_suppkey % 5 AS STRING) AS catalog_name, 's' || CAST(l_suppkey AS STRING) AS schema_name,
+       CASE WHEN l_suppkey % 7 = 0 THEN 'data-product' ELSE 'team' END AS tag_name, 'prod_' || CAST(l_suppkey % 20 AS STRING) AS tag_value FROM {lineitem}"""
+FRAMES["table_tags"] = """
+SELECT DISTINCT 'c' || CAST(l_suppkey % 5 AS STRING) AS catalog_name, 's' || CAST(l_suppkey AS STRING) AS schema_name, 't' || CAST(l_partkey AS STRING) AS table_name,
+       CASE WHEN l_partkey % 3 = 0 THEN 'data-contract' WHEN l_partkey % 3 = 1 THEN 'data-product' ELSE 'pii' END AS tag_name,
+       CASE WHEN l_partkey % 3 = 2 THEN NULL ELSE 'name:' || CAST(l_partkey % 50 AS STRING) END AS tag_value FROM {lineitem}"""
+FRAMES["all_tags"] = """
+SELECT 'CATALOG' AS object_type, catalog_name AS full_name, tag_name, COALESCE(tag_value, '') AS tag_value FROM {catalog_tags}
+UNION ALL SELECT 'SCHEMA', catalog_name || '.' || schema_name, tag_name, COALESCE(tag_value, '') FROM {schema_tags}
+UNION ALL SELECT 'TABLE', catalog_name || '.' || schema_name || '.' || table_name, tag_name, COALESCE(tag_value, '') FROM {table_tags}"""
+FRAMES["tag_infos"] = """
+SELECT 'c' || CAST(l_suppkey % 5 AS STRING) || '.s' || CAST(l_suppkey % 20 AS STRING) || '.t' || CAST(l_partkey AS STRING) AS fqn,
+       CASE WHEN MIN(p_size) % 4 = 0 THEN NULL ELSE 'Dom ' || MIN(p_type) END AS domain_name,
+       CASE WHEN MIN(p_size) % 3 = 0 THEN '' ELSE 'con-' || CAST(l_partkey % 40 AS STRING) END AS contract_name, '1.0.' || CAST(MIN(p_size) % 3 AS STRING) AS contract_version,
+       CASE WHEN MIN(p_size) % 5 = 0 THEN NULL ELSE 'prod ' || MIN(p_brand) END AS product_name, CASE WHEN l_partkey % 2 = 0 THEN 'Table' ELSE 'View' END AS asset_type,
+       CASE WHEN MIN(p_size) % 2 = 0 THEN 'http://x.org/terms#' || MIN(p_name) ELSE NULL END AS iri
+FROM {lineitem} JOIN {part} ON l_partkey = p_partkey GROUP BY l_suppkey % 5, l_suppkey % 20, l_partkey"""
+FRAMES["existing_tags"] = """
+SELECT 'c.' || CAST(p_partkey % 400 AS STRING) AS object_name, CASE WHEN p_size % 3 = 0 THEN 'other_' ELSE 'gov_' END || CAST(p_partkey AS STRING) AS tag_key,
+       CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_type END AS tag_value FROM {part} WHERE p_partkey % 6 <> 1"""
+FRAMES["wanted_tags"] = """
+SELECT 'c.' || CAST(p_partkey % 400 AS STRING) AS object_name, 'gov_' || CAST(p_partkey AS STRING) AS tag_key,
+       CASE WHEN p_partkey % 5 = 0 THEN 'NEW' WHEN p_size % 8 = 0 THEN NULL ELSE p_type END AS tag_value FROM {part} WHERE p_partkey % 6 <> 4"""
+FRAMES["tag_assoc"] = """
+SELECT l_partkey AS tag_id, CASE WHEN l_suppkey % 2 = 0 THEN 'table' ELSE 'data_product' END AS entity_type, l_orderkey AS entity_id, l_returnflag AS assigned_value FROM {lineitem}"""
+FRAMES["tag_defs"] = """SELECT p_partkey AS tag_id, p_size % 5 AS namespace_id, p_name AS tag_name FROM {part}"""
+FRAMES["tag_namespaces"] = """SELECT CAST(r_regionkey AS INT) AS namespace_id, LOWER(r_name) AS namespace_name FROM {region}"""
+
+# ---- projects, triggers, links --------------------------------------------------------------------------------------
+FRAMES["teams"] = """SELECT s_suppkey AS team_id, CASE WHEN s_nationkey % 6 = 0 THEN NULL ELSE s_nationkey END AS domain_id FROM {supplier}"""
+FRAMES["team_members"] = """SELECT DISTINCT l_suppkey AS team_id, 'User' || CAST(l_partkey % 500 AS STRING) AS member FROM {lineitem}"""
+FRAMES["projects"] = """SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 8 = 0 THEN NULL ELSE c_custkey % 90 END AS owner_team_id FROM {customer}"""
+FRAMES["project_teams"] = """SELECT DISTINCT o_custkey AS project_id, o_orderkey % 100 AS team_id FROM {orders}"""
+FRAMES["trigger_events"] = """
+SELECT event_id AS id, CASE WHEN event_type = 'view' THEN 'on_create' ELSE 'on_status_change' END AS trigger_type,
+       CASE WHEN user_id % 3 = 0 THEN 'data_product' ELSE 'data_contract' END AS entity_type, CASE WHEN event_id % 4 = 0 THEN NULL ELSE 'draft' END AS from_status,
+       CASE WHEN event_id % 5 = 0 THEN 'active' ELSE 'proposed' END AS to_status FROM {events}"""
+FRAMES["workflows"] = """
+SELECT * FROM (VALUES (1, 'on_create', 'data_product', CAST(NULL AS STRING), CAST(NULL AS STRING), true), (2, 'on_status_change', 'data_product', 'draft', 'active', true),
+ (3, 'on_status_change', 'data_contract', NULL, 'proposed', true), (4, 'on_status_change', 'data_contract', 'active', NULL, true), (5, 'on_create', 'data_contract', NULL, NULL, false))
+ AS v(id, trigger_type, entity_type, from_status, to_status, is_active)"""
+FRAMES["link_objects"] = """
+SELECT s_suppkey AS object_id, CASE WHEN s_suppkey % 3 = 0 THEN 'ring_' || CAST(s_suppkey * 3 AS STRING) WHEN s_suppkey % 3 = 1 THEN 'Red Widget ' || CAST(s_suppkey AS STRING)
+       ELSE '_' || CAST(s_suppkey AS STRING) END AS match_name FROM {supplier}"""
+FRAMES["metadata_items"] = """
+SELECT l_orderkey AS entity_id, l_partkey AS item_id, l_linenumber AS level, l_shipdate AS created_at, l_suppkey AS contract_id, l_returnflag <> 'R' AS inheritable FROM {lineitem}"""
+FRAMES["bulk_rows"] = """
+SELECT p_partkey AS row_no, CASE WHEN p_partkey % 20 = 0 THEN p_partkey * 2 ELSE NULL END AS id,
+       CASE WHEN p_partkey % 50 = 7 THEN ' ' ELSE p_name || ' ' || CAST(p_partkey % 300 AS STRING) END AS name,
+       CASE WHEN p_partkey % 40 = 3 THEN NULL WHEN p_size % 9 = 0 THEN 'Gadget' WHEN p_size % 2 = 0 THEN 'Table' ELSE 'view' END AS type,
+       CASE WHEN p_size % 2 = 0 THEN 'spark' ELSE NULL END AS platform, CAST(NULL AS STRING) AS location,
+       CASE WHEN p_partkey % 33 = 0 THEN 'bogus' WHEN p_partkey % 2 = 0 THEN 'Active' ELSE '' END AS status FROM {part}"""
+FRAMES["asset_existing"] = """
+SELECT p_partkey AS id, p_name || ' ' || CAST(p_partkey % 300 AS STRING) AS name, CASE WHEN p_size % 2 = 0 THEN 'Table' ELSE 'View' END AS type,
+       CASE WHEN p_size % 2 = 0 THEN 'spark' ELSE NULL END AS platform, CAST(NULL AS STRING) AS location FROM {part} WHERE p_partkey % 3 = 0"""

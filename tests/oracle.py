@@ -74,7 +74,7 @@ if __name__ == "__main__":
         try:
             ok, msg = compare(spark, con, n, sf)
         except Exception as err:  # report and go on
-            ok, msg = False, f"{type(err).__name__}: {str(err)[:700]}"
+            ok, msg = False, f"{type(err).__name__}: {str(err)[:350]}"
         bad += ok is False
         print(f"{'ok  ' if ok else 'ROWS' if ok is None else 'FAIL'} {n:34s} {time.time() - t:5.2f}s {msg}", flush=True)
     print(f"{bad} failures")
