@@ -21,12 +21,12 @@ def latest_quality(items: DataFrame) -> DataFrame:
 def quality_summary(items: DataFrame) -> DataFrame:
     """Per entity: mean of the latest score of every dimension, and the count of all items."""
     ent = ["entity_type", "entity_id"]
-    overall = latest_quality(items).groupBy(*ent).agg(F.round(F.avg("score_percent"), 2).alias("overall_score"), F.count(F.lit(1)).alias("dimensions"))
+    overall = latest_quality(items).groupBy(*ent).agg(F.round(F.avg("score_percent"), 6).alias("overall_score"), F.count(F.lit(1)).alias("dimensions"))
     return overall.join(items.groupBy(*ent).agg(F.count(F.lit(1)).alias("items")), ent)
 
 
 def quality_by_source(items: DataFrame) -> DataFrame:
-    return latest_quality(items).groupBy("entity_type", "entity_id", "source").agg(F.round(F.avg("score_percent"), 2).alias("score"))
+    return latest_quality(items).groupBy("entity_type", "entity_id", "source").agg(F.round(F.avg("score_percent"), 6).alias("score"))
 
 
 def product_quality(items: DataFrame, product_contracts: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def product_quality(items: DataFrame, product_contracts: DataFrame) -> DataFrame
     allq = own.unionByName(via.select(*own.columns))
     last = first_per_key(allq, ["product_id", "entity_type", "entity_id", "dimension"], [F.col("measured_at").desc(), F.col("id").desc()])
     dims = last.groupBy("product_id", "dimension").agg(F.avg("score_percent").alias("s"))
-    score = dims.groupBy("product_id").agg(F.round(F.avg("s"), 2).alias("overall_score"))
+    score = dims.groupBy("product_id").agg(F.round(F.avg("s"), 6).alias("overall_score"))
     return score.join(allq.groupBy("product_id").agg(F.count(F.lit(1)).alias("items")), "product_id")
 
 

@@ -7,7 +7,9 @@ from curatrix.plans import (  # noqa: F401
     compliance_queries,
     contract_queries,
     linking_queries,
+    product_queries,
     quality_queries,
+    search_queries,
     summary_queries,
 )
 from curatrix.plans.registry import QUERIES, Data, oracle_text

@@ -292,3 +292,38 @@ SELECT p_partkey AS row_no, CASE WHEN p_partkey % 20 = 0 THEN p_partkey * 2 ELSE
 FRAMES["asset_existing"] = """
 SELECT p_partkey AS id, p_name || ' ' || CAST(p_partkey % 300 AS STRING) AS name, CASE WHEN p_size % 2 = 0 THEN 'Table' ELSE 'View' END AS type,
        CASE WHEN p_size % 2 = 0 THEN 'spark' ELSE NULL END AS platform, CAST(NULL AS STRING) AS location FROM {part} WHERE p_partkey % 3 = 0"""
+
+# ---- flights ------------------------------------------------------------------------------------------------------
+FRAMES["schedule"] = """
+SELECT o_orderkey AS flight_key, SUBSTR(o_orderpriority, 1, 1) AS airline_iata, 'N' || CAST(o_custkey % 25 AS STRING) AS dep_iata, 'N' || CAST(o_orderkey % 27 AS STRING) AS arr_iata,
+       'T' || CAST(o_custkey AS STRING) AS tail_number, CAST(o_orderdate AS DATE) AS service_date, 100 + o_orderkey % 200 AS seat_capacity,
+       o_orderdate + CAST(o_orderkey % 20 AS INT) * INTERVAL '1' HOUR AS scheduled_dep_utc,
+       o_orderdate + CAST(o_orderkey % 20 AS INT) * INTERVAL '1' HOUR + CAST(45 + o_orderkey % 600 AS INT) * INTERVAL '1' MINUTE AS scheduled_arr_utc
+FROM {orders}"""
+FRAMES["flight_status"] = """
+SELECT l_orderkey * 16 + l_linenumber AS event_id, l_orderkey AS flight_key,
+       CASE WHEN l_suppkey % 10 = 0 THEN 'CANCELLED' WHEN l_suppkey % 10 = 1 THEN 'DIVERTED' WHEN l_returnflag = 'A' THEN 'DEPARTED' ELSE 'ARRIVED' END AS event_type,
+       l_shipdate AS event_ts_utc, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_quantity * 2 - 30 END AS delay_minutes
+FROM {lineitem}"""
+FRAMES["aircraft"] = """SELECT 'T' || CAST(c_custkey AS STRING) AS tail_number, 40000 + c_acctbal AS mtow_kg, c_mktsegment AS manufacturer, 'M' || CAST(c_custkey % 30 AS STRING) AS model FROM {customer} WHERE c_custkey % 9 <> 0"""
+FRAMES["airports"] = """
+SELECT 'N' || CAST(n_nationkey AS STRING) AS iata, n_name AS name, 'City ' || CAST(n_nationkey AS STRING) AS city, r_name AS country_iso,
+       CAST(n_nationkey * 6 - 70 AS DOUBLE) AS lat, CAST((n_nationkey * 47) % 360 - 180 AS DOUBLE) AS lon FROM {nation} JOIN {region} ON n_regionkey = r_regionkey"""
+FRAMES["legs"] = """
+SELECT flight_key, a.lat AS lat1, a.lon AS lon1, b.lat AS lat2, b.lon AS lon2 FROM {schedule} s JOIN {airports} a ON s.dep_iata = a.iata JOIN {airports} b ON s.arr_iata = b.iata"""
+FRAMES["duty_logs"] = """
+SELECT l_orderkey * 16 + l_linenumber AS log_id, CAST(l_shipdate AS DATE) AS log_date, l_quantity / 3.5 AS flight_duty_period_hours, l_quantity / 3.5 > 12 AS exceeded FROM {lineitem}"""
+
+# ---- sales ----------------------------------------------------------------------------------------------------------
+FRAMES["s_orders"] = "SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_orderdate AS order_date, o_totalprice AS total_amount FROM {orders}"
+FRAMES["s_customers"] = """
+SELECT c_custkey AS customer_id, c_mktsegment AS customer_segment, c_nationkey AS country_code, CAST('1994-01-01' AS DATE) + CAST(c_custkey % 300 AS INT) AS created_at,
+       CASE WHEN c_acctbal > 8000 THEN 'PLATINUM' WHEN c_acctbal > 5000 THEN 'GOLD' WHEN c_acctbal > 2000 THEN 'SILVER' ELSE 'BRONZE' END AS loyalty_tier FROM {customer}"""
+FRAMES["s_countries"] = "SELECT n_nationkey AS country_code, n_name AS country_name, r_name AS region FROM {nation} JOIN {region} ON n_regionkey = r_regionkey"
+FRAMES["s_products"] = "SELECT p_partkey AS product_id, p_name AS product_name, p_type AS category_name, p_retailprice AS list_price, p_retailprice * 0.01 * (30 + p_size) AS cost_price FROM {part}"
+FRAMES["s_items"] = "SELECT l_orderkey AS order_id, l_partkey AS product_id, l_quantity AS quantity, l_extendedprice AS line_total, l_extendedprice / l_quantity AS unit_price FROM {lineitem}"
+
+# ---- search ---------------------------------------------------------------------------------------------------------
+FRAMES["search_items"] = """
+SELECT p_partkey AS id, p_type AS type, p_name || ' ' || CAST(p_partkey AS STRING) AS title, CASE WHEN p_size % 4 = 0 THEN NULL ELSE LOWER(p_brand) || '/' || LOWER(p_type) || ' ' || p_name END AS tags,
+       CASE WHEN p_size % 3 = 0 THEN 'all about the ' || p_name ELSE p_brand END AS description FROM {part}"""

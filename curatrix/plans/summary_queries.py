@@ -13,13 +13,13 @@ _LAST_Q = "(SELECT * FROM {quality_items} QUALIFY ROW_NUMBER() OVER (PARTITION B
 
 
 @query("quality_summary", "AG4 J9", f"""
-SELECT l.entity_type, l.entity_id, l.overall_score, l.dimensions, i.items FROM (SELECT entity_type, entity_id, ROUND(AVG(score_percent), 2) AS overall_score, COUNT(*) AS dimensions FROM {_LAST_Q} GROUP BY 1, 2) l
+SELECT l.entity_type, l.entity_id, l.overall_score, l.dimensions, i.items FROM (SELECT entity_type, entity_id, ROUND(AVG(score_percent), 6) AS overall_score, COUNT(*) AS dimensions FROM {_LAST_Q} GROUP BY 1, 2) l
 JOIN (SELECT entity_type, entity_id, COUNT(*) AS items FROM {{quality_items}} GROUP BY 1, 2) i USING (entity_type, entity_id)""")
 def quality_summary(d):
     return sm.quality_summary(d["quality_items"])
 
 
-@query("quality_by_source", "AG4", f"SELECT entity_type, entity_id, source, ROUND(AVG(score_percent), 2) AS score FROM {_LAST_Q} GROUP BY 1, 2, 3")
+@query("quality_by_source", "AG4", f"SELECT entity_type, entity_id, source, ROUND(AVG(score_percent), 6) AS score FROM {_LAST_Q} GROUP BY 1, 2, 3")
 def quality_by_source(d):
     return sm.quality_by_source(d["quality_items"])
 
@@ -33,7 +33,7 @@ def latest_quality(d):
 WITH allq AS (SELECT entity_id AS product_id, * FROM {quality_items} WHERE entity_type = 'data_product'
  UNION ALL SELECT c.product_id, q.* FROM {quality_items} q JOIN {product_contracts} c ON q.entity_type = 'data_contract' AND c.contract_id = q.entity_id),
  last AS (SELECT * FROM allq QUALIFY ROW_NUMBER() OVER (PARTITION BY product_id, entity_type, entity_id, dimension ORDER BY measured_at DESC, id DESC) = 1)
-SELECT product_id, s.overall_score, n.items FROM (SELECT product_id, ROUND(AVG(s), 2) AS overall_score FROM (SELECT product_id, dimension, AVG(score_percent) AS s FROM last GROUP BY 1, 2) GROUP BY 1) s
+SELECT product_id, s.overall_score, n.items FROM (SELECT product_id, ROUND(AVG(s), 6) AS overall_score FROM (SELECT product_id, dimension, AVG(score_percent) AS s FROM last GROUP BY 1, 2) GROUP BY 1) s
 JOIN (SELECT product_id, COUNT(*) AS items FROM allq GROUP BY 1) n USING (product_id)""")
 def product_quality(d):
     return sm.product_quality(d["quality_items"], d["product_contracts"])
