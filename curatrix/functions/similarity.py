@@ -48,8 +48,10 @@ def _jaro_winkler(s: str, t: str) -> float:
     if m == 0:
         return 0.0
     other = [t[j] for j in range(len(t)) if used[j]]
-    swaps = sum(x != y for x, y in zip(hits, other)) / 2
+    swaps = sum(x != y for x, y in zip(hits, other)) // 2
     jaro = (m / len(s) + m / len(t) + (m - swaps) / m) / 3
+    if jaro <= 0.7:
+        return jaro
     prefix = 0
     for x, y in zip(s[:4], t[:4]):
         if x != y:

@@ -14,7 +14,7 @@ def sales_summary(orders: DataFrame, customers: DataFrame) -> DataFrame:
     joined = orders.join(customers.select("customer_id", "country_code"), "customer_id")
     return joined.groupBy(F.date_trunc("month", "order_date").alias("order_month"), "country_code").agg(
         F.countDistinct("order_id").alias("total_orders"), F.countDistinct("customer_id").alias("unique_customers"),
-        F.round(F.sum("total_amount"), 2).alias("total_revenue"), F.round(F.avg("total_amount"), 4).alias("avg_order_value"))
+        F.round(F.sum("total_amount"), 2).alias("total_revenue"), F.round(F.avg("total_amount"), 6).alias("avg_order_value"))
 
 
 def order_stats(orders: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def customer_360(customers: DataFrame, orders: DataFrame, countries: DataFrame,
     out = customers.join(order_stats(orders), "customer_id", "left").join(countries, "country_code", "left")
     return out.select(
         "customer_id", "customer_segment", "country_code", "country_name", "region", F.coalesce("order_count", F.lit(0)).alias("total_orders"),
-        F.round("spent", 2).alias("total_spent"), F.round("mean", 4).alias("avg_order_value"), F.col("last_order").alias("last_order_date"),
+        F.round("spent", 2).alias("total_spent"), F.round("mean", 6).alias("avg_order_value"), F.col("last_order").alias("last_order_date"),
         _days_since(as_of, F.col("last_order")).alias("days_since_last_order"))
 
 
@@ -41,7 +41,7 @@ def product_performance(products: DataFrame, items: DataFrame, orders: DataFrame
         F.sum("quantity").alias("units"), F.sum("line_total").alias("revenue"), F.countDistinct("known_order").alias("orders"), F.avg("unit_price").alias("price"))
     return products.join(stats, "product_id", "left").select(
         "product_id", "product_name", "category_name", F.col("units").alias("total_units_sold"), F.round("revenue", 2).alias("total_revenue"),
-        F.coalesce("orders", F.lit(0)).alias("order_count"), F.round("price", 4).alias("avg_selling_price"),
+        F.coalesce("orders", F.lit(0)).alias("order_count"), F.round("price", 6).alias("avg_selling_price"),
         F.round((F.col("list_price") - F.col("cost_price")) / F.nullif(F.col("list_price"), F.lit(0.0)) * 100, 4).alias("margin_percent"))
 
 
@@ -63,5 +63,5 @@ def customer_features(customers: DataFrame, orders: DataFrame, as_of) -> DataFra
     zero = lambda c, d: F.round(F.coalesce(c, F.lit(0.0)), d)
     return out.select(
         "customer_id", _days_since(as_of, F.col("created_at")).alias("account_age_days"), F.coalesce("order_count", F.lit(0)).alias("order_count"),
-        zero("spent", 2).alias("total_spent"), zero("mean", 4).alias("avg_order_value"), zero("largest", 2).alias("max_order_value"),
+        zero("spent", 2).alias("total_spent"), zero("mean", 6).alias("avg_order_value"), zero("largest", 2).alias("max_order_value"),
         zero("smallest", 2).alias("min_order_value"), F.coalesce(_days_since(as_of, F.col("last_order")), F.lit(9999)).alias("recency_days"), tier.alias("loyalty_score"))

@@ -6,6 +6,7 @@ from curatrix.plans import (  # noqa: F401
     access_queries,
     compliance_queries,
     contract_queries,
+    graph_queries,
     linking_queries,
     product_queries,
     quality_queries,

@@ -327,3 +327,94 @@ FRAMES["s_items"] = "SELECT l_orderkey AS order_id, l_partkey AS product_id, l_q
 FRAMES["search_items"] = """
 SELECT p_partkey AS id, p_type AS type, p_name || ' ' || CAST(p_partkey AS STRING) AS title, CASE WHEN p_size % 4 = 0 THEN NULL ELSE LOWER(p_brand) || '/' || LOWER(p_type) || ' ' || p_name END AS tags,
        CASE WHEN p_size % 3 = 0 THEN 'all about the ' || p_name ELSE p_brand END AS description FROM {part}"""
+
+# ---- knowledge graph --------------------------------------------------------------------------------------------------
+_RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+_RDFS = "http://www.w3.org/2000/01/rdf-schema#"
+_SKOS = "http://www.w3.org/2004/02/skos/core#"
+_OWL = "http://www.w3.org/2002/07/owl#"
+_PART = "'http://x.org/part/' || CAST(p_partkey AS STRING)"
+_UP = "'http://x.org/part/' || CAST(CAST(FLOOR(p_partkey / 3) AS BIGINT) AS STRING)"
+_CTX = "'urn:glossary:c' || CAST(p_partkey % 30 AS STRING)"
+_BN = "'urn:gov:bnode:e' || CAST(p_partkey AS STRING)"
+
+
+def _triple(source: str, subject: str, predicate: str, obj: str, uri: bool, context: str, where: str = "", lang: str = "CAST(NULL AS STRING)", dtype: str = "CAST(NULL AS STRING)") -> str:
+    cond = f" WHERE {where}" if where else ""
+    return (f"SELECT {subject} AS subject, {predicate} AS predicate, {obj} AS object, {'true' if uri else 'false'} AS object_is_uri, {lang} AS language, "
+            f"{dtype} AS datatype, {context} AS context FROM {{{source}}}{cond}")
+
+
+def _u(iri: str) -> str:
+    return f"'{iri}'"
+
+
+_KIND = (f"CASE p_size % 6 WHEN 0 THEN '{_OWL}Class' WHEN 1 THEN '{_SKOS}Concept' WHEN 2 THEN '{_RDF}Property' WHEN 3 THEN '{_OWL}NamedIndividual' "
+         f"WHEN 4 THEN 'http://x.org/part/0' ELSE '{_OWL}ObjectProperty' END")
+_EDGE = f"CASE p_size % 6 WHEN 1 THEN '{_SKOS}broader' WHEN 2 THEN '{_RDFS}subPropertyOf' WHEN 5 THEN '{_RDFS}subPropertyOf' ELSE '{_RDFS}subClassOf' END"
+_COLL_IRI = "'urn:glossary:c' || CAST(c_custkey AS STRING)"
+
+FRAMES["triples"] = "\nUNION ALL ".join([
+    _triple("part", _PART, _u(_RDF + "type"), _KIND, True, _CTX),
+    _triple("part", _PART, _EDGE, _UP, True, _CTX, "p_partkey > 0"),
+    _triple("part", _PART, _u(_RDFS + "label"), "p_name || ' ' || CAST(p_partkey AS STRING)", False, _CTX, "p_partkey % 7 <> 0", "CASE WHEN p_partkey % 4 = 0 THEN 'en' WHEN p_partkey % 4 = 1 THEN 'de' ELSE CAST(NULL AS STRING) END"),
+    _triple("part", _PART, _u(_SKOS + "prefLabel"), "'preferred ' || p_name", False, _CTX, "p_partkey % 5 = 0", "'en'"),
+    _triple("part", _PART, _u(_RDFS + "comment"), "'made by ' || p_brand", False, _CTX, "p_partkey % 3 = 0"),
+    _triple("part", _PART, _u(_SKOS + "definition"), "'a ' || p_type", False, _CTX, "p_partkey % 6 = 0", "'en'"),
+    _triple("part", _PART, _u(_SKOS + "related"), "'http://x.org/part/' || CAST(p_size AS STRING)", True, _CTX, "p_size % 6 = 1"),
+    _triple("part", _PART, _u(_RDFS + "domain"), "'http://x.org/part/' || CAST(p_size AS STRING)", True, _CTX, "p_size % 6 = 5"),
+    _triple("part", _PART, _u(_RDFS + "range"), "'http://x.org/type/' || p_type", True, _CTX, "p_size % 6 = 5 AND p_partkey % 4 <> 1"),
+    _triple("part", _PART, _u("urn:gov:isHierarchical"), "CASE WHEN p_partkey % 2 = 0 THEN 'true' ELSE 'false' END", False, _CTX, "p_size % 6 = 5"),
+    _triple("part", _PART, _u("urn:gov:uiLabel"), "'UI ' || p_name", False, _CTX, "p_size % 6 = 5 AND p_partkey % 3 = 0"),
+    _triple("part", _PART, _u(_RDF + "type"), _u(_OWL + "FunctionalProperty"), True, _CTX, "p_size % 6 = 5 AND p_partkey % 5 = 0"),
+    _triple("part", _PART, _u("urn:gov:status"), "CASE WHEN p_partkey % 2 = 0 THEN 'draft' ELSE 'active' END", False, _CTX, "p_partkey % 3 = 1"),
+    _triple("part", _PART, _u("urn:gov:price"), "CAST(p_size AS STRING)", False, _CTX, "p_partkey % 4 <> 2", dtype="'http://www.w3.org/2001/XMLSchema#integer'"),
+    # A equivalentClass [ intersectionOf ( B C ) ]
+    _triple("part", _PART, _u(_OWL + "equivalentClass"), _BN, True, _CTX, "p_partkey % 20 = 0"),
+    _triple("part", _BN, _u(_OWL + "intersectionOf"), f"{_BN} || 'l1'", True, _CTX, "p_partkey % 20 = 0"),
+    _triple("part", f"{_BN} || 'l1'", _u(_RDF + "first"), "'http://x.org/type/' || p_type", True, _CTX, "p_partkey % 20 = 0"),
+    _triple("part", f"{_BN} || 'l1'", _u(_RDF + "rest"), f"{_BN} || 'l2'", True, _CTX, "p_partkey % 20 = 0"),
+    _triple("part", f"{_BN} || 'l2'", _u(_RDF + "first"), "'http://x.org/brand/' || p_brand", True, _CTX, "p_partkey % 20 = 0"),
+    _triple("part", f"{_BN} || 'l2'", _u(_RDF + "rest"), f"CASE WHEN p_partkey % 40 = 0 THEN '{_RDF}nil' ELSE {_BN} || 'l1' END", True, _CTX, "p_partkey % 20 = 0"),
+    # restrictions
+    _triple("part", _PART, _u(_RDFS + "subClassOf"), f"{_BN} || 'r'", True, _CTX, "p_size % 6 = 0"),
+    _triple("part", f"{_BN} || 'r'", _u(_RDF + "type"), _u(_OWL + "Restriction"), True, _CTX, "p_size % 6 = 0"),
+    _triple("part", f"{_BN} || 'r'", _u(_OWL + "onProperty"), "'http://x.org/prop/' || p_type", True, _CTX, "p_size % 6 = 0"),
+    _triple("part", f"{_BN} || 'r'", _u(_OWL + "minCardinality"), "CAST(p_size AS STRING)", False, _CTX, "p_size % 6 = 0 AND p_partkey % 2 = 0"),
+    _triple("part", f"{_BN} || 'r'", _u(_OWL + "someValuesFrom"), "'http://x.org/type/' || p_type", True, _CTX, "p_size % 6 = 0 AND p_partkey % 2 = 1"),
+    # governed entities typed with concepts, in a graph of their own
+    _triple("supplier", "'urn:gov:data_product:' || CAST(s_suppkey AS STRING)", _u(_RDF + "type"), "'http://x.org/part/' || CAST(s_suppkey % 7 AS STRING)", True, "'urn:app-entities'"),
+    _triple("supplier", "'urn:gov:data_product:' || CAST(s_suppkey AS STRING)", _u(_RDFS + "label"), "s_name", False, "'urn:app-entities'", "s_suppkey % 3 <> 0"),
+    # collections
+    _triple("customer", _COLL_IRI, _u(_RDF + "type"), _u("urn:gov:KnowledgeCollection"), True, "'urn:meta:sources'"),
+    _triple("customer", _COLL_IRI, _u(_RDFS + "label"), "c_name", False, "'urn:meta:sources'", "c_custkey % 6 <> 0"),
+    _triple("customer", _COLL_IRI, _u("urn:gov:scopeLevel"), "CASE WHEN c_custkey % 3 = 0 THEN 'domain' ELSE 'team' END", False, "'urn:meta:sources'", "c_custkey % 4 <> 0"),
+    _triple("customer", _COLL_IRI, _u("urn:gov:parentCollection"), "'urn:glossary:c' || CAST(CAST(FLOOR(c_custkey / 4) AS BIGINT) AS STRING)", True, "'urn:meta:sources'", "c_custkey > 3"),
+    _triple("customer", _COLL_IRI, _u("urn:gov:isEditable"), "CASE WHEN c_custkey % 5 = 0 THEN 'false' ELSE 'true' END", False, "'urn:meta:sources'"),
+])
+
+FRAMES["semantic_links"] = """
+SELECT DISTINCT 'data_contract' AS entity_type, l_orderkey AS entity_id, 'http://x.org/part/' || CAST(l_partkey AS STRING) AS iri FROM {lineitem} WHERE l_linenumber = 1"""
+
+# ---- relationships and lineage ------------------------------------------------------------------------------------------
+FRAMES["relations"] = """
+SELECT 'data_product' AS source_type, l_orderkey AS source_id, 'hasDataset' AS relationship_type, 'dataset' AS target_type, l_partkey AS target_id FROM {lineitem} WHERE l_linenumber = 1
+UNION ALL SELECT 'dataset', p_partkey, 'hasTable', 'table', p_partkey % 100 FROM {part} WHERE p_size % 5 <> 0
+UNION ALL SELECT 'table', s_suppkey, 'hasColumn', 'column', s_suppkey * 10 FROM {supplier} UNION ALL SELECT 'table', s_suppkey, 'hasColumn', 'column', s_suppkey * 10 + 1 FROM {supplier} WHERE s_suppkey % 2 = 0
+UNION ALL SELECT 'dataset', p_partkey, 'governedBy', 'data_contract', p_partkey % 70 FROM {part} WHERE p_size % 4 = 0
+UNION ALL SELECT 'table', s_suppkey, 'belongsToSystem', 'system', s_nationkey FROM {supplier}"""
+FRAMES["relation_edges"] = """
+SELECT DISTINCT source_type || ':' || CAST(source_id AS STRING) AS src, target_type || ':' || CAST(target_id AS STRING) AS dst, relationship_type FROM {relations}"""
+FRAMES["legacy_relations"] = """
+SELECT * FROM {relations} WHERE source_id % 4 = 0 UNION ALL SELECT 'dataset', p_partkey, 'supersedes', 'dataset', p_partkey + 1 FROM {part} WHERE p_size = 9"""
+FRAMES["lineage"] = """
+SELECT 't' || CAST(CAST(FLOOR(o_orderkey / 2) AS BIGINT) AS STRING) AS src, 't' || CAST(o_orderkey AS STRING) AS dst, 'feeds' AS relationship_type,
+       CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'c' || CAST(o_orderkey % 4 AS STRING) END AS map_from, 'c' || CAST(o_orderkey % 5 AS STRING) AS map_to FROM {orders} WHERE o_orderkey > 0
+UNION ALL SELECT 't' || CAST(o_orderkey AS STRING), 't' || CAST(CAST(FLOOR(o_orderkey / 16) AS BIGINT) AS STRING), 'refreshes', 'c1', 'c2' FROM {orders} WHERE o_orderkey % 101 = 0 AND o_orderkey > 16"""
+FRAMES["lineage_nodes"] = """
+SELECT 't' || CAST(o_orderkey AS STRING) AS node, CASE o_orderkey % 5 WHEN 0 THEN 'view' WHEN 1 THEN 'external' ELSE 'table' END AS kind,
+       CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE 'owner' || CAST(o_custkey % 20 AS STRING) END AS owner,
+       CASE WHEN o_orderkey % 37 = 1 THEN CAST(1 + o_custkey % 3 AS INT) ELSE NULL END AS level FROM {orders}"""
+FRAMES["asset_refs"] = """
+SELECT o_orderkey AS node, CASE WHEN o_orderkey % 97 = 5 THEN o_orderkey + 97 WHEN o_orderkey % 97 = 6 AND o_orderkey > 97 THEN o_orderkey - 1
+       WHEN o_orderkey < 10 THEN NULL WHEN o_orderkey % 1000 = 999 THEN o_orderkey ELSE CAST(FLOOR(o_orderkey / 4) AS BIGINT) END AS parent FROM {orders}"""

@@ -58,7 +58,7 @@ def otp_by_route(d):
 
 
 @query("flight_carbon", "AG24", """
-SELECT flight_key, airline_iata, service_date, dep_iata, arr_iata, tail_number, block_hours, est_fuel_kg, est_co2_kg, ROUND(est_co2_kg / seat_capacity, 2) AS est_co2_kg_per_seat FROM (
+SELECT flight_key, airline_iata, service_date, dep_iata, arr_iata, tail_number, block_hours, est_fuel_kg, est_co2_kg, ROUND(CAST(est_co2_kg / seat_capacity AS DECIMAL(38, 10)), 2)::DOUBLE AS est_co2_kg_per_seat FROM (
  SELECT *, ROUND(est_fuel_kg * 3.16::DOUBLE, 0) AS est_co2_kg FROM (SELECT *, ROUND(mtow_kg * block_hours * 0.04::DOUBLE, 0) AS est_fuel_kg FROM (
   SELECT s.*, a.mtow_kg, date_diff('second', scheduled_dep_utc, scheduled_arr_utc)::DOUBLE / 3600 AS block_hours FROM {schedule} s LEFT JOIN {aircraft} a USING (tail_number))))""")
 def flight_carbon(d):
@@ -76,13 +76,13 @@ def duty_compliance(d):
 
 @query("sales_summary", "AG26", """
 SELECT date_trunc('month', order_date)::TIMESTAMP AS order_month, country_code, COUNT(DISTINCT order_id) AS total_orders, COUNT(DISTINCT customer_id) AS unique_customers, ROUND(SUM(total_amount), 2) AS total_revenue,
- ROUND(AVG(total_amount), 4) AS avg_order_value FROM {s_orders} JOIN {s_customers} USING (customer_id) GROUP BY 1, 2""")
+ ROUND(AVG(total_amount), 6) AS avg_order_value FROM {s_orders} JOIN {s_customers} USING (customer_id) GROUP BY 1, 2""")
 def sales_summary(d):
     return sa.sales_summary(d["s_orders"], d["s_customers"])
 
 
 @query("customer_360", "AG27", """
-SELECT customer_id, customer_segment, country_code, country_name, region, COUNT(DISTINCT order_id) AS total_orders, ROUND(SUM(total_amount), 2) AS total_spent, ROUND(AVG(total_amount), 4) AS avg_order_value,
+SELECT customer_id, customer_segment, country_code, country_name, region, COUNT(DISTINCT order_id) AS total_orders, ROUND(SUM(total_amount), 2) AS total_spent, ROUND(AVG(total_amount), 6) AS avg_order_value,
  MAX(order_date) AS last_order_date, date_diff('day', MAX(order_date), TIMESTAMP '2001-09-01') AS days_since_last_order
 FROM {s_customers} LEFT JOIN {s_orders} USING (customer_id) LEFT JOIN {s_countries} USING (country_code) GROUP BY 1, 2, 3, 4, 5""")
 def customer_360(d):
@@ -90,7 +90,7 @@ def customer_360(d):
 
 
 @query("product_performance", "AG28", """
-SELECT p.product_id, product_name, category_name, SUM(quantity) AS total_units_sold, ROUND(SUM(line_total), 2) AS total_revenue, COUNT(DISTINCT o.order_id) AS order_count, ROUND(AVG(unit_price), 4) AS avg_selling_price,
+SELECT p.product_id, product_name, category_name, SUM(quantity) AS total_units_sold, ROUND(SUM(line_total), 2) AS total_revenue, COUNT(DISTINCT o.order_id) AS order_count, ROUND(AVG(unit_price), 6) AS avg_selling_price,
  ROUND((list_price - cost_price) / list_price * 100, 4) AS margin_percent
 FROM {s_products} p LEFT JOIN {s_items} i ON i.product_id = p.product_id LEFT JOIN {s_orders} o ON o.order_id = i.order_id GROUP BY 1, 2, 3, list_price, cost_price""")
 def product_performance(d):
@@ -106,7 +106,7 @@ def revenue_by_region(d):
 
 @query("customer_features", "AG30", """
 SELECT customer_id, date_diff('day', created_at, DATE '2001-09-01') AS account_age_days, COUNT(DISTINCT order_id) AS order_count, ROUND(COALESCE(SUM(total_amount), 0), 2) AS total_spent,
- ROUND(COALESCE(AVG(total_amount), 0), 4) AS avg_order_value, ROUND(COALESCE(MAX(total_amount), 0), 2) AS max_order_value, ROUND(COALESCE(MIN(total_amount), 0), 2) AS min_order_value,
+ ROUND(COALESCE(AVG(total_amount), 0), 6) AS avg_order_value, ROUND(COALESCE(MAX(total_amount), 0), 2) AS max_order_value, ROUND(COALESCE(MIN(total_amount), 0), 2) AS min_order_value,
  COALESCE(date_diff('day', MAX(order_date), TIMESTAMP '2001-09-01'), 9999) AS recency_days, CASE loyalty_tier WHEN 'PLATINUM' THEN 4 WHEN 'GOLD' THEN 3 WHEN 'SILVER' THEN 2 ELSE 1 END AS loyalty_score
 FROM {s_customers} LEFT JOIN {s_orders} USING (customer_id) GROUP BY customer_id, created_at, loyalty_tier""")
 def customer_features(d):

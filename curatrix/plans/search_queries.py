@@ -67,7 +67,7 @@ _CONCEPTS = """SELECT 'http://x.org/' || LOWER(p_type) || '/' || CAST(p_partkey
 
 @query("concept_search", "S3", f"""
 SELECT iri, label, score, match_type FROM (SELECT iri, label, CASE WHEN contains(lower(label), 'small') THEN 10.0 ELSE 0 END + CASE WHEN lower(label) = 'small' THEN 20.0 ELSE 0 END
-  + CASE WHEN contains(lower(comment), 'small') THEN 5.0 ELSE 0 END + CASE WHEN contains(lower(iri), 'small') THEN 3.0 ELSE 0 END AS score,
+  + CASE WHEN contains(lower(comment), 'small') THEN 5.0 ELSE 0 END + CASE WHEN contains(lower(iri), 'small') THEN 3.0 ELSE 0.0::DOUBLE END AS score,
   CASE WHEN contains(lower(label), 'small') THEN 'label' WHEN contains(lower(comment), 'small') THEN 'comment' ELSE 'iri' END AS match_type FROM ({_CONCEPTS}))
 WHERE score > 0 ORDER BY score DESC, iri LIMIT 50""")
 def concept_search(d):

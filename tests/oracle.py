@@ -52,8 +52,8 @@ def compare(spark, con, name, sf_dir):
     if got[0] != want[0]:
         return False, f"columns {got[0]} vs {want[0]}"
     if got[1] != want[1]:
-        extra = [r for r in got[1] if r not in set(want[1])][:3]
-        miss = [r for r in want[1] if r not in set(got[1])][:3]
+        a, b = set(got[1]), set(want[1])
+        extra, miss = sorted(a - b)[:3], sorted(b - a)[:3]
         return False, f"rows {len(got[1])} vs {len(want[1])}\n   cols {got[0]}\n   spark only {extra}\n   oracle only {miss}"
     return True, f"{len(got[1])} rows"
 
