@@ -418,7 +418,7 @@ def shape_checks(triples: DataFrame, shapes: DataFrame) -> DataFrame:
     few = counts.select("shape", "focus", F.lit("min_count").alias("violation"), F.col("n").cast("string").alias("value"))
     number = F.col("value").try_cast("double")
     bad = F.array(
-        F.when(F.coalesce(~F.col("value").rlike(F.col("pattern")), F.lit(False)), "pattern"),
+        F.when(F.coalesce(~F.regexp_like("value", F.col("pattern")), F.lit(False)), "pattern"),
         F.when(F.col("min_inclusive").isNotNull() & F.coalesce(number < F.col("min_inclusive"), F.lit(True)), "min_inclusive"),
         F.when(F.col("max_inclusive").isNotNull() & F.coalesce(number > F.col("max_inclusive"), F.lit(True)), "max_inclusive"),
     )

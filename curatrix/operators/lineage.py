@@ -50,7 +50,8 @@ def column_lineage(edges: DataFrame, column: str) -> DataFrame:
     """Edges whose mappings touch the column, with just those mappings; edges without mappings stay."""
     touching = F.filter("column_mappings", lambda m: (m["source_column"] == column) | (m["target_column"] == column))
     unmapped = F.coalesce(F.size("column_mappings"), F.lit(0)) <= 0
-    return edges.withColumn("column_mappings", F.when(unmapped, F.col("column_mappings")).otherwise(touching)).filter(unmapped | (F.size("column_mappings") > 0))
+    kept = edges.filter(unmapped | (F.size(touching) > 0))
+    return kept.withColumn("column_mappings", F.when(unmapped, F.col("column_mappings")).otherwise(touching))
 
 
 def impact(edges: DataFrame, start: DataFrame, nodes: DataFrame, depth: int = 10) -> DataFrame:
@@ -109,11 +110,17 @@ def propagate_certification(edges: DataFrame, levels: DataFrame) -> DataFrame:
 
 
 def product_hierarchy(relations: DataFrame) -> DataFrame:
-    """product -> dataset -> table or view -> column, and the dataset's governing contract, one row per path."""
+    """product -> dataset -> table or view -> column, one row per path, and one row per governing contract of a dataset.
+
+    Contracts are rows of their own, so a dataset with many tables and many contracts is not multiplied out.
+    """
     rel = lambda kind, a, b: relations.filter(F.col("relationship_type") == kind).select(F.col("source_id").alias(a), F.col("target_id").alias(b)).distinct()
-    out = rel("hasDataset", "product_id", "dataset_id").join(rel("hasTable", "dataset_id", "table_id"), "dataset_id", "left")
-    out = out.join(rel("hasColumn", "table_id", "column_id"), "table_id", "left").join(rel("governedBy", "dataset_id", "contract_id"), "dataset_id", "left")
-    return out.select("product_id", "dataset_id", "table_id", "column_id", "contract_id")
+    none = F.lit(None).cast("bigint")
+    datasets = rel("hasDataset", "product_id", "dataset_id")
+    paths = datasets.join(rel("hasTable", "dataset_id", "table_id"), "dataset_id", "left").join(rel("hasColumn", "table_id", "column_id"), "table_id", "left")
+    governed = datasets.join(rel("governedBy", "dataset_id", "contract_id"), "dataset_id")
+    return paths.select(F.lit("path").alias("part"), "product_id", "dataset_id", "table_id", "column_id", none.alias("contract_id")).unionByName(
+        governed.select(F.lit("contract").alias("part"), "product_id", "dataset_id", none.alias("table_id"), none.alias("column_id"), "contract_id"))
 
 
 # The key under which two relationship rows are the same.

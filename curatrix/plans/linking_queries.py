@@ -275,11 +275,10 @@ def discover_entities(d):
 
 
 @query("link_products_to_contracts", "J13", """
-SELECT DISTINCT p.tag_value AS product, c.tag_value AS contract, p.full_name FROM (SELECT 'c' || CAST(l_partkey % 200 AS VARCHAR) AS full_name, 'p' || CAST(l_suppkey AS VARCHAR) AS tag_value FROM lineitem WHERE l_returnflag = 'A') p
-JOIN (SELECT 'c' || CAST(l_partkey % 200 AS VARCHAR) AS full_name, 'k' || CAST(l_partkey AS VARCHAR) AS tag_value FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1) c USING (full_name)""")
+SELECT DISTINCT 'p' || o_custkey AS product, 'k' || o_custkey % 50 AS contract, 't' || o_orderkey AS full_name FROM orders WHERE o_orderstatus <> 'P' AND o_orderpriority <> '5-LOW'""")
 def link_products_to_contracts(d):
-    name = F.concat(F.lit("c"), (F.col("l_partkey") % 200).cast("string")).alias("full_name")
-    kind = F.lit("TABLE").alias("object_type")
-    prod = d["lineitem"].filter("l_returnflag = 'A'").select(kind, name, F.concat(F.lit("p"), F.col("l_suppkey").cast("string")).alias("entity")).distinct()
-    con = d["lineitem"].filter("l_returnflag = 'R' AND l_linenumber = 1").select(kind, name, F.concat(F.lit("k"), F.col("l_partkey").cast("string")).alias("entity")).distinct()
-    return lk.link_products_to_contracts(prod, con)
+    text = lambda pre, c: F.concat(F.lit(pre), c.cast("string"))
+    found = lambda rows, who: rows.select(F.lit("TABLE").alias("object_type"), text("t", F.col("o_orderkey")).alias("full_name"), who.alias("entity"))
+    orders = d["orders"]
+    return lk.link_products_to_contracts(
+        found(orders.filter("o_orderstatus <> 'P'"), text("p", F.col("o_custkey"))), found(orders.filter("o_orderpriority <> '5-LOW'"), text("k", F.col("o_custkey") % 50)))

@@ -127,14 +127,26 @@ def latest_version(d):
     return sm.latest_version(d["contracts"]).select("family", "id", "version")
 
 
-@query("version_family", "W2", """
-WITH c AS (SELECT id, COALESCE(base_name, name) AS family, parent_contract_id AS par, version, created_at FROM {contracts}),
- w AS (SELECT * FROM c), named AS (SELECT w.id AS wanted_id, c.id FROM w JOIN c USING (family)),
- lone AS (SELECT * FROM w WHERE id IN (SELECT wanted_id FROM named GROUP BY 1 HAVING COUNT(*) = 1)),
- hits AS (SELECT * FROM named UNION SELECT id, par FROM lone WHERE par IS NOT NULL UNION SELECT l.id, c.id FROM lone l JOIN c ON c.par = l.id UNION SELECT l.id, c.id FROM lone l JOIN c ON c.par = l.par)
-SELECT wanted_id, h.id, version, created_at FROM hits h JOIN c ON c.id = h.id""")
+_FAM = """c AS (SELECT id, COALESCE(base_name, name) AS family, COUNT(*) OVER (PARTITION BY COALESCE(base_name, name)) AS members, parent_contract_id AS par, version, created_at FROM {contracts})"""
+
+
+@query("version_groups", "W2", f"""
+WITH {_FAM}, g AS (SELECT par AS k FROM c WHERE members = 1 AND par IS NOT NULL UNION SELECT id FROM c WHERE members = 1)
+SELECT 'name:' || family AS group_key, id, version, created_at FROM c WHERE members > 1
+UNION ALL SELECT DISTINCT 'parent:' || k, id, version, created_at FROM c JOIN g ON c.par = g.k OR c.id = g.k""")
+def version_groups(d):
+    return sm.version_groups(d["contracts"])
+
+
+def _family_sql(i):
+    return f"""SELECT {i} AS wanted_id, c.id, c.version, c.created_at FROM c, (SELECT * FROM c WHERE id = {i}) me WHERE CASE WHEN me.members > 1 THEN c.family = me.family
+ ELSE c.id = me.id OR COALESCE(c.id = me.par OR c.par = me.id OR c.par = me.par, false) END"""
+
+
+@query("version_family", "W2", f"WITH {_FAM} {_family_sql(8)} UNION ALL {_family_sql(70)} UNION ALL {_family_sql(147)}")
 def version_family(d):
-    return sm.version_family(d["contracts"], d["contracts"].select("id"))
+    out = [sm.version_family(d["contracts"], i).withColumn("wanted_id", F.lit(i)) for i in (8, 70, 147)]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @query("retain_sessions", "W4", """

@@ -1,0 +1,156 @@
+"""Structured Streaming over the batch operators.
+
+Every sink writes a folder per batch id and overwrites it, so a batch that runs again after a failure leaves the same
+rows.  Checkpoints and output live in the folder the caller names, which on a cluster is a shared one.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from curatrix.operators.linking import fan_out
+from curatrix.operators.quality import RowRule, split_rows, volume_floor
+from curatrix.operators.skew import first_per_key
+from curatrix.sources.triples import new_triples
+
+
+def read_files(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_trigger: int = 10) -> DataFrame:
+    return spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files_per_trigger).load(path)
+
+
+def run(stream: DataFrame, base: str, batch: Callable[[DataFrame, int], None], mode: str = "append", trigger: dict | None = None) -> StreamingQuery:
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").foreachBatch(batch)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def batch_folder(path: str, batch_id: int) -> str:
+    return f"{path}/batch={batch_id}"
+
+
+def put(df: DataFrame, path: str, batch_id: int) -> None:
+    df.write.mode("overwrite").parquet(batch_folder(path, batch_id))
+
+
+def read_sink(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("batch")
+
+
+def stream_enforce(stream: DataFrame, rules: Callable[[], list[RowRule]], base: str, trigger: dict | None = None) -> StreamingQuery:
+    """Continuous contract enforcement: good rows and quarantine, both per batch."""
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        rows = df.persist()
+        good, bad = split_rows(rows, rules())
+        put(good.drop("_errors"), f"{base}/good", batch_id)
+        put(bad.withColumn("_pipeline_id", F.lit(base.rsplit("/", 1)[-1])), f"{base}/quarantine", batch_id)
+        rows.unpersist()
+
+    return run(stream, base, batch, trigger=trigger)
+
+
+def stage_events(stream: DataFrame, key: str, ts: str, base: str, delay: str = "1 day", trigger: dict | None = None) -> StreamingQuery:
+    """At-least-once input staged once per key: repeats within the watermark are dropped."""
+    once = stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+    return run(once, base, lambda df, i: put(df, f"{base}/events", i), trigger=trigger)
+
+
+def event_volume(stream: DataFrame, ts: str, kind: str, width: str = "1 hour", slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
+    """Counts per window and type; rows later than the watermark are dropped."""
+    win = F.window(F.col(ts), width, slide) if slide else F.window(F.col(ts), width)
+    counts = stream.withWatermark(ts, delay).groupBy(win.alias("w"), F.col(kind)).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), kind, "n")
+
+
+def volume_drop_alert(volume: DataFrame, kind: str, base: str, ratio: float = 0.6, windows: int = 7, trigger: dict | None = None) -> StreamingQuery:
+    """Closed windows are stored; a window below ``ratio`` times the mean of the windows before it is an alert."""
+    spark = volume.sparkSession
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        put(df, f"{base}/volume", batch_id)
+        known = spark.read.parquet(f"{base}/volume")
+        judged = volume_floor(known, "window_start", "n", (kind,), ratio, windows)
+        put(judged.filter((F.col("batch") == batch_id) & ~F.col("passed")).drop("batch"), f"{base}/alerts", batch_id)
+
+    return run(volume, base, batch, trigger=trigger)
+
+
+def session_activity(stream: DataFrame, ts: str, key: str, gap: str, delay: str = "10 minutes") -> DataFrame:
+    """Sessions per key that end after ``gap`` without an event.
+
+    Sessions are merged inside each input partition before the shuffle, so a hot key arrives as sessions, not as events.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+    sessions = stream.withWatermark(ts, delay).groupBy(F.session_window(F.col(ts), gap).alias("w"), F.col(key)).agg(F.count(F.lit(1)).alias("events"))
+    return sessions.select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "events")
+
+
+def append_sink(stream: DataFrame, base: str, name: str, trigger: dict | None = None) -> StreamingQuery:
+    return run(stream, base, lambda df, i: put(df, f"{base}/{name}", i), trigger=trigger)
+
+
+def merge_state(old: DataFrame | None, batch: DataFrame, key: str, order: list[str], cols: list[str]) -> DataFrame:
+    """The two newest rows per key side by side: the current one, and the one before under ``before_``.
+
+    Only two rows per key and task reach the shuffle, whatever share of the batch a key holds.
+    """
+    fields = [*order, *cols]
+    rows = batch.select(key, *fields)
+    if old is not None:
+        earlier = old.filter(F.col(f"before_{order[0]}").isNotNull()).select(key, *[F.col(f"before_{c}").alias(c) for c in fields])
+        rows = rows.unionByName(old.select(key, *fields)).unionByName(earlier)
+    two = first_per_key(rows, [key], [F.col(o).desc() for o in order], 2, "rank")
+    nth = lambda n: F.max(F.when(F.col("rank") == n, F.struct(*fields)))
+    out = two.groupBy(key).agg(nth(1).alias("m"), nth(2).alias("b"))
+    return out.select(key, *[F.col(f"m.{c}").alias(c) for c in fields], *[F.col(f"b.{c}").alias(f"before_{c}") for c in fields])
+
+
+def current_state(stream: DataFrame, key: str, order: list[str], cols: list[str], base: str, trigger: dict | None = None) -> StreamingQuery:
+    """Latest state per subject as a table per batch, each built from the one before."""
+    spark = stream.sparkSession
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        old = None if batch_id == 0 else spark.read.parquet(batch_folder(f"{base}/state", batch_id - 1))
+        put(merge_state(old, df, key, order, cols), f"{base}/state", batch_id)
+
+    return run(stream, base, batch, trigger=trigger)
+
+
+def read_state(spark: SparkSession, base: str) -> DataFrame:
+    """The newest state table, found by its batch number."""
+    states = spark.read.parquet(f"{base}/state")
+    return states.filter(F.col("batch") == states.agg(F.max("batch")).scalar()).drop("batch")
+
+
+def incremental_sync(spark: SparkSession, stream: DataFrame, base: str, trigger: dict | None = None) -> StreamingQuery:
+    """New triples appended batch by batch; those already stored are skipped."""
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        if batch_id == 0:
+            fresh = df.distinct()
+        else:
+            store = spark.read.parquet(f"{base}/triples").filter(F.col("batch") < batch_id)
+            fresh = new_triples(store, df)
+        put(fresh, f"{base}/triples", batch_id)
+
+    return run(stream, base, batch, trigger=trigger)
+
+
+def stream_freshness(stream: DataFrame, key: str, ts: str, base: str, trigger: dict | None = None) -> StreamingQuery:
+    """Newest time per key, kept as state; ``stale_keys`` reads it."""
+    newest = stream.groupBy(key).agg(F.max(ts).alias("last_seen"))
+    return run(newest, base, lambda df, i: put(df, f"{base}/seen", i), mode="update", trigger=trigger)
+
+
+def stale_keys(spark: SparkSession, base: str, key: str, as_of, max_age_seconds: int) -> DataFrame:
+    """Keys whose last event is older than allowed at ``as_of``."""
+    seen = read_sink(spark, f"{base}/seen").groupBy(key).agg(F.max("last_seen").alias("last_seen"))
+    return seen.filter(F.col("last_seen") < F.lit(as_of).cast("timestamp_ntz") - F.expr(f"interval {int(max_age_seconds)} seconds"))
+
+
+def stream_fan_out(stream: DataFrame, subscriptions: DataFrame, base: str, trigger: dict | None = None) -> StreamingQuery:
+    """Stream-static join: one notification per subscriber, salted inside each batch."""
+    return run(stream, base, lambda df, i: put(fan_out(df, subscriptions), f"{base}/notifications", i), trigger=trigger)
