@@ -121,7 +121,8 @@ def safe_sql_query(d):
 
 
 def _stream(d):
-    return st.read_files(d.spark, d.path("events"), d["events"].schema)
+    # as a pattern, because a stream cannot start from the path of a single file
+    return st.read_files(d.spark, d.path("events") + "*", d["events"].schema)
 
 
 def _done(handle):

@@ -39,6 +39,11 @@ def read_sink(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("batch")
 
 
+def with_event_time(stream: DataFrame, ts: str, delay: str) -> DataFrame:
+    """Watermarked stream; watermarks need an instant, so a wall-clock column is read in the session's time zone."""
+    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+
+
 def stream_enforce(stream: DataFrame, rules: Callable[[], list[RowRule]], base: str, trigger: dict | None = None) -> StreamingQuery:
     """Continuous contract enforcement: good rows and quarantine, both per batch."""
 
@@ -54,15 +59,15 @@ def stream_enforce(stream: DataFrame, rules: Callable[[], list[RowRule]], base:
 
 def stage_events(stream: DataFrame, key: str, ts: str, base: str, delay: str = "1 day", trigger: dict | None = None) -> StreamingQuery:
     """At-least-once input staged once per key: repeats within the watermark are dropped."""
-    once = stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+    once = with_event_time(stream, ts, delay).dropDuplicatesWithinWatermark([key])
     return run(once, base, lambda df, i: put(df, f"{base}/events", i), trigger=trigger)
 
 
 def event_volume(stream: DataFrame, ts: str, kind: str, width: str = "1 hour", slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
     """Counts per window and type; rows later than the watermark are dropped."""
     win = F.window(F.col(ts), width, slide) if slide else F.window(F.col(ts), width)
-    counts = stream.withWatermark(ts, delay).groupBy(win.alias("w"), F.col(kind)).agg(F.count(F.lit(1)).alias("n"))
-    return counts.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), kind, "n")
+    counts = with_event_time(stream, ts, delay).groupBy(win.alias("w"), F.col(kind)).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), F.col("w.end").cast("timestamp_ntz").alias("window_end"), kind, "n")
 
 
 def volume_drop_alert(volume: DataFrame, kind: str, base: str, ratio: float = 0.6, windows: int = 7, trigger: dict | None = None) -> StreamingQuery:
@@ -84,8 +89,8 @@ def session_activity(stream: DataFrame, ts: str, key: str, gap: str, delay: str
     Sessions are merged inside each input partition before the shuffle, so a hot key arrives as sessions, not as events.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
-    sessions = stream.withWatermark(ts, delay).groupBy(F.session_window(F.col(ts), gap).alias("w"), F.col(key)).agg(F.count(F.lit(1)).alias("events"))
-    return sessions.select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "events")
+    sessions = with_event_time(stream, ts, delay).groupBy(F.session_window(F.col(ts), gap).alias("w"), F.col(key)).agg(F.count(F.lit(1)).alias("events"))
+    return sessions.select(key, F.col("w.start").cast("timestamp_ntz").alias("session_start"), F.col("w.end").cast("timestamp_ntz").alias("session_end"), "events")
 
 
 def append_sink(stream: DataFrame, base: str, name: str, trigger: dict | None = None) -> StreamingQuery:
