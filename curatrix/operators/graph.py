@@ -102,18 +102,13 @@ def propagate_max(edges: DataFrame, levels: DataFrame) -> DataFrame:
     depend on the order of arrival.
     """
     steps = cut_lineage(directed(edges))
-    best = None
     front = cut_lineage(levels.filter("level IS NOT NULL").groupBy("node").agg(F.max("level").alias("level")))
+    rises = [front.limit(0)]
     while not front.isEmpty():
         sent = front.join(steps, front.node == steps.src).groupBy(F.col("dst").alias("node")).agg(F.max("level").alias("level"))
-        if best is None:
-            rise = sent
-        else:
-            old = best.select("node", F.col("level").alias("old"))
-            rise = sent.join(old, "node", "left").filter(F.col("old").isNull() | (F.col("level") > F.col("old"))).select("node", "level")
-        front = cut_lineage(rise)
-        merged = front if best is None else best.unionByName(front).groupBy("node").agg(F.max("level").alias("level"))
-        best = cut_lineage(merged)
-    if best is None:
-        best = levels.select("node", "level").limit(0)
-    return best.select("node", F.col("level").alias("inherited"))
+        # a node rises at most once per level, so the rises together stay linear in the nodes
+        known = reduce(DataFrame.unionByName, rises).groupBy("node").agg(F.max("level").alias("old"))
+        rise = sent.join(known, "node", "left").filter(F.col("old").isNull() | (F.col("level") > F.col("old")))
+        front = cut_lineage(rise.select("node", "level"))
+        rises.append(front)
+    return reduce(DataFrame.unionByName, rises).groupBy("node").agg(F.max("level").alias("inherited"))

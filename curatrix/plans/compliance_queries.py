@@ -45,7 +45,7 @@ def predicate_text(d):
 
 @query("predicate_tags", "F5 F8 F10", """
 SELECT id, tag_env IS NOT NULL AS has_env, tag_tier AS tier, tag_env IS NOT NULL AS map_contains, status AS prop_status,
- NULL AS prop_missing, COALESCE(tag_env = 'prod', false) AS values_have FROM {entities}""")
+ CAST(NULL AS VARCHAR) AS prop_missing, COALESCE(tag_env = 'prod', false) AS values_have FROM {entities}""")
 def predicate_tags(d):
     e = with_tags(d)
     c = F.col

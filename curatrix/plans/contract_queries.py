@@ -106,22 +106,20 @@ def profile_columns(d):
 _TOP_COLS = ["o_orderstatus", "o_orderpriority", "o_custkey"]
 
 
-@query("top_values", "W8 DQ22", "SELECT column_name, value, n, rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS rank FROM ("
+@query("top_values", "W8 DQ22", "SELECT column_name, value, n, rank FROM (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS INT) AS rank FROM ("
        + " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, COUNT(*) AS n FROM orders GROUP BY {c}" for c in _TOP_COLS) + ")) WHERE rank <= 3")
 def top_values(d):
     return pf.top_values(pf.value_counts(d["orders"], _TOP_COLS))
 
 
-@query("suggest_rules", "DQ23 AG12", """
-SELECT column_name, rule_function, arguments, 'pending' AS status FROM (
- SELECT 's_suppkey' AS column_name, 'is_not_null' AS rule_function, NULL AS arguments UNION ALL SELECT 's_name', 'is_not_null', NULL
- UNION ALL SELECT 's_nationkey', 'is_not_null', NULL UNION ALL SELECT 's_acctbal', 'is_not_null', NULL
- UNION ALL SELECT c, 'is_unique', NULL FROM (SELECT 's_suppkey' AS c, COUNT(DISTINCT s_suppkey) = COUNT(*) AS u FROM supplier UNION ALL SELECT 's_name', COUNT(DISTINCT s_name) = COUNT(*) FROM supplier
-  UNION ALL SELECT 's_acctbal', COUNT(DISTINCT s_acctbal) = COUNT(*) FROM supplier UNION ALL SELECT 's_nationkey', COUNT(DISTINCT s_nationkey) = COUNT(*) FROM supplier) WHERE u
- UNION ALL SELECT 's_nationkey', 'is_in', string_agg(DISTINCT CAST(s_nationkey AS VARCHAR), ',' ORDER BY CAST(s_nationkey AS VARCHAR)) FROM supplier HAVING COUNT(DISTINCT s_nationkey) <= 20
- UNION ALL SELECT 's_suppkey', 'min_max', CAST(MIN(s_suppkey)::DOUBLE AS VARCHAR) || ',' || CAST(MAX(s_suppkey)::DOUBLE AS VARCHAR) FROM supplier
- UNION ALL SELECT 's_nationkey', 'min_max', CAST(MIN(s_nationkey)::DOUBLE AS VARCHAR) || ',' || CAST(MAX(s_nationkey)::DOUBLE AS VARCHAR) FROM supplier
- UNION ALL SELECT 's_acctbal', 'min_max', CAST(MIN(s_acctbal) AS VARCHAR) || ',' || CAST(MAX(s_acctbal) AS VARCHAR) FROM supplier)""")
+_SUPPLIER = ("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+
+
+@query("suggest_rules", "DQ23", "SELECT column_name, rule_function, arguments, 'pending' AS status FROM (" + " UNION ALL ".join(
+    [f"SELECT '{c}' AS column_name, 'is_not_null' AS rule_function, CAST(NULL AS VARCHAR) AS arguments FROM supplier HAVING COUNT({c}) = COUNT(*)" for c in _SUPPLIER]
+    + [f"SELECT '{c}', 'is_unique', NULL FROM supplier HAVING COUNT(DISTINCT {c}) = COUNT(*)" for c in _SUPPLIER]
+    + [f"SELECT '{c}', 'is_in', string_agg(DISTINCT CAST({c} AS VARCHAR), ',' ORDER BY CAST({c} AS VARCHAR)) FROM supplier HAVING COUNT(DISTINCT {c}) BETWEEN 1 AND 20" for c in _SUPPLIER]
+    + [f"SELECT '{c}', 'min_max', CAST(MIN({c})::DOUBLE AS VARCHAR) || ',' || CAST(MAX({c})::DOUBLE AS VARCHAR) FROM supplier" for c in _SUPPLIER if c != "s_name"]) + ")")
 def suggest_rules(d):
     return pf.suggest_rules(d["supplier"], fraction=1.0, limit=0)
 

@@ -441,7 +441,7 @@ def suggest_concepts(d):
 
 
 @query("hierarchy_paths", "GR26", f"""
-SELECT regexp_extract(a.object, '[^/]*$') AS source_type, regexp_extract(p.subject, '[^/]*$') AS relationship, regexp_extract(b.object, '[^/]*$') AS target_type, COALESCE(u.object, regexp_extract(p.subject, '[^/]*$')) AS label, NULL AS inverse_label
+SELECT regexp_extract(a.object, '[^/]*$') AS source_type, regexp_extract(p.subject, '[^/]*$') AS relationship, regexp_extract(b.object, '[^/]*$') AS target_type, COALESCE(u.object, regexp_extract(p.subject, '[^/]*$')) AS label, CAST(NULL AS VARCHAR) AS inverse_label
 FROM (SELECT DISTINCT subject FROM {_T} WHERE predicate = '{RDF}type' AND object = '{OWL}ObjectProperty') p JOIN {_T} h ON h.subject = p.subject AND h.predicate = 'urn:gov:isHierarchical' AND h.object = 'true'
 JOIN {_T} a ON a.subject = p.subject AND a.predicate = '{RDFS}domain' JOIN {_T} b ON b.subject = p.subject AND b.predicate = '{RDFS}range' LEFT JOIN {_T} u ON u.subject = p.subject AND u.predicate = 'urn:gov:uiLabel'""")
 def hierarchy_paths(d):

@@ -83,7 +83,7 @@ def sales_summary(d):
 
 @query("customer_360", "AG27", """
 SELECT customer_id, customer_segment, country_code, country_name, region, COUNT(DISTINCT order_id) AS total_orders, ROUND(SUM(total_amount), 2) AS total_spent, ROUND(AVG(total_amount), 6) AS avg_order_value,
- MAX(order_date) AS last_order_date, date_diff('day', MAX(order_date), TIMESTAMP '2001-09-01') AS days_since_last_order
+ MAX(order_date) AS last_order_date, CAST(date_diff('day', MAX(order_date), TIMESTAMP '2001-09-01') AS INT) AS days_since_last_order
 FROM {s_customers} LEFT JOIN {s_orders} USING (customer_id) LEFT JOIN {s_countries} USING (country_code) GROUP BY 1, 2, 3, 4, 5""")
 def customer_360(d):
     return sa.customer_360(d["s_customers"], d["s_orders"], d["s_countries"], AS_OF)
@@ -105,9 +105,9 @@ def revenue_by_region(d):
 
 
 @query("customer_features", "AG30", """
-SELECT customer_id, date_diff('day', created_at, DATE '2001-09-01') AS account_age_days, COUNT(DISTINCT order_id) AS order_count, ROUND(COALESCE(SUM(total_amount), 0), 2) AS total_spent,
+SELECT customer_id, CAST(date_diff('day', created_at, DATE '2001-09-01') AS INT) AS account_age_days, COUNT(DISTINCT order_id) AS order_count, ROUND(COALESCE(SUM(total_amount), 0), 2) AS total_spent,
  ROUND(COALESCE(AVG(total_amount), 0), 6) AS avg_order_value, ROUND(COALESCE(MAX(total_amount), 0), 2) AS max_order_value, ROUND(COALESCE(MIN(total_amount), 0), 2) AS min_order_value,
- COALESCE(date_diff('day', MAX(order_date), TIMESTAMP '2001-09-01'), 9999) AS recency_days, CASE loyalty_tier WHEN 'PLATINUM' THEN 4 WHEN 'GOLD' THEN 3 WHEN 'SILVER' THEN 2 ELSE 1 END AS loyalty_score
+ CAST(COALESCE(date_diff('day', MAX(order_date), TIMESTAMP '2001-09-01'), 9999) AS INT) AS recency_days, CASE loyalty_tier WHEN 'PLATINUM' THEN 4 WHEN 'GOLD' THEN 3 WHEN 'SILVER' THEN 2 ELSE 1 END AS loyalty_score
 FROM {s_customers} LEFT JOIN {s_orders} USING (customer_id) GROUP BY customer_id, created_at, loyalty_tier""")
 def customer_features(d):
     return sa.customer_features(d["s_customers"], d["s_orders"], AS_OF)
@@ -165,7 +165,7 @@ def scalar_names(d):
 SELECT p_partkey, 'type=' || p_type || ';' || CASE WHEN p_size % 3 <> 0 THEN p_name END AS rendered,
  CASE p_size % 4 WHEN 0 THEN 'en ' || p_name WHEN 1 THEN 'gb ' || p_name WHEN 2 THEN 'none' ELSE 'de ' || p_name END AS label,
  CASE p_size % 3 WHEN 0 THEN CAST(p_size + 1 AS VARCHAR) || '.0.0' WHEN 1 THEN CAST(p_size AS VARCHAR) || '.3.0' ELSE '1.0.0' END AS next,
- CASE p_size % 3 WHEN 0 THEN p_size * 60 WHEN 1 THEN p_size * 86400 ELSE 3600 END AS lookback_seconds FROM part""")
+ CAST(CASE p_size % 3 WHEN 0 THEN p_size * 60 WHEN 1 THEN p_size * 86400 ELSE 3600 END AS BIGINT) AS lookback_seconds FROM part""")
 def scalar_templates(d):
     c = F.col
     m4, m3 = c("p_size") % 4, c("p_size") % 3

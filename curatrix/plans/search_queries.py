@@ -46,7 +46,7 @@ def best_field(d):
 
 
 @query("rank_matches", "S1", f"""
-SELECT id, title, priority, score, ROW_NUMBER() OVER (ORDER BY priority, score DESC, lower(title), id) AS position FROM ({_BEST.format(m=_matches('small'))}) ORDER BY priority, score DESC, lower(title), id LIMIT 40""")
+SELECT id, title, priority, score, CAST(ROW_NUMBER() OVER (ORDER BY priority, score DESC, lower(title), id) AS INT) AS position FROM ({_BEST.format(m=_matches('small'))}) ORDER BY priority, score DESC, lower(title), id LIMIT 40""")
 def rank_matches(d):
     from pyspark.sql import Window as W
 
@@ -56,7 +56,7 @@ def rank_matches(d):
 
 
 @query("top_matches_per_type", "S1 W8", f"""
-SELECT type, id, rank FROM (SELECT type, id, ROW_NUMBER() OVER (PARTITION BY type ORDER BY priority, score DESC, id) AS rank FROM ({_BEST.format(m=_matches('bolt'))})) WHERE rank <= 5""")
+SELECT type, id, rank FROM (SELECT type, id, CAST(ROW_NUMBER() OVER (PARTITION BY type ORDER BY priority, score DESC, id) AS INT) AS rank FROM ({_BEST.format(m=_matches('bolt'))})) WHERE rank <= 5""")
 def top_matches_per_type(d):
     return se.top_matches_per_type(se.best_field(d["search_items"], "bolt", _CONFIGS), 5).select("type", "id", "rank")
 
@@ -79,6 +79,6 @@ _COLL = """SELECT c_custkey AS iri, c_name AS label, CASE c_nationkey % 8 WHEN 0
 
 
 @query("collection_order", "S4", f"""
-SELECT iri, label, scope_level, CASE scope_level WHEN 'enterprise' THEN 0 WHEN 'domain' THEN 1 WHEN 'department' THEN 2 WHEN 'team' THEN 3 WHEN 'project' THEN 4 WHEN 'external' THEN 5 ELSE 99 END AS scope_rank FROM ({_COLL})""")
+SELECT iri, label, scope_level, CASE scope_level WHEN 'enterprise' THEN 0 WHEN 'domain' THEN 1 WHEN 'department' THEN 2 WHEN 'team' THEN 3 WHEN 'project' THEN 4 WHEN 'external' THEN 5 ELSE 99::BIGINT END AS scope_rank FROM ({_COLL})""")
 def collection_order(d):
     return se.collection_order(d.sql(_COLL))

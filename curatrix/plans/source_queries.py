@@ -15,7 +15,7 @@ from curatrix.sources import contracts as co
 from curatrix.sources import sinks as sk
 from curatrix.sources import tables as tb
 from curatrix.sources.triples import RDFS, parse_ntriples
-from curatrix.streaming import pipelines as st
+from curatrix.streaming import jobs as st
 
 AT = datetime(2024, 2, 1)
 
