@@ -106,8 +106,8 @@ def structural_lint(columns: DataFrame, contracts: DataFrame, key: str) -> DataF
         F.explode(F.array(
             F.struct(F.lit("missing_primary_key").alias("finding"), F.col("pk_column").alias("column_name")),
             F.struct(F.lit("missing_partition_column").alias("finding"), F.col("partition_column").alias("column_name")),
-        )).alias("n"),
-    ).select(key, "n.*").filter(name.isNotNull())
+        )).alias("_n"),
+    ).select(key, "_n.*").filter(name.isNotNull())
     absent = named.join(seen, [key, "column_name"], "left_anti").select(key, "finding", name.alias("detail"))
     flags = F.array(
         F.when(F.coalesce("domain", F.lit("")) == "", "domain_required"),
@@ -132,14 +132,14 @@ def _flag(name: str, cond: Column, impact, **extra) -> Column:
 
 def diff_fields(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Schema and field changes per contract; frames hold key, schema_name, field_name, logical_type, required."""
-    schemas = old.select(key, "schema_name", F.lit(True).alias("o")).distinct().join(
-        new.select(key, "schema_name", F.lit(True).alias("n")).distinct(), [key, "schema_name"], "full")
-    schema_changes = schemas.filter("o IS NULL OR n IS NULL").select(
+    schemas = old.select(key, "schema_name", F.lit(True).alias("_old")).distinct().join(
+        new.select(key, "schema_name", F.lit(True).alias("_new")).distinct(), [key, "schema_name"], "full")
+    schema_changes = schemas.filter("_old IS NULL OR _new IS NULL").select(
         key, "schema_name", F.lit(None).cast("string").alias("field_name"),
-        F.when(F.col("n").isNull(), "removed").otherwise("added").alias("change_type"),
-        F.when(F.col("n").isNull(), "breaking").otherwise("feature").alias("impact"),
+        F.when(F.col("_new").isNull(), "removed").otherwise("added").alias("change_type"),
+        F.when(F.col("_new").isNull(), "breaking").otherwise("feature").alias("impact"),
         F.lit(None).cast("string").alias("old_value"), F.lit(None).cast("string").alias("new_value"))
-    kept = schemas.filter("o AND n").select(key, "schema_name")
+    kept = schemas.filter("_old AND _new").select(key, "schema_name")
     side = lambda d, s: d.select(key, "schema_name", "field_name", F.col("logical_type").alias(f"{s}_type"),
                                  F.coalesce("required", F.lit(False)).alias(f"{s}_required"))
     both = side(old, "old").join(side(new, "new"), [key, "schema_name", "field_name"], "full").join(kept, [key, "schema_name"], "left_semi")
@@ -153,8 +153,8 @@ def diff_fields(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
         _flag("modified", oreq != nreq, F.when(nreq, "breaking").otherwise("fix"),
               old_value=F.concat(F.lit("required="), oreq.cast("string")), new_value=F.concat(F.lit("required="), nreq.cast("string"))),
     )
-    field_changes = both.select(key, "schema_name", "field_name", F.explode(F.filter(changes, lambda c: c.isNotNull())).alias("c"))
-    return schema_changes.unionByName(field_changes.select(key, "schema_name", "field_name", "c.*"))
+    field_changes = both.select(key, "schema_name", "field_name", F.explode(F.filter(changes, lambda c: c.isNotNull())).alias("_c"))
+    return schema_changes.unionByName(field_changes.select(key, "schema_name", "field_name", "_c.*"))
 
 
 def diff_rules(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -192,7 +192,7 @@ def diff_ports(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
         _flag("version_changed", F.col("old_version") != F.col("new_version"), "fix",
               old_value=F.col("old_version"), new_value=F.col("new_version")),
     )
-    return both.select(*k, F.explode(F.filter(changes, lambda c: c.isNotNull())).alias("c")).select(*k, "c.*")
+    return both.select(*k, F.explode(F.filter(changes, lambda c: c.isNotNull())).alias("_c")).select(*k, "_c.*")
 
 
 # Team roles whose loss breaks a product.

@@ -267,21 +267,22 @@ def annotate_rows(df: DataFrame, rules: list[RowRule]) -> DataFrame:
     return df.withColumn("_errors", _broken(rules, "error")).withColumn("_warnings", _broken(rules, "warn"))
 
 
+def _holds(rules: list[RowRule], level: str) -> Column:
+    """All rules of the level hold, as one boolean expression that stays in generated code; NULL outcomes hold."""
+    return reduce(lambda a, b: a & b, [F.coalesce(r.expr, F.lit(True)) for r in rules if r.criticality == level], F.lit(True))
+
+
 def split_rows(df: DataFrame, rules: list[RowRule]) -> tuple[DataFrame, DataFrame]:
     """Rows that break an error rule go to the bad side; warnings only annotate.  Both sides are plain filters."""
-    marked = annotate_rows(df, rules)
-    return marked.filter(F.size("_errors") == 0), marked.filter(F.size("_errors") > 0)
+    ok = _holds(rules, "error")
+    return annotate_rows(df.filter(ok), rules), annotate_rows(df.filter(~ok), rules)
 
 
 def split_score(df: DataFrame, rules: list[RowRule]) -> DataFrame:
     """good, bad, warned and 100 * good / rows (an empty input scores 100) in one pass."""
-    marked = annotate_rows(df, rules)
-    agg = marked.agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        F.count_if(F.size("_errors") == 0).alias("good_rows"),
-        F.count_if(F.size("_errors") > 0).alias("bad_rows"),
-        F.count_if((F.size("_errors") == 0) & (F.size("_warnings") > 0)).alias("warned_rows"),
-    )
+    ok, quiet = _holds(rules, "error"), _holds(rules, "warn")
+    agg = df.agg(
+        F.count(F.lit(1)).alias("total_rows"), F.count_if(ok).alias("good_rows"), F.count_if(~ok).alias("bad_rows"), F.count_if(ok & ~quiet).alias("warned_rows"))
     score = F.when(F.col("total_rows") == 0, 100.0).otherwise(F.round(100.0 * F.col("good_rows") / F.col("total_rows"), 2))
     return agg.withColumn("score_percent", score)
 
