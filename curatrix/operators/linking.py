@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.operators.skew import first_per_key, salted_join
+from curatrix.operators.skew import first_per_key, left_join_parts, salted_join
 
 
 def contract_tag_sources(contracts: DataFrame, objects: DataFrame, domains: DataFrame, ports: DataFrame, products: DataFrame, links: DataFrame) -> DataFrame:
@@ -15,8 +15,9 @@ def contract_tag_sources(contracts: DataFrame, objects: DataFrame, domains: Data
 
     Links hang on ``<contract id>#<object name>``; a port names both the contract and the object it delivers.
     """
-    base = contracts.select(F.col("id").alias("contract_id"), F.col("name").alias("contract_name"), "version", "domain_id").join(
-        objects.select("contract_id", F.col("name").alias("object_name"), "physical_name"), "contract_id", "left")
+    base = left_join_parts(
+        contracts.select(F.col("id").alias("contract_id"), F.col("name").alias("contract_name"), "version", "domain_id"),
+        objects.select("contract_id", F.col("name").alias("object_name"), "physical_name"), ["contract_id"])
     base = base.withColumn("link_key", F.concat(F.col("contract_id").cast("string"), F.lit("#"), F.col("object_name")))
     out = base.join(domains.select("domain_id", "domain_name"), "domain_id", "left")
     out = out.join(ports.select("contract_id", "object_name", "product_id"), ["contract_id", "object_name"], "left")

@@ -81,9 +81,8 @@ def minimal_blocks(rules: list[MatchRule], threshold: float) -> list[tuple[Match
 def profiles(df: DataFrame, fields: list[str], ident: str) -> tuple[DataFrame, DataFrame]:
     """(profiles, members): distinct match-field values with their number of records, and which record has which."""
     key = F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256).alias("profile")
-    members = df.select(key, F.col(ident).alias("id"), *fields)
-    distinct = members.groupBy("profile").agg(F.count(F.lit(1)).alias("records"), F.min("id").alias("first_id"), *[F.first(f).alias(f) for f in fields])
-    return distinct, members.select("profile", "id")
+    distinct = df.groupBy(*fields).agg(F.count(F.lit(1)).alias("records"), F.min(ident).alias("first_id"))
+    return distinct.select(key, "*"), df.select(key, F.col(ident).alias("id"))
 
 
 def _rule_agrees(rule: MatchRule) -> Column:

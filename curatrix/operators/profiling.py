@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from curatrix.operators.skew import first_per_key
+from curatrix.session import cut_lineage
 
 
 def value_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -56,7 +57,7 @@ def suggest_rules(df: DataFrame, fraction: float = 0.1, limit: int = 5000, seed:
     """
     sample = df if fraction >= 1.0 else df.sample(fraction=fraction, seed=seed)
     if limit:
-        sample = sample.limit(limit)
+        sample = cut_lineage(sample.limit(limit))  # the same rows for every statistic
     simple = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
     stats = profile_columns(sample, simple)

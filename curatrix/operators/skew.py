@@ -42,17 +42,46 @@ def hot_keys(df: DataFrame, keys: list[str], share: float = 0.01) -> DataFrame:
     return counts.filter(F.col("_n") >= total * share).select(*keys)
 
 
+def _salt(df: DataFrame, salts: int) -> Column:
+    """Salt from the row's own content, so a task that runs again sends every row to the same place."""
+    plain = [f.name for f in df.schema.fields if not f.dataType.simpleString().startswith(("map", "variant"))]
+    return F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int")
+
+
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", salts: int = 32, share: float = 0.01) -> DataFrame:
-    """Equi join in which the left rows of hot keys are spread over ``salts`` tasks.
+    """Equi join that spreads the rows of hot keys over ``salts`` tasks.
 
-    Only the right rows of hot keys are repeated ``salts`` times.  Right for inner, left, semi and anti joins, in
-    which every left row still meets every right row of its key exactly once.
+    Rows of a key that is hot on the left get one of ``salts`` numbers and the right rows of that key are repeated for each
+    number; an inner join does the same for keys that are hot on the right.  Every left row still meets every right row of
+    its key exactly once.  Left, semi and anti joins only spread the left side, because a left row must not be repeated.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"salting does not keep a {how} join whole")
-    hot = F.broadcast(hot_keys(left, keys, share).withColumn("_hot", F.lit(True)))
-    lsalt = F.when(F.col("_hot"), (F.rand(7) * salts).cast("int")).otherwise(0)
-    spread = left.join(hot, keys, "left").withColumn("_salt", lsalt).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    repeated = right.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return spread.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    numbers = F.sequence(F.lit(0), F.lit(salts - 1))
+    hot = hot_keys(left, keys, share).withColumn("_hot_left", F.lit(True))
+    if how == "inner":
+        hot = hot.join(hot_keys(right, keys, share).withColumn("_hot_right", F.lit(True)), keys, "full")
+    else:
+        hot = hot.withColumn("_hot_right", F.lit(False))
+    hot = F.broadcast(hot)  # at most 1 / share keys per side
+
+    def spread(df: DataFrame, own: str, other: str) -> DataFrame:
+        mine = F.when(F.col(f"_hot{own}"), F.col("_s")).otherwise(0)
+        theirs = F.when(F.col(f"_hot{other}"), numbers).otherwise(F.array(F.lit(0)))
+        out = df.withColumn("_s", _salt(df, salts)).join(hot, keys, "left")
+        out = out.withColumn(f"_salt{own}", mine).withColumn(f"_salt{other}", F.explode(theirs))
+        return out.drop("_s", "_hot_left", "_hot_right")
+
+    joined = spread(left, "_left", "_right").join(spread(right, "_right", "_left"), [*keys, "_salt_left", "_salt_right"], how)
+    return joined.drop("_salt_left", "_salt_right")
+
+
+def left_join_parts(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join for a right side with hot keys.
+
+    A left join cannot split a skewed right side, an inner join can; so the matches come from an inner join and the rows
+    without any from an anti join.
+    """
+    extra = [f for f in right.schema.fields if f.name not in keys]
+    rest = left.join(right.select(*keys), keys, "left_anti").select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in extra])
+    return left.join(right, keys).unionByName(rest)

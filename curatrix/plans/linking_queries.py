@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from curatrix.operators import access as ac
 from curatrix.operators import linking as lk
 from curatrix.operators import tagging as tg
-from curatrix.operators.skew import salted_join
+from curatrix.operators.skew import left_join_parts, salted_join
 from curatrix.operators.tagging import DiscoveryPattern, TagConfig
 from curatrix.plans.registry import query
 
@@ -22,7 +22,7 @@ def contract_with_objects(d):
 SELECT o.id AS object_id, o.name, p.name AS property_name, p.logical_type FROM {contract_objects} o LEFT JOIN (SELECT * FROM {contract_properties} WHERE required) p ON p.object_id = o.id""")
 def objects_with_properties(d):
     p = d["contract_properties"].filter("required").select("object_id", F.col("name").alias("property_name"), "logical_type")
-    return d["contract_objects"].select(F.col("id").alias("object_id"), "name").join(p, "object_id", "left")
+    return left_join_parts(d["contract_objects"].select(F.col("id").alias("object_id"), "name"), p, ["object_id"])
 
 
 @query("salted_order_lines", "J1 J2", "SELECT l_orderkey, l_linenumber, s_name, s_nationkey FROM lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 0) ON l_suppkey = s_suppkey")

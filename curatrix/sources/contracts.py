@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curatrix.functions.scalar import parse_options, qualify_name
+from curatrix.operators.skew import left_join_parts
 
 
 def load_contracts(contracts: DataFrame, objects: DataFrame, props: DataFrame, statuses: list[str], catalog: str | None = None, schema: str | None = None) -> DataFrame:
@@ -16,7 +17,7 @@ def load_contracts(contracts: DataFrame, objects: DataFrame, props: DataFrame, s
     wanted = contracts.filter(F.lower("status").isin([s.lower() for s in statuses])).select(F.col("id").alias("contract_id"), F.col("name").alias("contract_name"))
     objs = objects.select("contract_id", F.col("id").alias("object_id"), F.col("name").alias("object_name"), "physical_name")
     cols = props.select("object_id", F.col("name").alias("property_name"), "logical_type", "required", parse_options(F.col("options_json")).alias("options"))
-    out = wanted.join(objs, "contract_id").join(cols, "object_id", "left")
+    out = left_join_parts(wanted.join(objs, "contract_id"), cols, ["object_id"])
     return out.withColumn("table_name", qualify_name(F.coalesce("physical_name", "object_name"), catalog, schema))
 
 

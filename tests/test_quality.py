@@ -6,7 +6,7 @@ from hypothesis import strategies as hs
 
 from curatrix.operators import quality as q
 from curatrix.operators.quality import Property
-from curatrix.operators.skew import first_per_key, hot_keys, previous_in_order, salted_join
+from curatrix.operators.skew import first_per_key, hot_keys, left_join_parts, previous_in_order, salted_join
 from pyspark.sql import functions as F
 
 
@@ -74,7 +74,7 @@ def test_previous_in_order_equals_a_plain_lag(spark):
 
 def test_salted_join_equals_a_plain_join(spark):
     left = spark.range(3000).select(F.col("id").alias("l"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).alias("k"))
-    right = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    right = spark.range(60).select(F.when(F.col("id") < 12, 7).when(F.col("id") < 30, 900).otherwise(F.col("id")).alias("k"), (F.col("id") * 2).alias("v"))
     for how in ("inner", "left", "left_semi", "left_anti"):
         a = sorted(map(tuple, salted_join(left, right, ["k"], how, salts=5, share=0.1).collect()), key=str)
         b = sorted(map(tuple, left.join(right, "k", how).collect()), key=str)
@@ -82,6 +82,13 @@ def test_salted_join_equals_a_plain_join(spark):
     assert hot_keys(left, ["k"], 0.1).count() == 1
 
 
+def test_left_join_in_parts_equals_a_left_join(spark):
+    left = spark.range(20).select(F.col("id").alias("k"), F.lit("x").alias("a"))
+    right = spark.createDataFrame([(3, 1, None), (3, 2, "b"), (5, 3, "c"), (99, 4, "d")], "k long, v int, w string")
+    a = sorted(map(tuple, left_join_parts(left, right, ["k"]).collect()), key=str)
+    assert a == sorted(map(tuple, left.join(right, "k", "left").collect()), key=str)
+
+
 def test_first_per_key_limits_before_the_shuffle(spark):
     df = spark.range(100).select((F.col("id") % 3).alias("k"), "id")
     out = first_per_key(df, ["k"], [F.col("id").desc()], 2)
