@@ -1,7 +1,8 @@
 """Traversals over edge frames: frontier loops whose rounds are equi joins.
 
 Every round is written to the shared checkpoint folder, so the plan stays short and no round is lost with an executor.
-The frontier holds distinct nodes only; a hub's edges are spread by Spark's skew join handling, and nothing is
+The frontier holds distinct nodes only.  A frontier counted as small is broadcast, so that round neither shuffles the edges
+nor gathers a hub's edges in one task; a larger one joins by shuffle, where Spark splits skewed partitions.  Nothing is
 collected.  The number of rounds is the depth of the graph, never the number of nodes.
 """
 
@@ -12,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curatrix.operators.skew import broadcast_if_small
 from curatrix.session import cut_lineage
 
 
@@ -27,22 +29,23 @@ def directed(edges: DataFrame, direction: str = "down") -> DataFrame:
     return out.filter("src IS NOT NULL AND dst IS NOT NULL").distinct()
 
 
-def reach(steps: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
+def reach(steps: DataFrame, seeds: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
     """(root, node, depth): everything reachable from each root, at its smallest depth; the root itself at 0.
 
-    ``steps`` holds distinct (src, dst), ``seeds`` one column ``root``.  Without ``max_depth`` the loop runs until no new
+    ``steps`` holds distinct (src, dst), ``seeds`` one column ``root`` (None: every source of a step).  Without ``max_depth`` the loop runs until no new
     node is found, which cycles cannot prevent.
     """
     steps = cut_lineage(steps)
+    seeds = steps.select(F.col("src").alias("root")) if seeds is None else seeds
     front = cut_lineage(seeds.select("root").distinct().select("root", F.col("root").alias("node"), F.lit(0).alias("depth")))
-    seen = [front]
-    depth = 0
+    seen, size, depth = [front], front.count(), 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        found = front.join(steps, front.node == steps.src).select("root", F.col("dst").alias("node")).distinct()
+        found = steps.join(broadcast_if_small(front, size), front.node == steps.src).select("root", F.col("dst").alias("node")).distinct()
         known = reduce(DataFrame.unionByName, seen).select("root", "node")
         front = cut_lineage(found.join(known, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        if front.isEmpty():
+        size = front.count()
+        if size == 0:
             break
         seen.append(front)
     return reduce(DataFrame.unionByName, seen)
@@ -51,7 +54,7 @@ def reach(steps: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> D
 def ancestors(parents: DataFrame, roots: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
     """(node, ancestor, depth) over (child, parent) rows; all nodes, or those in ``roots`` (column ``node``)."""
     steps = parents.select(F.col("child").alias("src"), F.col("parent").alias("dst")).distinct()
-    seeds = (steps.select(F.col("src").alias("root")) if roots is None else roots.select(F.col("node").alias("root"))).distinct()
+    seeds = None if roots is None else roots.select(F.col("node").alias("root"))
     out = reach(steps, seeds, max_depth).filter("depth > 0")
     return out.select(F.col("root").alias("node"), F.col("node").alias("ancestor"), "depth")
 
@@ -104,8 +107,8 @@ def propagate_max(edges: DataFrame, levels: DataFrame) -> DataFrame:
     steps = cut_lineage(directed(edges))
     front = cut_lineage(levels.filter("level IS NOT NULL").groupBy("node").agg(F.max("level").alias("level")))
     rises = [front.limit(0)]
-    while not front.isEmpty():
-        sent = front.join(steps, front.node == steps.src).groupBy(F.col("dst").alias("node")).agg(F.max("level").alias("level"))
+    while (size := front.count()) > 0:
+        sent = steps.join(broadcast_if_small(front, size), front.node == steps.src).groupBy(F.col("dst").alias("node")).agg(F.max("level").alias("level"))
         # a node rises at most once per level, so the rises together stay linear in the nodes
         known = reduce(DataFrame.unionByName, rises).groupBy("node").agg(F.max("level").alias("old"))
         rise = sent.join(known, "node", "left").filter(F.col("old").isNull() | (F.col("level") > F.col("old")))

@@ -250,8 +250,9 @@ def collections(triples: DataFrame, concept_rows: DataFrame) -> DataFrame:
 
 def collection_paths(collection_rows: DataFrame) -> DataFrame:
     """(iri, ancestor, depth): the chain above every collection; the root has the largest depth."""
-    steps = collection_rows.filter("parent_iri IS NOT NULL").select(F.col("iri").alias("src"), F.col("parent_iri").alias("dst")).distinct()
-    return reach(steps, collection_rows.select(F.col("iri").alias("root"))).select(F.col("root").alias("iri"), F.col("node").alias("ancestor"), "depth")
+    rows = cut_lineage(collection_rows.select("iri", "parent_iri"))
+    steps = rows.filter("parent_iri IS NOT NULL").select(F.col("iri").alias("src"), F.col("parent_iri").alias("dst")).distinct()
+    return reach(steps, rows.select(F.col("iri").alias("root"))).select(F.col("root").alias("iri"), F.col("node").alias("ancestor"), "depth")
 
 
 def collection_tree(paths: DataFrame) -> DataFrame:

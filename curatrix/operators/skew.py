@@ -35,6 +35,15 @@ def previous_in_order(df: DataFrame, keys: list[str], ts: str, tie: str, cols: l
     return out.select(*df.columns, *[F.col(f"_prev.{c}").alias(f"prev_{c}") for c in cols])
 
 
+# A frame of keys with at most this many rows is a few megabytes and may be broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast hint for a materialised frame whose counted ``rows`` allow it; larger ones join by shuffle."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def hot_keys(df: DataFrame, keys: list[str], share: float = 0.01) -> DataFrame:
     """Keys that own at least ``share`` of the rows: never more than 1/share of them, so small whatever the data."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))

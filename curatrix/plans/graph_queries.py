@@ -335,7 +335,7 @@ def collection_tree(d):
 
 
 _RENAMED = "SELECT object AS label, subject FROM {triples} WHERE predicate IN ('http://www.w3.org/2000/01/rdf-schema#label', 'http://www.w3.org/2004/02/skos/core#prefLabel')"
-_REQS = "SELECT 'http://x.org/part/' || CAST(p_partkey AS STRING) AS concept_iri, 'urn:glossary:c' || CAST(p_size * 31 AS STRING) AS target_iri FROM {part} WHERE p_partkey % 4 = 1"
+_REQS = "SELECT 'http://x.org/part/' || CAST(p_partkey AS STRING) AS concept_iri, 'urn:glossary:c' || CAST(p_size * 31 AS STRING) AS target_iri FROM {part}"
 _MOVE = f"""
 q AS ({_REQS}), coll AS ({_COLLS}), lab AS (SELECT subject, MIN(label) AS label FROM ({_RENAMED}) GROUP BY 1),
 home AS (SELECT subject, MIN(context) AS source_iri, MIN(object) FILTER (predicate = 'urn:gov:status') AS status FROM {_T} GROUP BY 1),

@@ -141,12 +141,12 @@ def fan_out(d):
 @query("import_preview", "J19", """
 SELECT path, depth, existing_id, CASE WHEN existing_id IS NULL THEN 'create' ELSE 'skip' END AS action FROM (
  SELECT DISTINCT array_to_string(p[1:i], '.') AS path, CAST(i AS INT) AS depth, p[i] AS name FROM (SELECT string_split(location, '.') AS p FROM {assets} WHERE location IS NOT NULL), LATERAL (SELECT unnest(generate_series(1, len(p))) AS i)) x
-LEFT JOIN (SELECT MIN(id) AS existing_id, location FROM {assets} WHERE type = 'Table' AND id % 2 = 0 GROUP BY location) k ON x.path = k.location AND x.depth = 3""")
+LEFT JOIN (SELECT MIN(id) AS existing_id, location FROM {assets} WHERE type = 'Table' AND status = 'active' GROUP BY location) k ON x.path = k.location AND x.depth = 3""")
 def import_preview(d):
     levels = F.array(F.lit("Catalog"), F.lit("Schema"), F.lit("Table"))
     paths = ac.expand_ancestors(d["assets"].filter("location IS NOT NULL").select(F.col("location").alias("path")))
     paths = paths.select("path", "depth", F.col("path").alias("location"), F.substring_index("path", ".", -1).alias("name"), F.element_at(levels, F.col("depth")).alias("type"))
-    known = d["assets"].filter("type = 'Table' AND id % 2 = 0").withColumn("name", F.substring_index("location", ".", -1))
+    known = d["assets"].filter("type = 'Table' AND status = 'active'").withColumn("name", F.substring_index("location", ".", -1))
     return lk.import_preview(paths, known).select("path", "depth", "existing_id", "action")
 
 

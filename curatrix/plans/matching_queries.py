@@ -142,13 +142,13 @@ def changed_since(d):
 
 
 @query("sync_review_status", "ER13", """
-SELECT review_id, status AS new_status FROM {merge_candidates} WHERE status IN ('approved', 'rejected') AND review_id IN (SELECT id FROM {mdm_source} WHERE id % 7 <> 0)""")
+SELECT review_id, status AS new_status FROM {merge_candidates} WHERE status IN ('approved', 'rejected') AND review_id IN (SELECT id FROM {mdm_source} WHERE segment IS NOT NULL)""")
 def sync_review_status(d):
-    return mt.sync_review_status(d["merge_candidates"], d["mdm_source"].filter("id % 7 <> 0").select(F.col("id").alias("review_id")))
+    return mt.sync_review_status(d["merge_candidates"], d["mdm_source"].filter("segment IS NOT NULL").select(F.col("id").alias("review_id")))
 
 
 @query("sync_review_counts", "ER13", """
 SELECT COUNT(*) FILTER (ok AND status = 'approved') AS synced_approved, COUNT(*) FILTER (ok AND status = 'rejected') AS synced_rejected, COUNT(*) FILTER (NOT (ok AND status IN ('approved', 'rejected'))) AS skipped
-FROM (SELECT status, COALESCE(review_id % 7 <> 0, false) AS ok FROM {merge_candidates})""")
+FROM (SELECT status, COALESCE(review_id IN (SELECT id FROM {mdm_source} WHERE segment IS NOT NULL), false) AS ok FROM {merge_candidates})""")
 def sync_review_counts(d):
-    return mt.sync_counts(d["merge_candidates"], d["mdm_source"].filter("id % 7 <> 0").select(F.col("id").alias("review_id")))
+    return mt.sync_counts(d["merge_candidates"], d["mdm_source"].filter("segment IS NOT NULL").select(F.col("id").alias("review_id")))

@@ -199,7 +199,7 @@ SELECT user_id, event_id, event_type, value, b_type AS before_event_type, b_valu
 def current_state(d):
     base = new_shared_path(d.spark, "state")
     _done(st.current_state(_stream(d), "user_id", ["ts", "event_id"], ["event_type", "value"], base))
-    return st.read_state(d.spark, base).select("user_id", "event_id", "event_type", "value", "before_event_type", "before_value")
+    return st.read_state(d.spark, base, "user_id").select("user_id", "event_id", "event_type", "value", "before_event_type", "before_value")
 
 
 @query("incremental_sync", "ST7 SRC10", f"""

@@ -85,10 +85,10 @@ def expire_grants(d):
 
 @query("contract_summary", "AG11 J1 J2", """
 SELECT c.id, c.name, c.version, t.c_name AS team_name, n.n_name AS domain_name, COALESCE(o.n, 0) AS schema_count FROM {contracts} c
-LEFT JOIN (SELECT contract_id, COUNT(*) AS n FROM {contract_objects} GROUP BY 1) o ON o.contract_id = c.id LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 5 <> 0) t ON t.c_custkey = c.owner_team_id
+LEFT JOIN (SELECT contract_id, COUNT(*) AS n FROM {contract_objects} GROUP BY 1) o ON o.contract_id = c.id LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) t ON t.c_custkey = c.owner_team_id
 LEFT JOIN nation n ON n.n_nationkey = c.domain_id""")
 def contract_summary(d):
-    teams = d["customer"].filter("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("owner_team_id"), F.col("c_name").alias("team_name"))
+    teams = d["customer"].filter("c_acctbal > 0").select(F.col("c_custkey").alias("owner_team_id"), F.col("c_name").alias("team_name"))
     domains = d["nation"].select(F.col("n_nationkey").alias("domain_id"), F.col("n_name").alias("domain_name"))
     return sm.contract_summary(d["contracts"], d["contract_objects"], teams, domains)
 

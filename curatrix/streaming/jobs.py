@@ -114,20 +114,23 @@ def merge_state(old: DataFrame | None, batch: DataFrame, key: str, order: list[s
 
 
 def current_state(stream: DataFrame, key: str, order: list[str], cols: list[str], base: str, trigger: dict | None = None) -> StreamingQuery:
-    """Latest state per subject as a table per batch, each built from the one before."""
+    """Latest state per subject as a log: every batch writes only the subjects it touched, merged with what was known."""
     spark = stream.sparkSession
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        old = None if batch_id == 0 else spark.read.parquet(batch_folder(f"{base}/state", batch_id - 1))
+        old = None
+        if batch_id > 0:
+            log = spark.read.parquet(f"{base}/state").filter(F.col("batch") < batch_id)
+            touched = log.join(df.select(key).distinct(), key, "left_semi")
+            old = first_per_key(touched, [key], [F.col("batch").desc()])
         put(merge_state(old, df, key, order, cols), f"{base}/state", batch_id)
 
     return run(stream, base, batch, trigger=trigger)
 
 
-def read_state(spark: SparkSession, base: str) -> DataFrame:
-    """The newest state table, found by its batch number."""
-    states = spark.read.parquet(f"{base}/state")
-    return states.filter(F.col("batch") == states.agg(F.max("batch")).scalar()).drop("batch")
+def read_state(spark: SparkSession, base: str, key: str) -> DataFrame:
+    """The newest entry of every subject in the log."""
+    return first_per_key(spark.read.parquet(f"{base}/state"), [key], [F.col("batch").desc()]).drop("batch")
 
 
 def incremental_sync(spark: SparkSession, stream: DataFrame, base: str, trigger: dict | None = None) -> StreamingQuery:

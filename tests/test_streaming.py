@@ -53,7 +53,7 @@ def test_repeated_events_are_staged_once(spark, files):
 def test_current_state_keeps_the_two_newest(spark, files):
     base = new_shared_path(spark, "state")
     st.current_state(stream(spark, files), "user_id", ["ts", "event_id"], ["value"], base).awaitTermination()
-    got = {r.user_id: (r.event_id, r.value, r.before_value) for r in st.read_state(spark, base).collect()}
+    got = {r.user_id: (r.event_id, r.value, r.before_value) for r in st.read_state(spark, base, "user_id").collect()}
     want = {}
     for user in {r[1] for r in ROWS}:
         mine = sorted((r[2], r[0], r[4]) for r in ROWS if r[1] == user)
