@@ -23,7 +23,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from curatrix.llm.common import id_and_text, mixed
+from curatrix.llm.common import Shipped, id_and_text, mixed
 
 #: Pre-tokens whose ids a task keeps at most; the store starts anew when it is full.
 KEPT = 400_000
@@ -155,7 +155,7 @@ def codec(path: str, pattern: str) -> Codec:
 
 def encoded(docs: DataFrame, made: Codec) -> DataFrame:
     """doc_id and ids (array of int) for every document."""
-    tables = docs.sparkSession.sparkContext.broadcast(made)
+    tables = Shipped(docs.sparkSession, made)
 
     def run(batches):
         one = tables.value
@@ -170,7 +170,7 @@ def encoded(docs: DataFrame, made: Codec) -> DataFrame:
 
 def decoded(ids: DataFrame, made: Codec) -> DataFrame:
     """doc_id and the bytes of ``ids``; a null list is empty."""
-    tables = ids.sparkSession.sparkContext.broadcast(made)
+    tables = Shipped(ids.sparkSession, made)
 
     def run(batches):
         one = tables.value
@@ -185,7 +185,7 @@ def decoded(ids: DataFrame, made: Codec) -> DataFrame:
 
 def round_trip_report(docs: DataFrame, made: Codec) -> DataFrame:
     """Query columns: the number of ids, the digest of the ids as text, and the digest of the bytes they decode to."""
-    tables = docs.sparkSession.sparkContext.broadcast(made)
+    tables = Shipped(docs.sparkSession, made)
 
     def run(batches):
         one = tables.value

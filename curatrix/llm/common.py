@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,26 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Shipped:
+    """A broadcast of any object of this package, for workers that cannot import it; loaded once where it is used."""
+
+    def __init__(self, spark: SparkSession, thing):
+        self._sent = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+        self._thing = None
+
+    def __getstate__(self):
+        return {"_sent": self._sent, "_thing": None}
+
+    def __setstate__(self, state):
+        self.__dict__ = state
+
+    @property
+    def value(self):
+        if self._thing is None:
+            self._thing = pickle.loads(self._sent.value)
+        return self._thing
+
+
 def byte_view(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a text or binary column and the ``len + 1`` offsets of its rows; null reads as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -77,9 +99,10 @@ class RangeHash:
     def _powers(self, n: int) -> None:
         if len(self.up) < n:
             n = max(n, 2 * len(self.up))
-            with np.errstate(over="ignore"):
-                self.up = np.cumprod(np.concatenate([[1], np.full(n - 1, self.base, np.uint64)]).astype(np.uint64))
-                self.down = np.cumprod(np.concatenate([[1], np.full(n - 1, self.back, np.uint64)]).astype(np.uint64))
+            self.up, self.down = np.full(n, self.base, np.uint64), np.full(n, self.back, np.uint64)
+            self.up[0] = self.down[0] = 1
+            np.cumprod(self.up, out=self.up)
+            np.cumprod(self.down, out=self.down)
 
     def sums(self, data: np.ndarray) -> np.ndarray:
         self._powers(len(data) + 1)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import id_and_text, stored
+from curatrix.llm.common import Shipped, id_and_text, stored
 
 LIMIT = 4096
 #: Space-separated strings whose ids a task keeps at most; the store starts anew when it is full.
@@ -69,7 +69,7 @@ class ChunkTokenizer:
 
 def pieces(docs: DataFrame, spec: str, end_id: int = 1, limit: int = LIMIT) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and ``row`` (tells repeated rows apart) of every piece; ``spec`` is the tokenizer's JSON text."""
-    tool = docs.sparkSession.sparkContext.broadcast(ChunkTokenizer(spec))
+    tool = Shipped(docs.sparkSession, ChunkTokenizer(spec))
 
     def run(batches):
         one = tool.value
@@ -196,7 +196,7 @@ def packed(cut: DataFrame, limit: int = LIMIT, salts: int = 64) -> DataFrame:
     places = defaultdict(list)
     for length, first, times, sequence, offset in slots(plan(dict(counts), limit)):
         places[length].append((first, sequence, offset))
-    known = spark.sparkContext.broadcast(({(a, b): c for a, b, c in before}, {k: tuple(np.array(x, np.int64) for x in zip(*sorted(v), strict=True)) for k, v in places.items()}))
+    known = Shipped(spark, ({(a, b): c for a, b, c in before}, {k: tuple(np.array(x, np.int64) for x in zip(*sorted(v), strict=True)) for k, v in places.items()}))
 
     def place(batches):
         start, table = known.value
