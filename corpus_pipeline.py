@@ -6,20 +6,34 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm import packing, quality, secrets
+from curatrix.llm import neardup, packing, quality, repeats, secrets
 from curatrix.llm.common import stored, table
 
 
+def recounted(changed: DataFrame, docs: DataFrame) -> DataFrame:
+    """Sets n_chars to the length of the changed text."""
+    return changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the classifier does not reject (operator 8)."""
     return quality.accepted(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies, the one with the smallest doc_id (operator 6)."""
+    return neardup.near_duplicates(docs).where("kept").select(*docs.columns)
+
+
+def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the bytes that repeat elsewhere (operator 9)."""
+    return recounted(repeats.without_repeats(docs), docs)
+
+
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with its secrets replaced by a mark (operator 5)."""
     found = secrets.secret_spans(docs, into="__found")
-    text = secrets.redacted(F.col("text"), F.col("__found"))
-    return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).drop("__found")
+    return recounted(found.withColumn("text", secrets.redacted(F.col("text"), F.col("__found"))), docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, path: str = public_tokenizers.path("word_bpe_49k.json")) -> DataFrame:
@@ -30,6 +44,8 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, path: str =
 
 STAGES = [
     ("quality", quality_stage),
+    ("near_duplicates", near_duplicates_stage),
+    ("repeats", repeats_stage),
     ("secrets", secrets_stage),
     ("packing", packing_stage),
 ]

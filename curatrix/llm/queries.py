@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from curatrix.llm import bpe, langid, packing, quality, secrets
+from curatrix.llm import bpe, langid, multi_index, neardup, packing, quality, repeats, secrets, vector_dedup
 from curatrix.llm.common import table
 
 
+def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return multi_index.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str, path: str = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")) -> DataFrame:
     return bpe.round_trip_report(table(spark, sf_dir, "documents"), bpe.codec(path, public_tokenizers.PATTERN))
 
@@ -24,15 +30,27 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_report(table(spark, sf_dir, "documents"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.class_report(table(spark, sf_dir, "documents"))
+
+
+def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removal_report(table(spark, sf_dir, "documents"))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_bpe, op4_packing, op5_secrets, op8_quality, op10_langid)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_multi_index, op3_bpe, op4_packing, op5_secrets, op6_near_duplicates, op7_vector_dedup, op8_quality, op9_repeats, op10_langid)}
 
 #: None of these results can be written in SQL alone; tests/llm compares them with brute force.
 ORACLE_SQL: dict[str, str] = {}
