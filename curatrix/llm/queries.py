@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm import bpe, langid, multi_index, neardup, packing, quality, repeats, secrets, vector_dedup
+from curatrix.llm import bpe, langid, multi_index, neardup, ngram_lm, packing, quality, repeats, secrets, vector_dedup
 from curatrix.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0))
 
 
+def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_report(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str, path: str = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")) -> DataFrame:
     return bpe.round_trip_report(table(spark, sf_dir, "documents"), bpe.codec(path, public_tokenizers.PATTERN))
 
@@ -50,7 +54,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_multi_index, op3_bpe, op4_packing, op5_secrets, op6_near_duplicates, op7_vector_dedup, op8_quality, op9_repeats, op10_langid)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_multi_index, op2_ngram_lm, op3_bpe, op4_packing, op5_secrets, op6_near_duplicates, op7_vector_dedup, op8_quality, op9_repeats, op10_langid)}
 
 #: None of these results can be written in SQL alone; tests/llm compares them with brute force.
 ORACLE_SQL: dict[str, str] = {}
