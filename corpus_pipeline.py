@@ -22,7 +22,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies, the one with the smallest doc_id (operator 6)."""
-    return neardup.near_duplicates(docs).where("kept").select(*docs.columns)
+    return neardup.near_duplicates(docs, names=("__class", "__size", "__kept")).where("__kept").select(*docs.columns)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,8 +15,8 @@ bucket, block by block inside tasks, so that no candidate pair stays open. Links
 at least the threshold, computed from the whole texts; classes are the connected components.
 
 Defined cases: a null text is empty; texts without a word are in one class only with equal texts; nodes are told apart by the
-64-bit hash of the text; repeated rows fall into one class and each keeps its row; ties go to the smallest doc_id, null ids
-last; an empty table gives an empty result; further columns stay as they are.
+64-bit hash of the text; rows that repeat a doc_id and its text are one document and share its decision; ties go to the
+smallest doc_id, null ids last; an empty table gives an empty result; further columns stay as they are.
 """
 
 from __future__ import annotations
@@ -301,17 +301,22 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     return label.join(rooted, "root").select("node", "class_id"), nodes
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``docs`` with class_id (the smallest doc_id of the class), class_size (documents) and kept (one row of each class)."""
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, names: tuple[str, str, str] = ("class_id", "class_size", "kept")) -> DataFrame:
+    """``docs`` with, under ``names``, the smallest doc_id of the class, its number of documents, and whether the row stays.
+
+    Columns of ``docs`` with these names are replaced.
+    """
     keyed = _with_node(docs)
     found, nodes = classes(keyed, threshold, bands, rows)
-    named = nodes.join(found, "node", "left").select(F.col("node").alias("__node"), F.coalesce("class_id", "doc_id").alias("class_id"), F.col("doc_id").alias("__first"), "copies")
-    sizes = named.groupBy(F.col("class_id").alias("__class")).agg(F.sum("copies").alias("class_size"))
-    named = stored(named.join(sizes, F.col("class_id").eqNullSafe(F.col("__class"))).select("__node", "class_id", "class_size", F.col("__first").eqNullSafe(F.col("class_id")).alias("__leads")), "classes")
-    out = keyed.drop("__text", *[c for c in ("class_id", "class_size", "kept") if c in docs.columns]).join(named, "__node")
-    return out.withColumn("kept", F.col("__leads") & F.col("doc_id").eqNullSafe(F.col("class_id"))).drop("__node", "__leads")
+    named = nodes.join(found, "node", "left").select(F.col("node").alias("__node"), F.coalesce("class_id", "doc_id").alias("__class"), F.col("doc_id").alias("__first"), "copies")
+    sizes = named.groupBy(F.col("__class").alias("__c")).agg(F.sum("copies").alias("__size"))
+    named = stored(named.join(sizes, F.col("__class").eqNullSafe(F.col("__c"))).select("__node", "__class", "__size", F.col("__first").eqNullSafe(F.col("__class")).alias("__leads")), "classes")
+    out = keyed.drop("__text").join(named, "__node")
+    stays = F.col("__leads") & F.col("doc_id").cast("long").eqNullSafe(F.col("__class"))
+    new = dict(zip(names, (F.col("__class"), F.col("__size"), stays), strict=True))
+    return out.select(*[c for c in docs.columns if c not in new], *[v.alias(k) for k, v in new.items()])
 
 
 def class_report(docs: DataFrame) -> DataFrame:
     """Query columns: doc_id, class_id, class_size, kept."""
-    return near_duplicates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "class_id", "class_size", "kept")
+    return near_duplicates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).drop("text")

@@ -154,14 +154,18 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     return F.when(F.size(spans) > 0, F.aggregate(spans, begin, step, end)).otherwise(text)
 
 
+def _of_kind(spans: Column, rank: int) -> Column:
+    return F.filter(spans, lambda s: s["rank"] == rank)
+
+
 def scan_report(docs: DataFrame) -> DataFrame:
     """Query columns: counts per fixed kind, the digest of the fixed spans, and all spans as text."""
     found = secret_spans(docs.select("doc_id", "text"), into="__spans").select(F.col("doc_id").cast("long").alias("doc_id"), "__spans")
     spans = F.col("__spans")
     return found.select(
         "doc_id",
-        *[F.size(F.filter(spans, lambda s, k=k: s["rank"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)],
+        *[F.size(_of_kind(spans, k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)],
         F.sha2(written(F.filter(spans, lambda s: s["rank"] < 3)), 256).alias("base_sha256"),
         written(spans).alias("spans"),
-        F.size(F.filter(spans, lambda s: s["rank"] == 3)).cast("long").alias("n_entropy"),
+        F.size(_of_kind(spans, 3)).cast("long").alias("n_entropy"),
     )
