@@ -1,15 +1,12 @@
-"""Great-circle Columns for route enrichment and track expansion."""
+"""Great-circle Columns for route enrichment."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Earth radius, taxi and climb minutes, cruise speed, climb and descent shares of a flight.
+# Fixed value: earth radius.
 EARTH_RADIUS_KM = 6371.0
-SHORT_HOP_KM, SHORT_HOP_MINUTES = 100, 30
-CRUISE_KMH = 800.0
-CLIMB_END, DESCENT_START = 0.15, 0.85
 
 
 def _haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -17,56 +14,24 @@ def _haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column
     return F.pow(F.sin(dp / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dl / 2), 2)
 
 
-def central_angle(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    return 2 * F.asin(F.sqrt(F.least(_haversine(lat1, lon1, lat2, lon2), F.lit(1.0))))
-
-
 def great_circle_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    return F.lit(EARTH_RADIUS_KM) * central_angle(lat1, lon1, lat2, lon2)
+    return 2 * F.lit(EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(_haversine(lat1, lon1, lat2, lon2), F.lit(1.0))))
 
 
-def block_minutes(km: Column) -> Column:
-    cruise = (SHORT_HOP_MINUTES + km / CRUISE_KMH * 60).cast("int")
-    return F.when(km < SHORT_HOP_KM, SHORT_HOP_MINUTES).otherwise(cruise)
+def _unit_vector(lat: Column, lon: Column) -> tuple[Column, Column, Column]:
+    return F.cos(F.radians(lat)) * F.cos(F.radians(lon)), F.cos(F.radians(lat)) * F.sin(F.radians(lon)), F.sin(F.radians(lat))
 
 
 def bearing_deg(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Initial bearing, 0 up to 360."""
-    p1, p2, dl = F.radians(lat1), F.radians(lat2), F.radians(lon2 - lon1)
-    east = F.sin(dl) * F.cos(p2)
-    north = F.cos(p1) * F.sin(p2) - F.sin(p1) * F.cos(p2) * F.cos(dl)
-    return (F.degrees(F.atan2(east, north)) + 360) % 360
-
-
-def interpolate_gc(lat1: Column, lon1: Column, lat2: Column, lon2: Column, fraction: Column) -> tuple[Column, Column]:
-    """Point at ``fraction`` of the great circle; the start when both ends are the same."""
-    d = central_angle(lat1, lon1, lat2, lon2)
-    w1, w2 = F.sin((1 - fraction) * d) / F.sin(d), F.sin(fraction * d) / F.sin(d)
-    p1, p2, l1, l2 = (F.radians(c) for c in (lat1, lat2, lon1, lon2))
-    x = w1 * F.cos(p1) * F.cos(l1) + w2 * F.cos(p2) * F.cos(l2)
-    y = w1 * F.cos(p1) * F.sin(l1) + w2 * F.cos(p2) * F.sin(l2)
-    z = w1 * F.sin(p1) + w2 * F.sin(p2)
-    lat, lon = F.degrees(F.atan2(z, F.sqrt(x * x + y * y))), F.degrees(F.atan2(y, x))
-    return F.when(d == 0, lat1).otherwise(lat), F.when(d == 0, lon1).otherwise(lon)
-
-
-def altitude_profile(fraction: Column, cruise_ft: Column) -> Column:
-    climb = cruise_ft * (fraction / CLIMB_END)
-    descent = cruise_ft * (1 - (fraction - DESCENT_START) / (1 - DESCENT_START))
-    alt = F.when(fraction < CLIMB_END, climb).when(fraction < DESCENT_START, cruise_ft.cast("double")).otherwise(descent)
-    return alt.cast("int")
+    """Direction of departure, 0 (north) up to 360: the target's vector seen along east and north at the start; 0 between equal points."""
+    here, there = F.radians(lon1), _unit_vector(lat2, lon2)
+    along_east = there[1] * F.cos(here) - there[0] * F.sin(here)
+    along_north = there[2] * F.cos(F.radians(lat1)) - (there[0] * F.cos(here) + there[1] * F.sin(here)) * F.sin(F.radians(lat1))
+    turn = F.pmod(F.degrees(F.atan2(along_east, along_north)), F.lit(360.0))
+    return F.when((lat1 == lat2) & (lon1 == lon2), 0.0).otherwise(turn)
 
 
 def route_legs(legs: DataFrame) -> DataFrame:
-    """Distance, block time and bearing for legs with lat1, lon1, lat2, lon2."""
-    ends = [F.col(c) for c in ("lat1", "lon1", "lat2", "lon2")]
-    out = legs.withColumn("distance_km", great_circle_km(*ends))
-    return out.withColumn("block_minutes", block_minutes(F.col("distance_km"))).withColumn("bearing", bearing_deg(*ends))
-
-
-def expand_tracks(legs: DataFrame, steps: int, cruise_ft: int) -> DataFrame:
-    """``steps + 1`` positions per leg, exploded on the executors."""
+    """Distance and bearing for legs with lat1, lon1, lat2, lon2."""
     ends = [F.col(c) for c in ("lat1", "lon1", "lat2", "lon2")]
-    rows = legs.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps)))).withColumn("fraction", F.col("step") / F.lit(float(steps)))
-    lat, lon = interpolate_gc(*ends, F.col("fraction"))
-    return rows.select("*", lat.alias("lat"), lon.alias("lon"), altitude_profile(F.col("fraction"), F.lit(cruise_ft)).alias("altitude_ft"))
+    return legs.withColumn("distance_km", great_circle_km(*ends)).withColumn("bearing", bearing_deg(*ends))

@@ -119,25 +119,14 @@ _HAV = "(power(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radi
 _ANGLE = f"(2 * asin(sqrt(least({_HAV}, 1.0))))"
 
 
-@query("route_legs", "SC17 SC18 SC19", f"""
-SELECT flight_key, ROUND(km, 4) AS distance_km, CASE WHEN km < 100 THEN 30 ELSE CAST(trunc(30 + km / 800 * 60) AS INT) END AS block_minutes,
+@query("route_legs", "SC17", f"""
+SELECT flight_key, ROUND(km, 4) AS distance_km,
  ROUND((degrees(atan2(sin(radians(lon2 - lon1)) * cos(radians(lat2)), cos(radians(lat1)) * sin(radians(lat2)) - sin(radians(lat1)) * cos(radians(lat2)) * cos(radians(lon2 - lon1)))) + 360) % 360, 4) AS bearing
 FROM (SELECT *, 6371.0 * {_ANGLE} AS km FROM {{legs}})""")
 def route_legs(d):
     out = geo.route_legs(d["legs"])
-    return out.select("flight_key", F.round("distance_km", 4).alias("distance_km"), "block_minutes", F.round("bearing", 4).alias("bearing"))
-
-
-@query("expand_tracks", "SC19", f"""
-WITH s AS (SELECT *, {_ANGLE} AS d, step / 8.0::DOUBLE AS f FROM {{legs}}, (SELECT unnest(generate_series(0, 8)) AS step)),
- p AS (SELECT *, sin((1 - f) * d) / sin(d) AS w1, sin(f * d) / sin(d) AS w2 FROM s),
- c AS (SELECT *, w1 * cos(radians(lat1)) * cos(radians(lon1)) + w2 * cos(radians(lat2)) * cos(radians(lon2)) AS x, w1 * cos(radians(lat1)) * sin(radians(lon1)) + w2 * cos(radians(lat2)) * sin(radians(lon2)) AS y,
-  w1 * sin(radians(lat1)) + w2 * sin(radians(lat2)) AS z FROM p)
-SELECT flight_key, CAST(step AS INT) AS step, ROUND(CASE WHEN d = 0 THEN lat1 ELSE degrees(atan2(z, sqrt(x * x + y * y))) END, 4) AS lat, ROUND(CASE WHEN d = 0 THEN lon1 ELSE degrees(atan2(y, x)) END, 4) AS lon,
- CAST(trunc(CASE WHEN f < 0.15 THEN 36000 * (f / 0.15) WHEN f < 0.85 THEN 36000.0 ELSE 36000 * (1 - (f - 0.85) / (1 - 0.85::DOUBLE)) END) AS INT) AS altitude_ft FROM c""")
-def expand_tracks(d):
-    out = geo.expand_tracks(d["legs"], 8, 36000)
-    return out.select("flight_key", "step", F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"), "altitude_ft")
+    return out.select("flight_key", F.round("distance_km", 4).alias("distance_km"), F.round("bearing", 4).alias("bearing"))
+
 
 
 # ---- scalar functions --------------------------------------------------------------------------------------------------
