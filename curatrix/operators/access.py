@@ -25,8 +25,9 @@ def filter_audit(df: DataFrame, start=None, end=None, user=None, feature=None, a
     return reduce(DataFrame.filter, conds, df)
 
 
-def audit_page(df: DataFrame, skip: int = 0, limit: int = 100, **filters) -> DataFrame:
-    return filter_audit(df, **filters).orderBy(F.col("ts").desc(), F.col("id").desc()).offset(skip).limit(limit)
+def audit_page(df: DataFrame, skip: int = 0, limit: int | None = None, **filters) -> DataFrame:
+    rows = filter_audit(df, **filters).orderBy(F.col("ts").desc(), F.col("id").desc()).offset(skip)
+    return rows if limit is None else rows.limit(limit)
 
 
 def audit_count(df: DataFrame, **filters) -> DataFrame:

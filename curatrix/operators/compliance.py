@@ -123,11 +123,13 @@ def compliance_trend(runs: DataFrame, days: int, as_of) -> DataFrame:
     return calendar.join(daily, "day", "left").fillna({"score": 0.0})
 
 
-def run_results(results: DataFrame, run_id, only_failed: bool = False, limit: int = 1000) -> DataFrame:
+def run_results(results: DataFrame, run_id, only_failed: bool = False, limit: int | None = None) -> DataFrame:
     out = results.filter(F.col("run_id") == run_id)
     out = out.filter(~F.col("passed")) if only_failed else out
-    return out.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(limit)
+    out = out.orderBy(F.col("created_at").desc(), F.col("id").desc())
+    return out if limit is None else out.limit(limit)
 
 
-def recent_runs(runs: DataFrame, limit: int = 50) -> DataFrame:
-    return runs.orderBy(F.col("started_at").desc(), F.col("id").desc()).limit(limit)
+def recent_runs(runs: DataFrame, limit: int | None = None) -> DataFrame:
+    out = runs.orderBy(F.col("started_at").desc(), F.col("id").desc())
+    return out if limit is None else out.limit(limit)

@@ -56,13 +56,18 @@ def match_patterns(triples: DataFrame, patterns: list[tuple[str, str, str]], opt
     return reduce(lambda acc, p: join(acc, p, "left"), optional, out)
 
 
-def capped(df: DataFrame, order: list, max_rows: int = 1000) -> DataFrame:
+def capped(df: DataFrame, order: list, max_rows: int) -> DataFrame:
     """At most ``max_rows`` rows and whether there were more; only ``max_rows + 1`` rows leave the sort."""
     head = df.orderBy(*order).limit(max_rows + 1)
     truncated = head.agg(F.count(F.lit(1)) > max_rows).scalar()
     return head.orderBy(*order).limit(max_rows).withColumn("truncated", truncated)
 
 
+def _head(df: DataFrame, limit: int | None, *order: str) -> DataFrame:
+    """The first ``limit`` rows in order; all rows, in no order, without a limit."""
+    return df if limit is None else df.orderBy(*order).limit(limit)
+
+
 def _is_blank(c: Column) -> Column:
     return c.startswith("_:") | c.startswith(BNODE)
 
@@ -71,7 +76,7 @@ def _in_vocabulary(c: Column) -> Column:
     return reduce(lambda a, b: a | b, [c.startswith(v) for v in VOCABULARIES])
 
 
-def neighbors(triples: DataFrame, iri: str, limit: int | None = 200) -> DataFrame:
+def neighbors(triples: DataFrame, iri: str, limit: int | None = None) -> DataFrame:
     """Outgoing, incoming and as-predicate neighbours, once per (direction, predicate, display), with the node kind."""
     row = lambda d, node, uri, name: d.select(F.lit(name).alias("direction"), "predicate", node.alias("display"), uri.alias("is_uri"))
     s, o, yes, flag = F.col("subject"), F.col("object"), F.lit(True), F.col("object_is_uri")
@@ -85,7 +90,7 @@ def neighbors(triples: DataFrame, iri: str, limit: int | None = 200) -> DataFram
         triples.filter((F.col("predicate") == TYPE) & (o == RDF + "Property")).select(s.alias("display"))).distinct().withColumn("is_prop", F.lit(True))
     kind = F.when(~F.col("is_uri"), "literal").when(F.col("is_prop"), "property").otherwise("resource")
     out = out.join(props, "display", "left").select("direction", "predicate", "display", kind.alias("kind"))
-    return out if limit is None else out.orderBy("direction", "predicate", "display").limit(limit)
+    return _head(out, limit, "direction", "predicate", "display")
 
 
 def describe(triples: DataFrame, iri: str) -> DataFrame:
@@ -264,12 +269,12 @@ def collection_tree(paths: DataFrame) -> DataFrame:
 # ---- search ---------------------------------------------------------------------------------------------------------
 
 
-def prefix_search(triples: DataFrame, q: str, limit: int = 20) -> DataFrame:
+def prefix_search(triples: DataFrame, q: str, limit: int | None = None) -> DataFrame:
     """Distinct subjects and predicates that contain the text, as resource or property."""
     want = q.lower()
     res = triples.select(F.col("subject").alias("value"), F.lit("resource").alias("kind"))
     pred = triples.select(F.col("predicate").alias("value"), F.lit("property").alias("kind"))
-    return res.unionByName(pred).filter(F.lower("value").contains(want)).distinct().orderBy("value", "kind").limit(limit)
+    return _head(res.unionByName(pred).filter(F.lower("value").contains(want)).distinct(), limit, "value", "kind")
 
 
 # Types that the concept and property searches offer.
@@ -277,30 +282,30 @@ SEARCH_CLASS_TYPES = (RDFS + "Class", OWL + "Class", SKOS + "Concept", SKOS + "C
 SEARCH_PROPERTY_TYPES = (RDF + "Property", OWL + "ObjectProperty", OWL + "DatatypeProperty", OWL + "AnnotationProperty")
 
 
-def _search(triples: DataFrame, types, edge: str, q: str, limit: int) -> DataFrame:
+def _search(triples: DataFrame, types, edge: str, q: str, limit: int | None) -> DataFrame:
     subj = _typed(triples, types, (edge,)).select("subject").distinct()
     labels = triples.filter(F.col("predicate").isin(RDFS + "label", SKOS + "prefLabel")).groupBy("subject").agg(F.min("object").alias("label"))
     out = subj.join(labels, "subject", "left").filter(~_is_blank(F.col("subject")))
     if q:
         want = q.lower()
         out = out.filter(F.lower("subject").contains(want) | F.coalesce(F.lower("label").contains(want), F.lit(False)))
-    return out.select(F.col("subject").alias("iri"), F.coalesce("label", local_name(F.col("subject"))).alias("label")).orderBy("iri").limit(limit)
+    return _head(out.select(F.col("subject").alias("iri"), F.coalesce("label", local_name(F.col("subject"))).alias("label")), limit, "iri")
 
 
-def search_concepts(triples: DataFrame, q: str = "", limit: int = 50) -> DataFrame:
+def search_concepts(triples: DataFrame, q: str = "", limit: int | None = None) -> DataFrame:
     return _search(triples, SEARCH_CLASS_TYPES, RDFS + "subClassOf", q, limit)
 
 
-def search_properties(triples: DataFrame, q: str = "", limit: int = 50) -> DataFrame:
+def search_properties(triples: DataFrame, q: str = "", limit: int | None = None) -> DataFrame:
     return _search(triples, SEARCH_PROPERTY_TYPES, RDFS + "subPropertyOf", q, limit)
 
 
-def suggest_concepts(triples: DataFrame, parent_rows: DataFrame, q: str, parent_iris: list[str], limit: int = 50, max_children: int = 10) -> DataFrame:
+def suggest_concepts(triples: DataFrame, parent_rows: DataFrame, q: str, parent_iris: list[str], limit: int | None = None, max_children: int | None = None) -> DataFrame:
     """Children of the nearest given parent that has any, then the other hits."""
     order = F.array_position(F.array(*map(F.lit, parent_iris)), F.col("parent"))
     kids = parent_rows.filter(F.col("parent").isin(parent_iris)).withColumn("near", order)
     nearest = kids.agg(F.min("near")).scalar()
-    suggested = kids.filter(F.col("near") == nearest).select(F.col("child").alias("iri")).distinct().orderBy("iri").limit(max_children)
+    suggested = _head(kids.filter(F.col("near") == nearest).select(F.col("child").alias("iri")).distinct(), max_children, "iri")
     other = search_concepts(triples, q, limit).select("iri").join(suggested, "iri", "left_anti")
     return suggested.withColumn("section", F.lit("suggested")).unionByName(other.withColumn("section", F.lit("other")))
 

@@ -16,20 +16,20 @@ def relation_edges(relations: DataFrame) -> DataFrame:
     return relations.select(node_key("source_type", "source_id").alias("src"), node_key("target_type", "target_id").alias("dst"), "relationship_type").distinct()
 
 
-def business_lineage_nodes(edges: DataFrame, start: DataFrame, depth: int = 3, direction: str = "both") -> DataFrame:
-    """(root, node, depth) within ``depth`` hops of every start node (column ``root``)."""
+def business_lineage_nodes(edges: DataFrame, start: DataFrame, depth: int | None = None, direction: str = "both") -> DataFrame:
+    """(root, node, depth) within ``depth`` hops (None: all) of every start node (column ``root``)."""
     return reach(directed(edges, direction), start, depth)
 
 
-def business_lineage_edges(edges: DataFrame, nodes: DataFrame, depth: int = 3, direction: str = "both") -> DataFrame:
+def business_lineage_edges(edges: DataFrame, nodes: DataFrame, depth: int | None = None, direction: str = "both") -> DataFrame:
     """Edges that the search crossed: those leaving a node it expanded, in its direction."""
-    inner = nodes.filter(F.col("depth") < depth).select("root", F.col("node"))
+    inner = (nodes if depth is None else nodes.filter(F.col("depth") < depth)).select("root", "node")
     out = inner.join(edges, inner.node == edges.src).select("root", "src", "dst", "relationship_type")
     into = inner.join(edges, inner.node == edges.dst).select("root", "src", "dst", "relationship_type")
     return {"down": out, "up": into, "both": out.unionByName(into)}[direction].distinct()
 
 
-def table_lineage(edges: DataFrame, start: DataFrame, depth: int, externals: DataFrame | None = None) -> DataFrame:
+def table_lineage(edges: DataFrame, start: DataFrame, depth: int | None = None, externals: DataFrame | None = None) -> DataFrame:
     """Per root: nodes upstream, downstream and external, over several hops."""
     ups = reach(directed(edges, "up"), start, depth).filter("depth > 0").select("root", "node", F.lit("upstream").alias("side"), "depth")
     downs = reach(directed(edges, "down"), start, depth).filter("depth > 0").select("root", "node", F.lit("downstream").alias("side"), "depth")
@@ -54,7 +54,7 @@ def column_lineage(edges: DataFrame, column: str) -> DataFrame:
     return kept.withColumn("column_mappings", F.when(unmapped, F.col("column_mappings")).otherwise(touching))
 
 
-def impact(edges: DataFrame, start: DataFrame, nodes: DataFrame, depth: int = 10) -> DataFrame:
+def impact(edges: DataFrame, start: DataFrame, nodes: DataFrame, depth: int | None = None) -> DataFrame:
     """Assets downstream of every root with distance, kind and owner; ``nodes`` holds node, kind, owner."""
     hit = reach(directed(edges, "down"), start, depth).filter("depth > 0")
     kind = F.when(F.col("kind").isin("view", "external"), F.col("kind")).otherwise("table")
@@ -72,7 +72,7 @@ def affected_columns(edges: DataFrame, impacted: DataFrame) -> DataFrame:
     return hits.select("root", "node", F.explode("column_mappings").alias("m")).select("root", "node", F.col("m.target_column").alias("target_column")).distinct()
 
 
-def entity_hierarchy(edges: DataFrame, roots: DataFrame, relations: list[str], inverse: list[str] = (), depth: int = 5) -> DataFrame:
+def entity_hierarchy(edges: DataFrame, roots: DataFrame, relations: list[str], inverse: list[str] = (), depth: int | None = None) -> DataFrame:
     """Tree below every root over hierarchical relations: (root, node, depth, parent, relationship_type).
 
     ``inverse`` relations point from child to parent.  A node hangs under the smallest parent at the depth where it is
@@ -104,9 +104,16 @@ def resolve_parents(assets: DataFrame, parent_of: DataFrame) -> DataFrame:
     return out.select("id", *[pick(k).alias(k.lower()) for k in ("Schema", "Catalog", "System")])
 
 
-def propagate_certification(edges: DataFrame, levels: DataFrame) -> DataFrame:
-    """Inherited certification of every node downstream of a certified one: the highest level upstream of it."""
-    return propagate_max(edges, levels)
+# Relationship types along which a certification is inherited.
+INHERITING = ("hasContract", "hasOutputPort", "hasDataset", "hasAsset", "governedBy", "implementedBy", "contains", "hasColumn")
+
+
+def propagate_certification(edges: DataFrame, levels: DataFrame, relations: list[str] | None = INHERITING) -> DataFrame:
+    """Inherited certification of every node downstream of a certified one: the highest level upstream of it.
+
+    Only edges of the inheriting ``relations`` pass a level on; None stands for every edge given.
+    """
+    return propagate_max(edges if relations is None else edges.filter(F.col("relationship_type").isin(list(relations))), levels)
 
 
 def product_hierarchy(relations: DataFrame) -> DataFrame:

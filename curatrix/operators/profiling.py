@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from curatrix.operators.skew import first_per_key
-from curatrix.session import cut_lineage
 
 
 def value_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -23,11 +22,10 @@ def top_values(counts: DataFrame, k: int = 3) -> DataFrame:
     return first_per_key(counts, ["column_name"], [F.col("n").desc(), F.col("value")], k, "rank")
 
 
-def profile_columns(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -> DataFrame:
-    """Rows, nulls, null percentage and distinct count per column.
+def profile_columns(df: DataFrame, cols: list[str] | None = None, exact: bool = False) -> DataFrame:
+    """Rows, nulls, null percentage and distinct count per column, in one aggregation with HyperLogLog estimates.
 
-    Exact distinct counts come from the grouped value table (balanced for any number of columns); ``exact=False`` uses
-    the HyperLogLog estimate in the single aggregation.
+    ``exact=True`` counts distinct values by their hashes, balanced for any number of columns.
     """
     cols = cols or df.columns
     stats = [F.count(F.lit(1)).alias("_rows")] + [F.count(F.col(c)).alias(f"_nn_{i}") for i, c in enumerate(cols)]
@@ -44,37 +42,42 @@ def profile_columns(df: DataFrame, cols: list[str] | None = None, exact: bool =
     ]
     out = df.agg(*stats).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
     if exact:
-        distinct = value_counts(df, cols).groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count"))
-        out = out.join(distinct, "column_name", "left").fillna({"distinct_count": 0})
+        out = out.join(_distinct_values(df, cols), "column_name", "left").fillna({"distinct_count": 0})
     pct = F.when(F.col("row_count") == 0, 0.0).otherwise(F.round(100.0 * F.col("null_count") / F.col("row_count"), 2))
     return out.withColumn("null_pct", pct)
 
 
-def suggest_rules(df: DataFrame, fraction: float = 0.1, limit: int = 5000, seed: int = 42, max_values: int = 20) -> DataFrame:
-    """Rules proposed from a sample, status ``pending``: not null, unique, allowed values, numeric bounds.
+def _distinct_values(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Exact distinct counts of ``cols``: 128-bit value hashes travel, not the values."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.xxhash64(F.col(c).cast("string")).alias("h"), F.xxhash64(F.lit(1), F.col(c).cast("string")).alias("g"), F.col(c).isNotNull().alias("there")) for c in cols])
+    seen = df.select(F.explode(pairs).alias("p")).select("p.*").filter("there").groupBy("column_name", "h", "g").agg(F.lit(1).alias("one"))
+    return seen.groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count"))
 
-    ``fraction=1.0, limit=0`` profiles the whole table.
+
+def suggest_rules(df: DataFrame, max_values: int = 20) -> DataFrame:
+    """Rules that hold for the whole table, status ``pending``: not null, unique, allowed values, numeric bounds.
+
+    One aggregation gives nulls, bounds and estimated distinct counts of every column. Only columns whose estimate leaves a
+    rule possible are counted exactly: few values by value, about as many values as rows by value hash.
     """
-    sample = df if fraction >= 1.0 else df.sample(fraction=fraction, seed=seed)
-    if limit:
-        sample = cut_lineage(sample.limit(limit))  # the same rows for every statistic
     simple = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
-    stats = profile_columns(sample, simple)
-    few = value_counts(sample, simple).join(
-        stats.filter(F.col("distinct_count").between(1, max_values)).select("column_name"), "column_name", "left_semi")
-    allowed = few.groupBy("column_name").agg(F.array_join(F.array_sort(F.collect_set("value")), ",").alias("arguments"))
-    as_rule = lambda d, name, args: d.select("column_name", F.lit(name).alias("rule_function"), args.alias("arguments"))
-    none = F.lit(None).cast("string")
-    found = F.col("row_count") > 0
-    out = as_rule(stats.filter(found & (F.col("null_count") == 0)), "is_not_null", none)
-    out = out.unionByName(as_rule(stats.filter(found & (F.col("distinct_count") == F.col("row_count"))), "is_unique", none))
-    out = out.unionByName(as_rule(allowed, "is_in", F.col("arguments")))
-    if numeric:
-        bounds = sample.agg(*[f(F.col(c).cast("double")).alias(f"{n}_{i}") for i, c in enumerate(numeric) for n, f in (("lo", F.min), ("hi", F.max))])
-        rows = [F.struct(F.lit(c).alias("column_name"), F.concat_ws(",", F.col(f"lo_{i}"), F.col(f"hi_{i}")).alias("arguments"), F.col(f"lo_{i}").alias("lo")) for i, c in enumerate(numeric)]
-        ranges = bounds.select(F.explode(F.array(*rows)).alias("r")).select("r.*").filter("lo IS NOT NULL")
-        out = out.unionByName(as_rule(ranges, "min_max", F.col("arguments")))
+    stats = [F.count(F.lit(1)).alias("rows")] + [f(F.col(c)).alias(f"{n}_{i}") for i, c in enumerate(simple) for n, f in (("some", F.count), ("about", F.approx_count_distinct))]
+    stats += [f(F.col(c).cast("double")).alias(f"{n}_{i}") for i, c in enumerate(numeric) for n, f in (("lo", F.min), ("hi", F.max))]
+    seen = df.agg(*stats).first()  # one row
+    found = [(c, "is_not_null", None) for i, c in enumerate(simple) if seen["rows"] and seen[f"some_{i}"] == seen["rows"]]
+    found += [(c, "min_max", f"{seen[f'lo_{i}']},{seen[f'hi_{i}']}") for i, c in enumerate(numeric) if seen[f"lo_{i}"] is not None]
+    shape = "column_name string, rule_function string, arguments string"
+    out = df.sparkSession.createDataFrame(found, shape)
+    few = [c for i, c in enumerate(simple) if 0 < seen[f"about_{i}"] <= 2 * max_values]
+    many = [c for i, c in enumerate(simple) if 0 < seen[f"some_{i}"] == seen["rows"] and seen[f"about_{i}"] >= 0.8 * seen["rows"]]
+    if few:
+        values = value_counts(df, few)  # at most about 2 * max_values rows per column and task
+        kept = values.groupBy("column_name").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("value")), ",").alias("arguments"))
+        out = out.unionByName(kept.filter(F.col("n") <= max_values).select("column_name", F.lit("is_in").alias("rule_function"), "arguments"))
+    if many:
+        alone = _distinct_values(df, many).filter(F.col("distinct_count") == seen["rows"])
+        out = out.unionByName(alone.select("column_name", F.lit("is_unique").alias("rule_function"), F.lit(None).cast("string").alias("arguments")))
     return out.withColumn("status", F.lit("pending"))
 
 

@@ -24,8 +24,7 @@ class FieldConfig:
 
 def _fuzzy(v: Column, q: str) -> Column:
     letters = sorted(set(q))
-    head = F.substring(v, 1, 2 * len(q))
-    shared = sum((F.when(head.contains(c), 1).otherwise(0) for c in letters), F.lit(0))
+    shared = sum((F.when(v.contains(c), 1).otherwise(0) for c in letters), F.lit(0))
     subsequence = v.rlike("(?s)" + ".*".join(re.escape(c) for c in q))
     return F.when(v.contains(q), 0.9).when(subsequence, 0.7).when(shared / F.lit(float(len(letters))) >= 0.8, 0.5).otherwise(0.0)
 
@@ -89,7 +88,7 @@ def rank_matches(matches: DataFrame, ranking: tuple[str, ...], limit: int | None
     return out if limit is None else out.limit(limit)
 
 
-def concept_search(concepts: DataFrame, query: str, limit: int = 50) -> DataFrame:
+def concept_search(concepts: DataFrame, query: str, limit: int | None = None) -> DataFrame:
     """Score label, comment and IRI hits; best first, ties by IRI."""
     q = query.lower()
     has = lambda c: F.coalesce(F.lower(F.col(c)).contains(q), F.lit(False))
@@ -98,7 +97,8 @@ def concept_search(concepts: DataFrame, query: str, limit: int = 50) -> DataFram
     score = F.when(label, 10.0).otherwise(0.0) + F.when(exact, 20.0).otherwise(0.0) + F.when(comment, 5.0).otherwise(0.0) + F.when(iri, 3.0).otherwise(0.0)
     kind = F.when(label, "label").when(comment, "comment").when(iri, "iri")
     hits = concepts.select("iri", "label", score.alias("score"), kind.alias("match_type")).filter(F.col("score") > 0)
-    return hits.orderBy(F.col("score").desc(), "iri").limit(limit)
+    hits = hits.orderBy(F.col("score").desc(), "iri")
+    return hits if limit is None else hits.limit(limit)
 
 
 # Scope levels from the widest to the narrowest.
