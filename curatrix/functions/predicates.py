@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,8 +31,19 @@ def compare(a: Column, op: str, b) -> Column:
     return _two_valued(test)
 
 
+def regex_accepted(pattern: str) -> bool:
+    """Whether Java's engine, which runs the patterns, compiles ``pattern``; asked when the plan is built."""
+    try:
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException:
+        return False
+    return True
+
+
 def matches(c: Column, pattern: str) -> Column:
-    """Regex anchored at the start of the text only."""
+    """Regex anchored at the start of the text only; a pattern that does not compile matches nothing."""
+    if not regex_accepted(f"^(?:{pattern})"):
+        return F.lit(False)
     return _two_valued(c.cast("string").rlike(f"^(?:{pattern})"))
 
 
@@ -117,7 +129,7 @@ def name_matches(c: Column, pattern: str | None) -> Column:
     if pattern == "*":
         hit = F.lit(True)
     elif pattern.startswith("^"):
-        hit = c.rlike(pattern)
+        hit = c.rlike(pattern) if regex_accepted(pattern) else F.lit(False)
     elif "*" in pattern:
         hit = c.rlike(glob_regex(pattern))
     else:

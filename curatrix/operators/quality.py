@@ -6,7 +6,6 @@ needs its own grouping, so each unique key adds one pass.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from curatrix.functions.predicates import regex_accepted
 from curatrix.operators.skew import previous_in_order
 
 RESULT_COLUMNS = ("seq", "object_name", "check_type", "column_name", "passed", "violations_count", "message")
@@ -91,11 +91,8 @@ def text_length(col: str, min_length: int | None = None, max_length: int | None
 
 
 def valid_regex(pattern: str) -> bool:
-    try:
-        re.compile(pattern)
-        return True
-    except re.error:
-        return False
+    """Whether the engine that will run the pattern, Java's, accepts it."""
+    return regex_accepted(pattern)
 
 
 def pattern(col: str, regex: str) -> Check:
@@ -293,6 +290,7 @@ def split_score(df: DataFrame, rules: list[RowRule]) -> DataFrame:
 RULE_DIMENSIONS = {
     "is_not_null": "completeness",
     "is_not_null_or_empty": "completeness",
+    "is_null": "completeness",
     "min_max": "conformity",
     "is_in": "conformity",
     "pattern": "conformity",
@@ -308,8 +306,15 @@ def rule_dimension(function: Column) -> Column:
 
 
 def library_rule(function: str, col: str, **args) -> Column:
-    """What a good value satisfies, for the named rule function."""
+    """What a good value satisfies, for the named rule function.
+
+    ``is_unique`` counts the rows of a value in a window; ``unique_violations`` is the grouped form for large tables.
+    """
     c = F.col(col)
+    if function == "is_null":
+        return c.isNull()
+    if function == "is_unique":
+        return c.isNull() | (F.count(F.lit(1)).over(W.partitionBy(c)) == 1)
     if function == "is_not_null":
         return c.isNotNull()
     if function == "is_not_null_or_empty":
@@ -319,8 +324,14 @@ def library_rule(function: str, col: str, **args) -> Column:
     if function == "is_in":
         return c.isin(list(args["values"]))
     if function == "pattern":
-        return c.cast("string").rlike(args["regex"])
-    raise ValueError(f"no row form for {function}")
+        return c.cast("string").rlike(args["regex"]) if valid_regex(args["regex"]) else F.lit(False)
+    raise ValueError(f"unknown rule function {function}")
+
+
+def unique_violations(df: DataFrame, col: str) -> DataFrame:
+    """One row with ``violations_count``: rows whose value is not theirs alone; counted per value before the shuffle."""
+    counts = df.filter(F.col(col).isNotNull()).groupBy(F.col(col)).agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("violations_count"))
 
 
 def threshold(metric: Column, op: str, value, upper=None) -> Column:
@@ -375,8 +386,20 @@ def sequence_violations(df: DataFrame, key: str, ts: str, tie: str, event: str,
     return prev.filter(F.col("rank") <= F.col("prev_rank"))
 
 
-def volume_floor(daily: DataFrame, day: str, n: str, keys: tuple[str, ...] = (), ratio: float = 0.8, days: int = 7) -> DataFrame:
-    """Counts per day against ``ratio`` times the mean of the ``days`` days before; the first day has nothing to miss."""
+def zero_filled(counts: DataFrame, at: str, n: str, keys: tuple[str, ...] = (), step: str = "1 day") -> DataFrame:
+    """One row per key and step from the key's first to the last step of all keys; a step without a row counts 0."""
+    last = counts.agg(F.max(at)).scalar()
+    spans = counts.groupBy(*keys).agg(F.min(at).alias("_first"))
+    grid = spans.select(*keys, F.explode(F.sequence(F.col("_first"), last, F.expr(f"interval {step}"))).alias(at))
+    return grid.join(counts, [*keys, at], "left").withColumn(n, F.coalesce(F.col(n), F.lit(0).cast("long")))
+
+
+def volume_floor(daily: DataFrame, day: str, n: str, keys: tuple[str, ...] = (), ratio: float = 0.8, days: int = 7, step: str = "1 day") -> DataFrame:
+    """Counts per step against ``ratio`` times the mean of the ``days`` steps before; the first has nothing to miss.
+
+    Steps without a row are filled with 0 first, so that an outage is judged and pulls the mean down.  A key has one row
+    per step, so its window is small whatever the number of events behind it.
+    """
     w = W.partitionBy(*[F.col(k) for k in keys]).orderBy(day).rowsBetween(-days, -1)
-    out = daily.withColumn("trailing_avg", F.avg(n).over(w))
+    out = zero_filled(daily.select(*keys, day, n), day, n, keys, step).withColumn("trailing_avg", F.avg(n).over(w))
     return out.withColumn("passed", F.coalesce(F.col(n) >= ratio * F.col("trailing_avg"), F.lit(True)))

@@ -150,11 +150,11 @@ def _results(d):
 
 @query("run_results", "F26", """
 
-SELECT id, started_at AS created_at FROM {policy_runs} WHERE policy_id = 7 AND status = 'failed' ORDER BY started_at DESC, id DESC LIMIT 1000""")
+SELECT id, started_at AS created_at FROM {policy_runs} WHERE policy_id = 7 AND status = 'failed'""")
 def run_results(d):
     return co.run_results(_results(d), 7, only_failed=True).select("id", "created_at")
 
 
 @query("recent_runs", "F26", "SELECT id, policy_id, score FROM {policy_runs} ORDER BY started_at DESC, id DESC LIMIT 50")
 def recent_runs(d):
-    return co.recent_runs(d["policy_runs"]).select("id", "policy_id", "score")
+    return co.recent_runs(d["policy_runs"], 50).select("id", "policy_id", "score")

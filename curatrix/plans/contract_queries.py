@@ -100,7 +100,16 @@ _PROFILE = " UNION ALL ".join(
 
 @query("profile_columns", "DQ22", _PROFILE)
 def profile_columns(d):
-    return pf.profile_columns(d["comments"], _PROFILE_COLS)
+    return pf.profile_columns(d["comments"], _PROFILE_COLS, exact=True)
+
+
+_DOC_COLS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+@query("profile_documents", "DQ22", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, COUNT(*) AS row_count, COUNT(*) - COUNT({c}) AS null_count, COUNT(DISTINCT {c}) AS distinct_count, ROUND(100.0 * (COUNT(*) - COUNT({c})) / COUNT(*), 2)::DOUBLE AS null_pct FROM documents" for c in _DOC_COLS))
+def profile_documents(d):
+    return pf.profile_columns(d["documents"], _DOC_COLS, exact=True)
 
 
 _TOP_COLS = ["o_orderstatus", "o_orderpriority", "o_custkey"]
@@ -115,18 +124,25 @@ def top_values(d):
 _SUPPLIER = ("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
 
 
-@query("suggest_rules", "DQ23", "SELECT column_name, rule_function, arguments, 'pending' AS status FROM (" + " UNION ALL ".join(
-    [f"SELECT '{c}' AS column_name, 'is_not_null' AS rule_function, CAST(NULL AS VARCHAR) AS arguments FROM supplier HAVING COUNT({c}) = COUNT(*)" for c in _SUPPLIER]
-    + [f"SELECT '{c}', 'is_unique', NULL FROM supplier HAVING COUNT(DISTINCT {c}) = COUNT(*)" for c in _SUPPLIER]
-    + [f"SELECT '{c}', 'is_in', string_agg(DISTINCT CAST({c} AS VARCHAR), ',' ORDER BY CAST({c} AS VARCHAR)) FROM supplier HAVING COUNT(DISTINCT {c}) BETWEEN 1 AND 20" for c in _SUPPLIER]
-    + [f"SELECT '{c}', 'min_max', CAST(MIN({c})::DOUBLE AS VARCHAR) || ',' || CAST(MAX({c})::DOUBLE AS VARCHAR) FROM supplier" for c in _SUPPLIER if c != "s_name"]) + ")")
+def _suggested(table, cols, numeric):
+    return "SELECT column_name, rule_function, arguments, 'pending' AS status FROM (" + " UNION ALL ".join(
+        [f"SELECT '{c}' AS column_name, 'is_not_null' AS rule_function, CAST(NULL AS VARCHAR) AS arguments FROM {table} HAVING COUNT({c}) = COUNT(*)" for c in cols]
+        + [f"SELECT '{c}', 'is_unique', NULL FROM {table} HAVING COUNT(DISTINCT {c}) = COUNT(*)" for c in cols]
+        + [f"SELECT '{c}', 'is_in', string_agg(DISTINCT CAST({c} AS VARCHAR), ',' ORDER BY CAST({c} AS VARCHAR)) FROM {table} HAVING COUNT(DISTINCT {c}) BETWEEN 1 AND 20" for c in cols]
+        + [f"SELECT '{c}', 'min_max', CAST(MIN({c})::DOUBLE AS VARCHAR) || ',' || CAST(MAX({c})::DOUBLE AS VARCHAR) FROM {table}" for c in numeric]) + ")"
+
+
+@query("suggest_rules", "DQ23", _suggested("supplier", _SUPPLIER, [c for c in _SUPPLIER if c != "s_name"]))
 def suggest_rules(d):
-    return pf.suggest_rules(d["supplier"], fraction=1.0, limit=0)
+    return pf.suggest_rules(d["supplier"])
+
+
+_SUGGEST = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
 
 
-@query("suggest_rules_sampled", "DQ23")
-def suggest_rules_sampled(d):
-    return pf.suggest_rules(d["orders"])
+@query("suggest_rules_orders", "DQ23", _suggested("orders", _SUGGEST, _SUGGEST[:2]))
+def suggest_rules_orders(d):
+    return pf.suggest_rules(d["orders"].select(*_SUGGEST))
 
 
 @query("suggestion_counts", "DQ24", """

@@ -124,7 +124,17 @@ def resolve_parents(d):
 WITH RECURSIVE st AS (SELECT DISTINCT src, dst FROM {lineage}), r AS (SELECT node, level, false AS moved FROM {lineage_nodes} WHERE level IS NOT NULL
  UNION SELECT st.dst, r.level, true FROM r JOIN st ON st.src = r.node) SELECT node, MAX(level) AS inherited FROM r WHERE moved GROUP BY 1""")
 def propagate_certification(d):
-    return ln.propagate_certification(d["lineage"], d["lineage_nodes"].select("node", "level"))
+    return ln.propagate_certification(d["lineage"], d["lineage_nodes"].select("node", "level"), None)
+
+
+_MIXED = "SELECT src, dst, CASE WHEN length(dst) % 2 = 0 THEN 'contains' ELSE relationship_type END AS relationship_type FROM {lineage}"
+
+
+@query("inherited_certification", "GR22", f"""
+WITH RECURSIVE st AS (SELECT DISTINCT src, dst FROM ({_MIXED}) WHERE relationship_type = 'contains'), r AS (SELECT node, level, false AS moved FROM {{lineage_nodes}} WHERE level IS NOT NULL
+ UNION SELECT st.dst, r.level, true FROM r JOIN st ON st.src = r.node) SELECT node, MAX(level) AS inherited FROM r WHERE moved GROUP BY 1""")
+def inherited_certification(d):
+    return ln.propagate_certification(d.sql(_MIXED), d["lineage_nodes"].select("node", "level"))
 
 
 @query("product_hierarchy", "GR23", """
@@ -176,11 +186,11 @@ def match_patterns(d):
 
 
 @query("count_distinct_objects", "GR2", f"""
-SELECT object AS parent, COUNT(DISTINCT subject) AS n FROM {_T} WHERE predicate IN ('{RDFS}subClassOf', '{SKOS}broader') GROUP BY 1 HAVING COUNT(DISTINCT subject) > 1 ORDER BY n DESC, parent LIMIT 30""")
+SELECT object AS parent, COUNT(DISTINCT subject) AS n FROM {_T} WHERE predicate IN ('{RDFS}subClassOf', '{SKOS}broader') GROUP BY 1 HAVING COUNT(DISTINCT subject) > 1""")
 def count_distinct_objects(d):
     t = d["triples"]
     rows = kg.match_patterns(t, [("?s", RDFS + "subClassOf", "?parent")]).unionByName(kg.match_patterns(t, [("?s", SKOS + "broader", "?parent")])).distinct()
-    return rows.groupBy("parent").agg(F.countDistinct("s").alias("n")).filter("n > 1").orderBy(F.col("n").desc(), "parent").limit(30)
+    return rows.groupBy("parent").agg(F.countDistinct("s").alias("n")).filter("n > 1")
 
 
 @query("capped_triples", "GR3", f"""
@@ -200,7 +210,7 @@ SELECT direction, predicate, display, CASE WHEN NOT u THEN 'literal' WHEN displa
  UNION ALL SELECT 'predicate', predicate, subject, true FROM {_T} WHERE predicate = '{_IRI}' UNION ALL SELECT 'predicate', predicate, object, object_is_uri FROM {_T} WHERE predicate = '{_IRI}') GROUP BY 1, 2, 3)
 ORDER BY direction, predicate, display LIMIT 200""")
 def neighbors(d):
-    return kg.neighbors(d["triples"], _IRI)
+    return kg.neighbors(d["triples"], _IRI, 200)
 
 
 @query("describe_concept", "GR5", f"""
@@ -412,13 +422,13 @@ def grouped_properties(d):
 @query("prefix_search", "S5 U1", f"""
 SELECT DISTINCT value, kind FROM (SELECT subject AS value, 'resource' AS kind FROM {_T} UNION SELECT predicate, 'property' FROM {_T}) WHERE contains(lower(value), 'part/12') OR contains(lower(value), 'xyz') ORDER BY value, kind LIMIT 20""")
 def prefix_search(d):
-    return kg.prefix_search(d["triples"], "Part/12")
+    return kg.prefix_search(d["triples"], "Part/12", 20)
 
 
-def _search(types, edge, q, limit=50):
+def _search(types, edge, q, limit=None):
     return f"""SELECT s.subject AS iri, COALESCE(l.label, regexp_extract(s.subject, '[^/]*$')) AS label FROM (SELECT DISTINCT subject FROM {_T} WHERE (predicate = '{RDF}type' AND object IN ({_in(types)})) OR predicate = '{edge}') s
 LEFT JOIN (SELECT subject, MIN(object) AS label FROM {_T} WHERE predicate IN ('{RDFS}label', '{SKOS}prefLabel') GROUP BY 1) l USING (subject)
-WHERE (contains(lower(s.subject), '{q}') OR contains(lower(COALESCE(l.label, '')), '{q}')) AND NOT starts_with(s.subject, 'urn:gov:bnode:') ORDER BY iri LIMIT {limit}"""
+WHERE (contains(lower(s.subject), '{q}') OR contains(lower(COALESCE(l.label, '')), '{q}')) AND NOT starts_with(s.subject, 'urn:gov:bnode:'){f' ORDER BY iri LIMIT {limit}' if limit else ''}"""
 
 
 @query("search_concepts", "GR6 U1", _search(kg.SEARCH_CLASS_TYPES, RDFS + "subClassOf", "ring"))
@@ -435,9 +445,9 @@ _KIDS = f"(SELECT DISTINCT child AS iri FROM ({_PARENTS}) WHERE parent = 'http:/
 
 
 @query("suggest_concepts", "S6", f"""
-SELECT iri, 'suggested' AS section FROM {_KIDS} UNION ALL SELECT iri, 'other' FROM ({_search(kg.SEARCH_CLASS_TYPES, RDFS + 'subClassOf', 'red')}) WHERE iri NOT IN (SELECT iri FROM {_KIDS})""")
+SELECT iri, 'suggested' AS section FROM {_KIDS} UNION ALL SELECT iri, 'other' FROM ({_search(kg.SEARCH_CLASS_TYPES, RDFS + 'subClassOf', 'red', 50)}) WHERE iri NOT IN (SELECT iri FROM {_KIDS})""")
 def suggest_concepts(d):
-    return kg.suggest_concepts(d["triples"], kg.parents(d["triples"]), "red", ["http://x.org/none", "http://x.org/part/5", "http://x.org/part/1"])
+    return kg.suggest_concepts(d["triples"], kg.parents(d["triples"]), "red", ["http://x.org/none", "http://x.org/part/5", "http://x.org/part/1"], 50, 10)
 
 
 @query("hierarchy_paths", "GR26", f"""

@@ -191,14 +191,17 @@ SELECT 'is_not_null' AS rule_function, 'completeness' AS dimension, COUNT(*) FIL
 UNION ALL SELECT 'is_not_null_or_empty', 'completeness', COUNT(*) FILTER (audience_csv IS NULL OR trim(audience_csv) = '') FROM {comments}
 UNION ALL SELECT 'min_max', 'conformity', COUNT(*) FILTER (id NOT BETWEEN 10 AND 500) FROM {comments}
 UNION ALL SELECT 'is_in', 'conformity', COUNT(*) FILTER (status <> 'active') FROM {comments}
-UNION ALL SELECT 'pattern', 'conformity', COUNT(*) FILTER (NOT regexp_matches(status, '^act')) FROM {comments}""")
+UNION ALL SELECT 'pattern', 'conformity', COUNT(*) FILTER (NOT regexp_matches(status, '^act')) FROM {comments}
+UNION ALL SELECT 'is_null', 'completeness', COUNT(audience_csv) FROM {comments}
+UNION ALL SELECT 'is_unique', 'uniqueness', COALESCE(SUM(n), 0)::BIGINT FROM (SELECT COUNT(*) AS n FROM {comments} WHERE project_id IS NOT NULL GROUP BY project_id HAVING COUNT(*) > 1)""")
 def rule_library(d):
     specs = [
         ("is_not_null", "project_id", {}), ("is_not_null_or_empty", "audience_csv", {}),
-        ("min_max", "id", {"min": 10, "max": 500}), ("is_in", "status", {"values": ["active"]}), ("pattern", "status", {"regex": "^act"}),
+        ("min_max", "id", {"min": 10, "max": 500}), ("is_in", "status", {"values": ["active"]}), ("pattern", "status", {"regex": "^act"}), ("is_null", "audience_csv", {}),
     ]
     checks = [q.Check(fn, col, ~F.coalesce(q.library_rule(fn, col, **args), F.lit(True))) for fn, col, args in specs]
-    out = q.run_checks(d["comments"], checks, "comments")
+    counted = q.run_checks(d["comments"], checks, "comments").select("check_type", "violations_count")
+    out = counted.unionByName(q.unique_violations(d["comments"], "project_id").withColumn("check_type", F.lit("is_unique")))
     return out.select(
         F.col("check_type").alias("rule_function"), q.rule_dimension(F.col("check_type")).alias("dimension"),
         F.col("violations_count").alias("violations"))
@@ -263,11 +266,14 @@ def sequence_check(d):
 
 
 @query("volume_floor", "DQ16 W6", """
+WITH c AS (SELECT event_type, CAST(ts AS DATE) AS day, COUNT(*) AS n FROM events WHERE day(ts) % 9 <> 4 GROUP BY 1, 2),
+ g AS (SELECT event_type, CAST(unnest(generate_series(MIN(day), (SELECT MAX(day) FROM c), INTERVAL 1 DAY)) AS DATE) AS day FROM c GROUP BY 1)
 SELECT event_type, day, n, ROUND(trailing_avg, 6) AS trailing_avg, COALESCE(n >= 0.8 * trailing_avg, true) AS passed FROM (
  SELECT *, AVG(n) OVER (PARTITION BY event_type ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS trailing_avg FROM (
-  SELECT event_type, CAST(ts AS DATE) AS day, COUNT(*) AS n FROM events GROUP BY 1, 2))""")
+  SELECT event_type, day, COALESCE(n, 0)::BIGINT AS n FROM g LEFT JOIN c USING (event_type, day)))""")
 def volume_floor(d):
-    daily = d["events"].groupBy("event_type", F.col("ts").cast("date").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    events = d["events"].filter(F.dayofmonth("ts") % 9 != 4)  # days without any event
+    daily = events.groupBy("event_type", F.col("ts").cast("date").alias("day")).agg(F.count(F.lit(1)).alias("n"))
     return q.volume_floor(daily, "day", "n", ("event_type",)).withColumn("trailing_avg", F.round("trailing_avg", 6))
 
 

@@ -21,7 +21,7 @@ def _quality(col, q, match):
         s = f"CASE WHEN starts_with({v}, '{q}') THEN 1.0 WHEN contains({v}, ' {q}') THEN 0.9 WHEN contains({v}, '{q}') THEN 0.8 ELSE 0.0 END"
     else:
         letters = sorted(set(q))
-        shared = " + ".join(f"CASE WHEN contains(substr({v}, 1, {2 * len(q)}), '{c}') THEN 1 ELSE 0 END" for c in letters)
+        shared = " + ".join(f"CASE WHEN contains({v}, '{c}') THEN 1 ELSE 0 END" for c in letters)
         s = f"CASE WHEN contains({v}, '{q}') THEN 0.9 WHEN {v} LIKE '%{'%'.join(q)}%' THEN 0.7 WHEN ({shared})::DOUBLE / {len(letters)} >= 0.8 THEN 0.5 ELSE 0.0 END"
     return f"CASE WHEN length({col}) > 0 THEN {s} ELSE 0.0 END::DOUBLE"
 
@@ -71,7 +71,7 @@ SELECT iri, label, score, match_type FROM (SELECT iri, label, CASE WHEN contains
   CASE WHEN contains(lower(label), 'small') THEN 'label' WHEN contains(lower(comment), 'small') THEN 'comment' ELSE 'iri' END AS match_type FROM ({_CONCEPTS}))
 WHERE score > 0 ORDER BY score DESC, iri LIMIT 50""")
 def concept_search(d):
-    return se.concept_search(d.sql(_CONCEPTS), "Small")
+    return se.concept_search(d.sql(_CONCEPTS), "Small", 50)
 
 
 _COLL = """SELECT c_custkey AS iri, c_name AS label, CASE c_nationkey % 8 WHEN 0 THEN 'enterprise' WHEN 1 THEN 'domain' WHEN 2 THEN 'department' WHEN 3 THEN 'team' WHEN 4 THEN 'project' WHEN 5 THEN 'external'

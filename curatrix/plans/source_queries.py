@@ -112,7 +112,7 @@ def read_contract_json(d):
     return co.contract_properties(co.read_contract_json(d.spark, path, multiline=False))
 
 
-@query("safe_sql", "UD5", "SELECT o_orderpriority, COUNT(*) AS n, ROUND(SUM(o_totalprice), 2) AS total FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
+@query("safe_sql", "UD5", "SELECT o_orderpriority, COUNT(*) AS n, ROUND(SUM(o_totalprice), 2) AS total, false AS truncated FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
 def safe_sql_query(d):
     return safe_sql(d.spark, "SELECT o_orderpriority, COUNT(*) AS n, ROUND(SUM(o_totalprice), 2) AS total FROM {orders} WHERE o_orderstatus = 'F' GROUP BY 1", orders=d["orders"])
 
@@ -176,7 +176,9 @@ def event_volume_sliding(d):
 
 
 @query("volume_drop_alert", "ST4", f"""
-SELECT window_start, event_type, n, ROUND(trailing_avg, 6) AS trailing_avg FROM (SELECT *, AVG(n) OVER (PARTITION BY event_type ORDER BY window_start ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS trailing_avg FROM ({_HOURLY})) WHERE n < 0.6 * trailing_avg""")
+WITH c AS ({_HOURLY}), g AS (SELECT event_type, unnest(generate_series(MIN(window_start), (SELECT MAX(window_start) FROM c), INTERVAL 1 HOUR)) AS window_start FROM c GROUP BY 1),
+ f AS (SELECT event_type, window_start, COALESCE(n, 0)::BIGINT AS n FROM g LEFT JOIN c USING (event_type, window_start))
+SELECT window_start, event_type, n, ROUND(trailing_avg, 6) AS trailing_avg FROM (SELECT *, AVG(n) OVER (PARTITION BY event_type ORDER BY window_start ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS trailing_avg FROM f) WHERE n < 0.6 * trailing_avg""")
 def volume_drop_alert(d):
     base = new_shared_path(d.spark, "alerts")
     _done(st.volume_drop_alert(st.event_volume(_stream(d), "ts", "event_type"), "event_type", base))

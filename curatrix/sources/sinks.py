@@ -2,27 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from curatrix.operators.quality import summarize_run
 
 
-def materialize(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
-    """Replace the table at ``path``; an empty frame is SKIPPED and leaves it alone."""
-    if df.isEmpty():
-        return "SKIPPED"
-    writer = df.write.mode("overwrite")
+def _written(df: DataFrame, path: str, partition_by: list[str] | None = None) -> int:
+    """Write once and count the rows on the way."""
+    seen = Observation()
+    writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return "WRITTEN"
+    return seen.get["rows"]
+
+
+def _settle(spark: SparkSession, staged: str, path: str | None) -> None:
+    """Put a finished folder in the place of ``path``, or take it away."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    source = hadoop.Path(staged)
+    files = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    if path is None:
+        files.delete(source, True)
+        return
+    target = hadoop.Path(path)
+    files.delete(target, True)
+    if not files.rename(source, target):
+        raise OSError(f"{staged} could not be renamed to {path}")
+
+
+def materialize(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
+    """Replace the table at ``path``; an empty frame is SKIPPED and leaves it alone.
+
+    The plan runs once, into a new folder beside ``path`` that takes its place if rows were counted on the way.
+    """
+    staged = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    rows = _written(df, staged, partition_by)
+    _settle(df.sparkSession, staged, path if rows else None)
+    return "WRITTEN" if rows else "SKIPPED"
 
 
-def materialize_table(df: DataFrame, name: str) -> str:
-    """The same for a catalog table."""
-    if df.isEmpty():
-        return "SKIPPED"
-    df.write.mode("overwrite").saveAsTable(name)
-    return "WRITTEN"
+def materialize_table(df: DataFrame, name: str, staging: str) -> str:
+    """The same for a catalog table; ``staging`` is a folder all executors share."""
+    staged = f"{staging.rstrip('/')}/{uuid.uuid4().hex}"
+    rows = _written(df, staged)
+    if rows:
+        df.sparkSession.read.schema(df.schema).parquet(staged).write.mode("overwrite").saveAsTable(name)
+    _settle(df.sparkSession, staged, None)
+    return "WRITTEN" if rows else "SKIPPED"
 
 
 def copy_table(spark: SparkSession, src: str, dst: str) -> None:
@@ -30,19 +58,24 @@ def copy_table(spark: SparkSession, src: str, dst: str) -> None:
     spark.read.parquet(src).write.mode("overwrite").parquet(dst)
 
 
+def _replace_run(df: DataFrame, path: str, key: str) -> int:
+    """Write the partition of one run, in place of what the same run wrote before; rows of other runs stay."""
+    seen = Observation()
+    out = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+    return seen.get["rows"]
+
+
 def write_quarantine(bad: DataFrame, table_path: str, pipeline_id: str, validated_at) -> str | None:
-    """Append bad rows to ``<table>_quarantine`` with when and by whom; no bad rows, no table."""
-    if bad.isEmpty():
-        return None
+    """Bad rows to ``<table>_quarantine`` with when and by whom, one partition per pipeline run; None without bad rows."""
     path = table_path.rstrip("/") + "_quarantine"
     marked = bad.withColumn("_validated_at", F.lit(validated_at).cast("timestamp_ntz")).withColumn("_pipeline_id", F.lit(pipeline_id))
-    marked.write.mode("append").parquet(path)
-    return path
+    return path if _replace_run(marked, path, "_pipeline_id") else None
 
 
 def write_results(results: DataFrame, path: str, run_id: str, at) -> None:
-    """Append check results and the run row in two writes, never row by row."""
-    stamp = lambda df: df.withColumn("run_id", F.lit(run_id)).withColumn("recorded_at", F.lit(at).cast("timestamp_ntz"))
-    stamp(results).write.mode("append").parquet(f"{path}/results")
+    """Check results and the run row in two writes, never row by row; a run that is written again replaces itself."""
+    stamp = lambda df: df.withColumn("recorded_at", F.lit(at).cast("timestamp_ntz")).withColumn("run_id", F.lit(run_id))
+    _replace_run(stamp(results), f"{path}/results", "run_id")
     rows = results.sparkSession.read.parquet(f"{path}/results").filter(F.col("run_id") == run_id)
-    stamp(summarize_run(rows, ("run_id",)).drop("run_id")).write.mode("append").parquet(f"{path}/runs")
+    _replace_run(stamp(summarize_run(rows, ("run_id",)).drop("run_id")), f"{path}/runs", "run_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Public vocabulary terms.
@@ -24,23 +24,52 @@ LINK_CONTEXT = "urn:semantic-links"
 COLUMNS = ("subject", "predicate", "object", "object_is_uri", "language", "datatype", "context")
 
 _TERM = r'(<[^>]*>|_:\S+)'
-_LINE = r'^\s*' + _TERM + r'\s+<([^>]*)>\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)\s*\.\s*$'
+_LINE = r'^\s*' + _TERM + r'\s+<([^>]*)>\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)\s*\.\s*(?:#.*)?$'
+
+
+# Letters after a backslash.
+ESCAPES = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
+_ESCAPE = r"\\(?:u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|.)"
+
+
+def unescaped(body: Column) -> Column:
+    """Escapes decoded in one pass from left to right, so that an escaped backslash never starts another escape."""
+    short = F.create_map(*[F.lit(x) for kv in ESCAPES.items() for x in kv])
+
+    def one(mark: Column) -> Column:
+        letter = F.substring(mark, 2, 1)
+        code = F.conv(F.substr(mark, F.lit(3)), 16, 10).cast("int")
+        point = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(letter.isin("u", "U") & (F.length(mark) > 2), point).otherwise(F.coalesce(F.try_element_at(short, letter), mark))
+
+    marks = F.transform(F.regexp_extract_all(body, F.lit("(?s)" + _ESCAPE), F.lit(0)), one)
+    plain = F.split(body, "(?s)" + _ESCAPE, -1)
+    return F.when(body.contains("\\"), F.array_join(F.flatten(F.zip_with(plain, marks, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")).otherwise(body)
 
 
 def parse_ntriples(lines: DataFrame, context: str, value: str = "value") -> DataFrame:
-    """N-Triples lines as triples; blank nodes become IRIs that are unique to the context; other lines are skipped."""
+    """N-Triples lines as triples; blank nodes become IRIs that are unique to the context.
+
+    Blank lines and comments hold nothing; other lines that are no triple are listed by ``rejected_ntriples``.
+    """
     text = F.col(value)
     s, p, o = (F.regexp_extract(text, _LINE, i) for i in (1, 2, 3))
-    resource = lambda t: F.when(t.startswith("_:"), F.concat(F.lit(f"{BNODE}{context}:"), F.substring(t, 3, 1_000_000))).otherwise(F.regexp_extract(t, "^<(.*)>$", 1))
+    resource = lambda t: F.when(t.startswith("_:"), F.concat(F.lit(f"{BNODE}{context}:"), F.substr(t, F.lit(3)))).otherwise(F.regexp_extract(t, "^<(.*)>$", 1))
     is_uri = ~o.startswith('"')
     body = F.regexp_extract(o, r'^"((?:[^"\\]|\\.)*)"', 1)
-    plain = F.replace(F.replace(F.replace(F.replace(body, F.lit('\\n'), F.lit("\n")), F.lit('\\t'), F.lit("\t")), F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\"))
+    plain = unescaped(body)
     tail = lambda pat: F.nullif(F.regexp_extract(o, pat, 1), F.lit(""))
     return lines.filter(text.rlike(_LINE)).select(
         resource(s).alias("subject"), p.alias("predicate"), F.when(is_uri, resource(o)).otherwise(plain).alias("object"), is_uri.alias("object_is_uri"),
         F.when(~is_uri, tail(r'"@([A-Za-z0-9-]+)$')).alias("language"), F.when(~is_uri, tail(r'"\^\^<([^>]*)>$')).alias("datatype"), F.lit(context).alias("context"))
 
 
+def rejected_ntriples(lines: DataFrame, value: str = "value") -> DataFrame:
+    """The lines that ``parse_ntriples`` could not read, without blank lines and comments."""
+    text = F.coalesce(F.col(value), F.lit(""))
+    return lines.filter(~text.rlike(_LINE) & ~text.rlike(r"^\s*(#.*)?$"))
+
+
 def read_ntriples(spark, path: str, context: str) -> DataFrame:
     return parse_ntriples(spark.read.text(path), context)
 

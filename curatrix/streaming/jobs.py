@@ -70,15 +70,23 @@ def event_volume(stream: DataFrame, ts: str, kind: str, width: str = "1 hour", s
     return counts.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), F.col("w.end").cast("timestamp_ntz").alias("window_end"), kind, "n")
 
 
-def volume_drop_alert(volume: DataFrame, kind: str, base: str, ratio: float = 0.6, windows: int = 7, trigger: dict | None = None) -> StreamingQuery:
-    """Closed windows are stored; a window below ``ratio`` times the mean of the windows before it is an alert."""
+def volume_drop_alert(volume: DataFrame, kind: str, base: str, ratio: float = 0.6, windows: int = 7, width: str = "1 hour", trigger: dict | None = None) -> StreamingQuery:
+    """Closed windows are stored; a window below ``ratio`` times the mean of the ``windows`` before it is an alert.
+
+    Windows without any event count 0, from a type's first window to the last closed one of all types. Each batch judges the
+    windows that closed since the one before, and reads only these and the ``windows`` before them.
+    """
     spark = volume.sparkSession
 
     def batch(df: DataFrame, batch_id: int) -> None:
         put(df, f"{base}/volume", batch_id)
         known = spark.read.parquet(f"{base}/volume")
-        judged = volume_floor(known, "window_start", "n", (kind,), ratio, windows)
-        put(judged.filter((F.col("batch") == batch_id) & ~F.col("passed")).drop("batch"), f"{base}/alerts", batch_id)
+        judged_to = known.filter(F.col("batch") < batch_id).agg(F.max("window_start")).first()[0]
+        if judged_to is not None:
+            known = known.filter(F.col("window_start") >= F.lit(judged_to) - F.expr(f"{windows} * interval {width}"))
+        judged = volume_floor(known.select(kind, "window_start", "n"), "window_start", "n", (kind,), ratio, windows, width)
+        fresh = judged if judged_to is None else judged.filter(F.col("window_start") > F.lit(judged_to))
+        put(fresh.filter(~F.col("passed")), f"{base}/alerts", batch_id)
 
     return run(volume, base, batch, trigger=trigger)
 

@@ -72,6 +72,13 @@ def test_ntriples_literals_and_blank_nodes(spark):
         ("http://x/a", "5", False, None, "http://www.w3.org/2001/XMLSchema#integer"), ("http://x/a", "Haus", False, "de-AT", None)}
 
 
+def test_ntriples_escapes_comments_and_rejects(spark):
+    lines = [r'<a> <p> "x\\ny" .', r'<a> <q> "tab\tcr\r\u00e9\U0001F600" . # a note', "<a> <p> broken .", "  # only a comment", "", None]
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    assert {r.predicate: r.object for r in tr.parse_ntriples(df, "urn:g").collect()} == {"p": "x\\ny", "q": "tab\tcr\r\u00e9\U0001f600"}
+    assert [r.value for r in tr.rejected_ntriples(df).collect()] == ["<a> <p> broken ."]
+
+
 def test_loading_triples_twice_changes_nothing(spark):
     t = tr.parse_ntriples(spark.createDataFrame([('<a> <p> "x" .',), ('<a> <p> "x" .',), ("<a> <p> <b> .",)], "value string"), "urn:g")
     once = tr.load_triples(t.limit(0), t)

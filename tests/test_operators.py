@@ -9,6 +9,7 @@ from curatrix.operators import access as ac
 from curatrix.operators import compliance as co
 from curatrix.operators import contracts as ct
 from curatrix.operators import linking as lk
+from curatrix.operators import quality as q
 from curatrix.operators import search as se
 from curatrix.operators import summaries as sm
 from curatrix.operators import tagging as tg
@@ -130,15 +131,48 @@ def test_quarantine_only_when_there_are_bad_rows(spark):
     df = spark.createDataFrame([(1,)], "a int")
     assert sk.write_quarantine(df.limit(0), path, "p", datetime(2024, 1, 1)) is None
     assert spark.read.parquet(sk.write_quarantine(df, path, "p", datetime(2024, 1, 1))).count() == 1
-    assert sk.materialize(df.limit(0), path) == "SKIPPED"
+    assert spark.read.parquet(sk.write_quarantine(df, path, "p", datetime(2024, 1, 2))).count() == 1  # the run again
+    assert spark.read.parquet(sk.write_quarantine(df, path, "q", datetime(2024, 1, 2))).count() == 2
+    assert sk.materialize(df, path) == "WRITTEN" and sk.materialize(df.limit(0), path) == "SKIPPED"
+    assert spark.read.parquet(path).count() == 1
+
+
+def test_a_run_written_twice_counts_once(spark):
+    path = new_shared_path(spark, "results")
+    results = q.run_checks(spark.range(5), [q.value_range("id", maximum=3)], "t")
+    for run in ("r1", "r1", "r2"):
+        sk.write_results(results, path, run, datetime(2024, 1, 1))
+    assert spark.read.parquet(f"{path}/results").count() == 2 and spark.read.parquet(f"{path}/runs").count() == 2
+
+
+def test_table_by_catalog_name(spark):
+    assert sk.materialize_table(spark.range(3), "by_name", new_shared_path(spark, "staged")) == "WRITTEN"
+    assert tb.read_table(spark, "by_name", "spark_catalog", "default").count() == 3
+    assert tb.read_table(spark, "default.by_name", "spark_catalog", "default").count() == 3
+    assert tb.read_table(spark, "spark_catalog.default.by_name", "x", "y").count() == 3
+    spark.sql("DROP TABLE by_name")
 
 
 @pytest.mark.parametrize("text", [
-    "DROP TABLE x", "SELECT 1; DELETE FROM x", "SELECT * FROM a -- x", "INSERT INTO t VALUES (1)", "EXPLAIN SELECT 1", "SELECT /* x */ 1", "CALL p()", "SET a=1", "SELECT 1 " + "x" * 10_001])
-def test_unsafe_sql_is_refused(text):
+    "DROP TABLE x", "SELECT 1; DELETE FROM t", "SELECT * FROM other", "INSERT INTO t VALUES (1)", "EXPLAIN SELECT 1", "CALL p()", "SET a=1", "SHOW TABLES", "CREATE VIEW v AS SELECT 1", "not sql",
+    "SELECT java_method('java.lang.System', 'getProperty', 'user.home')", "SELECT reflect('java.lang.System', 'getenv', 'HOME') FROM t", "SELECT * FROM parquet.`/tmp/x`", "SELECT * FROM text.`/etc/passwd`",
+    "SELECT id FROM t WHERE id IN (SELECT id FROM secret)", "SELECT (SELECT max(id) FROM secret) FROM t", "WITH a AS (SELECT * FROM secret) SELECT * FROM a", "SELECT * FROM t JOIN LATERAL (SELECT * FROM secret)",
+    "SELECT transform(array(1), x -> reflect('java.lang.System', 'getenv', 'HOME'))", "SELECT * FROM range(5)", "SELECT input_file_name() FROM t"])
+def test_unsafe_sql_is_refused(spark, text):
     with pytest.raises(UnsafeSql):
-        check_sql(text)
+        check_sql(spark, text, {"t"})
 
 
-def test_safe_sql_limits_rows(spark):
-    assert safe_sql(spark, "WITH a AS (SELECT * FROM {t}) SELECT id FROM a WHERE 'update' <> 'drop'", 5, t=spark.range(50)).count() == 5
+@pytest.mark.parametrize("text", [
+    "SELECT 'a -- b' AS x FROM t", "SELECT 'set aside' FROM t", "SELECT 'please DROP by' -- a comment", "WITH a AS (SELECT id FROM t), b AS (SELECT * FROM a) SELECT count(*) FROM b JOIN a USING (id) GROUP BY id HAVING count(*) > 0 ORDER BY 1",
+    "SELECT id, row_number() OVER (PARTITION BY id ORDER BY id) FROM t WHERE EXISTS (SELECT 1 FROM t u WHERE u.id = t.id)", "SELECT e FROM t LATERAL VIEW explode(sequence(1, 3)) x AS e", "SELECT * FROM (VALUES (1), (2)) v(a) UNION ALL SELECT id FROM t"])
+def test_plain_queries_are_accepted(spark, text):
+    check_sql(spark, text, {"t"})
+
+
+def test_safe_sql_limits_rows_and_says_so(spark):
+    text = "WITH a AS (SELECT * FROM {t}) SELECT id FROM a WHERE 'update' <> 'drop'"
+    rows = safe_sql(spark, text, 5, t=spark.range(50)).collect()
+    assert len(rows) == 5 and all(r.truncated for r in rows)
+    assert not any(r.truncated for r in safe_sql(spark, text, 50, t=spark.range(50)).collect())
+    assert safe_sql(spark, text, t=spark.range(50)).count() == 50
