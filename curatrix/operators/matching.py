@@ -118,13 +118,56 @@ def block_pairs(master: DataFrame, source: DataFrame, blocks: list[tuple[tuple[s
 
 
 def rule_blocks(rules: list[MatchRule], threshold: float) -> list[tuple[tuple[str, Column], ...]]:
-    """Exact blocks for ``block_pairs`` from the rules; text rules alone must not be able to reach the threshold."""
-    groups = minimal_blocks(rules, threshold)
-    if () in groups:
-        raise ValueError("text rules alone reach the threshold: pass block keys")
+    """Exact blocks for ``block_pairs`` from the rules; ``text_pairs`` finds the pairs that text rules reach alone."""
+    groups = [g for g in minimal_blocks(rules, threshold) if g]
     return [tuple((f"{r.name}_{f}", normalized(f, F.col(f))) for r in group for f in r.fields) for group in groups]
 
 
+def text_floor(rules: list[MatchRule], threshold: float) -> float | None:
+    """The ratio that at least one text rule must have in a pair without any agreeing deterministic rule; None if no such pair matches."""
+    weight = sum(r.weight for r in rules if not r.deterministic)
+    need = threshold * sum(r.weight for r in rules)
+    return None if weight <= 0 or need > weight + EPS else (need - EPS) / weight
+
+
+def _edits(floor: float, left: Column, right: Column) -> Column:
+    """Edits that two texts of these lengths may differ by and still have a Levenshtein ratio of ``floor``."""
+    return F.floor((1 - floor) * F.greatest(left, right) + 1e-6).cast("int")
+
+
+def text_pairs(master: DataFrame, source: DataFrame, field: str, floor: float) -> DataFrame:
+    """(m_profile, s_profile) of every pair whose ``field`` may have a Levenshtein ratio of ``floor``; none is missed.
+
+    Texts that differ by k edits share one of k + 1 pieces of the first, moved by at most k places. So a master text is cut
+    into k + 1 pieces for each length a partner can have, a source text gives its substrings at the places these pieces can
+    have moved to, and an equi join on (lengths, piece number, piece) brings them together.
+    """
+    low, high = F.lit(floor), F.lit(1 / floor)
+
+    def lengths(df: DataFrame, name: str) -> DataFrame:
+        text = df.filter(F.length(field) > 0).select(F.col("profile").alias(f"{name}_profile"), F.lower(field).alias("text"))
+        text = text.withColumn("own", F.length("text"))
+        near = F.sequence(F.greatest(F.ceil(F.col("own") * low - 1e-6), F.lit(1)).cast("int"), F.floor(F.col("own") * high + 1e-6).cast("int"))
+        return text.select("*", F.explode(near).alias("other"))
+
+    def piece(i: Column, length: Column, k: Column) -> tuple[Column, Column]:
+        """Start (from 0) and length of piece ``i`` of ``k + 1`` pieces of about equal length."""
+        start = F.floor(i * length / (k + 1)).cast("int")
+        return start, F.floor((i + 1) * length / (k + 1)).cast("int") - start
+
+    m = lengths(master, "m").withColumn("k", _edits(floor, F.col("own"), F.col("other"))).select("*", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"))
+    at, size = piece(F.col("i"), F.col("own"), F.col("k"))
+    m = m.select("m_profile", F.col("own").alias("m_len"), F.col("other").alias("s_len"), "i", F.substring(F.col("text"), at + 1, size).alias("piece"))
+
+    s = lengths(source, "s").withColumn("k", _edits(floor, F.col("own"), F.col("other"))).select("*", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"))
+    at, size = piece(F.col("i"), F.col("other"), F.col("k"))
+    last = F.col("own") - F.col("size")
+    s = s.withColumn("at", at).withColumn("size", size).filter(last >= 0)
+    s = s.select("*", F.explode(F.sequence(F.greatest(F.col("at") - F.col("k"), F.lit(0)), F.greatest(F.least(F.col("at") + F.col("k"), last), F.greatest(F.col("at") - F.col("k"), F.lit(0))))).alias("p"))
+    s = s.select("s_profile", F.col("other").alias("m_len"), F.col("own").alias("s_len"), "i", F.substring(F.col("text"), F.col("p") + 1, F.col("size")).alias("piece")).distinct()
+    return salted_join(s, m, ["m_len", "s_len", "i", "piece"]).select("m_profile", "s_profile").distinct()
+
+
 def score_deterministic(rule: MatchRule) -> Column:
     return F.when(_rule_agrees(rule), F.lit(float(rule.weight))).otherwise(0.0)
 
@@ -153,8 +196,40 @@ def find_matches(master: DataFrame, source: DataFrame, rules: list[MatchRule], b
     """Pairs of profiles that reach the lowest rule threshold; ``master`` and ``source`` come from ``profiles``."""
     used = applicable(rules, master.columns)
     threshold = min_threshold(rules)
-    pairs = block_pairs(master, source, blocks or rule_blocks(used, threshold))
-    return with_confidence(pairs, used).filter(F.col("confidence") >= threshold - EPS)
+    keys = blocks or rule_blocks(used, threshold)
+    pairs = [block_pairs(master, source, keys)] if keys else []
+    floor = None if blocks else text_floor(used, threshold)
+    if floor is not None:
+        text = [r for r in used if not r.deterministic]
+        if any(r.algorithm != "ratio" for r in text):
+            raise ValueError("text rules reach the threshold alone: pass block keys, only the ratio bounds its candidates")
+        near = reduce(DataFrame.unionByName, [text_pairs(master, source, r.fields[0], floor) for r in text]).distinct()
+        sides = [df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns]) for p, df in (("m", master), ("s", source))]
+        pairs.append(near.join(sides[0], "m_profile").join(sides[1], "s_profile"))
+    if not pairs:
+        raise ValueError("no rule can reach the threshold")
+    both = reduce(DataFrame.unionByName, pairs)
+    both = both.dropDuplicates(["m_profile", "s_profile"]) if len(pairs) > 1 else both
+    return with_confidence(both, used).filter(F.col("confidence") >= threshold - EPS)
+
+
+def with_master_columns(source: DataFrame, mapping: dict[str, str], columns: list[str]) -> DataFrame:
+    """``source`` under the master's column names; ``mapping`` goes from source to master names.
+
+    Columns that are named alike need no entry, case does not matter, and what the source lacks is NULL.
+    """
+    own = {c.lower(): c for c in source.columns}
+    back = {v.lower(): own[k.lower()] for k, v in mapping.items() if k.lower() in own}
+    pick = lambda c: back.get(c.lower(), own.get(c.lower()))
+    return source.select(*[(F.col(pick(c)) if pick(c) else F.lit(None).cast("string")).alias(c) for c in columns])
+
+
+def pair_candidates(matches: DataFrame, master: DataFrame, source: DataFrame, master_members: DataFrame, source_members: DataFrame, ident: str) -> DataFrame:
+    """One pending candidate for every pair of records behind the matches, with both records as JSON."""
+    record = lambda df, name: df.select(F.col(ident).alias(f"{name}_id"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias(f"{name}_record"))
+    pairs = expand_matches(matches, master_members, source_members)
+    rows = pairs.join(record(master, "master"), "master_id").join(record(source, "source"), "source_id")
+    return rows.select("source_id", "master_id", "confidence", match_type(F.col("confidence")).alias("match_type"), "matched_rules", "master_record", "source_record", F.lit("pending").alias("status"))
 
 
 def best_candidates(matches: DataFrame, source_members: DataFrame) -> DataFrame:

@@ -50,6 +50,46 @@ def match_profiles(d):
         F.round("confidence", 6).alias("confidence"), F.array_join("matched_rules", ",").alias("matched_rules"))
 
 
+@query("match_mapped_columns", "ER1 ER2", f"SELECT master_id, source_id, ROUND(conf, 6) AS confidence, matched_rules FROM ({_PAIRS})")
+def match_mapped_columns(d):
+    """The same matches from a source whose columns have names of their own."""
+    foreign = d["mdm_source"].select("id", F.col("customer_name").alias("Full_Name"), F.col("email").alias("mail"), "phone")
+    source = mt.with_master_columns(foreign, {"full_name": "customer_name", "MAIL": "email"}, ["id", *FIELDS])
+    m, _ = mt.profiles(d["mdm_master"], FIELDS, "id")
+    s, _ = mt.profiles(source, FIELDS, "id")
+    out = mt.find_matches(m, s, RULES)
+    return out.select(F.col("m_first_id").alias("master_id"), F.col("s_first_id").alias("source_id"), F.round("confidence", 6).alias("confidence"), F.array_join("matched_rules", ",").alias("matched_rules"))
+
+
+_TEXT = "1 - levenshtein(lower(m.p_name), lower(s.p_name))::DOUBLE / greatest(length(m.p_name), length(s.p_name))"
+
+
+@query("match_text_only", "ER1 ER3", f"""
+SELECT m.p_name AS m_name, s.p_name AS s_name, ROUND({_TEXT}, 6) AS confidence FROM (SELECT DISTINCT p_name FROM part) m,
+ (SELECT DISTINCT replace(p_name, 'e', 'a') AS p_name FROM part) s WHERE {_TEXT} >= 0.75 - 1e-9""")
+def match_text_only(d):
+    """A rule set of one text rule: every pair that the comparison of all with all finds."""
+    names = d["part"].select(F.col("p_partkey").alias("id"), "p_name")
+    m, _ = mt.profiles(names, ["p_name"], "id")
+    s, _ = mt.profiles(names.withColumn("p_name", F.replace("p_name", F.lit("e"), F.lit("a"))), ["p_name"], "id")
+    out = mt.find_matches(m, s, [MatchRule("name", "fuzzy", ("p_name",), 1.0, 0.75)])
+    return out.select(F.col("m_p_name").alias("m_name"), F.col("s_p_name").alias("s_name"), F.round("confidence", 6).alias("confidence"))
+
+
+_JSON = "to_json({{'id': {a}.id, 'customer_name': {a}.customer_name, 'email': {a}.email, 'phone': {a}.phone, 'segment': {a}.segment}})::VARCHAR"
+
+
+@query("pair_candidates", "ER7", f"""
+SELECT s.id AS source_id, m.id AS master_id, ROUND(p.conf, 6) AS confidence, {_JSON.format(a='m')} AS master_record, {_JSON.format(a='s')} AS source_record FROM ({_PAIRS}) p
+ JOIN {{mdm_master}} m ON m.customer_name = p.m_name AND m.email IS NOT DISTINCT FROM p.m_email AND m.phone = p.m_phone
+ JOIN {{mdm_source}} s ON s.customer_name = p.s_name AND s.email IS NOT DISTINCT FROM p.s_email AND s.phone = p.s_phone""")
+def pair_candidates(d):
+    out, mm, sm = _matches(d)
+    cols = ["id", *FIELDS, "segment"]
+    found = mt.pair_candidates(out, d["mdm_master"].select(*cols), d["mdm_source"].select(*cols), mm, sm, "id")
+    return found.select("source_id", "master_id", F.round("confidence", 6).alias("confidence"), "master_record", "source_record")
+
+
 _BEST = f"""SELECT s.id AS source_id, b.master_id, COALESCE(b.conf, 1.0) AS conf, COALESCE(b.matched_rules, '') AS matched_rules FROM {{mdm_source}} s
  LEFT JOIN (SELECT * FROM ({_PAIRS}) QUALIFY ROW_NUMBER() OVER (PARTITION BY source_id ORDER BY conf DESC, master_id) = 1) b ON b.s_name = s.customer_name AND b.s_email IS NOT DISTINCT FROM s.email AND b.s_phone = s.phone"""
 _CANDS = f"""SELECT source_id, master_id, ROUND(conf, 6) AS confidence, CASE WHEN master_id IS NULL THEN 'new' WHEN conf >= 0.95 THEN 'exact' WHEN conf >= 0.85 THEN 'fuzzy' ELSE 'probabilistic' END AS match_type, matched_rules FROM ({_BEST})"""

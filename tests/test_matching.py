@@ -49,8 +49,21 @@ def test_minimal_blocks():
     names = [tuple(r.name for r in g) for g in mt.minimal_blocks(RULES, 0.7)]
     assert names == [("email",)]
     assert mt.minimal_blocks(RULES, 0.2) == [()]
-    with pytest.raises(ValueError):
-        mt.rule_blocks(RULES, 0.2)
+    assert mt.text_floor(RULES, 0.7) is None and mt.text_floor(RULES, 0.2) == pytest.approx(1.0)
+
+
+def test_text_pairs_miss_nothing(spark):
+    words = ["", "a", "ab", "abcd", "abdc", "abcdefgh", "abcdefgx", "xbcdefgh", "abcdfgh", "abcdefghij", "zzabcdefgh", "ABCDEFGH", "kitten sitting", "sitting kitten", "kittens sitting"]
+    df = spark.createDataFrame([(w,) for w in words], "name string").selectExpr("name as profile", "name")
+    for floor in (0.5, 0.75, 0.9):
+        got = {(r.m_profile, r.s_profile) for r in mt.text_pairs(df, df, "name", floor).collect()}
+        want = {(a, b) for a in words for b in words if a and b and 1 - lev(a.lower(), b.lower()) / max(len(a), len(b)) >= floor}
+        assert want <= got
+
+
+def test_source_columns_take_the_masters_names(spark):
+    df = spark.createDataFrame([(1, "a", "b")], "Id int, Mail string, x string")
+    assert [tuple(r) for r in mt.with_master_columns(df, {"mail": "email"}, ["id", "email", "phone"]).collect()] == [(1, "a", None)]
 
 
 def test_rules_without_known_columns_do_not_count():
