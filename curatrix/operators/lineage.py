@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.operators.graph import directed, node_key, propagate_max, reach
-from curatrix.operators.skew import first_per_key
 
 
 def relation_edges(relations: DataFrame) -> DataFrame:
@@ -89,19 +88,15 @@ def entity_hierarchy(edges: DataFrame, roots: DataFrame, relations: list[str], i
 
 
 def resolve_parents(assets: DataFrame, parent_of: DataFrame) -> DataFrame:
-    """Schema, catalog and system of every asset: at most three steps up, by left joins.
+    """Schema, catalog and system of every asset: the nearest above it by any path, the smallest of equally near ones.
 
-    ``assets``: id, type.  ``parent_of``: id, parent_id, parent_type.  The smallest parent counts where there are several.
+    ``assets``: id, type.  ``parent_of``: id, parent_id, parent_type.
     """
-    up = first_per_key(parent_of, ["id"], [F.col("parent_id")])
-    out = assets.select("id", F.col("id").alias("cur"))
-    names = []
-    for i in (1, 2, 3):
-        step = up.select(F.col("id").alias("cur"), F.col("parent_id").alias(f"p{i}"), F.col("parent_type").alias(f"t{i}"))
-        out = out.join(step, "cur", "left").withColumn("cur", F.col(f"p{i}"))
-        names.append((f"p{i}", f"t{i}"))
-    pick = lambda kind: F.coalesce(*[F.when(F.col(t) == kind, F.col(p)) for p, t in names])
-    return out.select("id", *[pick(k).alias(k.lower()) for k in ("Schema", "Catalog", "System")])
+    steps = parent_of.filter("id IS NOT NULL AND parent_id IS NOT NULL").select(F.col("id").alias("src"), F.col("parent_id").alias("dst")).distinct()
+    kinds = parent_of.select(F.col("parent_id").alias("node"), F.col("parent_type").alias("kind")).distinct()
+    above = reach(steps, assets.select(F.col("id").alias("root"))).filter("depth > 0").join(kinds, "node")
+    near = above.groupBy("root").agg(*[F.min(F.when(F.col("kind") == k, F.struct("depth", "node"))).alias(k.lower()) for k in ("Schema", "Catalog", "System")])
+    return assets.join(near, F.col("id") == F.col("root"), "left").select("id", *[F.col(f"{k}.node").alias(k) for k in ("schema", "catalog", "system")])
 
 
 # Relationship types along which a certification is inherited.

@@ -90,11 +90,11 @@ def _rule_agrees(rule: MatchRule) -> Column:
     return F.coalesce(reduce(lambda a, b: a & b, same), F.lit(False))
 
 
-def block_pairs(master: DataFrame, source: DataFrame, blocks: list[tuple[tuple[str, Column], ...]], salts: int = 32) -> DataFrame:
+def block_pairs(master: DataFrame, source: DataFrame, blocks: list[tuple[tuple[str, Column], ...]]) -> DataFrame:
     """Pairs that agree on at least one block, each once.
 
     A block is a tuple of (name, key Column) over the unprefixed columns; NULL keys pair with nothing.  A pair is left
-    to the first block it satisfies, so no distinct is needed.  Rows of hot keys are spread by salting.
+    to the first block it satisfies, so no distinct is needed.  Spark splits skewed keys at run time.
     """
     everything = {}
     for block in blocks:
@@ -109,7 +109,7 @@ def block_pairs(master: DataFrame, source: DataFrame, blocks: list[tuple[tuple[s
         right = reduce(DataFrame.filter, [F.col("m_" + n).isNotNull() for n in names], m)
         for n in names:
             left, right = left.withColumn("b_" + n, F.col("s_" + n)), right.withColumn("b_" + n, F.col("m_" + n))
-        joined = salted_join(left, right, ["b_" + n for n in names], "inner", salts).drop(*["b_" + n for n in names])
+        joined = salted_join(left, right, ["b_" + n for n in names]).drop(*["b_" + n for n in names])
         parts.append(joined.filter(~earlier))
         agrees = reduce(lambda a, b: a & b, [F.col("s_" + n) == F.col("m_" + n) for n in names])
         earlier = earlier | F.coalesce(agrees, F.lit(False))

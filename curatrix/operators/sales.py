@@ -11,10 +11,17 @@ from pyspark.sql import functions as F
 
 
 def sales_summary(orders: DataFrame, customers: DataFrame) -> DataFrame:
-    joined = orders.join(customers.select("customer_id", "country_code"), "customer_id")
-    return joined.groupBy(F.date_trunc("month", "order_date").alias("order_month"), "country_code").agg(
-        F.countDistinct("order_id").alias("total_orders"), F.countDistinct("customer_id").alias("unique_customers"),
-        F.round(F.sum("total_amount"), 2).alias("total_revenue"), F.round(F.avg("total_amount"), 6).alias("avg_order_value"))
+    month = F.date_trunc("month", "order_date").alias("order_month")
+    per_order = orders.groupBy("customer_id", month, "order_id").agg(*_amounts())
+    per_customer = per_order.groupBy("customer_id", "order_month").agg(F.count("order_id").alias("orders"), F.sum("amount").alias("amount"), F.sum("amounts").alias("amounts"))
+    joined = per_customer.join(customers.select("customer_id", "country_code"), "customer_id")
+    return joined.groupBy("order_month", "country_code").agg(
+        F.sum("orders").alias("total_orders"), F.count("customer_id").alias("unique_customers"),
+        F.round(F.sum("amount"), 2).alias("total_revenue"), F.round(F.sum("amount") / F.sum("amounts"), 6).alias("avg_order_value"))
+
+
+def _amounts():
+    return F.sum("total_amount").alias("amount"), F.count("total_amount").alias("amounts")
 
 
 def order_stats(orders: DataFrame) -> DataFrame:
@@ -36,9 +43,11 @@ def customer_360(customers: DataFrame, orders: DataFrame, countries: DataFrame,
 
 
 def product_performance(products: DataFrame, items: DataFrame, orders: DataFrame) -> DataFrame:
-    known = orders.select("order_id", F.col("order_id").alias("known_order"))
-    stats = items.join(known, "order_id", "left").groupBy("product_id").agg(
-        F.sum("quantity").alias("units"), F.sum("line_total").alias("revenue"), F.countDistinct("known_order").alias("orders"), F.avg("unit_price").alias("price"))
+    known = orders.select("order_id").distinct().withColumn("known", F.lit(1))
+    per_order = items.groupBy("product_id", "order_id").agg(
+        F.sum("quantity").alias("units"), F.sum("line_total").alias("revenue"), F.sum("unit_price").alias("price"), F.count("unit_price").alias("prices"))
+    stats = per_order.join(known, "order_id", "left").groupBy("product_id").agg(
+        F.sum("units").alias("units"), F.sum("revenue").alias("revenue"), F.count("known").alias("orders"), (F.sum("price") / F.nullif(F.sum("prices"), F.lit(0))).alias("price"))
     return products.join(stats, "product_id", "left").select(
         "product_id", "product_name", "category_name", F.col("units").alias("total_units_sold"), F.round("revenue", 2).alias("total_revenue"),
         F.coalesce("orders", F.lit(0)).alias("order_count"), F.round("price", 6).alias("avg_selling_price"),
@@ -46,9 +55,11 @@ def product_performance(products: DataFrame, items: DataFrame, orders: DataFrame
 
 
 def revenue_by_region(orders: DataFrame, customers: DataFrame, countries: DataFrame) -> DataFrame:
-    joined = orders.join(customers.select("customer_id", "country_code"), "customer_id").join(countries, "country_code")
-    return joined.groupBy("region", "country_name", F.date_trunc("quarter", "order_date").alias("quarter")).agg(
-        F.round(F.sum("total_amount"), 2).alias("total_revenue"), F.count("order_id").alias("order_count"), F.countDistinct("customer_id").alias("customer_count"))
+    quarter = F.date_trunc("quarter", "order_date").alias("quarter")
+    per_customer = orders.groupBy("customer_id", quarter).agg(F.sum("total_amount").alias("amount"), F.count("order_id").alias("orders"))
+    joined = per_customer.join(customers.select("customer_id", "country_code"), "customer_id").join(countries, "country_code")
+    return joined.groupBy("region", "country_name", "quarter").agg(
+        F.round(F.sum("amount"), 2).alias("total_revenue"), F.sum("orders").alias("order_count"), F.count("customer_id").alias("customer_count"))
 
 
 # Loyalty tier to score; every other tier scores 1.

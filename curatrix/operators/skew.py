@@ -57,40 +57,38 @@ def _salt(df: DataFrame, salts: int) -> Column:
     return F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int")
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", salts: int = 32, share: float = 0.01) -> DataFrame:
-    """Equi join that spreads the rows of hot keys over ``salts`` tasks.
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hot: DataFrame | None = None, salts: int = 32) -> DataFrame:
+    """Equi join that spreads the rows of the keys in ``hot`` over ``salts`` tasks; each side is read once.
 
-    Rows of a key that is hot on the left get one of ``salts`` numbers and the right rows of that key are repeated for each
-    number; an inner join does the same for keys that are hot on the right.  Every left row still meets every right row of
-    its key exactly once.  Left, semi and anti joins only spread the left side, because a left row must not be repeated.
+    ``hot`` holds the key columns of a bounded number of keys, as ``hot_keys`` or knowledge of the data gives them; they are
+    broadcast. Without it the join is a plain one, whose skewed partitions Spark splits at run time.
+
+    Rows of a hot key get one of ``salts`` numbers on the left, and the right rows of that key are repeated for each number, so
+    every left row meets every right row of its key exactly once.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"salting does not keep a {how} join whole")
-    numbers = F.sequence(F.lit(0), F.lit(salts - 1))
-    hot = hot_keys(left, keys, share).withColumn("_hot_left", F.lit(True))
-    if how == "inner":
-        hot = hot.join(hot_keys(right, keys, share).withColumn("_hot_right", F.lit(True)), keys, "full")
-    else:
-        hot = hot.withColumn("_hot_right", F.lit(False))
-    hot = F.broadcast(hot)  # at most 1 / share keys per side
-
-    def spread(df: DataFrame, own: str, other: str) -> DataFrame:
-        mine = F.when(F.col(f"_hot{own}"), F.col("_s")).otherwise(0)
-        theirs = F.when(F.col(f"_hot{other}"), numbers).otherwise(F.array(F.lit(0)))
-        out = df.withColumn("_s", _salt(df, salts)).join(hot, keys, "left")
-        out = out.withColumn(f"_salt{own}", mine).withColumn(f"_salt{other}", F.explode(theirs))
-        return out.drop("_s", "_hot_left", "_hot_right")
-
-    joined = spread(left, "_left", "_right").join(spread(right, "_right", "_left"), [*keys, "_salt_left", "_salt_right"], how)
-    return joined.drop("_salt_left", "_salt_right")
-
-
-def left_join_parts(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join for a right side with hot keys.
-
-    A left join cannot split a skewed right side, an inner join can; so the matches come from an inner join and the rows
-    without any from an anti join.
+    if hot is None:
+        return left.join(right, keys, how)
+    hot = F.broadcast(hot.select(*keys).distinct().withColumn("_hot", F.lit(True)))
+    own = F.when(F.col("_hot"), _salt(left, salts)).otherwise(0)
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    salted = left.join(hot, keys, "left").withColumn("_number", own).drop("_hot")
+    repeated = right.join(hot, keys, "left").withColumn("_number", F.explode(every)).drop("_hot")
+    return salted.join(repeated, [*keys, "_number"], how).drop("_number")
+
+
+def left_join_parts(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame | None = None) -> DataFrame:
+    """Left join whose right side may have hot keys; a plain one unless ``hot`` names them.
+
+    A left join cannot split a skewed right side, an inner join can; so the rows of hot keys take an inner join, and those
+    of them without any match an anti join.
     """
+    if hot is None:
+        return left.join(right, keys, "left")
+    few = F.broadcast(hot.select(*keys).distinct())
     extra = [f for f in right.schema.fields if f.name not in keys]
-    rest = left.join(right.select(*keys), keys, "left_anti").select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in extra])
-    return left.join(right, keys).unionByName(rest)
+    warm, cold = left.join(few, keys, "left_semi"), left.join(few, keys, "left_anti")
+    rest = warm.join(right.select(*keys).join(few, keys, "left_semi"), keys, "left_anti").select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in extra])
+    out = cold.join(right, keys, "left")
+    return out.unionByName(warm.join(right, keys)).unionByName(rest)

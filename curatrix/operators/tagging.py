@@ -58,13 +58,18 @@ def desired_tags(infos: DataFrame, configs: list[TagConfig], variables: dict[str
         F.max(F.struct("t.ord", "t.link", "t.value")).alias("w")).select("fqn", "tag_key", F.col("w.value").alias("tag_value"))
 
 
-def parent_tags(desired: DataFrame) -> DataFrame:
-    """Distinct values of the children, sorted and comma-joined, per key of every schema and catalog."""
+def parent_tag_values(desired: DataFrame) -> DataFrame:
+    """One row for every distinct value of the children, per key of every schema and catalog."""
     up = F.array(
         F.struct(F.lit("SCHEMA").alias("object_type"), F.substring_index("fqn", ".", 2).alias("full_name")),
         F.struct(F.lit("CATALOG").alias("object_type"), F.substring_index("fqn", ".", 1).alias("full_name")),
     )
-    rows = desired.filter(F.length("tag_value") > 0).select(F.explode(up).alias("o"), "tag_key", "tag_value").select("o.*", "tag_key", "tag_value").distinct()
+    return desired.filter(F.length("tag_value") > 0).select(F.explode(up).alias("o"), "tag_key", "tag_value").select("o.*", "tag_key", "tag_value").distinct()
+
+
+def parent_tags(desired: DataFrame) -> DataFrame:
+    """The same as one sorted, comma-joined text per key: the form of a tag, for keys of few values."""
+    rows = parent_tag_values(desired)
     return rows.groupBy("object_type", "full_name", "tag_key").agg(F.array_join(F.array_sort(F.collect_list("tag_value")), ",").alias("tag_value"))
 
 
@@ -105,14 +110,27 @@ def inherit_filter(tags: DataFrame, regex: str | None, source: str = "key") -> D
 
 
 def discover_entities(tags: DataFrame, patterns: list[DiscoveryPattern]) -> DataFrame:
-    """(entity_type, entity, object_type, full_name): the first matching tag of an object, by key, names its entity."""
-    parts = []
-    for p in patterns:
-        if not p.enabled:
-            continue
-        text = F.col("tag_name" if p.extract_from == "key" else "tag_value")
-        found = tags.filter(F.col("tag_name").rlike(p.key_regex) & text.rlike(p.extraction_regex)).withColumn("entity", F.regexp_extract(text, p.extraction_regex, 1))
-        named = found.filter(F.length("entity") > 0).groupBy("object_type", "full_name").agg(F.min_by("entity", "tag_name").alias("entity"))
-        passed = inherit_filter(tags, p.filter_regex, p.filter_source)
-        parts.append(named.join(passed, ["object_type", "full_name"], "left_semi").select(F.lit(p.entity_type).alias("entity_type"), "entity", "object_type", "full_name"))
-    return reduce(DataFrame.unionByName, parts)
+    """(entity_type, entity, object_type, full_name): the first matching tag of an object, by key, names its entity.
+
+    Every tag meets all patterns in one scan.  A pattern with a filter passes an object when the object, its schema or its
+    catalog has a tag that the filter matches: one join on the places where a filter tag may be.
+    """
+    live = [p for p in patterns if p.enabled]
+    pick = lambda source: F.col("tag_name" if source == "key" else "tag_value")
+    marks = []
+    for i, p in enumerate(live):
+        text = pick(p.extract_from)
+        entity = F.when(F.col("tag_name").rlike(p.key_regex) & text.rlike(p.extraction_regex), F.nullif(F.regexp_extract(text, p.extraction_regex, 1), F.lit("")))
+        hit = F.coalesce(pick(p.filter_source).rlike(p.filter_regex), F.lit(False)) if p.filter_regex else F.lit(False)
+        marks.append(F.struct(F.lit(i).alias("pattern"), F.lit(p.entity_type).alias("entity_type"), F.lit(bool(p.filter_regex)).alias("filtered"), entity.alias("entity"), hit.alias("hit")))
+    rows = tags.select("object_type", "full_name", "tag_name", F.explode(F.array(*marks)).alias("m")).select("object_type", "full_name", "tag_name", "m.*")
+    named = rows.filter("entity IS NOT NULL").groupBy("pattern", "entity_type", "filtered", "object_type", "full_name").agg(F.min_by("entity", "tag_name").alias("entity"))
+    hits = rows.filter("hit").select("pattern", F.col("object_type").alias("at_type"), F.col("full_name").alias("at_name")).distinct()
+    place = lambda kind, name: F.struct(kind.alias("at_type"), name.alias("at_name"))
+    here = place(F.col("object_type"), F.col("full_name"))
+    schema = F.when(F.col("object_type") == "TABLE", place(F.lit("SCHEMA"), F.substring_index("full_name", ".", 2)))
+    catalog = F.when(F.col("object_type") != "CATALOG", place(F.lit("CATALOG"), F.substring_index("full_name", ".", 1)))
+    spots = F.when(F.col("filtered"), F.filter(F.array(here, schema, catalog), lambda x: x.isNotNull())).otherwise(F.array(here))
+    asked = named.select("*", F.explode(spots).alias("at")).select("*", "at.*")
+    passed = asked.join(hits.withColumn("found", F.lit(True)), ["pattern", "at_type", "at_name"], "left").filter("found OR NOT filtered")
+    return passed.select("pattern", "entity_type", "entity", "object_type", "full_name").distinct().drop("pattern")

@@ -29,7 +29,8 @@ def objects_with_properties(d):
 def salted_order_lines(d):
     left = d["lineitem"].select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("s_suppkey"))
     right = d["supplier"].filter("s_acctbal > 0").select("s_suppkey", "s_name", "s_nationkey")
-    return salted_join(left, right, ["s_suppkey"], "left", salts=8, share=0.005).drop("s_suppkey")
+    busy = d.spark.createDataFrame([(1,), (2,), (7,)], "s_suppkey long")  # known to the caller
+    return salted_join(left, right, ["s_suppkey"], "left", busy, 8).drop("s_suppkey")
 
 
 _LINKS = """SELECT CAST(o_orderkey AS STRING) || '#tbl_' || CAST(o_custkey % 100 AS STRING) || '_1' AS entity_id, 'term:' || o_orderpriority AS iri FROM {orders}"""
@@ -225,6 +226,13 @@ def desired_tags(d):
     return _desired(d)
 
 
+@query("parent_tag_values", "AG17", f"""
+WITH w AS ({_DESIRED}), u AS (SELECT 'SCHEMA' AS object_type, split_part(fqn, '.', 1) || '.' || split_part(fqn, '.', 2) AS full_name, * FROM w UNION ALL SELECT 'CATALOG', split_part(fqn, '.', 1), * FROM w)
+SELECT DISTINCT object_type, full_name, tag_key, tag_value FROM u WHERE tag_value <> ''""")
+def parent_tag_values(d):
+    return tg.parent_tag_values(_desired(d))
+
+
 @query("parent_tags", "AG17", f"""
 WITH w AS ({_DESIRED}), u AS (SELECT 'SCHEMA' AS object_type, split_part(fqn, '.', 1) || '.' || split_part(fqn, '.', 2) AS full_name, * FROM w UNION ALL SELECT 'CATALOG', split_part(fqn, '.', 1), * FROM w)
 SELECT object_type, full_name, tag_key, string_agg(DISTINCT tag_value, ',' ORDER BY tag_value) AS tag_value FROM u GROUP BY 1, 2, 3""")

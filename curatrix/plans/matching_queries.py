@@ -116,7 +116,7 @@ SELECT m.first_id AS master_id, s.first_id AS source_id FROM ({_PM}) m JOIN ({_P
 def block_pairs(d):
     m, _, s, _ = _profiles(d)
     blocks = [(("email", mt.normalized("email", F.col("email"))),), (("phone", mt.normalized("phone", F.col("phone"))),)]
-    return mt.block_pairs(m, s, blocks, salts=4).select(F.col("m_first_id").alias("master_id"), F.col("s_first_id").alias("source_id"))
+    return mt.block_pairs(m, s, blocks).select(F.col("m_first_id").alias("master_id"), F.col("s_first_id").alias("source_id"))
 
 
 @query("new_source_records", "J8", "SELECT id FROM {mdm_source} s WHERE NOT EXISTS (SELECT 1 FROM {mdm_master} m WHERE lower(trim(m.email)) = lower(trim(s.email)))")

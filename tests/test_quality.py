@@ -76,7 +76,7 @@ def test_salted_join_equals_a_plain_join(spark):
     left = spark.range(3000).select(F.col("id").alias("l"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).alias("k"))
     right = spark.range(60).select(F.when(F.col("id") < 12, 7).when(F.col("id") < 30, 900).otherwise(F.col("id")).alias("k"), (F.col("id") * 2).alias("v"))
     for how in ("inner", "left", "left_semi", "left_anti"):
-        a = sorted(map(tuple, salted_join(left, right, ["k"], how, salts=5, share=0.1).collect()), key=str)
+        a = sorted(map(tuple, salted_join(left, right, ["k"], how, hot_keys(left, ["k"], 0.1), 5).collect()), key=str)
         b = sorted(map(tuple, left.join(right, "k", how).collect()), key=str)
         assert a == b, how
     assert hot_keys(left, ["k"], 0.1).count() == 1
@@ -85,8 +85,9 @@ def test_salted_join_equals_a_plain_join(spark):
 def test_left_join_in_parts_equals_a_left_join(spark):
     left = spark.range(20).select(F.col("id").alias("k"), F.lit("x").alias("a"))
     right = spark.createDataFrame([(3, 1, None), (3, 2, "b"), (5, 3, "c"), (99, 4, "d")], "k long, v int, w string")
-    a = sorted(map(tuple, left_join_parts(left, right, ["k"]).collect()), key=str)
-    assert a == sorted(map(tuple, left.join(right, "k", "left").collect()), key=str)
+    b = sorted(map(tuple, left.join(right, "k", "left").collect()), key=str)
+    for hot in (None, spark.createDataFrame([(3,), (4,), (99,)], "k long")):
+        assert sorted(map(tuple, left_join_parts(left, right, ["k"], hot).collect()), key=str) == b
 
 
 def test_first_per_key_limits_before_the_shuffle(spark):
