@@ -2,7 +2,7 @@
 
 Tier one: a minimal perfect hash over the vocabulary (as many slots as tokens, one stored displacement per bucket) finds
 pre-tokens that are whole tokens. Tier two: the other pre-tokens are merged pair by pair, lowest rank first, with a heap
-over linked byte ranges. Each task keeps the ids of the pre-tokens it has met, in a store of bounded size.
+over linked byte ranges. Each worker keeps the ids of the pre-tokens it has met, in a store of bounded size.
 
 The vocabulary file is read once on the driver; its tables have the size of that file and are broadcast.
 
@@ -15,7 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +23,10 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from curatrix.llm.common import Shipped, id_and_text, mixed
+from curatrix.llm.common import Remembered, Shipped, id_and_text, mixed
 
-#: Pre-tokens whose ids a task keeps at most; the store starts anew when it is full.
-KEPT = 400_000
+#: Pre-tokens of one generation whose ids a worker keeps.
+KEPT = 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -89,11 +89,11 @@ class Codec:
         for word, slot in zip(words, self.hash.slot_of.tolist(), strict=True):
             self.word_at[slot], self.id_at[slot] = word, ranks[word]
         self.bytes_of = {i: w for w, i in ranks.items()}
-        self.kept: dict[str, tuple[int, ...]] = {}
+        self.kept = Remembered(KEPT)
         self.find = None
 
     def __getstate__(self):
-        return self.__dict__ | {"kept": {}, "find": None}
+        return self.__dict__ | {"kept": Remembered(KEPT), "find": None}
 
     def merged(self, piece: bytes) -> tuple[int, ...]:
         """Ids of one pre-token: the adjacent pair of lowest rank merges first, the leftmost of equals."""
@@ -127,23 +127,18 @@ class Codec:
             i = end[i]
         return tuple(out)
 
-    def learn(self, pieces: set[str]) -> None:
-        """Ids of new pre-tokens: all through the perfect hash at once, the rest one by one."""
-        new = list(pieces)
-        raw = [p.encode() for p in new]
-        for p, b, slot in zip(new, raw, self.hash.slots(raw).tolist(), strict=True):
-            self.kept[p] = (self.id_at[slot],) if self.word_at[slot] == b else self.merged(b)
-
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a text. New pre-tokens go through the perfect hash at once, those that are no tokens are merged one by one."""
         if self.find is None:
             self.find = regex.compile(self.pattern).findall
         pieces = self.find(text)
-        if len(self.kept) > KEPT:
-            self.kept = {}
-        new = set(pieces).difference(self.kept)
+        new = self.kept.missing(pieces)
         if new:
-            self.learn(new)
-        return list(chain.from_iterable(map(self.kept.__getitem__, pieces)))
+            raw = [p.encode() for p in new]
+            for p, b, slot in zip(new, raw, self.hash.slots(raw).tolist(), strict=True):
+                ids = (self.id_at[slot],) if self.word_at[slot] == b else self.merged(b)
+                self.kept.young[p] = array("i", ids).tobytes()
+        return np.frombuffer(b"".join(map(self.kept.young.__getitem__, pieces)), np.int32)
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -194,7 +189,7 @@ def round_trip_report(docs: DataFrame, made: Codec) -> DataFrame:
             for first in range(0, batch.num_rows, 256):
                 part, count, a, b = batch.slice(first, 256), [], [], []
                 for t in part.column("text"):
-                    ids = one.encode(t.as_py())
+                    ids = one.encode(t.as_py()).tolist()
                     count.append(len(ids))
                     a.append(hashlib.sha256(",".join(map(written.__getitem__, ids)).encode()).hexdigest())
                     b.append(hashlib.sha256(one.decode(ids)).hexdigest())

@@ -37,23 +37,63 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 class Shipped:
-    """A broadcast of any object of this package, for workers that cannot import it; loaded once where it is used."""
+    """A broadcast of any object of this package, for workers that cannot import it.
 
-    def __init__(self, spark: SparkSession, thing):
-        self._sent = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
-        self._thing = None
-
-    def __getstate__(self):
-        return {"_sent": self._sent, "_thing": None}
+    A worker process loads it once and keeps it for all its tasks, with what the object has learned meanwhile.
+    """
 
-    def __setstate__(self, state):
-        self.__dict__ = state
+    def __init__(self, spark: SparkSession, thing):
+        self._sent = spark.sparkContext.broadcast({"packed": cloudpickle.dumps(thing)})
 
     @property
     def value(self):
-        if self._thing is None:
-            self._thing = pickle.loads(self._sent.value)
-        return self._thing
+        holder = self._sent.value
+        if "thing" not in holder:
+            holder["thing"] = pickle.loads(holder.pop("packed"))
+        return holder["thing"]
+
+
+class Remembered:
+    """What was worked out for each key lately: two generations of at most ``room`` entries, the older dropped when the younger is full."""
+
+    def __init__(self, room: int):
+        self.room, self.young, self.old = room, {}, {}
+
+    def missing(self, keys) -> list:
+        """The distinct ``keys`` that have to be worked out and put in; the others are in ``young`` afterwards."""
+        new = set(keys).difference(self.young)
+        if len(self.young) + len(new) > self.room:
+            self.young, self.old = {}, self.young
+            new = set(keys)
+        if self.old and new:
+            known = {k for k in new if k in self.old}
+            self.young.update(zip(known, map(self.old.__getitem__, known), strict=True))
+            new -= known
+        return list(new)
+
+
+#: Bits of a bitmap of hashes: 16 MB, whatever the number of hashes.
+BITMAP = 27
+
+
+class Bitmap:
+    """Marks of the low bits of 64-bit hashes. Without its mark a hash is not in the set; with it, it probably is.
+
+    Its size is fixed. A very large set marks nearly everything: the bitmap then spares little work, with the same results.
+    """
+
+    def __init__(self, df: DataFrame, column: str):
+        place = F.col(column).bitwiseAND((1 << BITMAP) - 1) + 1
+        rows = df.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+        self.bits = np.zeros(1 << (BITMAP - 3), np.uint8)
+        for r in rows:
+            part = np.frombuffer(r["bits"], np.uint8)
+            at = (r["b"] - 1) * len(part)
+            self.bits[at : at + len(part)] = part
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        place = h.view(np.uint64) & np.uint64((1 << BITMAP) - 1)
+        return (self.bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
 def byte_view(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,6 +117,16 @@ def blocks(offsets: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
         first = last
 
 
+def packed(column: np.ndarray, codec) -> bytes:
+    """A column of numbers as bytes: those of equal weight side by side, then compressed."""
+    return codec.compress(np.ascontiguousarray(np.ascontiguousarray(column).view(np.uint8).reshape(len(column), -1).T).tobytes())
+
+
+def unpacked(data: bytes, n: int, dtype, codec) -> np.ndarray:
+    raw = np.frombuffer(codec.decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(-1, n).T).view(dtype).ravel()
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Finalizer that spreads 64-bit values over all their bits."""
     h = h ^ (h >> np.uint64(30))

@@ -39,13 +39,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import Shipped, id_and_text, mixed, remainder, stored
+from curatrix.llm.common import Shipped, id_and_text, mixed, packed, remainder, stored, unpacked
 
 PROBES = 10
 MOST_BITS = 1 << 28
 MIX = 0.1
-CHUNK = 8 << 20  # bytes of text in a chunk
-HELD = 4_000_000  # n-grams that a task sums up before it sends them
+CHUNK = 4 << 20  # bytes of text in a chunk
+HELD = 2_000_000  # n-grams that a task sums up before it sends them
 START = np.uint64(0x5851F42D4C957F2D)
 END = b" "  # no word holds white space
 
@@ -78,16 +78,6 @@ def sequence(docs: list[list[int]], hashes: np.ndarray) -> tuple[np.ndarray, np.
     return out, is_start
 
 
-def _pack(column: np.ndarray, codec) -> bytes:
-    """Bytes of equal weight side by side, then zstd."""
-    return codec.compress(np.ascontiguousarray(column.view(np.uint8).reshape(len(column), -1).T).tobytes())
-
-
-def _unpack(data: bytes, n: int, dtype, codec) -> np.ndarray:
-    raw = np.frombuffer(codec.decompress(data), np.uint8)
-    return np.ascontiguousarray(raw.reshape(-1, n).T).view(dtype).ravel()
-
-
 class WordBuckets:
     """The distinct words of a chunk, in order of first use, and their places in the buckets."""
 
@@ -139,7 +129,7 @@ def _cut(buckets: int):
             for b in range(buckets):
                 mine = made.order[made.edges[b] : made.edges[b + 1]]
                 if len(mine):
-                    rows.append({**nothing, "chunk": first + k, "bucket": b, "words": codec.compress(b"\n".join(made.words[i] for i in mine.tolist())), "counts": _pack(counts[mine].astype(np.uint32), codec), "n": len(mine)})
+                    rows.append({**nothing, "chunk": first + k, "bucket": b, "words": codec.compress(b"\n".join(made.words[i] for i in mine.tolist())), "counts": packed(counts[mine].astype(np.uint32), codec), "n": len(mine)})
             yield pa.RecordBatch.from_pylist(rows, _CHUNK_TYPES)
 
     return run
@@ -154,12 +144,12 @@ def _answers(group: pa.Table) -> pa.Table:
     for row in group.select(["chunk", "words", "counts", "n"]).to_pylist():
         at = np.array([place(w, len(index)) for w in codec.decompress(row["words"]).split(b"\n")], np.int64)
         asked.append((row["chunk"], at))
-        parts.append(_unpack(row["counts"], row["n"], np.uint32, codec))
+        parts.append(unpacked(row["counts"], row["n"], np.uint32, codec))
     total = np.zeros(len(index), np.int64)
     for (_, at), n in zip(asked, parts, strict=True):
         np.add.at(total, at, n.astype(np.int64))
     bucket = group.column("bucket")[0].as_py()
-    rows = [{"chunk": c, "bucket": bucket, "counts": _pack(total[at], back), "n": len(at), "tokens": None, "types": None, "once": None} for c, at in asked]
+    rows = [{"chunk": c, "bucket": bucket, "counts": packed(total[at], back), "n": len(at), "tokens": None, "types": None, "once": None} for c, at in asked]
     rows.append({"chunk": -1, "bucket": bucket, "counts": None, "n": None, "tokens": int(total.sum()), "types": int((total > 0).sum()), "once": int((total == 1).sum())})
     return pa.Table.from_pylist(rows, pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("counts", pa.binary()), ("n", pa.int32()), ("tokens", pa.int64()), ("types", pa.int64()), ("once", pa.int64())]))
 
@@ -183,7 +173,7 @@ def _ngram_blocks(bits: int, prefix: int):
             for b in range(1 << prefix):
                 c = code[edges[b] : edges[b + 1]]
                 if len(c):
-                    rows.append({"bucket": b, "codes": _pack(np.diff(c, prepend=np.uint64(0)), codec), "counts": _pack(n[edges[b] : edges[b + 1]], codec), "n": len(c)})
+                    rows.append({"bucket": b, "codes": packed(np.diff(c, prepend=np.uint64(0)), codec), "counts": packed(n[edges[b] : edges[b + 1]], codec), "n": len(c)})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("bucket", pa.int32()), ("codes", pa.binary()), ("counts", pa.binary()), ("n", pa.int32())]))
 
         for _, _, texts in _chunks(batches):
@@ -216,8 +206,8 @@ def _segment(most: int):
         codec = zstandard.ZstdDecompressor()
         codes, counts = [], []
         for row in group.to_pylist():
-            codes.append(np.cumsum(_unpack(row["codes"], row["n"], np.uint64, codec), dtype=np.uint64))
-            counts.append(_unpack(row["counts"], row["n"], np.uint32, codec))
+            codes.append(np.cumsum(unpacked(row["codes"], row["n"], np.uint64, codec), dtype=np.uint64))
+            counts.append(unpacked(row["counts"], row["n"], np.uint32, codec))
         code = np.concatenate(codes)
         order = np.argsort(code, kind="stable")
         code, n = code[order], np.concatenate(counts)[order].astype(np.int64)
@@ -316,7 +306,7 @@ def _score(lm, total: tuple[int, int, int, int], buckets: int, mix: float):
         made = WordBuckets([data[e - s : e] for s, e in zip(row["sizes"], ends.tolist(), strict=True)], buckets)
         counts = np.zeros(len(made.words), np.int64)
         for a in answers.to_pylist():
-            counts[made.order[made.edges[a["bucket"]] : made.edges[a["bucket"] + 1]]] = _unpack(a["counts"], a["n"], np.int64, codec)
+            counts[made.order[made.edges[a["bucket"]] : made.edges[a["bucket"] + 1]]] = unpacked(a["counts"], a["n"], np.int64, codec)
         p = np.log10(token_probabilities(one, made.docs, made.hashes, counts, total, mix))
         sizes = np.array([len(d) for d in made.docs], np.int64)
         first = np.cumsum(sizes) - sizes

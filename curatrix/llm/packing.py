@@ -19,6 +19,7 @@ gives no pieces; further columns are not read.
 from __future__ import annotations
 
 import bisect
+import os
 import re
 import zlib
 from collections import defaultdict
@@ -28,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import Shipped, id_and_text, stored
+from curatrix.llm.common import Remembered, Shipped, id_and_text, stored
 
 LIMIT = 4096
-#: Space-separated strings whose ids a task keeps at most; the store starts anew when it is full.
-KEPT = 400_000
+#: Space-separated strings of one generation whose ids a worker keeps.
+KEPT = 500_000
 #: Characters on which str.split and the tokenizer's white space differ, and those that might join across a space.
 ODD = re.compile("[\x1c-\x1f]")
 
@@ -41,16 +42,17 @@ class ChunkTokenizer:
     """The tokenizer, asked once per distinct space-separated string: it drops white space and never joins across it."""
 
     def __init__(self, spec: str):
-        self.spec, self.tool, self.kept = spec, None, {}
+        self.spec, self.tool, self.kept = spec, None, Remembered(KEPT)
 
     def __getstate__(self):
-        return {"spec": self.spec, "tool": None, "kept": {}}
+        return {"spec": self.spec, "tool": None, "kept": Remembered(KEPT)}
 
     def __setstate__(self, state):
         self.__dict__ = state
 
     def ids(self, text: str) -> np.ndarray:
         if self.tool is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for one task
             from tokenizers import Tokenizer
 
             self.tool = Tokenizer.from_str(self.spec)
@@ -58,13 +60,11 @@ class ChunkTokenizer:
         if ODD.search(text):
             return np.array(self.tool.encode(text, add_special_tokens=False).ids, "<u4")
         words = text.split()
-        if len(self.kept) > KEPT:
-            self.kept = {}
-        new = list(set(words).difference(self.kept))
+        new = self.kept.missing(words)
         if new:
             for w, e in zip(new, self.tool.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.kept[w] = np.array(e.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join(map(self.kept.__getitem__, words)), "<u4")
+                self.kept.young[w] = np.array(e.ids, "<u4").tobytes()
+        return np.frombuffer(b"".join(map(self.kept.young.__getitem__, words)), "<u4")
 
 
 def pieces(docs: DataFrame, spec: str, end_id: int = 1, limit: int = LIMIT) -> DataFrame:
