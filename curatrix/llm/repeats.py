@@ -6,12 +6,14 @@ byte would move each text hundreds of times, so the sort gets only the suffixes
 1. *Runs.* Consecutive window starts with the same least ``gram``-byte hash form a run. Equal windows have the same least
    hash, so only runs whose hash occurs again (or which may repeat within themselves) can hold repeated windows; the
    others end here. Hash counts are pre-aggregated before their shuffle.
-2. *Copies collapse.* Runs that are equal byte by byte over their whole context (64-bit hash within one group of equal least
-   hash) are repeated throughout. One of them stands for all in what follows.
-3. *Sorted runs.* The suffixes (``width`` bytes) of the runs that differ from others of their group are sorted in each task
-   and front-coded: length of the prefix shared with the one before, and the rest.
-4. *Exchange and merge.* Splitters taken from the sorted runs cut them into ranges; each range is one task, which merges
-   its runs with a loser tree. Every contender carries the length of the prefix it shares with the last winner; contenders
+2. *Copies collapse.* Runs that are equal over their whole context (64-bit hash within one group of equal least hash) are
+   repeated throughout. One of them stands for all in what follows. Both steps are done again inside the runs that differ
+   from others of their group, with a longer gram, which settles most of the windows around an edit.
+3. *Sorted runs.* Of the windows in runs that are still open, those whose 64-bit hash nothing else has are dropped: they are
+   unique. The suffixes (``width`` bytes) of the others are sorted in each task and front-coded: length of the prefix shared
+   with the one before, and the rest.
+4. *Exchange and merge.* Splitters from a sample cut the sorted runs into ranges; each range is one task, which merges its
+   runs with a loser tree. Every contender carries the length of the prefix it shares with the last winner; contenders
    with different lengths are ordered by them alone, equal ones compare only what follows. A winner whose shared prefix is
    the whole width equals the one before.
 
@@ -23,7 +25,9 @@ length is no matter. Where removal cuts a character, ``without_repeats`` drops i
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,13 +37,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import RangeHash, blocks, byte_view, stored
+from curatrix.llm.common import Bitmap, RangeHash, Shipped, blocks, byte_view, packed, stored, unpacked
 
 WIDTH = 200
-GRAM = 64
-#: Window starts in one run, at most; suffixes in one sorted run and in one of its blocks; suffixes meant for one range.
-LONGEST, SORTED, BLOCK, RANGE = 1024, 60_000, 1_000, 60_000
-#: Suffixes from which splitters are chosen. Only the balance of the ranges depends on it.
+GRAM, FINER = 40, 150
+#: Window starts in one run, at most; windows in one sorted run, in one of its blocks, meant for one range, and in one bucket of hashes.
+LONGEST, SORTED, BLOCK, RANGE, HASHES = 1024, 60_000, 1_000, 120_000, 2_000_000
+#: Windows from which splitters are chosen. Only the balance of the ranges depends on it.
 SAMPLE = 20_000
 SEGMENT = 2 << 20
 
@@ -86,23 +90,62 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, hashing: RangeHash, width: in
     return row, start - offsets[row], stops - start, least[start].view(np.int64), context.view(np.int64), own
 
 
-def _run_batches(width: int, gram: int):
+_RUN = "key long, context long, __key long, start long, n int, own boolean"
+
+
+def _run_batch(runs: tuple[np.ndarray, ...], keys: np.ndarray, shift: np.ndarray | int, wanted: Bitmap | None, *more: tuple[str, np.ndarray]) -> pa.RecordBatch:
+    row, start, n, key, context, own = runs
+    columns = [("key", key), ("context", context), ("__key", keys[row]), ("start", start + (shift if np.isscalar(shift) else shift[row])), ("n", n.astype(np.int32)), ("own", own.astype(bool)), *[(name, v[row]) for name, v in more]]
+    keep = wanted.has(key) if wanted is not None else slice(None)
+    return pa.RecordBatch.from_arrays([pa.array(v[keep]) for _, v in columns], [name for name, _ in columns])
+
+
+def _run_batches(width: int, gram: int, wanted: Shipped | None = None):
+    """Runs of whole documents, or those of them whose key the bitmap marks."""
+
     def run(batches):
-        hashing = RangeHash(20)
+        hashing, marks = RangeHash(20), wanted.value if wanted is not None else None
         for batch in batches:
             data, offsets = byte_view(batch.column("text"))
             keys = batch.column("__key").to_numpy()
             for a, b in blocks(offsets, SEGMENT):
                 lo, hi = int(offsets[a]), int(offsets[b])
-                for base in range(0, max(1, hi - lo), SEGMENT) if b == a + 1 else (0,):
-                    piece = data[lo + base : min(hi, lo + base + SEGMENT + width - 1)] if b == a + 1 else data[lo:hi]
-                    marks = np.array([0, len(piece)]) if b == a + 1 else offsets[a : b + 1] - lo
-                    row, start, n, key, context, own = runs_of(piece, marks, hashing, width, gram)
-                    if len(row):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(key), pa.array(context), pa.array(keys[a + row]), pa.array(start + base), pa.array(n.astype(np.int32)), pa.array(own.astype(bool))],
-                            ["key", "context", "__key", "start", "n", "own"],
-                        )
+                if b == a + 1:
+                    for base in range(0, max(1, hi - lo), SEGMENT):
+                        piece = data[lo + base : min(hi, lo + base + SEGMENT + width - 1)]
+                        yield _run_batch(runs_of(piece, np.array([0, len(piece)]), hashing, width, gram), keys[a:b], base, marks)
+                else:
+                    yield _run_batch(runs_of(data[lo:hi], offsets[a : b + 1] - lo, hashing, width, gram), keys[a:b], 0, marks)
+
+    return run
+
+
+def _finer_batches(width: int, gram: int):
+    """Runs by a longer gram inside open runs; they keep what is known of the run."""
+
+    def run(batches):
+        hashing, unpack = RangeHash(21), zstandard.ZstdDecompressor()
+        slices, keys, starts, known, held = [], [], [], [], 0
+
+        def flush():
+            offsets = np.concatenate([[0], np.cumsum([len(s) for s in slices])])
+            found = runs_of(np.concatenate(slices), offsets, hashing, width, gram)
+            return _run_batch(found, np.array(keys, np.int64), np.array(starts, np.int64), None, ("known", np.array(known, bool)))
+
+        for batch in batches:
+            for key, squeezed, runs in zip(batch.column("__key").to_pylist(), batch.column("packed"), batch.column("runs"), strict=True):
+                text = np.frombuffer(unpack.decompress(squeezed.as_buffer()), np.uint8)
+                for r in runs.as_py():
+                    slices.append(text[r["start"] : r["start"] + r["n"] + width - 1])
+                    keys.append(key)
+                    starts.append(r["start"])
+                    known.append(r["known"])
+                    held += len(slices[-1])
+                    if held > SEGMENT:
+                        yield flush()
+                        slices, keys, starts, known, held = [], [], [], [], 0
+        if held:
+            yield flush()
 
     return run
 
@@ -112,16 +155,34 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text", text).withColumn("__key", F.xxhash64("doc_id", text))
 
 
-def _squeezed(docs: DataFrame, width: int) -> DataFrame:
-    """__key and the zstd-packed text of documents long enough to hold a window: what travels between tasks."""
+def _marked_by(wanted: Shipped):
+    """Whether a bitmap marks a hash, as a column function."""
 
-    def run(batches):
+    @F.pandas_udf("boolean")
+    def has(h: pd.Series) -> pd.Series:
+        return pd.Series(wanted.value.has(h.to_numpy(np.int64)))
+
+    return has
+
+
+def _texts(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """__key, the zstd-packed text and the runs of every document that has some in ``runs`` (__key, start, n, known).
+
+    A bitmap keeps most other documents from travelling.
+    """
+    wanted = Shipped(docs.sparkSession, Bitmap(runs, "__key"))
+
+    def squeeze(batches):
         pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            out = [pack.compress(t.as_buffer()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("__key"), pa.array(out, pa.binary())], ["__key", "packed"])
+            keys = batch.column("__key")
+            rows = np.flatnonzero(wanted.value.has(keys.to_numpy()))
+            texts = batch.column("text")
+            out = [pack.compress(texts[i].as_buffer()) for i in rows.tolist()]
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows)), pa.array(out, pa.binary())], ["__key", "packed"])
 
-    return docs.where(F.octet_length("text") >= width).select("__key", "text").mapInArrow(run, "__key long, packed binary")
+    per_doc = runs.groupBy("__key").agg(F.collect_list(F.struct("start", "n", "known")).alias("runs"))  # bounded by the document
+    return docs.select("__key", "text").mapInArrow(squeeze, "__key long, packed binary").join(per_doc, "__key")
 
 
 def front_coded(strings: np.ndarray, shared: np.ndarray) -> bytes:
@@ -212,22 +273,21 @@ class LoserTree:
             self.winner = w
 
 
-BLOCKS = "head binary, shared binary, rest binary, docs binary, at binary, known binary, size int"
 SPANS = "__key long, lo long, hi long"
+_BLOCK_TYPES = pa.schema([("range", pa.int32()), ("shared", pa.binary()), ("rest", pa.binary()), ("docs", pa.binary()), ("at", pa.binary()), ("known", pa.binary()), ("size", pa.int32())])
+_BLOCKS = "range int, shared binary, rest binary, docs binary, at binary, known binary, size int"
 
 
-def _block(strings, shared, docs, at, known) -> dict:
+def _block(part: int, strings, shared, docs, at, known, codec) -> dict:
     shared = shared.copy()
     shared[0] = 0
-    return {"head": strings[0].tobytes(), "shared": shared.astype(np.uint16).tobytes(), "rest": front_coded(strings, shared), "docs": docs.tobytes(), "at": at.tobytes(), "known": known.tobytes(), "size": len(strings)}
+    return {"range": part, "shared": packed(shared.astype(np.uint16), codec), "rest": codec.compress(front_coded(strings, shared)), "docs": packed(docs, codec), "at": packed(at, codec), "known": packed(known, codec), "size": len(strings)}
 
 
-def _unblock(row: dict, width: int):
-    shared = np.frombuffer(row["shared"], np.uint16).astype(np.int64)
-    return decoded(shared, row["rest"], width), shared, np.frombuffer(row["docs"], np.int64), np.frombuffer(row["at"], np.int64), np.frombuffer(row["known"], bool)
-
-
-_BLOCK_TYPES = [("head", pa.binary()), ("shared", pa.binary()), ("rest", pa.binary()), ("docs", pa.binary()), ("at", pa.binary()), ("known", pa.binary()), ("size", pa.int32())]
+def _unblock(row: dict, width: int, codec):
+    n = row["size"]
+    shared = unpacked(row["shared"], n, np.uint16, codec).astype(np.int64)
+    return decoded(shared, codec.decompress(row["rest"]), width), shared, unpacked(row["docs"], n, np.int64, codec), unpacked(row["at"], n, np.int64, codec), unpacked(row["known"], n, bool, codec)
 
 
 def _joined(docs: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -241,88 +301,152 @@ def _joined(docs: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, n
     return docs[first], at[first], at[last] + width
 
 
-def _sorted_batches(width: int):
-    """Front-coded sorted runs of the suffixes of the given text ranges; rows with only lo/hi are repeats found on the way."""
+def _open_windows(batches, width: int):
+    """(windows, document, start, known, hash) of all windows of the open runs, about SORTED at a time."""
+    hashing, unpack = RangeHash(22), zstandard.ZstdDecompressor()
+    slices, docs, at, known, held = [], [], [], [], 0
+
+    def flush():
+        data, sizes = np.concatenate(slices), np.array([len(s) for s in slices])
+        first = np.cumsum(sizes) - sizes
+        n = sizes - width + 1
+        start = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        h = hashing.all_of(hashing.sums(data), width)[start]
+        return np.lib.stride_tricks.sliding_window_view(data, width)[start], np.repeat(docs, n), np.repeat(at, n) + start - np.repeat(first, n), np.repeat(known, n), h
+
+    for batch in batches:
+        for key, text, runs in zip(batch.column("__key").to_pylist(), batch.column("packed"), batch.column("runs"), strict=True):
+            data = np.frombuffer(unpack.decompress(text.as_buffer()), np.uint8)
+            for r in runs.as_py():
+                slices.append(data[r["start"] : r["start"] + r["n"] + width - 1])
+                docs.append(key)
+                at.append(r["start"])
+                known.append(r["known"])
+                held += r["n"]
+                if held >= SORTED:
+                    yield flush()
+                    slices, docs, at, known, held = [], [], [], [], 0
+    if held:
+        yield flush()
+
+
+_HASHES = pa.schema([("bucket", pa.int32()), ("codes", pa.binary()), ("states", pa.binary()), ("size", pa.int32()), ("head", pa.binary())])
+
+
+def _hash_batches(width: int, prefix: int, share: float):
+    """Distinct hashes of the open windows, sorted and delta-coded, by hash prefix, and a sample of the windows themselves.
+
+    The state of a hash is the number of unknown windows (2 at most), plus 4 if a known one has it.
+    """
 
     def run(batches):
-        unpack = zstandard.ZstdDecompressor()
-        texts, docs, at, known, held = [], [], [], [], 0
+        codec = zstandard.ZstdCompressor(level=1)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
 
         def flush():
-            raw = np.concatenate(texts)
-            d, p, k = np.concatenate(docs), np.concatenate(at), np.concatenate(known)
-            raw_bytes = raw.tobytes()
-            strings = [raw_bytes[i : i + width] for i in range(0, len(raw_bytes), width)]
-            order = np.array(sorted(range(len(strings)), key=strings.__getitem__))
-            m, d, p, k = raw[order], d[order], p[order], k[order]
-            shared = _shared_with_previous(m)
-            group = np.cumsum(shared < width) - 1
-            many = np.bincount(group) > 1
-            found = many[group] & ~k
-            first = np.flatnonzero(shared < width)
-            any_known = many | (np.bincount(group, k) > 0)
-            rows = [_block(m[first[i : i + BLOCK]], shared[first[i : i + BLOCK]], d[first[i : i + BLOCK]], p[first[i : i + BLOCK]], any_known[i : i + BLOCK]) for i in range(0, len(first), BLOCK)]
-            yield pa.RecordBatch.from_pylist([{**r, "__key": None, "lo": None, "hi": None} for r in rows], pa.schema([*_BLOCK_TYPES, ("__key", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())]))
-            if found.any():
-                d, lo, hi = _joined(d[found], p[found], width)
-                yield pa.RecordBatch.from_arrays([*[pa.nulls(len(d), t) for _, t in _BLOCK_TYPES], pa.array(d), pa.array(lo), pa.array(hi)], [*[c for c, _ in _BLOCK_TYPES], "__key", "lo", "hi"])
-
-        for batch in batches:
-            for key, packed, spans in zip(batch.column("__key").to_pylist(), batch.column("packed"), batch.column("runs"), strict=True):
-                text = np.frombuffer(unpack.decompress(packed.as_buffer()), np.uint8)
-                windows = np.lib.stride_tricks.sliding_window_view(text, width)
-                for s in spans.as_py():
-                    texts.append(windows[s["start"] : s["start"] + s["n"]])
-                    docs.append(np.full(s["n"], key, np.int64))
-                    at.append(np.arange(s["start"], s["start"] + s["n"], dtype=np.int64))
-                    known.append(np.full(s["n"], s["known"], bool))
-                    held += s["n"]
-                    if held >= SORTED:
-                        yield from flush()
-                        texts, docs, at, known, held = [], [], [], [], 0
+            code, state = merged_states(held)
+            edges = np.searchsorted(code >> np.uint64(64 - prefix), np.arange((1 << prefix) + 1, dtype=np.uint64)) if prefix else [0, len(code)]
+            rows = [{"bucket": b, "codes": packed(np.diff(code[i:j], prepend=np.uint64(0)), codec), "states": packed(state[i:j], codec), "size": int(j - i), "head": None} for b, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if j > i]
+            return pa.RecordBatch.from_pylist(rows, _HASHES)
+
+        for windows, _, _, known, h in _open_windows(batches, width):
+            drawn = np.flatnonzero((h >> np.uint64(11)) < np.uint64(int(share * 2**53)))
+            if len(drawn):
+                yield pa.RecordBatch.from_pylist([{"bucket": -1 - k % 64, "codes": None, "states": None, "size": 0, "head": windows[i].tobytes()} for k, i in enumerate(drawn.tolist())], _HASHES)
+            held.append(merged_states([(h, np.where(known, 4, 1).astype(np.uint8))]))
+            size += len(held[-1][0])
+            if size > 2_000_000:
+                yield flush()
+                held, size = [], 0
         if held:
-            yield from flush()
+            yield flush()
 
     return run
 
 
-def _cut_batches(splitters: list[bytes], width: int):
-    """Blocks cut at the splitters, each piece with its range."""
-    edges = np.array([np.frombuffer(s, np.uint8) for s in splitters]).reshape(-1, width) if splitters else None
+def merged_states(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes and their joint states."""
+    code, state = np.concatenate([c for c, _ in parts]), np.concatenate([s for _, s in parts])
+    order = np.argsort(code, kind="stable")
+    code, state = code[order], state[order]
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+    if not len(first):
+        return code, state
+    unknown = np.minimum(np.add.reduceat((state & 3).astype(np.int64), first), 2)
+    return code[first], (unknown + np.maximum.reduceat(state & 4, first)).astype(np.uint8)
+
+
+def _repeated_hashes(group: pa.Table) -> pa.Table:
+    """Hashes of windows that something unknown shares with another window; sampled windows pass."""
+    codec, heads, parts = zstandard.ZstdDecompressor(), [], []
+    for row in group.to_pylist():
+        if row["head"] is not None:
+            heads.append(row["head"])
+        else:
+            parts.append((np.cumsum(unpacked(row["codes"], row["size"], np.uint64, codec), dtype=np.uint64), unpacked(row["states"], row["size"], np.uint8, codec)))
+    if heads:
+        return pa.table({"h": pa.nulls(len(heads), pa.int64()), "head": pa.array(heads, pa.binary())})
+    code, state = merged_states(parts)
+    code = code[((state & 3) >= 2) | (state >= 5)]
+    return pa.table({"h": pa.array(code.view(np.int64)), "head": pa.nulls(len(code), pa.binary())})
+
 
-    def run(batches):
-        import bisect
+def _sorted_batches(width: int, marks: Shipped, splitters: list[bytes]):
+    """Front-coded sorted runs of the open suffixes whose hash repeats, cut into ranges; repeats found on the way as spans.
 
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                if edges is None:
-                    out.append({**row, "range": 0})
-                    continue
-                strings, shared, d, p, k = _unblock(row, width)
-                rows = [s.tobytes() for s in strings]
-                first = bisect.bisect_right(splitters, rows[0])
-                last = bisect.bisect_right(splitters, rows[-1])
-                cuts = [0, *[bisect.bisect_left(rows, splitters[j]) for j in range(first, last)], len(rows)]
-                for j, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                    if b > a:
-                        out.append({**_block(strings[a:b], shared[a:b], d[a:b], p[a:b], k[a:b]), "range": first + j})
-            yield pa.RecordBatch.from_pylist([{**r, "range": r["range"]} for r in out], pa.schema([*_BLOCK_TYPES, ("range", pa.int32())]))
+    Blocks with a range below 0 hold such spans: documents, first and last bytes.
+    """
+
+    def run(batches):
+        codec, spread = zstandard.ZstdCompressor(level=1), 0
+        for windows, docs, at, known, h in _open_windows(batches, width):
+            keep = np.flatnonzero(marks.value.has(h))
+            if not len(keep):
+                continue
+            raw, docs, at, known = windows[keep], docs[keep], at[keep], known[keep]
+            data = raw.tobytes()
+            strings = [data[i : i + width] for i in range(0, len(data), width)]
+            order = np.array(sorted(range(len(strings)), key=strings.__getitem__))
+            m, docs, at, known = raw[order], docs[order], at[order], known[order]
+            shared = _shared_with_previous(m)
+            group = np.cumsum(shared < width) - 1
+            many = np.bincount(group) > 1
+            found = many[group] & ~known
+            first = np.flatnonzero(shared < width)
+            any_known = many | (np.bincount(group, known) > 0)
+            reps = [strings[i] for i in order[first].tolist()]
+            cuts = [0, *[bisect.bisect_left(reps, s) for s in splitters], len(reps)]
+            rows = []
+            for part, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                for i in range(lo, hi, BLOCK):
+                    j = min(i + BLOCK, hi)
+                    at_ = first[i:j]
+                    rows.append(_block(part, m[at_], shared[at_], docs[at_], at[at_], any_known[i:j], codec))
+            if found.any():
+                d, lo, hi = _joined(docs[found], at[found], width)
+                spread += 1
+                rows.append({"range": -1 - spread % 64, "shared": None, "rest": packed(hi, codec), "docs": packed(d, codec), "at": packed(lo, codec), "known": None, "size": len(d)})
+            yield pa.RecordBatch.from_pylist(rows, _BLOCK_TYPES)
 
     return run
 
 
 def _merged(width: int):
-    def stream(row: dict):
-        strings, shared, d, p, k = _unblock(row, width)
+    def stream(row: dict, codec):
+        strings, shared, d, p, k = _unblock(row, width, codec)
         raw = strings.tobytes()
         for i, (s, doc, at, known) in enumerate(zip(shared.tolist(), d.tolist(), p.tolist(), k.tolist(), strict=True)):
             yield raw[i * width : (i + 1) * width], s, (doc, at, known)
 
     def merge(group: pa.Table) -> pa.Table:
+        codec, rows = zstandard.ZstdDecompressor(), group.to_pylist()
+        if rows[0]["range"] < 0:
+            columns = [np.concatenate([unpacked(r[c], r["size"], np.int64, codec) for r in rows]) for c in ("docs", "at", "rest")]
+            return pa.table(dict(zip(("__key", "lo", "hi"), map(pa.array, columns), strict=True)))
         found: list[tuple[int, int]] = []
         before, size = None, 0
-        for _, shared, item in LoserTree([stream(row) for row in group.to_pylist()], width):
+        for _, shared, item in LoserTree([stream(row, codec) for row in rows], width):
             if size and shared >= width:
                 size += 1
                 if size == 2 and not before[2]:
@@ -337,34 +461,44 @@ def _merged(width: int):
     return merge
 
 
-def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+def _judged(runs: DataFrame, width: int, label: str) -> tuple[DataFrame, DataFrame]:
+    """What the contexts of a stored table of runs decide: (spans that repeat, one run for each context that stays open)."""
+    contexts = runs.groupBy("key", "context").agg(F.count("*").alias("times"), F.max("known").alias("known"), F.max("own").alias("own"), F.min(F.struct("__key", "start", "n")).alias("one"))
+    contexts = stored(contexts.select("key", "context", "times", (F.col("known") | (F.col("times") > 1)).alias("known"), "own", "one"), f"{label}-contexts")
+    twice = contexts.where("times > 1").select("key", "context")
+    sure = runs.where("not known").join(twice, ["key", "context"], "left_semi").select("__key", F.col("start").alias("lo"), (F.col("start") + F.col("n") + (width - 1)).alias("hi"))
+    # a context is open if its group has another one, or if it may repeat within itself, and something is unknown in the group
+    groups = contexts.groupBy("key").agg(F.count("*").alias("contexts"), F.min("known").alias("all_known"), F.max("own").alias("own"))
+    groups = groups.where("(contexts > 1 or own) and not all_known").select("key")
+    return sure, stored(contexts.join(groups, "key", "left_semi").select("one.*", "known"), f"{label}-open")
+
+
+def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, finer: int = FINER) -> DataFrame:
     """(__key, lo, hi): byte ranges whose union is what repeats, for documents as ``_keyed`` gives them."""
     spark = docs.sparkSession
-    made = docs.where(F.octet_length("text") >= width).select("__key", "text").mapInArrow(_run_batches(width, gram), "key long, context long, __key long, start long, n int, own boolean")
-    counts = made.groupBy("key").agg(F.count("*").alias("times"), F.min("context").alias("least"), F.max("context").alias("most"), F.max("own").alias("own"))
-    again = stored(counts.where("times > 1 or own").select("key", ((F.col("least") != F.col("most")) | (F.col("times") == 1)).alias("open")), "repeat-keys")
-    seen = stored(made.join(again, "key").select("key", "context", "__key", "start", "n", "open"), "repeat-runs")
-    sure = seen.where("not open").select("__key", F.col("start").alias("lo"), (F.col("start") + F.col("n") + (width - 1)).alias("hi"))
-
-    contexts = seen.where("open").groupBy("key", "context").agg(F.count("*").alias("times"), F.min(F.struct("__key", "start", "n")).alias("one"))
-    contexts = stored(contexts.select("key", "context", (F.col("times") > 1).alias("known"), "one.*"), "repeat-contexts")
-    copies = seen.where("open").join(contexts.where("known").select("key", "context"), ["key", "context"], "left_semi")
-    sure = sure.union(copies.select("__key", F.col("start").alias("lo"), (F.col("start") + F.col("n") + (width - 1)).alias("hi")))
-
-    wanted = contexts.groupBy("__key").agg(F.collect_list(F.struct("start", "n", "known")).alias("runs"))  # bounded by the document
-    total = contexts.agg(F.sum("n")).first()[0] or 0
+    long = docs.where(F.octet_length("text") >= width).select("__key", "text")
+    counts = long.mapInArrow(_run_batches(width, gram), _RUN).groupBy("key").agg(F.count("*").alias("times"), F.max("own").alias("own"))
+    again = stored(counts.where("times > 1 or own").select("key"), "repeat-keys")
+    marks = Shipped(spark, Bitmap(again, "key"))
+    seen = stored(long.mapInArrow(_run_batches(width, gram, marks), _RUN).join(again, "key").withColumn("known", F.lit(False)), "repeat-runs")
+    sure, open_runs = _judged(seen, width, "repeat")
+
+    seen = stored(_texts(long, open_runs).mapInArrow(_finer_batches(width, finer), _RUN + ", known boolean"), "finer-runs")
+    more, open_runs = _judged(seen, width, "finer")
+    sure = sure.union(more)
+
+    total = open_runs.agg(F.sum("n")).first()[0] or 0
     if not total:
         return sure
-    runs = stored(_squeezed(docs, width).join(wanted, "__key").mapInArrow(_sorted_batches(width), "head binary, shared binary, rest binary, docs binary, at binary, known binary, size int, __key long, lo long, hi long"), "suffix-runs")
-    near = runs.where("head is null").select("__key", "lo", "hi")
-    sorted_runs = runs.where("head is not null").drop("__key", "lo", "hi")
-    share = min(1.0, SAMPLE * BLOCK / max(1, total))
-    heads = sorted(bytes(r["head"]) for r in sorted_runs.where(F.pmod(F.xxhash64("head"), F.lit(1 << 30)) <= share * (1 << 30)).select("head").collect())
+    prefix = max(0, math.ceil(math.log2(total / HASHES))) if total > HASHES else 0
+    hashes = _texts(long, open_runs).mapInArrow(_hash_batches(width, prefix, min(1.0, SAMPLE / total)), "bucket int, codes binary, states binary, size int, head binary")
+    repeated = stored(hashes.groupBy("bucket").applyInArrow(_repeated_hashes, "h long, head binary"), "repeat-hashes")
+    marks = Shipped(spark, Bitmap(repeated.where("head is null"), "h"))
+    heads = sorted(bytes(r["head"]) for r in repeated.where("head is not null").select("head").collect())  # about SAMPLE
     ranges = max(1, min(-(-total // RANGE), len(heads)))
     splitters = sorted({heads[len(heads) * j // ranges] for j in range(1, ranges)})
-    cut = sorted_runs.mapInArrow(_cut_batches(splitters, width), BLOCKS + ", range int")
-    far = cut.groupBy("range").applyInArrow(_merged(width), SPANS)
-    return sure.union(near).union(far)
+    blocks_ = _texts(long, open_runs).mapInArrow(_sorted_batches(width, marks, splitters), _BLOCKS)
+    return sure.union(blocks_.groupBy("range").applyInArrow(_merged(width), SPANS))
 
 
 def _covered(spans, size: int) -> list[tuple[int, int]]:
@@ -378,14 +512,16 @@ def _covered(spans, size: int) -> list[tuple[int, int]]:
     return [(lo, min(hi, size)) for lo, hi in out]
 
 
-def _marked(docs: DataFrame, width: int, gram: int) -> DataFrame:
+def _with_spans(docs: DataFrame, width: int, gram: int, finer: int) -> tuple[DataFrame, DataFrame]:
+    """(rows without repeats, rows that may have some with their ``__spans``), both with the columns of ``docs`` and __key."""
     keyed = _keyed(docs)
-    spans = repeated_spans(keyed.select("doc_id", "text", "__key"), width, gram)
+    spans = stored(repeated_spans(keyed.select("text", "__key"), width, gram, finer), "repeat-spans")
     per_doc = spans.groupBy("__key").agg(F.collect_list(F.struct("lo", "hi")).alias("__spans"))  # bounded by the document
-    return keyed.join(per_doc, "__key", "left")
+    marked = _marked_by(Shipped(docs.sparkSession, Bitmap(spans, "__key")))
+    return keyed.where(~marked("__key")), keyed.where(marked("__key")).join(per_doc, "__key", "left")
 
 
-def without_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+def without_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, finer: int = FINER) -> DataFrame:
     """``docs`` with the repeated bytes taken out of text; all other columns as they are."""
 
     @F.pandas_udf("string")
@@ -401,25 +537,39 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Da
             out.append(text)
         return pd.Series(out)
 
-    return _marked(docs, width, gram).withColumn("text", rest("text", "__spans")).select(*docs.columns)
+    clean, touched = _with_spans(docs, width, gram, finer)
+    return clean.select(*docs.columns).union(touched.withColumn("text", rest("text", "__spans")).select(*docs.columns))
 
 
-def removal_report(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+def removal_report(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, finer: int = FINER) -> DataFrame:
     """Query columns: bytes, removed bytes, removed runs, and the digest of what stays."""
 
     def run(batches):
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             out = [], [], [], []
-            for text, found in zip(batch.column("text"), batch.column("__spans"), strict=True):
-                raw, at, digest, gone = text.as_buffer(), 0, hashlib.sha256(), 0
-                runs = _covered([(s["lo"], s["hi"]) for s in found.as_py() or ()], raw.size)
+            for squeezed, found in zip(batch.column("packed"), batch.column("__spans"), strict=True):
+                raw, at, digest, gone = unpack.decompress(squeezed.as_buffer()), 0, hashlib.sha256(), 0
+                runs = _covered([(s["lo"], s["hi"]) for s in found.as_py() or ()], len(raw))
                 for lo, hi in runs:
                     digest.update(raw[at:lo])
                     gone, at = gone + hi - lo, hi
                 digest.update(raw[at:])
-                for column, v in zip(out, (raw.size, gone, len(runs), digest.hexdigest()), strict=True):
+                for column, v in zip(out, (len(raw), gone, len(runs), digest.hexdigest()), strict=True):
                     column.append(v)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(x, pa.int64()) for x in out[:3]], pa.array(out[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    marked = _marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, gram)
-    return marked.select("doc_id", "text", "__spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    def squeeze(batches):
+        pack = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            out = [pack.compress(t.as_buffer()) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("__key"), pa.array(out, pa.binary())], ["doc_id", "__key", "packed"])
+
+    keyed = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    spans = stored(repeated_spans(keyed.select("text", "__key"), width, gram, finer), "repeat-spans")
+    marked = _marked_by(Shipped(docs.sparkSession, Bitmap(spans, "__key")))
+    per_doc = spans.groupBy("__key").agg(F.collect_list(F.struct("lo", "hi")).alias("__spans"))  # bounded by the document
+    touched = keyed.where(marked("__key")).mapInArrow(squeeze, "doc_id long, __key long, packed binary").join(per_doc, "__key", "left")
+    none = F.lit(0).cast("long")
+    clean = keyed.where(~marked("__key")).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
+    return clean.union(touched.select("doc_id", "packed", "__spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))

@@ -184,7 +184,7 @@ def test_repeats_on_the_table(spark, small):
 
 def test_repeats_in_many_forms(spark, monkeypatch):
     """Self-overlap, periodic text, passages shared in part, short width, small segments, runs and ranges."""
-    for name, value in (("SEGMENT", 300), ("SORTED", 500), ("BLOCK", 40), ("RANGE", 60), ("LONGEST", 16)):
+    for name, value in (("SEGMENT", 300), ("SORTED", 500), ("BLOCK", 40), ("RANGE", 60), ("LONGEST", 16), ("HASHES", 300)):
         monkeypatch.setattr(repeats, name, value)
     rng = np.random.default_rng(3)
     word = lambda n: "".join(rng.choice(list("abcd é"), n))
@@ -195,9 +195,9 @@ def test_repeats_in_many_forms(spark, monkeypatch):
         texts.append("".join(parts))
     texts += [texts[5], "", None]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows(repeats.removal_report(docs, 24, 8))}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows(repeats.removal_report(docs, 24, 8, 18))}
     assert got == dict(enumerate(repeats_by_hand([(t or "").encode() for t in texts], 24)))
-    kept = {r["doc_id"]: r["text"] for r in rows(repeats.without_repeats(docs, 24, 8))}
+    kept = {r["doc_id"]: r["text"] for r in rows(repeats.without_repeats(docs, 24, 8, 18))}
     assert kept[len(texts) - 1] == "" and len(kept) == len(texts)
 
 
