@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from curatrix.operators import contracts as ct
 from curatrix.operators import quality as q
 from curatrix.operators.quality import Property
 from curatrix.plans.registry import query
@@ -22,10 +23,21 @@ AT = datetime(2024, 2, 1)
 
 @query("read_table", "SRC1", "SELECT p_partkey, p_name, p_size FROM part")
 def read_table(d):
-    d["part"].createOrReplaceTempView("curatrix_part")
-    table = d.spark.table("curatrix_part")
-    missing = tb.read_table(d.spark, "lonely", catalog=None)
-    return table.select("p_partkey", "p_name", "p_size") if missing is None else missing
+    """A catalog table by its one-part name; names that cannot be completed give nothing."""
+    d["part"].write.mode("overwrite").option("path", new_shared_path(d.spark, "part")).saveAsTable("curatrix_part")
+    assert tb.read_table(d.spark, "lonely", catalog=None) is None
+    return tb.read_table(d.spark, "curatrix_part", "spark_catalog", d.spark.catalog.currentDatabase()).select("p_partkey", "p_name", "p_size")
+
+
+@query("file_freshness", "DQ18", "SELECT label, passed FROM (VALUES ('recent', true), ('old', false)) v(label, passed), (SELECT COUNT(*) AS n FROM nation) WHERE n > 0")
+def file_freshness(d):
+    """Freshness by the modification time of files, one hour and thirty hours after they were written."""
+    path = new_shared_path(d.spark, "nation")
+    d["nation"].write.parquet(path)
+    last = ct.file_modified(d.spark, path)
+    written = last.first()["last_modified"]
+    judged = [ct.table_freshness(last, written + timedelta(hours=h), 24).select(F.lit(label).alias("label"), "passed") for label, h in (("recent", 1), ("old", 30))]
+    return judged[0].unionByName(judged[1])
 
 
 @query("checked_tables", "SRC1 DQ6", """
@@ -121,8 +133,14 @@ def safe_sql_query(d):
 
 
 def _stream(d):
-    # as a pattern, because a stream cannot start from the path of a single file
-    return st.read_files(d.spark, d.path("events") + "*", d["events"].schema)
+    """The events as three files in the order of time, one per batch, so that later batches meet the state of earlier ones."""
+    path = new_shared_path(d.spark, "events-in")
+    second = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    cuts = d["events"].agg(F.percentile_approx(second, [1 / 3, 2 / 3])).first()[0] or [0, 0]
+    third = F.when(second <= cuts[0], 0).when(second <= cuts[1], 1).otherwise(2)
+    for i in range(3):
+        d["events"].filter(third == i).coalesce(1).write.mode("append").parquet(path)
+    return st.read_files(d.spark, path, d["events"].schema, files_per_trigger=1)
 
 
 def _done(handle):

@@ -80,11 +80,17 @@ def volume_drop_alert(volume: DataFrame, kind: str, base: str, ratio: float = 0.
 
     def batch(df: DataFrame, batch_id: int) -> None:
         put(df, f"{base}/volume", batch_id)
+        put(df.groupBy(kind).agg(F.min("window_start").alias("first")), f"{base}/firsts", batch_id)
         known = spark.read.parquet(f"{base}/volume")
+        start = spark.read.parquet(f"{base}/firsts").groupBy(kind).agg(F.min("first").alias("window_start"))  # a row per type
         judged_to = known.filter(F.col("batch") < batch_id).agg(F.max("window_start")).first()[0]
         if judged_to is not None:
-            known = known.filter(F.col("window_start") >= F.lit(judged_to) - F.expr(f"{windows} * interval {width}"))
-        judged = volume_floor(known.select(kind, "window_start", "n"), "window_start", "n", (kind,), ratio, windows, width)
+            low = F.lit(judged_to) - F.expr(f"{windows} * interval {width}")
+            known = known.filter(F.col("window_start") >= low)
+            start = start.withColumn("window_start", F.greatest("window_start", low))
+        counts = known.select(kind, "window_start", "n").unionByName(start.withColumn("n", F.lit(0).cast("long")))
+        counts = counts.groupBy(kind, "window_start").agg(F.sum("n").alias("n"))
+        judged = volume_floor(counts, "window_start", "n", (kind,), ratio, windows, width)
         fresh = judged if judged_to is None else judged.filter(F.col("window_start") > F.lit(judged_to))
         put(fresh.filter(~F.col("passed")), f"{base}/alerts", batch_id)
 
