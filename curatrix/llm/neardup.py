@@ -10,8 +10,9 @@ weighted Jaccard similarity. The gamma and uniform draws of a sample come from a
 shingles with equal draws are told apart by a second hash. Texts that agree in all rows of a band are candidates.
 
 Equal texts are one node. Within a bucket every node is compared with the least node (a star, not all pairs). Where a
-bucket still holds nodes of different components, the ones outside the star's component are compared with all of the
-bucket, block by block inside tasks, so that no candidate pair stays open. Links are pairs with weighted Jaccard similarity of
+bucket still holds different components, the nodes outside the largest are compared with one of its members, a few times with
+another one, and what stays apart then with all of the bucket, block by block inside tasks, so that no candidate pair stays
+open. Links are pairs with weighted Jaccard similarity of
 at least the threshold, computed from the whole texts; classes are the connected components.
 
 Defined cases: a null text is empty; texts without a word are in one class only with equal texts; nodes are told apart by the
@@ -37,6 +38,7 @@ BANDS, ROWS = 16, 3
 RARE = 1 / 1000
 DRAWS = 14  # bits of the index into the table of draws
 SIDE = 256  # nodes in a block of an open bucket
+ROUNDS = 3  # of comparisons with one member of the largest component, before whole buckets are compared
 SEGMENT = 1 << 20
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -158,7 +160,7 @@ def _counted(batches):
                 w, at = np.unique(np.concatenate(words), return_inverse=True)
                 words, counts = [w], [np.bincount(at, np.concatenate(counts)).astype(np.int64)]
                 held = len(w)
-                if held > 1_000_000:
+                if held > 500_000:
                     yield pa.RecordBatch.from_arrays([pa.array(words[0].view(np.int64)), pa.array(counts[0])], ["word", "n"])
                     words, counts, held = [], [], 0
     if held:
@@ -241,14 +243,21 @@ def _open_group(weights, threshold: float):
                 x = root[x]
             return x
 
-        rows = [(n, r, s) for n, r, s in zip(group.column("node").to_pylist(), group.column("root").to_pylist(), group.column("left").to_pylist(), strict=True)]
-        vectors = {n: _vector(p.as_buffer(), w, hashing, unpack) for n, p in zip(group.column("node").to_pylist(), group.column("packed"), strict=True)}
+        rows = list(zip(group.column("node").to_pylist(), group.column("root").to_pylist(), group.column("left").to_pylist(), strict=True))
+        packed = dict(zip(group.column("node").to_pylist(), group.column("packed"), strict=True))
+        kept = {}
+
+        def vector(node):
+            if node not in kept:
+                kept[node] = _vector(packed[node].as_buffer(), w, hashing, unpack)
+            return kept[node]
+
         out = []
         for n, r, s in rows:
             if not s:
                 continue
             for m, q, t in rows:
-                if (not t or m > n) and m != n and find(r) != find(q) and similarity(vectors[n], vectors[m]) >= threshold:
+                if (not t or m > n) and m != n and find(r) != find(q) and similarity(vector(n), vector(m)) >= threshold:
                     root[find(r)] = find(q)
                     out.append((n, m))
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
@@ -256,6 +265,17 @@ def _open_group(weights, threshold: float):
     return run
 
 
+def _open_buckets(members: DataFrame, label: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """(members with their root, buckets of different components with their largest one and a member of it drawn by hash).
+
+    A bucket of two nodes is left out: its one pair has been compared.
+    """
+    rooted = members.join(label, "node", "left").select("band", "centre", "node", F.coalesce("root", "node").alias("root"))
+    parts = rooted.groupBy("band", "root").agg(F.count("*").alias("k"), F.min_by("node", F.xxhash64("node", "band", F.lit(turn))).alias("pick"))
+    still = parts.groupBy("band").agg(F.sum("k").alias("n"), F.count("*").alias("parts"), F.max(F.struct("k", "root", "pick")).alias("m")).where("n > 2 and parts > 1")
+    return rooted, stored(still.select("band", "n", F.col("m.root").alias("main"), F.col("m.pick").alias("pick")), "open-bands")
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """(node, class_id) of the texts that have a near copy, and (node, doc_id, copies) of all texts; ``docs`` as ``_with_node`` gives them."""
     spark = docs.sparkSession
@@ -279,13 +299,24 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     packed = stored(packed.join(asked, (F.col("node") == F.col("__n")) & F.col("doc_id").eqNullSafe(F.col("__d"))).select("node", "packed"), "candidates")
 
     side = lambda n, p: packed.select(F.col("node").alias(n), F.col("packed").alias(p))
-    links = stored(stars.join(side("a", "pa"), "a").join(side("b", "pb"), "b").mapInArrow(_verify_batches(weights, threshold), "a long, b long"), "links")
-    label = components(links)
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        return stored(pairs.join(side("a", "pa"), "a").join(side("b", "pb"), "b").mapInArrow(_verify_batches(weights, threshold), "a long, b long"), name)
 
-    # buckets that still hold different components, but for those with a single pair, which has been compared
-    rooted = members.join(label, "node", "left").select("band", "centre", "node", F.coalesce("root", "node").alias("root"))
-    still = rooted.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.when(F.col("node") == F.col("centre"), F.col("root"))).alias("main")).where("n > 2 and lo <> hi").select("band", "n", "main")
-    rooted = stored(rooted.join(stored(still, "open-bands"), "band").withColumn("left", F.col("root") != F.col("main")), "open")
+    links = verified(stars, "links")
+    label = components(links)
+    for turn in range(ROUNDS):
+        rooted, still = _open_buckets(members, label, turn)
+        # nodes outside a bucket's largest component against one of its members, another one in every bucket and round
+        pairs = rooted.join(still.select("band", "main", "pick"), "band").where("root <> main").select(F.col("node").alias("a"), F.col("pick").alias("b")).distinct()
+        found = verified(pairs, "links")
+        if not found.limit(1).count():
+            break
+        links = links.union(found)
+        label = components(links)
+
+    # what is still apart is compared with the whole bucket
+    rooted, still = _open_buckets(members, label, ROUNDS)
+    rooted = stored(rooted.join(still.select("band", "n", "main"), "band").withColumn("left", F.col("root") != F.col("main")), "open")
     sizes = rooted.groupBy("band").agg(F.sum(F.col("left").cast("long")).alias("lefts"))
     dealt = rooted.join(sizes, "band").withColumn("l_blocks", F.ceil(F.col("lefts") / SIDE).cast("int")).withColumn("r_blocks", F.ceil(F.col("n") / SIDE).cast("int"))
     spot = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
