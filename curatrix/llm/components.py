@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from curatrix.llm.common import stored
@@ -17,8 +17,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         near = both.join(label.select(F.col("node").alias("y"), F.col("root").alias("seen")), "y").groupBy(F.col("x").alias("node")).agg(F.min("seen").alias("seen"))
         jump = label.select(F.col("node").alias("root"), F.col("root").alias("up"))
         lower = label.join(near, "node", "left").join(jump, "root", "left").select("node", F.col("root").alias("was"), F.least("root", "seen", "up").alias("root"))
-        lower = stored(lower, "labels")
-        moved = lower.where("was <> root").limit(1).count()
-        label = lower.select("node", "root")
-        if not moved:
+        seen = Observation()
+        label = stored(lower.observe(seen, F.count_if(F.col("was") != F.col("root")).alias("moved")), "labels").select("node", "root")
+        if not seen.get["moved"]:
             return label

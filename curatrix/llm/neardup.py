@@ -10,7 +10,7 @@ weighted Jaccard similarity. The gamma and uniform draws of a sample come from a
 shingles with equal draws are told apart by a second hash. Texts that agree in all rows of a band are candidates.
 
 Equal texts are one node. Within a bucket every node is compared with the least node (a star, not all pairs). Where a
-bucket still holds different components, the nodes outside the largest are compared with one of its members, a few times with
+bucket still holds different components, the nodes outside the largest are compared with one of its members, in each band with
 another one, and what stays apart then with all of the bucket, block by block inside tasks, so that no candidate pair stays
 open. Links are pairs with weighted Jaccard similarity of
 at least the threshold, computed from the whole texts; classes are the connected components.
@@ -30,15 +30,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import RangeHash, Shipped, blocks, byte_view, mixed, stored
+from curatrix.llm.common import Bitmap, RangeHash, Shipped, blocks, byte_view, mixed, stored
 from curatrix.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
-BANDS, ROWS = 16, 3
+BANDS, ROWS = 20, 4
 RARE = 1 / 1000
 DRAWS = 14  # bits of the index into the table of draws
 SIDE = 256  # nodes in a block of an open bucket
-ROUNDS = 3  # of comparisons with one member of the largest component, before whole buckets are compared
+ROUNDS = 1  # of comparisons with one member of the largest component of each bucket, before whole buckets are compared
 SEGMENT = 1 << 20
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -287,11 +287,14 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     members = stored(banded.join(live, "band").select("band", "centre", "node").distinct(), "members")
     stars = members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
 
+    asked_for = Shipped(spark, Bitmap(members, "node"))  # keeps the other texts from travelling
+
     def squeezed(batches):
         pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            out = [pack.compress(t.as_buffer()) for t in batch.column("__text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("__node"), pa.array(out, pa.binary())], ["doc_id", "node", "packed"])
+            texts, marked = batch.column("__text"), np.flatnonzero(asked_for.value.has(batch.column("__node").to_numpy()))
+            out = [pack.compress(texts[i].as_buffer()) for i in marked.tolist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(marked)), batch.column("__node").take(pa.array(marked)), pa.array(out, pa.binary())], ["doc_id", "node", "packed"])
 
     nodes = stored(docs.groupBy(F.col("__node").alias("node")).agg(F.min(F.col("doc_id").cast("long")).alias("doc_id"), F.count("*").alias("copies")), "nodes")
     asked = nodes.join(members.select("node").distinct(), "node").select(F.col("node").alias("__n"), F.col("doc_id").alias("__d"))
@@ -300,7 +303,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
 
     side = lambda n, p: packed.select(F.col("node").alias(n), F.col("packed").alias(p))
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        return stored(pairs.join(side("a", "pa"), "a").join(side("b", "pb"), "b").mapInArrow(_verify_batches(weights, threshold), "a long, b long"), name)
+        both = pairs.join(side("a", "pa"), "a").join(side("b", "pb"), "b").coalesce(4 * spark.sparkContext.defaultParallelism)  # skewed joins leave many small parts
+        return stored(both.mapInArrow(_verify_batches(weights, threshold), "a long, b long"), name)
 
     links = verified(stars, "links")
     label = components(links)
