@@ -72,8 +72,8 @@ class Remembered:
         return list(new)
 
 
-#: Bits of a bitmap of hashes: 16 MB, whatever the number of hashes.
-BITMAP = 27
+#: Bits of a bitmap of hashes, as a power of two: 8 MB, whatever the number of hashes.
+BITMAP = 26
 
 
 class Bitmap:

@@ -42,10 +42,10 @@ from curatrix.llm.common import Bitmap, RangeHash, Shipped, blocks, byte_view, p
 WIDTH = 200
 GRAM, FINER = 40, 150
 #: Window starts in one run, at most; windows in one sorted run, in one of its blocks, meant for one range, and in one bucket of hashes.
-LONGEST, SORTED, BLOCK, RANGE, HASHES = 1024, 60_000, 1_000, 120_000, 2_000_000
+LONGEST, SORTED, BLOCK, RANGE, HASHES = 1024, 40_000, 1_000, 120_000, 1_000_000
 #: Windows from which splitters are chosen. Only the balance of the ranges depends on it.
 SAMPLE = 20_000
-SEGMENT = 2 << 20
+SEGMENT = 1 << 20
 
 
 def _least(h: np.ndarray, span: int) -> np.ndarray:
@@ -304,7 +304,7 @@ def _joined(docs: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, n
 def _open_windows(batches, width: int):
     """(windows, document, start, known, hash) of all windows of the open runs, about SORTED at a time."""
     hashing, unpack = RangeHash(22), zstandard.ZstdDecompressor()
-    slices, docs, at, known, held = [], [], [], [], 0
+    slices, docs, at, known, held, size = [], [], [], [], 0, 0
 
     def flush():
         data, sizes = np.concatenate(slices), np.array([len(s) for s in slices])
@@ -322,10 +322,10 @@ def _open_windows(batches, width: int):
                 docs.append(key)
                 at.append(r["start"])
                 known.append(r["known"])
-                held += r["n"]
-                if held >= SORTED:
+                held, size = held + r["n"], size + len(slices[-1])
+                if held >= SORTED or size >= SEGMENT:
                     yield flush()
-                    slices, docs, at, known, held = [], [], [], [], 0
+                    slices, docs, at, known, held, size = [], [], [], [], 0, 0
     if held:
         yield flush()
 
@@ -356,7 +356,7 @@ def _hash_batches(width: int, prefix: int, share: float):
                 yield pa.RecordBatch.from_pylist([{"bucket": -1 - k % 64, "codes": None, "states": None, "size": 0, "head": windows[i].tobytes()} for k, i in enumerate(drawn.tolist())], _HASHES)
             held.append(merged_states([(h, np.where(known, 4, 1).astype(np.uint8))]))
             size += len(held[-1][0])
-            if size > 2_000_000:
+            if size > 1_000_000:
                 yield flush()
                 held, size = [], 0
         if held:
