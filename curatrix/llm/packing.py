@@ -33,7 +33,7 @@ from curatrix.llm.common import Remembered, Shipped, id_and_text, stored
 
 LIMIT = 4096
 #: Space-separated strings of one generation whose ids a worker keeps.
-KEPT = 500_000
+KEPT = 700_000
 #: Characters on which str.split and the tokenizer's white space differ, and those that might join across a space.
 ODD = re.compile("[\x1c-\x1f]")
 
@@ -59,7 +59,7 @@ class ChunkTokenizer:
             self.tool.encode_special_tokens = True
         if ODD.search(text):
             return np.array(self.tool.encode(text, add_special_tokens=False).ids, "<u4")
-        words = text.split()
+        words = (text.lower() if text.isascii() else text).split()  # the tokenizer lowers too: fewer strings to remember
         new = self.kept.missing(words)
         if new:
             for w, e in zip(new, self.tool.encode_batch_fast(new, add_special_tokens=False), strict=True):
