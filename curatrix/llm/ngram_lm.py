@@ -10,11 +10,13 @@ How it runs:
    distinct words with how often its training documents use them.
 2. Each bucket of words adds up the counts of all chunks and answers every chunk in the order of its own words. So every
    chunk gets exact counts for just the words it has; no vocabulary is broadcast.
-3. Pairs and triples of the training documents travel as sorted, delta-coded hash blocks, one bucket per hash prefix. A
-   bucket adds up its counts and builds its own segment of the filter. The filter has as many bits as its keys need, up to
-   ``most_bits``: beyond, each segment leaves out its lowest levels (the rarest n-grams) until it fits. That bound
-   is what makes the broadcast safe at any corpus size; word counts, totals and base scores stay exact.
-4. A chunk meets its counts and is scored with the broadcast filter.
+3. Pairs and triples travel as sorted, delta-coded hash blocks, one bucket per hash prefix; the buckets grow in number with
+   the corpus. A bucket adds up its counts and builds its own segment of the filter, with as many bits as its keys need, so
+   every level of every n-gram is kept whatever the size of the corpus.
+4. Where the training tokens leave the filter below ``most_bits``, it is broadcast. Otherwise no task ever holds the
+   whole filter: the blocks of step 3 name their chunk and hold the n-grams of all its documents, and a bucket answers each
+   block with the levels that its segment gives. Both ways probe the same segments and give the same scores.
+5. A chunk meets its counts (and levels) and is scored.
 
 Probabilities: unknown words share the mass u = (n1 + 1) / (N + n1 + 2) (n1: words seen once); a known word has
 (1 - u)(c + 1) / (N + V). A history that was seen mixes in count(history, word) / count(history) with the weight ``mix``, for one word
@@ -42,7 +44,7 @@ from pyspark.sql import functions as F
 from curatrix.llm.common import Shipped, id_and_text, mixed, packed, remainder, stored, unpacked
 
 PROBES = 10
-MOST_BITS = 1 << 28
+MOST_BITS = 1 << 28  # of a broadcast filter
 MIX = 0.1
 CHUNK = 4 << 20  # bytes of text in a chunk
 HELD = 2_000_000  # n-grams that a task sums up before it sends them
@@ -154,6 +156,52 @@ def _answers(group: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(rows, pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("counts", pa.binary()), ("n", pa.int32()), ("tokens", pa.int64()), ("types", pa.int64()), ("once", pa.int64())]))
 
 
+_BLOCK_TYPES = pa.schema([("bucket", pa.int32()), ("codes", pa.binary()), ("counts", pa.binary()), ("n", pa.int32())])
+
+
+def _blocks(code: np.ndarray, n: np.ndarray, bits: int, prefix: int, codec) -> list[dict]:
+    """Sorted distinct codes and their counts, cut by hash prefix."""
+    edges = np.searchsorted(code >> np.uint64(bits - prefix), np.arange((1 << prefix) + 1, dtype=np.uint64))
+    rows = []
+    for b in range(1 << prefix):
+        c = code[edges[b] : edges[b + 1]]
+        if len(c):
+            rows.append({"bucket": b, "codes": packed(np.diff(c, prepend=np.uint64(0)), codec), "counts": packed(n[edges[b] : edges[b + 1]], codec), "n": len(c)})
+    return rows
+
+
+def ngram_codes(made: WordBuckets, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all pairs and triples of a chunk, and the place in the chunk's ``sequence`` where each ends."""
+    seq, is_start = sequence(made.docs, made.hashes)
+    two, three = np.flatnonzero(~is_start[1:]) + 1, np.flatnonzero(~(is_start[1:-1] | is_start[2:])) + 2
+    pairs, triples = pair_codes(seq[two - 1], seq[two]), triple_codes(seq[three - 2], seq[three - 1], seq[three])
+    return np.concatenate([pairs, triples]) >> np.uint64(64 - bits), np.concatenate([two, three])
+
+
+def _texts_of(row: dict, codec) -> list[bytes]:
+    data, ends = codec.decompress(row["texts"]), np.cumsum(row["sizes"])
+    return [data[e - s : e] for s, e in zip(row["sizes"], ends.tolist(), strict=True)]
+
+
+def _chunk_blocks(bits: int, prefix: int):
+    """Blocks of the pairs and triples of each chunk; held-out documents add theirs with the count 0."""
+
+    def run(batches):
+        codec, back = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                made = WordBuckets(_texts_of(row, back), 1)
+                code, at = ngram_codes(made, bits)
+                learn = np.repeat(np.array(row["train"], bool), [len(d) + 1 for d in made.docs])[at]
+                code, place = np.unique(code, return_inverse=True)
+                n = np.bincount(place[learn], minlength=len(code)).astype(np.uint32)
+                rows = [{"chunk": row["chunk"], **r} for r in _blocks(code, n, bits, prefix, codec)]
+                yield pa.RecordBatch.from_pylist(rows, pa.schema([("chunk", pa.int64()), *_BLOCK_TYPES]))
+
+    return run
+
+
 def _ngram_blocks(bits: int, prefix: int):
     """Sorted hash blocks of the pairs and triples of training documents, by hash prefix."""
 
@@ -168,20 +216,11 @@ def _ngram_blocks(bits: int, prefix: int):
             code, n = code[order], np.concatenate([n for _, n in held])[order]
             first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
             code, n = code[first], np.add.reduceat(n, first).astype(np.uint32)
-            edges = np.searchsorted(code >> np.uint64(bits - prefix), np.arange((1 << prefix) + 1, dtype=np.uint64))
-            rows = []
-            for b in range(1 << prefix):
-                c = code[edges[b] : edges[b + 1]]
-                if len(c):
-                    rows.append({"bucket": b, "codes": packed(np.diff(c, prepend=np.uint64(0)), codec), "counts": packed(n[edges[b] : edges[b + 1]], codec), "n": len(c)})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("bucket", pa.int32()), ("codes", pa.binary()), ("counts", pa.binary()), ("n", pa.int32())]))
+            yield pa.RecordBatch.from_pylist(_blocks(code, n, bits, prefix, codec), _BLOCK_TYPES)
 
         for _, _, texts in _chunks(batches):
             made = WordBuckets(texts, 1)
-            seq, is_start = sequence(made.docs, made.hashes)
-            pairs = pair_codes(seq[:-1], seq[1:])[~is_start[1:]]
-            triples = triple_codes(seq[:-2], seq[1:-1], seq[2:])[~(is_start[1:-1] | is_start[2:])]
-            code, n = np.unique(np.concatenate([pairs, triples]) >> np.uint64(64 - bits), return_counts=True)
+            code, n = np.unique(ngram_codes(made, bits)[0], return_counts=True)
             held.append((code, n))
             size += len(code)
             if size > HELD:
@@ -199,35 +238,58 @@ def bit_places(code: np.ndarray, level: np.ndarray, bits: np.ndarray, probe: int
     return (((a & np.uint64(0xFFFFFFFF)) + np.uint64(probe) * step) % bits.astype(np.uint64)).astype(np.int64)
 
 
+def count_segment(code: np.ndarray, n: np.ndarray) -> dict:
+    """A bucket's part of the filter, of distinct codes and their counts: its bits, its first level, and the number of n-grams."""
+    level = 1 + np.floor(np.log2(n)).astype(np.int64)
+    size = max(64, math.ceil(int(level.sum()) * PROBES / math.log(2)))
+    bitmap = np.zeros(size, bool)
+    for at in range(1, int(level.max(initial=0)) + 1):
+        some = code[level >= at]
+        for probe in range(PROBES):
+            bitmap[bit_places(some, np.full(len(some), at), np.full(len(some), size), probe)] = True
+    return {"bits": size, "lowest": 1, "n": len(code), "data": np.packbits(bitmap).tobytes()}
+
+
+def _unpacked_blocks(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct codes of a bucket, their counts, and where each code of the blocks stands among them, block by block."""
+    codec = zstandard.ZstdDecompressor()
+    codes, counts = [], []
+    for row in group.select(["codes", "counts", "n"]).to_pylist():
+        codes.append(np.cumsum(unpacked(row["codes"], row["n"], np.uint64, codec), dtype=np.uint64))
+        counts.append(unpacked(row["counts"], row["n"], np.uint32, codec))
+    code, place = np.unique(np.concatenate(codes), return_inverse=True)
+    n = np.zeros(len(code), np.int64)
+    np.add.at(n, place, np.concatenate(counts).astype(np.int64))
+    return code, n, place
+
+
 def _segment(most: int):
-    """A bucket's part of the filter: its bits, the lowest level kept, and the number of n-grams."""
+    """A bucket's segment for a filter that is broadcast, which must not exceed ``most`` bits."""
 
     def run(group: pa.Table) -> pa.Table:
-        codec = zstandard.ZstdDecompressor()
-        codes, counts = [], []
-        for row in group.to_pylist():
-            codes.append(np.cumsum(unpacked(row["codes"], row["n"], np.uint64, codec), dtype=np.uint64))
-            counts.append(unpacked(row["counts"], row["n"], np.uint32, codec))
-        code = np.concatenate(codes)
-        order = np.argsort(code, kind="stable")
-        code, n = code[order], np.concatenate(counts)[order].astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-        code, n = code[first], np.add.reduceat(n, first)
-        level = 1 + np.floor(np.log2(n)).astype(np.int64)
-        by_level = np.bincount(level)
-        for lowest in range(1, len(by_level) + 1):
-            inserted = int((by_level[lowest:] * np.arange(1, len(by_level) - lowest + 1)).sum())
-            size = max(64, math.ceil(inserted * PROBES / math.log(2)))
-            if size <= most:
-                break
-        bitmap = np.zeros(size, bool)
-        keep = level >= lowest
-        code, level = code[keep], level[keep]
-        for at in range(lowest, int(level.max(initial=0)) + 1):
-            some = code[level >= at]
-            for probe in range(PROBES):
-                bitmap[bit_places(some, np.full(len(some), at), np.full(len(some), size), probe)] = True
-        return pa.table({"bucket": group.column("bucket").slice(0, 1), "bits": pa.array([size], pa.int64()), "lowest": pa.array([lowest], pa.int32()), "n": pa.array([len(first)], pa.int64()), "data": pa.array([np.packbits(bitmap).tobytes()], pa.binary())})
+        code, n, _ = _unpacked_blocks(group)
+        made = count_segment(code, n)
+        if made["bits"] > most:
+            raise ValueError(f"a segment of {made['bits']} bits is too large to be broadcast")
+        return pa.Table.from_pylist([{"bucket": group.column("bucket")[0].as_py(), **made}], pa.schema([("bucket", pa.int32()), ("bits", pa.int64()), ("lowest", pa.int32()), ("n", pa.int64()), ("data", pa.binary())]))
+
+    return run
+
+
+def _levels(bits: int):
+    """Builds a bucket's segment and answers every block of every chunk with the levels of its codes, in its order."""
+
+    def run(group: pa.Table) -> pa.Table:
+        codec = zstandard.ZstdCompressor(level=1)
+        code, n, place = _unpacked_blocks(group)
+        learned = n > 0
+        lm = CountFilter([{"bucket": 0, **count_segment(code[learned], n[learned])}], bits, 0)
+        level = lm.levels(code).astype(np.uint8)[place]
+        sizes = group.column("n").to_pylist()
+        parts = np.split(level, np.cumsum(sizes)[:-1])
+        bucket = group.column("bucket")[0].as_py()
+        rows = [{"chunk": c, "bucket": bucket, "counts": packed(part, codec), "n": len(part)} for c, part in zip(group.column("chunk").to_pylist(), parts, strict=True)]
+        return pa.Table.from_pylist(rows, pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("counts", pa.binary()), ("n", pa.int32())]))
 
     return run
 
@@ -268,7 +330,20 @@ class CountFilter:
         return np.where(level > 0, 2.0 ** (level - 1), 0.0)[back]
 
 
-def token_probabilities(lm: CountFilter, docs: list[list[int]], hashes: np.ndarray, counts: np.ndarray, total: tuple[int, int, int, int], mix: float) -> np.ndarray:
+class ChunkCounts:
+    """The levels that the buckets answered for the sorted distinct codes of a chunk."""
+
+    def __init__(self, code: np.ndarray, level: np.ndarray, bits: int):
+        self.code, self.level, self.code_bits = code, level, bits
+
+    def counts(self, code: np.ndarray) -> np.ndarray:
+        """Lower edges of the counts."""
+        unique, back = np.unique(code, return_inverse=True)
+        level = self.level[np.searchsorted(self.code, unique)].astype(np.int64)
+        return np.where(level > 0, 2.0 ** (level - 1), 0.0)[back]
+
+
+def token_probabilities(lm: CountFilter | ChunkCounts, docs: list[list[int]], hashes: np.ndarray, counts: np.ndarray, total: tuple[int, int, int, int], mix: float) -> np.ndarray:
     """Of every token of the documents in a row; ``total``: training tokens, types, types seen once, documents."""
     n, types, once, documents = total
     unknown = (once + 1) / (n + once + 2) if types else 1.0
@@ -298,15 +373,23 @@ def token_probabilities(lm: CountFilter, docs: list[list[int]], hashes: np.ndarr
     return p[~is_start]
 
 
-def _score(lm, total: tuple[int, int, int, int], buckets: int, mix: float):
+def _score(lm: Shipped | None, total: tuple[int, int, int, int], buckets: int, bits: int, mix: float):
+    """Scores of a chunk by the broadcast filter or, without one, by the levels among its answers."""
+
     def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
-        codec, one = zstandard.ZstdDecompressor(), lm.value
+        codec = zstandard.ZstdDecompressor()
         row = chunk.to_pylist()[0]
-        data, ends = codec.decompress(row["texts"]), np.cumsum(row["sizes"])
-        made = WordBuckets([data[e - s : e] for s, e in zip(row["sizes"], ends.tolist(), strict=True)], buckets)
+        made = WordBuckets(_texts_of(row, codec), buckets)
         counts = np.zeros(len(made.words), np.int64)
-        for a in answers.to_pylist():
-            counts[made.order[made.edges[a["bucket"]] : made.edges[a["bucket"] + 1]]] = unpacked(a["counts"], a["n"], np.int64, codec)
+        said = answers.to_pylist()
+        for a in said:
+            if not a["ngrams"]:
+                counts[made.order[made.edges[a["bucket"]] : made.edges[a["bucket"] + 1]]] = unpacked(a["counts"], a["n"], np.int64, codec)
+        if lm:
+            one = lm.value
+        else:  # codes are in the order of their buckets
+            level = [unpacked(a["counts"], a["n"], np.uint8, codec) for a in sorted((a for a in said if a["ngrams"]), key=lambda a: a["bucket"])]
+            one = ChunkCounts(np.unique(ngram_codes(made, bits)[0]), np.concatenate(level), bits)
         p = np.log10(token_probabilities(one, made.docs, made.hashes, counts, total, mix))
         sizes = np.array([len(d) for d in made.docs], np.int64)
         first = np.cumsum(sizes) - sizes
@@ -337,13 +420,19 @@ def scores(docs: DataFrame, train, mix: float = MIX, most_bits: int = MOST_BITS)
     t = answers.where("chunk = -1").agg(F.sum("tokens"), F.sum("types"), F.sum("once")).first()
     total = (int(t[0] or 0), int(t[1] or 0), int(t[2] or 0), int(about["train"] or 0))
 
-    blocks = rows.where("train").mapInArrow(_ngram_blocks(bits, prefix), "bucket int, codes binary, counts binary, n int")
-    segments = blocks.groupBy("bucket").applyInArrow(_segment(most_bits >> prefix), "bucket int, bits long, lowest int, n long, data binary").toArrow().sort_by("bucket")
-    lm = Shipped(spark, CountFilter(segments.to_pylist(), bits, prefix))  # most_bits at most
-
-    texts = chunks.where("bucket = -1").select("chunk", "ids", "sizes", "texts")
-    said = answers.where("chunk >= 0").select("chunk", "bucket", "counts", "n")
-    return texts.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInArrow(_score(lm, total, buckets, mix), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    texts = chunks.where("bucket = -1")
+    said = answers.where("chunk >= 0").select("chunk", "bucket", "counts", "n", F.lit(False).alias("ngrams"))
+    if 2 * total[0] * PROBES / math.log(2) + (64 << prefix) <= most_bits:  # a token ends two n-grams, and no count has more levels than its number
+        blocks = rows.where("train").mapInArrow(_ngram_blocks(bits, prefix), "bucket int, codes binary, counts binary, n int")
+        segments = blocks.groupBy("bucket").applyInArrow(_segment(most_bits), "bucket int, bits long, lowest int, n long, data binary").toArrow().sort_by("bucket")
+        lm = Shipped(spark, CountFilter(segments.to_pylist(), bits, prefix))
+    else:
+        blocks = texts.select("chunk", "train", "sizes", "texts").mapInArrow(_chunk_blocks(bits, prefix), "chunk long, bucket int, codes binary, counts binary, n int")
+        levels = blocks.groupBy("bucket").applyInArrow(_levels(bits), "chunk long, bucket int, counts binary, n int")
+        said, lm = said.unionByName(levels.withColumn("ngrams", F.lit(True))), None
+
+    texts = texts.select("chunk", "ids", "sizes", "texts")
+    return texts.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInArrow(_score(lm, total, buckets, bits, mix), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def score_report(docs: DataFrame) -> DataFrame:

@@ -349,6 +349,14 @@ def test_count_filter_levels(spark):
     assert (absent > 0).mean() < 0.01
 
 
+@pytest.mark.parametrize("which", ["tricky", "small"])
+def test_lm_scores_do_not_depend_on_what_fits_a_broadcast(spark, request, which):
+    docs = request.getfixturevalue(which)
+    docs = table(spark, docs, "documents") if isinstance(docs, str) else docs
+    by_size = [sorted(map(tuple, ngram_lm.scores(docs, ngram_lm.remainder(7) != 2, most_bits=most).collect()), key=str) for most in (1 << 28, 1 << 10)]
+    assert by_size[0] == by_size[1] and len(by_size[0]) == docs.count()
+
+
 # --- operators 8 and 10
 
 
