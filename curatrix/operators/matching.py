@@ -118,8 +118,14 @@ def block_pairs(master: DataFrame, source: DataFrame, blocks: list[tuple[tuple[s
 
 
 def rule_blocks(rules: list[MatchRule], threshold: float) -> list[tuple[tuple[str, Column], ...]]:
-    """Exact blocks for ``block_pairs`` from the rules; ``text_pairs`` finds the pairs that text rules reach alone."""
-    groups = [g for g in minimal_blocks(rules, threshold) if g]
+    """Exact blocks for ``block_pairs`` from the rules.
+
+    Where text rules reach the threshold alone, ``text_pairs`` finds the pairs without an agreeing deterministic rule, and
+    every deterministic rule is a block of its own: a pair that agrees on it may match below the floor of the text.
+    """
+    groups = minimal_blocks(rules, threshold)
+    if () in groups:
+        groups = [(r,) for r in rules if r.deterministic]
     return [tuple((f"{r.name}_{f}", normalized(f, F.col(f))) for r in group for f in r.fields) for group in groups]
 
 

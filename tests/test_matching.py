@@ -45,6 +45,20 @@ def test_rule_blocks_lose_nothing_against_all_pairs(spark):
     assert {r.source_id for r in candidates.filter("match_type <> 'new'").collect()} == {b for _, b in brute()}
 
 
+@pytest.mark.parametrize("threshold", [0.2, 0.15])
+def test_mixed_rules_lose_nothing_where_text_reaches_the_threshold_alone(spark, threshold):
+    cols = "id int, name string, email string, phone string"
+    left = [(1, "anna", "a@x.org", "555-1000001"), (2, "bert", "b@x.org", "555-1000002"), (3, "carola", "c@x.org", None)]
+    right = [(11, "zzzz", "A@x.org", "555-2000000"), (12, "qqqq", "q@x.org", "+1 555 1000002"), (13, "carole", "d@x.org", None), (14, "carola", "e@x.org", None), (15, "vvvv", "v@x.org", None)]
+    rules = [MatchRule(r.name, r.kind, r.fields, r.weight, threshold) for r in RULES]
+    m, mm = mt.profiles(spark.createDataFrame(left, cols), ["name", "email", "phone"], "id")
+    s, sm = mt.profiles(spark.createDataFrame(right, cols), ["name", "email", "phone"], "id")
+    got = sorted((r.master_id, r.source_id) for r in mt.expand_matches(mt.find_matches(m, s, rules), mm, sm).collect())
+    score = lambda a, b: 0.5 * (a[2].lower() == b[2].lower()) + 0.3 * (None not in (a[3], b[3]) and digits7(a[3]) == digits7(b[3])) + 0.2 * (1 - lev(a[1], b[1]) / max(len(a[1]), len(b[1])))
+    want = sorted((a[0], b[0]) for a in left for b in right if score(a, b) >= threshold - 1e-9)
+    assert got == want and {(1, 11), (2, 12), (3, 14)} <= set(want)
+
+
 def test_minimal_blocks():
     names = [tuple(r.name for r in g) for g in mt.minimal_blocks(RULES, 0.7)]
     assert names == [("email",)]
