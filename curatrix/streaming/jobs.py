@@ -57,10 +57,24 @@ def stream_enforce(stream: DataFrame, rules: Callable[[], list[RowRule]], base:
     return run(stream, base, batch, trigger=trigger)
 
 
-def stage_events(stream: DataFrame, key: str, ts: str, base: str, delay: str = "1 day", trigger: dict | None = None) -> StreamingQuery:
-    """At-least-once input staged once per key: repeats within the watermark are dropped."""
-    once = with_event_time(stream, ts, delay).dropDuplicatesWithinWatermark([key])
-    return run(once, base, lambda df, i: put(df, f"{base}/events", i), trigger=trigger)
+def stage_events(stream: DataFrame, key: str, ts: str, base: str, trigger: dict | None = None) -> StreamingQuery:
+    """At-least-once input staged once per key, however late a first arrival or a repeat is; NULL is one key.
+
+    Of the staged keys only those that the batch holds again are kept for the comparison, so it never grows beyond the batch.
+    """
+    spark = stream.sparkSession
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        once = first_per_key(df, [key], [F.col(ts)]).persist()
+        fresh = once
+        if batch_id > 0:
+            staged = spark.read.parquet(f"{base}/events").filter(F.col("batch") < batch_id).select(F.col(key).alias("_staged"))
+            again = staged.join(once.select(F.col(key).alias("_key")), F.col("_staged").eqNullSafe(F.col("_key")), "left_semi")
+            fresh = once.join(again, F.col(key).eqNullSafe(F.col("_staged")), "left_anti")
+        put(fresh, f"{base}/events", batch_id)
+        once.unpersist()
+
+    return run(stream.withColumn(ts, F.col(ts).cast("timestamp")), base, batch, trigger=trigger)
 
 
 def event_volume(stream: DataFrame, ts: str, kind: str, width: str = "1 hour", slide: str | None = None, delay: str = "10 minutes") -> DataFrame:

@@ -50,6 +50,17 @@ def test_repeated_events_are_staged_once(spark, files):
     assert sorted(ids) == [r[0] for r in ROWS]
 
 
+def test_late_events_and_late_repeats_are_staged_once(spark):
+    path, base = new_shared_path(spark, "late-in"), new_shared_path(spark, "late")
+    days = [(i, 1, START + timedelta(days=i), "view", 1.0) for i in range(30)]
+    nobody = (None, 1, START, "view", 1.0)
+    for part in (days[20:], [*days[:10], nobody], [*days[10:20], *days[25:], nobody], days[:12]):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    st.stage_events(stream(spark, path), "event_id", "ts", base).awaitTermination()
+    ids = [r.event_id for r in st.read_sink(spark, f"{base}/events").collect()]
+    assert ids.count(None) == 1 and sorted(i for i in ids if i is not None) == list(range(30))
+
+
 def test_current_state_keeps_the_two_newest(spark, files):
     base = new_shared_path(spark, "state")
     st.current_state(stream(spark, files), "user_id", ["ts", "event_id"], ["value"], base).awaitTermination()
