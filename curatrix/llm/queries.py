@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm import bpe, langid, multi_index, neardup, ngram_lm, packing, quality, repeats, secrets, vector_dedup
+from curatrix.llm import alignment, bpe, collocations, langid, multi_index, neardup, ngram_lm, packing, quality, repeats, secrets, token_files, vector_dedup
 from curatrix.llm.common import table
 
 
@@ -54,7 +54,21 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_multi_index, op2_ngram_lm, op3_bpe, op4_packing, op5_secrets, op6_near_duplicates, op7_vector_dedup, op8_quality, op9_repeats, op10_langid)}
+def op11_alignment(spark: SparkSession, sf_dir: str, path: str = public_tokenizers.path("byte_bpe_50k.json"), model: str = public_tokenizers.path("piece_bpe_32k.model")) -> DataFrame:
+    with open(path, encoding="utf-8") as spec, open(model, "rb") as pieces:
+        return alignment.alignment_report(table(spark, sf_dir, "documents"), spec.read(), pieces.read())
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str, path: str = public_tokenizers.path("byte_bpe_50k.json")) -> DataFrame:
+    with open(path, encoding="utf-8") as spec:
+        return token_files.file_report(table(spark, sf_dir, "documents"), spec.read())
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_multi_index, op2_ngram_lm, op3_bpe, op4_packing, op5_secrets, op6_near_duplicates, op7_vector_dedup, op8_quality, op9_repeats, op10_langid, op11_alignment, op12_token_files, op13_collocations)}
 
 #: None of these results can be written in SQL alone; tests/llm compares them with brute force.
 ORACLE_SQL: dict[str, str] = {}
