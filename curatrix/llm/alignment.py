@@ -22,7 +22,7 @@ of special tokens are plain text.
 from __future__ import annotations
 
 import hashlib
-import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import Remembered, Shipped, id_and_text, stored
-from curatrix.llm.units import LONGEST, units
+from curatrix.llm.common import Shipped, id_and_text, stored
+from curatrix.llm.units import Memo, UnitTokenizer, byte_values, units
 
 #: Documents of one container, as a power of two: their numbers fit 16 bits.
 CONTAINER = 14
@@ -42,16 +42,13 @@ DENSE = DOCS // 16
 #: Links that a task holds before it writes partial bitmaps.
 HELD = 4 << 20
 #: Units of one generation whose alignment a worker keeps.
-KEPT = 250_000
+KEPT = 400_000
 #: Bits of a B id in a pair's key.
 B_BITS = 20
 
 
-def byte_values() -> dict[str, int]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    other = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
+#: The alignment of a text that its tokens do not spell.
+NONE = (b"", "", 0, 0)
 
 
 def piece_bytes(piece: str) -> bytes:
@@ -64,85 +61,79 @@ class Aligner:
     """Both tokenizers, and the alignment of every unit met lately."""
 
     def __init__(self, spec: str, model: bytes):
-        self.spec, self.model, self.tools = spec, model, None
-        self.kept = Remembered(KEPT)
+        self.a, self.model, self.b = UnitTokenizer(spec, special=False, room=KEPT // 4), model, None
 
     def __getstate__(self):
-        return {"spec": self.spec, "model": self.model, "tools": None, "kept": Remembered(KEPT)}
+        return {"a": self.a, "model": self.model, "b": None}
 
     def _load(self) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for one task
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        a = Tokenizer.from_str(self.spec)
-        a.encode_special_tokens = True
-        b = sentencepiece.SentencePieceProcessor(model_proto=self.model)
+        self.a._load()
+        self.b = b = sentencepiece.SentencePieceProcessor(model_proto=self.model)
         value = byte_values()
-        size = a.get_vocab_size(with_added_tokens=True)
-        self.a_bytes = [bytes(value[c] for c in w) if w and all(c in value for c in w) else (w or "").encode() for w in map(a.id_to_token, range(size))]
+        words = map(self.a.tool.id_to_token, range(self.a.tool.get_vocab_size(with_added_tokens=True)))
+        self.a_bytes = [bytes(value[c] for c in w) if w and all(c in value for c in w) else (w or "").encode() for w in words]
         self.b_bytes = [piece_bytes(b.id_to_piece(i)) for i in range(b.get_piece_size())]
         #: A piece with a space behind another character could merge across the cut of two units.
-        self.cuts = not any(" " in p.lstrip(b" ").decode("utf-8", "replace") for p in self.b_bytes)
-        self.tools = a, b
-
-    def encode(self, parts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """A ids and B ids of texts that start with a space (the space that B adds itself)."""
-        if self.tools is None:
-            self._load()
-        a, b = self.tools
-        return list(zip((e.ids for e in a.encode_batch_fast(parts, add_special_tokens=False)), b.encode([p[1:] for p in parts], num_threads=1), strict=True))
-
-    def align(self, part: str, a_ids: list[int], b_ids: list[int]) -> tuple[bytes, str, int, int] | None:
-        """Links (pair keys), groups as text and the numbers of tokens; None where the tokens do not spell the text."""
-        a, b = [self.a_bytes[i] for i in a_ids], [self.b_bytes[i] for i in b_ids]
+        self.cuts = self.a.cuts and not any(b" " in p.lstrip(b" ") for p in self.b_bytes)
+        self.name = list(map(str, range(max(len(self.a_bytes), len(self.b_bytes)))))
+        self.kept, self.ready = Memo(KEPT, self._unit), {}
+
+    def _unit(self, part: str) -> tuple[bytes, str, int, int]:
+        """The alignment of a space and ``part``; B adds that space itself."""
+        a_ids = np.frombuffer(self.a.spaced[part] if self.cuts else self.a.payload(" " + part), self.a.dtype).tolist()
+        b_ids = self.ready.pop(part, None)
+        return self.align(" " + part, a_ids, self.b.encode(part) if b_ids is None else b_ids)
+
+    def align(self, part: str, a_ids: list[int], b_ids: list[int]) -> tuple[bytes, str, int, int]:
+        """Links (pair keys), groups as text and the numbers of tokens; NONE where the tokens do not spell the text."""
+        a_bytes, b_bytes, name = self.a_bytes, self.b_bytes, self.name
         raw = part.encode()
-        if b"".join(a) != raw or b"".join(b) != raw:
-            return None
-        if len(a) == 1 or len(b) == 1:
-            return ((a_ids[-1] << B_BITS) + b_ids[-1]).to_bytes(8, "little"), f"{','.join(map(str, a_ids))}|{','.join(map(str, b_ids))}", len(a), len(b)
-        links, groups = [], []
-        i = j = first_a = first_b = 0
-        end_a, end_b = len(a[0]), len(b[0])
-        while True:
+        if b"".join([a_bytes[x] for x in a_ids]) != raw or b"".join([b_bytes[y] for y in b_ids]) != raw:
+            return NONE
+        if len(a_ids) == 1 or len(b_ids) == 1:
+            return ((a_ids[-1] << B_BITS) + b_ids[-1]).to_bytes(8, "little"), f"{','.join([name[x] for x in a_ids])}|{','.join([name[y] for y in b_ids])}", len(a_ids), len(b_ids)
+        links, groups, some_a, some_b = array("q"), [], [], []
+        end_a = end_b = 0
+        next_b = iter(b_ids)
+        for x in a_ids:
+            end_a += len(a_bytes[x])
+            some_a.append(name[x])
+            while end_b < end_a:
+                y = next(next_b)
+                end_b += len(b_bytes[y])
+                some_b.append(name[y])
             if end_a == end_b:
-                links.append((a_ids[i] << B_BITS) + b_ids[j])
-                groups.append(f"{','.join(map(str, a_ids[first_a : i + 1]))}|{','.join(map(str, b_ids[first_b : j + 1]))}")
-                i, j = i + 1, j + 1
-                if i == len(a):
-                    break
-                first_a, first_b, end_a, end_b = i, j, end_a + len(a[i]), end_b + len(b[j])
-            elif end_a < end_b:
-                i += 1
-                end_a += len(a[i])
-            else:
-                j += 1
-                end_b += len(b[j])
-        return np.array(links, "<i8").tobytes(), ";".join(groups), len(a), len(b)
+                links.append((x << B_BITS) + y)
+                groups.append(f"{','.join(some_a)}|{','.join(some_b)}")
+                some_a, some_b = [], []
+        return links.tobytes(), ";".join(groups), len(a_ids), len(b_ids)
+
+    @staticmethod
+    def parts(text: str) -> list[str]:
+        """The units of a space and ``text``, each without the space that it starts with."""
+        first, rest = units(" " + text)
+        return [first[1:], *rest] if first else rest
+
+    def meet(self, texts: list[str]) -> None:
+        """B ids of the new units of some texts at once: one call of the library costs as much as many units."""
+        if self.b is None:
+            self._load()
+        if self.cuts:
+            kept, old = self.kept, self.kept.old
+            new = {p for t in texts if t for p in self.parts(t) if p not in kept and p not in old}
+            self.ready = dict(zip(new, self.b.encode(list(new), num_threads=1) if new else (), strict=True))
 
     def text(self, text: str) -> tuple[np.ndarray, str, int, int] | None:
         """Links, groups and numbers of tokens of a whole text."""
         if not text:
             return None
-        if self.tools is None:
+        if self.b is None:
             self._load()
-        parts = units(" " + text)
-        if parts[0] == "":  # the added space is the first cut
-            parts = parts[1:]
-        young = self.kept.young
-        if self.cuts:
-            new = self.kept.missing(parts)
-            young = self.kept.young
-            for p, (a, b) in zip(new, self.encode(new) if new else (), strict=True):
-                young[p] = self.align(p, a, b)
-            found = list(map(young.__getitem__, parts))
-            for p in new:
-                if len(p) > LONGEST:
-                    del young[p]
-        if not self.cuts or None in found:  # the tokens of the whole text decide
-            found = [self.align(" " + text, *self.encode([" " + text])[0])]
-            if found[0] is None:
-                return None
+        found = list(map(self.kept.__getitem__, self.parts(text))) if self.cuts else [self._unit(text)]
+        if NONE in found:  # a unit that is not spelled out is not spelled out in the text either
+            return None
         links, groups, a, b = zip(*found, strict=True)
         return np.frombuffer(b"".join(links), "<i8"), ";".join(groups), sum(a), sum(b)
 
@@ -214,7 +205,11 @@ def aligned_parts(docs: DataFrame, spec: str, model: bytes) -> DataFrame:
 
         for batch in batches:
             rows = []
+            met = 0
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                if met % 64 == 0:
+                    one.meet(batch.column("text").slice(met, 64).to_pylist())
+                met += 1
                 if used == DOCS:
                     yield from flush()
                     container, used = container + 1, 0

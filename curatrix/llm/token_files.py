@@ -26,7 +26,6 @@ The strings of special tokens in a text become what the tokenizers library makes
 from __future__ import annotations
 
 import json
-import os
 import uuid
 import zlib
 from dataclasses import dataclass, field
@@ -39,60 +38,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import Remembered, Shipped, id_and_text, mixed, stored
-from curatrix.llm.units import LONGEST, units
+from curatrix.llm.common import Shipped, id_and_text, mixed, stored
+from curatrix.llm.units import UnitTokenizer
 from curatrix.session import new_shared_path
 
 #: Bytes of text for one shard, and keys for one index file, on average.
 SHARD_BYTES = 64 << 20
 BUCKET_KEYS = 1 << 17
-#: Units of one generation whose ids a worker keeps.
-KEPT = 500_000
 #: Ids that a reader holds at once of a run of records of one key.
 READ_IDS = 4 << 20
 
 ENTRY = np.dtype([("fingerprint", "<u8"), ("shard", "<u4"), ("records", "<u4"), ("record", "<u8"), ("offset", "<u8")])
 
 
-class UnitTokenizer:
-    """Ids of whole texts by the tokenizers library, asked once per distinct unit."""
-
-    def __init__(self, spec: str):
-        self.spec, self.tool = spec, None
-        self.special = [t["content"] for t in json.loads(spec).get("added_tokens", [])]
-        self.dtype = np.dtype("<u2" if self._tool().get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.kept = Remembered(KEPT)
-
-    def __getstate__(self):
-        return self.__dict__ | {"tool": None, "kept": Remembered(KEPT)}
-
-    def _tool(self):
-        if self.tool is None:
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for one task
-            from tokenizers import Tokenizer
-
-            self.tool = Tokenizer.from_str(self.spec)
-        return self.tool
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self._tool().encode_batch_fast(texts, add_special_tokens=False)]
-
-    def payload(self, text: str) -> bytes:
-        """The ids of a text as bytes. A text with the string of a special token goes to the library whole."""
-        if any(s in text for s in self.special):
-            return self._ids([text])[0]
-        parts = units(text)
-        new = self.kept.missing(parts)
-        young = self.kept.young
-        if new:
-            young.update(zip(new, self._ids(new), strict=True))
-        out = b"".join(map(young.__getitem__, parts))
-        for unit in new:
-            if len(unit) > LONGEST:
-                del young[unit]
-        return out
-
-
 class MinimalPerfectHash:
     """Slots 0..n-1 for n distinct 64-bit fingerprints: a cascade of bit arrays with ranks."""
 

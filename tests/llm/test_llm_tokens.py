@@ -49,7 +49,7 @@ def brute_alignment(docs):
     a = Tokenizer.from_file(A_PATH)
     a.encode_special_tokens = True
     b = sentencepiece.SentencePieceProcessor(model_file=B_PATH)
-    value = alignment.byte_values()
+    value = units.byte_values()
     found = []
     for doc, text in docs:
         raw = (" " + (text or "")).encode()
@@ -124,8 +124,8 @@ def test_bitmaps():
 
 def test_units_spell_the_text():
     for t in [*CASES, "one two  three\n four "]:
-        parts = units.units(t)
-        assert "".join(parts) == t and all(p.startswith(" ") for p in parts[1:])
+        first, rest = units.units(t)
+        assert " ".join([first, *rest]) == t
 
 
 def test_groups_as_text(spark):
