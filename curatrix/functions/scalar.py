@@ -71,7 +71,7 @@ def local_name(iri: Column) -> Column:
 
 def source_context(graph: Column) -> Column:
     """Readable name of a named graph; NULL when it follows none of the known forms."""
-    names = [F.when(graph.startswith(p), F.substring(graph, len(p) + 1, 1_000_000)) for p in CONTEXT_PREFIXES]
+    names = [F.when(graph.startswith(p), F.substring(graph, F.lit(len(p) + 1), F.length(graph))) for p in CONTEXT_PREFIXES]
     names += [F.when(graph.startswith(p), F.lit(label)) for p, label in CONTEXT_LABELS.items()]
     return F.coalesce(*names)
 

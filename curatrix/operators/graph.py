@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.operators.skew import broadcast_if_small
-from curatrix.session import cut_lineage
+from curatrix.session import cut_lineage, settled
 
 
 def node_key(kind: str, ident: str):
@@ -72,23 +72,135 @@ def siblings(parents: DataFrame, roots: DataFrame) -> DataFrame:
     return out.select("node", "sibling").distinct()
 
 
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges between nodes that something leads to and that lead on, as long as a round takes a quarter of the edges away."""
+    size = edges.count()
+    while size:
+        into, out = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
+        edges = settled(edges.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst"))
+        left = edges.count()
+        if left > 0.75 * size:
+            break
+        size = left
+    return edges
+
+
+def _contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges with every chain of nodes that one edge enters and one leaves in one edge; (node, src, dst) of the nodes inside them; rings as (node, component).
+
+    Pointer doubling to both ends: the rounds are the logarithm of the longest chain. A chain without an end is a ring.
+    """
+    degree = edges.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(edges.select(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    inner = settled(degree.groupBy("node").agg(F.sum("o").alias("o"), F.sum("i").alias("i")).filter("o = 1 AND i = 1").select("node"))
+    ends = edges.join(inner.select(F.col("node").alias("dst"), F.lit(True).alias("goes_on")), "dst", "left").join(inner.select(F.col("node").alias("src"), F.lit(True).alias("came")), "src", "left")
+    marked = settled(ends.select("src", "dst", F.coalesce("came", F.lit(False)).alias("came"), F.coalesce("goes_on", F.lit(False)).alias("goes_on")))
+    onward = marked.filter("came").select(F.col("src").alias("node"), F.col("dst").alias("to"), F.col("goes_on").alias("more"))
+    onward = onward.join(marked.filter("goes_on").select(F.col("dst").alias("node"), F.col("src").alias("back"), F.col("came").alias("less")), "node")
+    ptr, made, n = settled(onward.withColumn("low", F.least("node", F.when(F.col("more"), F.col("to")).otherwise(F.col("node"))))), 1, inner.count()
+    while made <= n and ptr.filter("more OR less").head(1):
+        ahead = ptr.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("more").alias("more2"), F.col("low").alias("low2"))
+        behind = ptr.select(F.col("node").alias("back"), F.col("back").alias("back2"), F.col("less").alias("less2"))
+        both = ptr.join(ahead, "to", "left").join(behind, "back", "left")
+        ptr = settled(both.select(
+            "node", F.when(F.col("more"), F.col("to2")).otherwise(F.col("to")).alias("to"), (F.col("more") & F.col("more2")).alias("more"),
+            F.when(F.col("less"), F.col("back2")).otherwise(F.col("back")).alias("back"), (F.col("less") & F.col("less2")).alias("less"), F.least("low", F.when(F.col("more"), F.col("low2")).otherwise(F.col("low"))).alias("low")))
+        made *= 2
+    chains = ptr.filter("NOT more AND NOT less").select("node", F.col("back").alias("src"), F.col("to").alias("dst"))
+    rings = ptr.filter("more").select("node", F.col("low").alias("component"))
+    plain = marked.filter("NOT came AND NOT goes_on").select("src", "dst")
+    return settled(plain.unionByName(chains.select("src", "dst")).distinct()), chains, rings
+
+
+def _highest(edges: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(node, top): the highest ranked node that leads to each node, itself included; only nodes whose top rose pass it on."""
+    tops = front = ranks.select("node", F.col("rank").alias("top"))
+    while front.head(1):
+        sent = edges.join(front, edges.src == front.node).groupBy(F.col("dst").alias("node")).agg(F.max("top").alias("sent"))
+        new = settled(tops.join(sent, "node", "left").select("node", F.greatest("top", F.coalesce("sent", "top")).alias("top"), F.coalesce(F.col("sent") > F.col("top"), F.lit(False)).alias("rose")))
+        tops, front = new.select("node", "top"), new.filter("rose").select("node", "top")
+    return tops
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) for every node on a cycle of (src, dst) edges; ``component`` is the smallest node that it shares cycles with.
+
+    Nodes without a way in or out are trimmed and chains contracted, as long as that takes a quarter of the edges. The core that is left is settled
+    by forward and backward colouring: a node's colour is the highest ranked node that leads to it, and the nodes of a colour that lead
+    back to that node are its strongly connected component. Every colour is settled at once; what is left goes on with new ranks. Ranks are
+    hashes, so the passes do not follow an order in the ids. The nodes inside a chain belong to the component of both its ends.
+    """
+    edges = settled(edges.filter("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())
+    found, inside, turn = [edges.filter("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))], [], 0
+    left = settled(edges.filter("src <> dst"))
+    while left.head(1):
+        size = 0
+        while size == 0 or 0 < left.count() < 0.75 * size:
+            left = _trimmed(left)
+            size = left.count()
+            if not size:
+                break
+            left, chains, rings = _contracted(left)
+            inside.append(chains)
+            found += [rings, left.filter("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))]
+            left = left.filter("src <> dst")
+        if not left.head(1):
+            break
+        turn += 1
+        nodes = left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct()
+        ranks = settled(nodes.select("node", F.struct(F.xxhash64(F.lit(turn), "node").alias("hash"), F.col("node").alias("id")).alias("rank")))
+        of = _highest(left, ranks).select("node", F.col("top.id").alias("colour"))
+        src, dst = of.select(F.col("node").alias("src"), F.col("colour").alias("a")), of.select(F.col("node").alias("dst"), F.col("colour").alias("b"))
+        within = settled(left.join(src, "src").join(dst, "dst").filter("a = b").select("src", "dst"))
+        returning = _highest(within.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ranks).select("node", F.col("top.id").alias("returns"))
+        same = settled(of.join(returning, "node").filter("colour = returns").select("node", "colour"))
+        sized = same.groupBy("colour").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("colour", "component")
+        found.append(same.join(sized, "colour").select("node", "component"))
+        gone = same.select(F.col("node").alias("src"))
+        left = settled(within.join(gone, "src", "left_anti").join(gone.select(F.col("src").alias("dst")), "dst", "left_anti").select("src", "dst"))
+    known = settled(reduce(DataFrame.unionByName, found).groupBy("node").agg(F.min("component").alias("component")))
+    for chains in reversed(inside):
+        ends = chains.join(known.select(F.col("node").alias("src"), F.col("component").alias("a")), "src").join(known.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst")
+        more = settled(ends.filter("a = b").select("node", F.col("a").alias("component")))
+        known = settled(known.join(more, "node", "left_anti").unionByName(more))  # the ends decide, also for a node that was a loop of its own
+    least = known.groupBy("component").agg(F.min("node").alias("least"))  # a node inside a chain may be the smallest
+    return known.join(least, "component").select("node", F.col("least").alias("component"))
+
+
 def cycle_members(refs: DataFrame) -> DataFrame:
-    """(node, cycle) for every node on a cycle of single-parent references; ``cycle`` is the smallest node on it.
+    """(node, cycle) for every node on a cycle of references, through any of its parents; ``cycle`` is the smallest node it shares cycles with.
+
+    ``refs`` holds (node, parent), a row per parent.
+    """
+    found = components(refs.select(F.col("node").alias("src"), F.col("parent").alias("dst")))
+    return found.select("node", F.col("component").alias("cycle"))
+
+
+def cycle_paths(refs: DataFrame) -> DataFrame:
+    """(cycle, position, node): a cycle of every component as a path from its smallest node, position 0.
 
-    ``refs`` holds (node, parent).  Pointer doubling: after k rounds a pointer stands 2**k steps up.  Chains that end
-    drop out; once a pointer has made more steps than there are nodes, it can only stand on a cycle, and every cycle node
-    is some pointer's target.  The rounds are the logarithm of the nodes and the rows never grow.
+    Each member follows its smallest parent within the component. These pointers end in cycles, found by doubling; doubling also counts the
+    steps to the smallest node, which is the path's order. Rows, not arrays: a cycle may be long.
     """
-    ptr = refs.filter("parent IS NOT NULL").groupBy("node").agg(F.min("parent").alias("to"))
-    ptr = cut_lineage(ptr.withColumn("low", F.least("node", "to")))
-    steps, n = 1, ptr.count()
-    while steps <= n:
+    steps = refs.filter("parent IS NOT NULL").select("node", "parent").distinct()
+    member = settled(cycle_members(refs))
+    mine, theirs = member.select("node", F.col("cycle").alias("a")), member.select(F.col("node").alias("parent"), F.col("cycle").alias("b"))
+    succ = settled(steps.join(mine, "node").join(theirs, "parent").filter("a = b").groupBy("node").agg(F.min("parent").alias("to")))
+    ptr, made, n = succ.withColumn("low", F.least("node", "to")), 1, succ.count()
+    while made <= n:  # a pointer that made more steps than there are nodes stands on a cycle
         nxt = ptr.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("low").alias("low2"))
-        ptr = cut_lineage(ptr.join(nxt, "to").select("node", F.col("to2").alias("to"), F.least("low", "low2").alias("low")))
-        steps *= 2
-        n = min(n, ptr.count())
-    on_cycle = ptr.select(F.col("to").alias("node")).distinct()
-    return ptr.join(on_cycle, "node", "left_semi").select("node", F.col("low").alias("cycle"))
+        ptr = settled(ptr.join(nxt, "to").select("node", F.col("to2").alias("to"), F.least("low", "low2").alias("low")))
+        made *= 2
+    ring = settled(ptr.join(ptr.select(F.col("to").alias("node")).distinct(), "node", "left_semi").select("node", F.col("low").alias("cycle")))
+    # steps to the smallest node: pointers that reach it stay there
+    dist = settled(ring.join(succ, "node").select("node", "cycle", F.col("to"), F.lit(1).cast("long").alias("steps")))
+    size = ring.groupBy("cycle").agg(F.count(F.lit(1)).alias("size"))
+    longest, made = size.agg(F.max("size")).first()[0] or 0, 1
+    while made < longest:
+        nxt = dist.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("steps").alias("more"))
+        home = F.col("to") == F.col("cycle")
+        dist = settled(dist.join(nxt, "to").select("node", "cycle", F.when(home, F.col("to")).otherwise(F.col("to2")).alias("to"), (F.col("steps") + F.when(home, 0).otherwise(F.col("more"))).alias("steps")))
+        made *= 2
+    return dist.join(size, "cycle").select("cycle", ((F.col("size") - F.col("steps")) % F.col("size")).alias("position"), "node")
 
 
 def delete_order(refs: DataFrame, roots: DataFrame) -> DataFrame:

@@ -156,7 +156,7 @@ def contracts_for_product(ports: DataFrame) -> DataFrame:
     return ports.filter("contract_id IS NOT NULL").groupBy("product_id", "contract_id").agg(F.min("port_order").alias("first_port"))
 
 
-def merged_metadata(direct: DataFrame, attached: DataFrame, inherited: DataFrame, max_level: int = 99) -> DataFrame:
+def merged_metadata(direct: DataFrame, attached: DataFrame, inherited: DataFrame, max_level: int | None = None) -> DataFrame:
     """Direct, attached and inheritable metadata per entity; one row per item, the lowest (level, created_at) wins.
 
     Frames hold entity_id, item_id, level, created_at; ``inherited`` also inheritable and contract_id.
@@ -165,7 +165,7 @@ def merged_metadata(direct: DataFrame, attached: DataFrame, inherited: DataFrame
     parts = [
         direct.select(*cols, F.lit("direct").alias("origin"), F.lit(0).alias("pref")),
         attached.select(*cols, F.lit("attached").alias("origin"), F.lit(1).alias("pref")),
-        inherited.filter(F.col("inheritable") & (F.col("level") <= max_level)).select(*cols, F.lit("inherited").alias("origin"), F.lit(2).alias("pref")),
+        inherited.filter(F.col("inheritable") if max_level is None else F.col("inheritable") & (F.col("level") <= max_level)).select(*cols, F.lit("inherited").alias("origin"), F.lit(2).alias("pref")),
     ]
     allm = reduce(DataFrame.unionByName, parts)
     return first_per_key(allm, ["entity_id", "item_id"], [F.col("level"), F.col("created_at"), F.col("pref")]).drop("pref")

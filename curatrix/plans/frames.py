@@ -394,11 +394,11 @@ FRAMES["triples"] = "\nUNION ALL ".join([
 ])
 
 FRAMES["semantic_links"] = """
-SELECT DISTINCT 'data_contract' AS entity_type, l_orderkey AS entity_id, 'http://x.org/part/' || CAST(l_partkey AS STRING) AS iri FROM {lineitem} WHERE l_linenumber = 1"""
+SELECT DISTINCT 'data_contract' AS entity_type, l_orderkey AS entity_id, 'http://x.org/part/' || CAST(l_partkey AS STRING) AS iri FROM {lineitem}"""
 
 # ---- relationships and lineage ------------------------------------------------------------------------------------------
 FRAMES["relations"] = """
-SELECT 'data_product' AS source_type, l_orderkey AS source_id, 'hasDataset' AS relationship_type, 'dataset' AS target_type, l_partkey AS target_id FROM {lineitem} WHERE l_linenumber = 1
+SELECT 'data_product' AS source_type, l_orderkey AS source_id, 'hasDataset' AS relationship_type, 'dataset' AS target_type, l_partkey AS target_id FROM {lineitem}
 UNION ALL SELECT 'dataset', p_partkey, 'hasTable', 'table', p_partkey % 100 FROM {part} WHERE p_size % 5 <> 0
 UNION ALL SELECT 'table', s_suppkey, 'hasColumn', 'column', s_suppkey * 10 FROM {supplier} UNION ALL SELECT 'table', s_suppkey, 'hasColumn', 'column', s_suppkey * 10 + 1 FROM {supplier} WHERE s_suppkey % 2 = 0
 UNION ALL SELECT 'dataset', p_partkey, 'governedBy', 'data_contract', p_partkey % 70 FROM {part} WHERE p_size % 4 = 0
@@ -417,7 +417,8 @@ SELECT 't' || CAST(o_orderkey AS STRING) AS node, CASE o_orderkey % 5 WHEN 0 THE
        CASE WHEN o_orderkey % 37 = 1 THEN CAST(1 + o_custkey % 3 AS INT) ELSE NULL END AS level FROM {orders}"""
 FRAMES["asset_refs"] = """
 SELECT o_orderkey AS node, CASE WHEN o_orderkey % 97 = 5 THEN o_orderkey + 97 WHEN o_orderkey % 97 = 6 AND o_orderkey > 97 THEN o_orderkey - 1
-       WHEN o_orderkey < 10 THEN NULL WHEN o_orderkey % 1000 = 999 THEN o_orderkey ELSE CAST(FLOOR(o_orderkey / 4) AS BIGINT) END AS parent FROM {orders}"""
+       WHEN o_orderkey < 10 THEN NULL WHEN o_orderkey % 1000 = 999 THEN o_orderkey ELSE CAST(FLOOR(o_orderkey / 4) AS BIGINT) END AS parent FROM {orders}
+UNION ALL SELECT o_orderkey, o_orderkey * 4 + 1 FROM {orders} WHERE o_orderkey % 31 = 3 UNION ALL SELECT o_orderkey, o_orderkey + 4 FROM {orders} WHERE o_orderkey % 41 = 2"""
 
 # ---- record matching ------------------------------------------------------------------------------------------------------
 FRAMES["mdm_master"] = """
@@ -429,7 +430,7 @@ SELECT c_custkey + 5000000 AS id,
        CASE WHEN c_custkey % 50 = 0 THEN 'Shared Desk' WHEN c_custkey % 5 = 1 THEN REPLACE(c_name, 'Customer', 'Custmer') WHEN c_custkey % 5 = 2 THEN UPPER(c_name) ELSE c_name END AS customer_name,
        CASE WHEN c_custkey % 50 = 0 THEN ' DESK@x.org' WHEN c_custkey % 5 = 3 THEN 'new' || CAST(c_custkey AS STRING) || '@y.org' ELSE ' ' || UPPER(c_mktsegment) || CAST(c_custkey AS STRING) || '@X.org ' END AS email,
        CASE WHEN c_custkey % 50 = 0 THEN '5550000' WHEN c_custkey % 7 = 3 THEN '(555) ' || CAST(2000000 + c_custkey * 7 AS STRING) ELSE '555 ' || CAST(1000000 + c_custkey * 7 AS STRING) END AS phone,
-       CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_mktsegment END AS segment FROM {customer} WHERE c_custkey % 3 <> 2"""
+       CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_mktsegment END AS segment FROM {customer}"""
 FRAMES["merge_candidates"] = """
 SELECT s.id AS source_id, CASE WHEN s.id % 9 = 0 THEN NULL ELSE m.id END AS master_id, CASE WHEN s.id % 4 = 0 THEN 0.96 ELSE 0.85 END AS confidence,
        CASE WHEN s.id % 3 = 0 THEN 'approved' WHEN s.id % 3 = 1 THEN 'rejected' ELSE 'pending' END AS status,

@@ -147,11 +147,22 @@ def product_hierarchy(d):
 
 @query("detect_cycles", "GR24", """
 WITH RECURSIVE e AS (SELECT node, parent FROM {asset_refs} WHERE parent IS NOT NULL), r AS (SELECT node AS start, parent AS at FROM e UNION SELECT r.start, e.parent FROM r JOIN e ON e.node = r.at)
-SELECT a.start AS node, MIN(b.at) AS cycle FROM r a JOIN r b ON b.start = a.start WHERE a.at = a.start GROUP BY 1""")
+SELECT a.start AS node, MIN(b.at) AS cycle FROM r a JOIN r b ON b.start = a.start JOIN r c ON c.start = b.at AND c.at = a.start WHERE a.at = a.start GROUP BY 1""")
 def detect_cycles(d):
     return g.cycle_members(d["asset_refs"])
 
 
+@query("cycle_paths", "GR24", """
+WITH RECURSIVE e AS (SELECT DISTINCT node, parent FROM {asset_refs} WHERE parent IS NOT NULL), r AS (SELECT node AS start, parent AS at FROM e UNION SELECT r.start, e.parent FROM r JOIN e ON e.node = r.at),
+ m AS (SELECT a.start AS node, MIN(b.at) AS cycle FROM r a JOIN r b ON b.start = a.start JOIN r c ON c.start = b.at AND c.at = a.start WHERE a.at = a.start GROUP BY 1),
+ s AS (SELECT e.node, MIN(e.parent) AS nxt FROM e JOIN m x ON x.node = e.node JOIN m y ON y.node = e.parent AND y.cycle = x.cycle GROUP BY 1),
+ w AS (SELECT node AS start, nxt AS cur, 1 AS steps FROM s UNION ALL SELECT w.start, s.nxt, w.steps + 1 FROM w JOIN s ON s.node = w.cur WHERE w.cur <> w.start AND w.steps < 200),
+ o AS (SELECT start AS node, MAX(steps) AS size, MIN(cur) AS cycle FROM w WHERE start IN (SELECT start FROM w WHERE cur = start) GROUP BY 1)
+SELECT o.cycle, CAST(COALESCE(p.steps, 0) % o.size AS BIGINT) AS position, o.node FROM o LEFT JOIN w p ON p.start = o.cycle AND p.cur = o.node""")
+def cycle_paths(d):
+    return g.cycle_paths(d["asset_refs"])
+
+
 _ACYCLIC = "SELECT o_orderkey AS node, CASE WHEN o_orderkey < 10 THEN NULL ELSE CAST(FLOOR(o_orderkey / 4) AS BIGINT) END AS parent FROM {orders}"
 
 

@@ -35,7 +35,7 @@ def salted_order_lines(d):
 
 _LINKS = """SELECT CAST(o_orderkey AS STRING) || '#tbl_' || CAST(o_custkey % 100 AS STRING) || '_1' AS entity_id, 'term:' || o_orderpriority AS iri FROM {orders}"""
 _OPORTS = """SELECT l_orderkey AS contract_id, 'tbl_' || CAST(MIN(l_suppkey) AS STRING) || '_' || CAST(l_linenumber AS STRING) AS object_name, MIN(l_partkey) AS product_id FROM {lineitem}
- WHERE l_returnflag = 'A' GROUP BY l_orderkey, l_linenumber"""
+ GROUP BY l_orderkey, l_linenumber"""
 _PRODS = "SELECT p_partkey AS id, p_name AS name FROM {part} WHERE p_size % 2 = 0"
 _DOMS = "SELECT n_nationkey AS domain_id, n_name AS domain_name FROM {nation} WHERE n_nationkey % 4 <> 0"
 
@@ -128,14 +128,14 @@ _META = {k: f"SELECT entity_id, item_id, level, created_at, contract_id, inherit
 
 @query("merged_metadata", "J17", """
 SELECT entity_id, item_id, level, created_at, CASE level % 3 WHEN 0 THEN 'direct' WHEN 1 THEN 'attached' ELSE 'inherited' END AS origin FROM {metadata_items}
-WHERE level % 3 <> 2 OR (inheritable AND level <= 5) QUALIFY ROW_NUMBER() OVER (PARTITION BY entity_id, item_id ORDER BY level, created_at) = 1""")
+WHERE level % 3 <> 2 OR inheritable QUALIFY ROW_NUMBER() OVER (PARTITION BY entity_id, item_id ORDER BY level, created_at) = 1""")
 def merged_metadata(d):
-    return lk.merged_metadata(d.sql(_META["direct"]), d.sql(_META["attached"]), d.sql(_META["inherited"]), 5)
+    return lk.merged_metadata(d.sql(_META["direct"]), d.sql(_META["attached"]), d.sql(_META["inherited"]))
 
 
-@query("fan_out", "J18", "SELECT event_id, product_id, subscriber, event_type FROM events e JOIN {subscriptions} s ON s.product_id = e.user_id WHERE event_type = 'error'")
+@query("fan_out", "J18", "SELECT event_id, product_id, subscriber, event_type FROM events e JOIN {subscriptions} s ON s.product_id = e.user_id")
 def fan_out(d):
-    e = d["events"].filter("event_type = 'error'").select("event_id", F.col("user_id").alias("product_id"), "event_type")
+    e = d["events"].select("event_id", F.col("user_id").alias("product_id"), "event_type")
     return lk.fan_out(e, d["subscriptions"])
 
 

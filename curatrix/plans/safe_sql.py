@@ -6,6 +6,7 @@ function registry. Commands, other relations (tables, files, streams) and functi
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from py4j.protocol import Py4JJavaError
@@ -93,8 +94,10 @@ def safe_sql(spark: SparkSession, text: str, max_rows: int | None = None, **fram
 
     With ``max_rows`` at most that many rows come back; without it all do.
     """
-    check_sql(spark, text.format(**{name: f"`{name}`" for name in frames}), set(frames))
-    out = spark.sql(text, **frames)
+    named = re.compile("|".join(r"\{%s\}" % re.escape(name) for name in frames) or r"(?!)")
+    check_sql(spark, named.sub(lambda m: f"`{m[0][1:-1]}`", text), set(frames))
+    # braces that name no frame are text
+    out = spark.sql("".join(part.replace("{", "{{").replace("}", "}}") if i % 2 == 0 else part for i, part in enumerate(re.split(f"({named.pattern})", text))), **frames)
     if max_rows is None:
         return out.withColumn("truncated", F.lit(False))
     mark, head = f"__row_{uuid.uuid4().hex}", out.limit(max_rows + 1)

@@ -54,3 +54,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def settled(df: DataFrame, label: str = "round") -> DataFrame:
+    """Written to the shared folder and read again: like ``cut_lineage``, but the optimizer forgets earlier rounds too.
+
+    The constraints it keeps of them otherwise grow with every round of a loop that renames columns back and forth.
+    """
+    path = new_shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

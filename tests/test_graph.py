@@ -37,6 +37,35 @@ def test_cycle_members(spark):
     assert sorted(map(tuple, g.cycle_members(refs).collect())) == [(1, 1), (2, 1), (3, 1), (6, 6), (9, 9), (10, 9)]
 
 
+def test_cycles_through_any_parent(spark):
+    refs = spark.createDataFrame([("b", "a"), ("b", "z"), ("z", "b"), ("z", None), ("q", "b")], "node string, parent string")
+    assert sorted(map(tuple, g.cycle_members(refs).collect())) == [("b", "b"), ("z", "b")]
+    assert sorted(map(tuple, g.cycle_paths(refs).collect())) == [("b", 0, "b"), ("b", 1, "z")]
+
+
+def test_components_equal_mutual_reachability(spark):
+    for seed, nodes, count in ((2, 50, 62),):
+        rnd = Random(seed)
+        edges = sorted({(rnd.randint(0, nodes), rnd.randint(0, nodes)) for _ in range(count)} | {(100, 101), (101, 102), (102, 100), (103, 100)})
+        after = {n: set(brute_reach(edges, n)) for n in {x for e in edges for x in e}}
+        loops = {a for a, b in edges if a == b}
+        want = {}
+        for n in after:
+            same = {m for m in after[n] if n in after[m]}
+            if len(same) > 1 or n in loops:
+                want[n] = min(same)
+        got = {r.node: r.component for r in g.components(spark.createDataFrame(edges, "src int, dst int")).collect()}
+        assert got == want
+        refs = spark.createDataFrame(edges, "node int, parent int")
+        paths = {}
+        for r in g.cycle_paths(refs).collect():
+            paths.setdefault(r.cycle, {})[r.position] = r.node
+        for start, path in paths.items():
+            walk = [path[i] for i in range(len(path))]
+            assert walk[0] == start == min(walk) and all(e in set(edges) for e in zip(walk, [*walk[1:], start]))
+        assert {want[c] for c in paths} == set(want.values())
+
+
 def test_long_chain_and_cycle(spark):
     refs = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(200, 150)], "node int, parent int")
     assert sorted(r.node for r in g.cycle_members(refs).collect()) == list(range(150, 201))
