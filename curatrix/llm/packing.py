@@ -19,9 +19,11 @@ gives no pieces; further columns are not read.
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import re
 import zlib
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -29,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import Remembered, Shipped, id_and_text, stored
+from curatrix.llm.common import Shipped, id_and_text, stored
+from curatrix.llm.units import Memo
 
 LIMIT = 4096
 #: Space-separated strings of one generation whose ids a worker keeps.
@@ -37,49 +40,67 @@ KEPT = 700_000
 #: Characters on which str.split and the tokenizer's white space differ, and those that might join across a space.
 ODD = re.compile("[\x1c-\x1f]")
 
+#: The pattern of the tokenizer's words, as its file has it (a fixed value), and what it finds in lower-case printable ASCII without apostrophes.
+WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+PIECES = re.compile("[a-z]+|[0-9]|[^a-z0-9 ]+").findall
+
 
 class ChunkTokenizer:
-    """The tokenizer, asked once per distinct space-separated string: it drops white space and never joins across it."""
+    """The tokenizer, asked once per distinct space-separated string: it drops white space and never joins across it.
+
+    The string of a special token has no white space and becomes that token, as the library has it.
+    """
 
     def __init__(self, spec: str):
-        self.spec, self.tool, self.kept = spec, None, Remembered(KEPT)
+        self.spec, self.tool = spec, None
+        read = json.loads(spec)
+        self.special = [t["content"].lower() for t in read.get("added_tokens", [])]
+        split = ((read.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        #: Whether printable ASCII strings fall into PIECES, which the model can be given one by one.
+        self.plain = split.get("pattern") == {"Regex": WORDS} and split.get("behavior") == "Removed"
 
     def __getstate__(self):
-        return {"spec": self.spec, "tool": None, "kept": Remembered(KEPT)}
+        return {"spec": self.spec, "special": self.special, "plain": self.plain, "tool": None}
 
-    def __setstate__(self, state):
-        self.__dict__ = state
+    def _load(self) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for one task
+        from tokenizers import Tokenizer
 
-    def ids(self, text: str) -> np.ndarray:
-        if self.tool is None:
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for one task
-            from tokenizers import Tokenizer
+        self.tool, self.kept = Tokenizer.from_str(self.spec), Memo(KEPT, self._ids)
 
-            self.tool = Tokenizer.from_str(self.spec)
-            self.tool.encode_special_tokens = True
+    def _ids(self, word: str) -> bytes:
+        if self.plain and word.isascii() and word.isprintable() and "'" not in word and not any(map(word.__contains__, self.special)):
+            pieces = [word] if word.isalpha() and word.islower() else PIECES(word.lower())
+            if len(pieces) == 1:
+                return array("I", [t.id for t in self.tool.model.tokenize(pieces[0])]).tobytes()
+            return b"".join(map(self.kept.__getitem__, pieces))
+        return array("I", self.tool.encode_batch_fast([word], add_special_tokens=False)[0].ids).tobytes()
+
+    def ids(self, text: str) -> bytes:
+        """The ids of a text, 4 bytes each."""
+        if self.tool is None:
+            self._load()
         if ODD.search(text):
-            return np.array(self.tool.encode(text, add_special_tokens=False).ids, "<u4")
-        words = (text.lower() if text.isascii() else text).split()  # the tokenizer lowers too: fewer strings to remember
-        new = self.kept.missing(words)
-        if new:
-            for w, e in zip(new, self.tool.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.kept.young[w] = np.array(e.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join(map(self.kept.young.__getitem__, words)), "<u4")
+            return self._ids(text)
+        low = text.lower() if text.isascii() else text  # the tokenizer lowers too: fewer strings to remember
+        if any(map(low.__contains__, self.special)):
+            low = text  # it does not lower before it looks for special tokens
+        return b"".join(map(self.kept.__getitem__, low.split()))
 
 
 def pieces(docs: DataFrame, spec: str, end_id: int = 1, limit: int = LIMIT) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and ``row`` (tells repeated rows apart) of every piece; ``spec`` is the tokenizer's JSON text."""
-    tool = Shipped(docs.sparkSession, ChunkTokenizer(spec))
+    tool, end = Shipped(docs.sparkSession, ChunkTokenizer(spec)), end_id.to_bytes(4, "little")
 
     def run(batches):
         one = tool.value
         for batch in batches:
             out = [], [], [], [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = np.append(one.ids(text.as_py()), np.uint32(end_id)).astype("<u4")
-                for k, lo in enumerate(range(0, len(ids), limit)):
-                    part = ids[lo : lo + limit]
-                    for column, v in zip(out, (doc, k, lo, len(part), zlib.crc32(part.tobytes())), strict=True):
+                ids = one.ids(text.as_py()) + end
+                for k, lo in enumerate(range(0, len(ids) // 4, limit)):
+                    part = ids[4 * lo : 4 * (lo + limit)]
+                    for column, v in zip(out, (doc, k, lo, len(part) // 4, zlib.crc32(part)), strict=True):
                         column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *[pa.array(x, pa.int64()) for x in out[2:]]], ["doc_id", "piece", "start", "length", "ids_crc32"])
 

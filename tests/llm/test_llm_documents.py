@@ -122,9 +122,11 @@ def test_packing(spark, request, which):
 
     docs = request.getfixturevalue(which)
     docs = table(spark, docs, "documents") if isinstance(docs, str) else docs
+    if which == "tricky":
+        special = ["hello <|startoftext|> there", "a<|endoftext|>B C", "NOT <|ENDOFTEXT|> One", "É<|endoftext|>é"]
+        docs = docs.select("doc_id", "text").union(spark.createDataFrame(list(enumerate(special, 50)), "doc_id long, text string"))
     spec = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
     tool = Tokenizer.from_str(spec)
-    tool.encode_special_tokens = True
     got = pd.DataFrame(rows(packing.pack(docs, spec)), columns=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
     want = []
     for d, t in texts_of(docs):

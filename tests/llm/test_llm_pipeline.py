@@ -55,7 +55,6 @@ def test_stages_on_the_table(spark, small):
     from tokenizers import Tokenizer
 
     tool = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tool.encode_special_tokens = True
     packed = cp.packing_stage(spark, clean, small).toPandas()
     want = []
     for d, r in after.items():
@@ -79,3 +78,12 @@ def test_stages_take_odd_rows_and_empty_tables(spark, small, tricky, nothing):
                 assert docs_out.columns == docs.columns, name
                 docs = docs_out
         assert docs_out.count() >= docs.count()
+
+
+def test_a_repeated_row_leaves_one_whole_copy(spark):
+    text = " ".join(f"word{i} number{i * 7 % 31}" for i in range(120))
+    rows = [(1, text), (1, text), (2, "something else altogether " * 3), (3, None), (3, None), (4, "x")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    one = cp.stored(cp.near_duplicates_stage(spark, docs, ""), "t")
+    assert sorted(r["doc_id"] for r in one.collect()) == [1, 2, 3, 4]
+    assert {r["doc_id"]: r["text"] for r in cp.repeats_stage(spark, one, "").collect()}[1] == text

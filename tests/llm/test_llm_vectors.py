@@ -101,3 +101,14 @@ def test_links_keep_every_component():
     plain = vector_dedup.Forest(180)
     plain.add(*np.nonzero(want))
     assert [forest.find(i) for i in range(180)] == [plain.find(i) for i in range(180)]
+
+
+def test_every_length_of_vector_is_compared(spark):
+    short = [(100, [1.0, 2.0]), (101, [1.0, 2.0]), (150, [1.0, 2.1])]
+    long = [(i, [1.0, float(i), 0.5]) for i in range(5)]
+    docs = spark.createDataFrame(short + long + [(7, None), (8, [0.0, 0.0])], "vec_id long, embedding array<double>")
+    links = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_dedup.near_vectors(docs).collect()}
+    assert links[100] == links[101] == links[150] == (2, 100) and links[7] == (0, 7) and links[8] == (0, 8) and len(links) == 10
+    found = multi_index.nearest(docs, docs.where("vec_id in (150, 0)")).collect()
+    assert [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == 150] == [100, 101]
+    assert sorted(r["vec_id"] for r in found if r["query_id"] == 0) == [1, 2, 3, 4]
