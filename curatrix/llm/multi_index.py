@@ -12,7 +12,7 @@ reranks one block of queries against one block of entries.
 ``share`` buys recall: on nearly isotropic vectors, whose fifth neighbour is hardly nearer than the rest, half of all vectors
 are needed for a recall of 0.96; clustered ones need a small part.
 
-Defined cases: see ``vectors.alike`` for the rows that take part (a query that does not has no rows); equal cosines go to
+Defined cases: see ``vectors.by_length`` for the rows that take part, each among those of its length (a query that does not has no rows); equal cosines go to
 the smaller vec_id; a row is never its own neighbour, and rows with the query's vec_id are the query; fewer candidates
 than ``k`` give fewer rows; the walk goes on while it has found no more than ``k`` entries; an empty table gives an empty
 result; further columns are not read.
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatrix.llm.common import Shipped, stored
-from curatrix.llm.vectors import alike, matrix, unit
+from curatrix.llm.vectors import by_length, matrix, unit
 
 BLOCK = 2048
 
@@ -108,12 +109,17 @@ def fit(rows: DataFrame, n: int, sample: int = 20_000, seed: int = 1) -> Codeboo
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = 0.5, least: int = 1000, sample: int = 20_000) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` nearest found for every row of ``queries`` (a part of ``vectors``)."""
+    found = [_nearest_of(rows, queries, k, share, least, sample) for rows in by_length(vectors)]
+    if not found:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.unionByName, found)
+
+
+def _nearest_of(vectors: DataFrame, queries: DataFrame, k: int, share: float, least: int, sample: int) -> DataFrame:
+    """The same among usable vectors of one length."""
     spark = vectors.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
-    rows = alike(vectors).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     n = rows.count()
-    if not n:
-        return spark.createDataFrame([], schema)
     books = fit(rows, n, sample)
     plain = Shipped(spark, books)
 

@@ -9,13 +9,15 @@ the original vectors in doubles. Tile pairs whose bounding boxes on the leading
 Tasks send counts per vector and a spanning forest of the links they find, never all links. The number of tile pairs grows
 with the square of the vectors: each has to be held against each. Tiles are cut by size, so a dense spot is many tiles.
 
-Defined cases: see ``vectors.alike`` for the rows that take part; the others are returned with no links, themselves as
+Defined cases: see ``vectors.by_length`` for the rows that take part, each among those of its length; the others are returned with no links, themselves as
 component and kept (a null vec_id: null component, not kept); rows that repeat a vec_id with its vector link with each
 other and share their component; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from curatrix.llm.common import Shipped, stored
 from curatrix.llm.components import components
-from curatrix.llm.vectors import alike, matrix, unit, usable
+from curatrix.llm.vectors import by_length, matrix, unit, usable
 
 THRESHOLD = 0.9
 TILE = 4096
@@ -180,15 +182,19 @@ def _pair_batches(axes, threshold: float):
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of ``vectors``."""
-    spark = vectors.sparkSession
     every = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    rows = alike(every).withColumn("embedding", F.transform(F.col("embedding").cast("array<double>"), lambda x: x + 0.0))  # one zero
+    rest = every.where(~(usable() & F.col("vec_id").isNotNull()))
+    single = rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), (F.col("vec_id") + 0).alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    return reduce(DataFrame.union, [_linked(rows, threshold) for rows in by_length(every)], single)
+
+
+def _linked(vectors: DataFrame, threshold: float) -> DataFrame:
+    """The same for usable vectors of one length."""
+    spark = vectors.sparkSession
+    rows = vectors.withColumn("embedding", F.transform(F.col("embedding").cast("array<double>"), lambda x: x + 0.0))  # one zero
     rows = rows.withColumns({"h": F.xxhash64("embedding"), "g": F.xxhash64(F.lit(1), "embedding")})  # equal vectors, by 128 bits
     nodes = stored(rows.groupBy("h", "g").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")), "vectors")
-    single = [F.col("vec_id"), F.lit(0).cast("long").alias("n_links"), (F.col("vec_id") + 0).alias("component_id"), F.col("vec_id").isNotNull().alias("kept")]
     total = nodes.count()
-    if not total:
-        return every.select(*single)
     turn = principal_axes(nodes)
     axes = Shipped(spark, turn)
 
@@ -233,6 +239,4 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     counts = found.where(F.col("to") < 0).groupBy("node").agg(F.sum("n").alias("n"))
     known = nodes.join(counts, "node", "left").join(label, "node", "left").select("h", "g", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
     known = stored(known, "vector-classes")
-    taking = rows.select("vec_id", "h", "g").join(known, ["h", "g"]).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
-    rest = every.where(~(usable() & F.col("vec_id").isNotNull() & (F.size("embedding") == turn.shape[0])))
-    return taking.union(rest.select(*single))
+    return rows.select("vec_id", "h", "g").join(known, ["h", "g"]).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))

@@ -15,11 +15,11 @@ def usable(column: str = "embedding") -> Column:
     return F.coalesce(finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def alike(vectors: DataFrame, column: str = "embedding") -> DataFrame:
-    """The usable rows of the most frequent length (the longer of equally frequent ones), the only one that is compared."""
+def by_length(vectors: DataFrame, column: str = "embedding") -> list[DataFrame]:
+    """The usable rows, a frame for each length of vector: vectors of different lengths have no cosine. Lengths are few, whatever the number of rows."""
     rows = vectors.where(usable(column) & F.col("vec_id").isNotNull())
-    lengths = rows.groupBy(F.size(column).alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).limit(1).collect()
-    return rows.where(F.size(column) == (lengths[0]["d"] if lengths else -1))
+    lengths = sorted(r["d"] for r in rows.select(F.size(column).alias("d")).distinct().collect())
+    return [rows.where(F.size(column) == d) for d in lengths] if len(lengths) > 1 else [rows] * len(lengths)
 
 
 def matrix(column: pa.Array) -> np.ndarray:
