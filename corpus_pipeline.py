@@ -21,8 +21,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies, the one with the smallest doc_id (operator 6)."""
-    return neardup.near_duplicates(docs, names=("__class", "__size", "__kept")).where("__kept").select(*docs.columns)
+    """One document of each class of near copies, the one with the smallest doc_id (operator 6).
+
+    The operator keeps a row that repeats as often as it is there; one is kept here, or the next stage would take each for a repeat of the other.
+    """
+    kept = neardup.near_duplicates(docs, names=("__class", "__size", "__kept")).where("__kept").select(*docs.columns)
+    return kept.dropDuplicates(["doc_id", "text"])
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
