@@ -8,14 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import DataType, DateType, IntegralType, StringType, StructField, TimestampNTZType, TimestampType
 
 from curatrix.operators.linking import fan_out
 from curatrix.operators.quality import RowRule, split_rows, volume_floor
 from curatrix.operators.skew import first_per_key
-from curatrix.sources.triples import new_triples
+from curatrix.sources.triples import COLUMNS
 
 
 def read_files(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_trigger: int = 10) -> DataFrame:
@@ -57,24 +59,62 @@ def stream_enforce(stream: DataFrame, rules: Callable[[], list[RowRule]], base:
     return run(stream, base, batch, trigger=trigger)
 
 
+def order_text(column: str, kind: DataType) -> Column:
+    """Text that sorts like an integral, time, date or text column; NULL sorts first."""
+    c = F.col(column)
+    if isinstance(kind, (TimestampType, TimestampNTZType)):
+        c = F.unix_micros(c.cast("timestamp"))
+    elif isinstance(kind, DateType):
+        c = F.unix_date(c)
+    elif not isinstance(kind, (IntegralType, StringType)):
+        raise TypeError(f"{column}: rows cannot be ordered by {kind.simpleString()}")
+    shifted = c if isinstance(kind, StringType) else F.lpad((c.cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("decimal(20,0)").cast("string"), 20, "0")
+    return F.coalesce(shifted, F.lit(""))
+
+
+def _packed(stream: DataFrame, key: str, order: list[str], cols: list[str]) -> DataFrame:
+    """_key, _order and _row as text: state and Python never see, and never round, a value of another type."""
+    kinds = {f.name: f.dataType for f in stream.schema}
+    rank = F.concat_ws("\x1f", *[order_text(o, kinds[o]) for o in order])
+    return stream.select(F.col(key).cast("string").alias("_key"), rank.alias("_order"), F.to_json(F.array(*[F.col(c).cast("string") for c in cols])).alias("_row"))
+
+
+def _unpacked(column: str, fields: list[StructField], prefix: str = "") -> list[Column]:
+    values = F.from_json(column, "array<string>")
+    return [values[i].cast(f.dataType).alias(prefix + f.name) for i, f in enumerate(fields)]
+
+
+def _fewest(packed: DataFrame, n: int, newest: bool) -> DataFrame:
+    """At most ``n`` rows of a key from each Arrow batch go on, so that a hot key reaches its state as a few rows."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf.sort_values(["_order", "_row"], ascending=not newest).groupby("_key", dropna=False, sort=False).head(n)
+
+    return packed.mapInPandas(run, "_key string, _order string, _row string")
+
+
 def stage_events(stream: DataFrame, key: str, ts: str, base: str, trigger: dict | None = None) -> StreamingQuery:
     """At-least-once input staged once per key, however late a first arrival or a repeat is; NULL is one key.
 
-    Of the staged keys only those that the batch holds again are kept for the comparison, so it never grows beyond the batch.
+    That a key was staged is keyed state: a batch looks up the keys it holds and reads nothing of the history. Of a key's rows in its first batch the
+    earliest is staged, of equally early ones the first by its values, also when the batch runs again. State of many keys belongs in a
+    RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
     """
-    spark = stream.sparkSession
+    stream = stream.withColumn(ts, F.col(ts).cast("timestamp"))
+    fields = list(stream.schema)
 
-    def batch(df: DataFrame, batch_id: int) -> None:
-        once = first_per_key(df, [key], [F.col(ts)]).persist()
-        fresh = once
-        if batch_id > 0:
-            staged = spark.read.parquet(f"{base}/events").filter(F.col("batch") < batch_id).select(F.col(key).alias("_staged"))
-            again = staged.join(once.select(F.col(key).alias("_key")), F.col("_staged").eqNullSafe(F.col("_key")), "left_semi")
-            fresh = once.join(again, F.col(key).eqNullSafe(F.col("_staged")), "left_anti")
-        put(fresh, f"{base}/events", batch_id)
-        once.unpersist()
+    def first(key, batches, state):
+        best = None
+        for pdf in batches:
+            here = pdf.sort_values(["_order", "_row"]).iloc[0]
+            best = min(filter(None, (best, (here["_order"], here["_row"]))))
+        if not state.exists:
+            state.update((True,))
+            yield pd.DataFrame({"_row": [best[1]]})
 
-    return run(stream.withColumn(ts, F.col(ts).cast("timestamp")), base, batch, trigger=trigger)
+    once = _fewest(_packed(stream, key, [ts], stream.columns), 1, False).groupBy("_key").applyInPandasWithState(first, "_row string", "staged boolean", "append", "NoTimeout")
+    return run(once.select(*_unpacked("_row", fields)), base, lambda df, i: put(df, f"{base}/events", i), trigger=trigger)
 
 
 def event_volume(stream: DataFrame, ts: str, kind: str, width: str = "1 hour", slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
@@ -84,76 +124,139 @@ def event_volume(stream: DataFrame, ts: str, kind: str, width: str = "1 hour", s
     return counts.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), F.col("w.end").cast("timestamp_ntz").alias("window_end"), kind, "n")
 
 
+def open_state(spark: SparkSession, base: str) -> DataFrame:
+    """Key and value of every window or session that is still open, from the query's own state of its last batch."""
+    return spark.read.format("statestore").load(f"{base}/checkpoint")
+
+
+def open_windows(spark: SparkSession, base: str, kind: str) -> DataFrame:
+    """Counts of the windows that the watermark has not closed yet, in the columns of ``event_volume``; together they hold every event."""
+    w = "key.window"
+    return open_state(spark, base).select(F.col(f"{w}.start").cast("timestamp_ntz").alias("window_start"), F.col(f"{w}.end").cast("timestamp_ntz").alias("window_end"), F.col(f"key.{kind}"), F.col("value.count").alias("n"))
+
+
+def late_events(stream: DataFrame, ts: str, width: str, delay: str, base: str, trigger: dict | None = None) -> StreamingQuery:
+    """Rows whose window was closed when they came, kept aside with the watermark they missed; ``event_volume`` does not count them.
+
+    As in Spark's stateful operators a batch drops by the watermark of the batch before it: the newest time of all batches before that one, less
+    ``delay``. Each batch reads two rows for it.
+    """
+    spark = stream.sparkSession
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        newest, before = (spark.read.parquet(batch_folder(f"{base}/newest", i)).first()[0] if i >= 0 else None for i in (batch_id - 1, batch_id - 2))
+        mark = F.lit(before).cast("timestamp") - F.expr(f"interval {delay}")
+        late = df.withColumn("missed", mark).filter(F.window(F.col(ts), width)["end"] <= F.col("missed"))
+        put(late, f"{base}/late", batch_id)
+        put(df.agg(F.greatest(F.max(ts), F.lit(newest).cast("timestamp")).alias("newest")), f"{base}/newest", batch_id)
+
+    return run(stream.withColumn(ts, F.col(ts).cast("timestamp")), base, batch, trigger=trigger)
+
+
+def _judged(counts: DataFrame, start: DataFrame, kind: str, ratio: float, windows: int, width: str) -> DataFrame:
+    """Floors of all windows since ``start`` (a row per type), those without any event counted 0."""
+    rows = counts.select(kind, "window_start", "n").unionByName(start.select(kind, "window_start", F.lit(0).cast("long").alias("n")))
+    return volume_floor(rows.groupBy(kind, "window_start").agg(F.sum("n").alias("n")), "window_start", "n", (kind,), ratio, windows, width)
+
+
+def _closed_since(spark: SparkSession, base: str, batch_id: int, kind: str, windows: int, width: str) -> tuple[DataFrame, DataFrame, object]:
+    """Stored windows up to a batch that later ones are judged by, each type's first window among them, and the last window judged before.
+
+    The marks of the batch before hold the last window and each type's first one; of the windows only the days needed are read.
+    """
+    marks = spark.read.parquet(batch_folder(f"{base}/marks", batch_id))
+    shape = f"`{kind}` {marks.schema[kind].dataType.simpleString()}, window_start timestamp_ntz, window_end timestamp_ntz, n long, batch int, day date"
+    known = spark.read.schema(shape).parquet(f"{base}/volume").filter(F.col("batch") <= batch_id)
+    judged_to = marks.agg(F.max("judged_to")).first()[0]
+    start = marks.select(kind, F.col("first").alias("window_start"))
+    if judged_to is not None:
+        low = F.lit(judged_to) - F.expr(f"{windows} * interval {width}")
+        known = known.filter((F.col("day") >= F.to_date(low)) & (F.col("window_start") >= low))
+        start = start.withColumn("window_start", F.greatest("window_start", low))
+    return known, start, judged_to
+
+
 def volume_drop_alert(volume: DataFrame, kind: str, base: str, ratio: float = 0.6, windows: int = 7, width: str = "1 hour", trigger: dict | None = None) -> StreamingQuery:
     """Closed windows are stored; a window below ``ratio`` times the mean of the ``windows`` before it is an alert.
 
-    Windows without any event count 0, from a type's first window to the last closed one of all types. Each batch judges the
-    windows that closed since the one before, and reads only these and the ``windows`` before them.
+    Windows without any event count 0, from a type's first window to the last closed one of all types. Each batch judges the windows that closed since the
+    one before, and reads only these, the ``windows`` before them (a partition per day) and a row of marks per type.
     """
     spark = volume.sparkSession
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        put(df, f"{base}/volume", batch_id)
-        put(df.groupBy(kind).agg(F.min("window_start").alias("first")), f"{base}/firsts", batch_id)
-        known = spark.read.parquet(f"{base}/volume")
-        start = spark.read.parquet(f"{base}/firsts").groupBy(kind).agg(F.min("first").alias("window_start"))  # a row per type
-        judged_to = known.filter(F.col("batch") < batch_id).agg(F.max("window_start")).first()[0]
-        if judged_to is not None:
-            low = F.lit(judged_to) - F.expr(f"{windows} * interval {width}")
-            known = known.filter(F.col("window_start") >= low)
-            start = start.withColumn("window_start", F.greatest("window_start", low))
-        counts = known.select(kind, "window_start", "n").unionByName(start.withColumn("n", F.lit(0).cast("long")))
-        counts = counts.groupBy(kind, "window_start").agg(F.sum("n").alias("n"))
-        judged = volume_floor(counts, "window_start", "n", (kind,), ratio, windows, width)
+        rows = df.persist()
+        rows.withColumn("day", F.to_date("window_start")).write.mode("overwrite").partitionBy("day").parquet(batch_folder(f"{base}/volume", batch_id))
+        marks, judged_to = rows.groupBy(kind).agg(F.min("window_start").alias("first"), F.max("window_start").alias("last")), None
+        if batch_id:
+            before = spark.read.parquet(batch_folder(f"{base}/marks", batch_id - 1))
+            judged_to = before.agg(F.max("last")).first()[0]
+            marks = marks.unionByName(before.select(kind, "first", "last"))
+        marks = marks.groupBy(kind).agg(F.min("first").alias("first"), F.max("last").alias("last"))
+        put(marks.withColumn("judged_to", F.lit(judged_to).cast("timestamp_ntz")), f"{base}/marks", batch_id)
+        rows.unpersist()
+        known, start, _ = _closed_since(spark, base, batch_id, kind, windows, width)
+        judged = _judged(known, start, kind, ratio, windows, width)
         fresh = judged if judged_to is None else judged.filter(F.col("window_start") > F.lit(judged_to))
         put(fresh.filter(~F.col("passed")), f"{base}/alerts", batch_id)
 
     return run(volume, base, batch, trigger=trigger)
 
 
+def open_alerts(spark: SparkSession, base: str, kind: str, ratio: float = 0.6, windows: int = 7, width: str = "1 hour") -> DataFrame:
+    """The same verdict on the windows that are still open, by what they hold so far."""
+    last = spark.read.parquet(f"{base}/marks").agg(F.max("batch")).first()[0]
+    closed_to = spark.read.parquet(batch_folder(f"{base}/marks", last)).agg(F.max("last")).first()[0]
+    known, start, _ = _closed_since(spark, base, last, kind, windows, width)
+    still = open_windows(spark, base, kind)
+    counts = known.select(kind, "window_start", "n").unionByName(still.select(kind, "window_start", "n"))
+    new = still.select(kind, "window_start").join(start.select(kind), kind, "left_anti").groupBy(kind).agg(F.min("window_start").alias("window_start"))
+    judged = _judged(counts, start.unionByName(new), kind, ratio, windows, width)
+    fresh = judged if closed_to is None else judged.filter(F.col("window_start") > F.lit(closed_to))
+    return fresh.filter(~F.col("passed"))
+
+
 def session_activity(stream: DataFrame, ts: str, key: str, gap: str, delay: str = "10 minutes") -> DataFrame:
     """Sessions per key that end after ``gap`` without an event.
 
-    Sessions are merged inside each input partition before the shuffle, so a hot key arrives as sessions, not as events.
+    With ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` a session merges them inside each input partition, before the shuffle,
+    so that a hot key arrives as sessions, not as events (``build_session`` sets it).
     """
-    stream.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     sessions = with_event_time(stream, ts, delay).groupBy(F.session_window(F.col(ts), gap).alias("w"), F.col(key)).agg(F.count(F.lit(1)).alias("events"))
     return sessions.select(key, F.col("w.start").cast("timestamp_ntz").alias("session_start"), F.col("w.end").cast("timestamp_ntz").alias("session_end"), "events")
 
 
+def open_sessions(spark: SparkSession, base: str, key: str) -> DataFrame:
+    """Sessions that may still grow, in the columns of ``session_activity``."""
+    w = "value.session_window"
+    return open_state(spark, base).select(F.col(f"value.{key}"), F.col(f"{w}.start").cast("timestamp_ntz").alias("session_start"), F.col(f"{w}.end").cast("timestamp_ntz").alias("session_end"), F.col("value.count").alias("events"))
+
+
 def append_sink(stream: DataFrame, base: str, name: str, trigger: dict | None = None) -> StreamingQuery:
     return run(stream, base, lambda df, i: put(df, f"{base}/{name}", i), trigger=trigger)
 
 
-def merge_state(old: DataFrame | None, batch: DataFrame, key: str, order: list[str], cols: list[str]) -> DataFrame:
-    """The two newest rows per key side by side: the current one, and the one before under ``before_``.
+def current_state(stream: DataFrame, key: str, order: list[str], cols: list[str], base: str, trigger: dict | None = None) -> StreamingQuery:
+    """Latest row per subject and the one before it (columns ``before_``) as a log: every batch writes only the subjects it touched.
 
-    Only two rows per key and task reach the shuffle, whatever share of the batch a key holds.
+    The two newest rows of a subject are keyed state, so a batch reads nothing of the history.
     """
-    fields = [*order, *cols]
-    rows = batch.select(key, *fields)
-    if old is not None:
-        earlier = old.filter(F.col(f"before_{order[0]}").isNotNull()).select(key, *[F.col(f"before_{c}").alias(c) for c in fields])
-        rows = rows.unionByName(old.select(key, *fields)).unionByName(earlier)
-    two = first_per_key(rows, [key], [F.col(o).desc() for o in order], 2, "rank")
-    nth = lambda n: F.max(F.when(F.col("rank") == n, F.struct(*fields)))
-    out = two.groupBy(key).agg(nth(1).alias("m"), nth(2).alias("b"))
-    return out.select(key, *[F.col(f"m.{c}").alias(c) for c in fields], *[F.col(f"b.{c}").alias(f"before_{c}") for c in fields])
-
-
-def current_state(stream: DataFrame, key: str, order: list[str], cols: list[str], base: str, trigger: dict | None = None) -> StreamingQuery:
-    """Latest state per subject as a log: every batch writes only the subjects it touched, merged with what was known."""
-    spark = stream.sparkSession
+    kinds = {f.name: f for f in stream.schema}
+    names = [key, *order, *cols]
 
-    def batch(df: DataFrame, batch_id: int) -> None:
-        old = None
-        if batch_id > 0:
-            log = spark.read.parquet(f"{base}/state").filter(F.col("batch") < batch_id)
-            touched = log.join(df.select(key).distinct(), key, "left_semi")
-            old = first_per_key(touched, [key], [F.col("batch").desc()])
-        put(merge_state(old, df, key, order, cols), f"{base}/state", batch_id)
+    def newest(key, batches, state):
+        top = [x for x in zip(state.get[0::2], state.get[1::2], strict=True) if x[0] is not None] if state.exists else []
+        for pdf in batches:
+            some = pdf.sort_values(["_order", "_row"], ascending=False).head(2)
+            top = sorted([*top, *zip(some["_order"], some["_row"], strict=True)], reverse=True)[:2]
+        held = [*top, (None, None)][:2]
+        state.update((*held[0], *held[1]))
+        yield pd.DataFrame({"_now": [held[0][1]], "_before": [held[1][1]]}, dtype=object)
 
-    return run(stream, base, batch, trigger=trigger)
+    packed = _fewest(_packed(stream, key, order, names), 2, True)
+    states = packed.groupBy("_key").applyInPandasWithState(newest, "_now string, _before string", "o1 string, r1 string, o2 string, r2 string", "update", "NoTimeout")
+    before = _unpacked("_before", [kinds[c] for c in names], "before_")[1:]
+    return run(states.select(*_unpacked("_now", [kinds[c] for c in names]), *before), base, lambda df, i: put(df, f"{base}/state", i), mode="update", trigger=trigger)
 
 
 def read_state(spark: SparkSession, base: str, key: str) -> DataFrame:
@@ -162,17 +265,8 @@ def read_state(spark: SparkSession, base: str, key: str) -> DataFrame:
 
 
 def incremental_sync(spark: SparkSession, stream: DataFrame, base: str, trigger: dict | None = None) -> StreamingQuery:
-    """New triples appended batch by batch; those already stored are skipped."""
-
-    def batch(df: DataFrame, batch_id: int) -> None:
-        if batch_id == 0:
-            fresh = df.distinct()
-        else:
-            store = spark.read.parquet(f"{base}/triples").filter(F.col("batch") < batch_id)
-            fresh = new_triples(store, df)
-        put(fresh, f"{base}/triples", batch_id)
-
-    return run(stream, base, batch, trigger=trigger)
+    """New triples appended batch by batch; those already stored are skipped. Which triples are stored is keyed state, no batch reads the store."""
+    return append_sink(stream.dropDuplicates(list(COLUMNS)), base, "triples", trigger)
 
 
 def stream_freshness(stream: DataFrame, key: str, ts: str, base: str, trigger: dict | None = None) -> StreamingQuery:

@@ -85,6 +85,41 @@ def test_volume_counts_closed_windows(spark, files):
     assert got == want
 
 
+def test_open_windows_and_sessions_complete_the_closed_ones(spark, files):
+    base = new_shared_path(spark, "whole")
+    st.append_sink(st.event_volume(stream(spark, files), "ts", "event_type"), base, "volume").awaitTermination()
+    closed, still = st.read_sink(spark, f"{base}/volume"), st.open_windows(spark, base, "event_type")
+    want = {}
+    for r in ROWS:
+        want[(r[2].replace(minute=0), r[3])] = want.get((r[2].replace(minute=0), r[3]), 0) + 1
+    assert still.count() and {(r.window_start, r.event_type): r.n for r in closed.unionByName(still).collect()} == want
+    base = new_shared_path(spark, "sessions")
+    st.append_sink(st.session_activity(stream(spark, files), "ts", "user_id", "2 hours"), base, "sessions").awaitTermination()
+    assert st.read_sink(spark, f"{base}/sessions").unionByName(st.open_sessions(spark, base, "user_id")).agg(F.sum("events")).first()[0] == len(ROWS)
+
+
+def test_late_events_are_kept_aside(spark):
+    path, base = new_shared_path(spark, "late-in"), new_shared_path(spark, "late")
+    early, late = [(i, 1, START + timedelta(hours=i), "view", 1.0) for i in range(30)], [(100, 1, START + timedelta(hours=2, minutes=5), "view", 1.0), (101, 1, START + timedelta(hours=29, minutes=30), "view", 1.0)]
+    between = [(200, 1, START + timedelta(hours=29, minutes=10), "view", 1.0)]
+    for part in (early, between, late):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    st.late_events(stream(spark, path), "ts", "1 hour", "10 minutes", base).awaitTermination()
+    assert [r.event_id for r in st.read_sink(spark, f"{base}/late").collect()] == [100]
+    counts = new_shared_path(spark, "counts")
+    st.append_sink(st.event_volume(stream(spark, path), "ts", "event_type"), counts, "volume").awaitTermination()
+    assert st.read_sink(spark, f"{counts}/volume").unionByName(st.open_windows(spark, counts, "event_type")).agg(F.sum("n")).first()[0] == 32
+
+
+def test_the_first_of_equal_events_is_staged_whatever_their_types(spark):
+    path, base = new_shared_path(spark, "ties-in"), new_shared_path(spark, "ties")
+    rows = [(2**60 + 1, START, "b", 0.1, None), (2**60 + 1, START, "a", 0.2, START.date()), (None, START, "n", None, None), (2**60 + 1, START - timedelta(days=1), "late", 1e-300, None)]
+    for part in (rows[:3], rows[3:]):
+        spark.createDataFrame(part, "k long, ts timestamp_ntz, s string, v double, d date").coalesce(1).write.mode("append").parquet(path)
+    st.stage_events(stream(spark, path), "k", "ts", base).awaitTermination()
+    assert sorted(((r.k, r.s, r.v, r.d) for r in st.read_sink(spark, f"{base}/events").collect()), key=str) == [(2**60 + 1, "a", 0.2, START.date()), (None, "n", None, None)]
+
+
 def test_incremental_sync_adds_each_triple_once(spark, files):
     base = new_shared_path(spark, "sync")
     none = F.lit(None).cast("string")
