@@ -34,6 +34,7 @@ TOP = 2000
 BLOCK = 8 << 20
 #: Hashed counters as powers of two: one for about 8 words, within these bounds.
 LEAST_BITS, MOST_BITS = 16, 30
+SALTS = 64
 RANGE = 16
 
 BREAK = b"\xff"  # in no UTF-8 text
@@ -201,7 +202,9 @@ def cuts(phrases: DataFrame) -> DataFrame:
     sides = cut.join(f.select("lang", F.col("phrase").alias("left"), F.col("f").alias("l")), ["lang", "left"]).join(f.select("lang", F.col("phrase").alias("right"), F.col("f").alias("r")), ["lang", "right"])
     big = "decimal(19,0)"
     score = F.expr(f"(cast(1000 * a AS {big}) * cast(n AS {big})) div (cast(l AS {big}) * cast(r AS {big}))")
-    scored = sides.join(n, "lang").withColumn("score", score)
+    # a language may hold most phrases: its total waits in SALTS places
+    salted = sides.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).cast("int"))
+    scored = salted.join(n.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["lang", "salt"]).withColumn("score", score)
     lowest = scored.groupBy("lang", "phrase", "m", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("lowest"))
     return lowest.select("lang", "phrase", "m", "a", "lowest.l", "lowest.r", "n", "lowest.score")
 
