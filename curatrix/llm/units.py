@@ -60,7 +60,7 @@ class UnitTokenizer:
     With ``special`` the strings of special tokens are those tokens, as the library does by default, else they are plain text.
     """
 
-    def __init__(self, spec: str, special: bool = True, room: int = 500_000):
+    def __init__(self, spec: str, special: bool = True, room: int = 700_000):
         read = json.loads(spec)
         before = read.get("pre_tokenizer") or {}
         self.spec, self.as_tokens, self.room, self.tool = spec, special, room, None
@@ -91,7 +91,7 @@ class UnitTokenizer:
             return self._bytes([t.id for t in self.model.tokenize("Ġ" + unit[1:])])
         if not SAFE(unit):
             return self._bytes(self.tool.encode(unit, add_special_tokens=False).ids)
-        pieces = self.find(unit)
+        pieces = [unit] if unit[:1] == " " and unit[1:].isalpha() else self.find(unit)
         if len(pieces) == 1:
             return self._bytes([t.id for t in self.model.tokenize(unit.encode().decode("latin-1").translate(self.letters))])
         return b"".join([self.spaced[p[1:]] if p[0] == " " else self.bare[p] for p in pieces])
