@@ -12,11 +12,11 @@ from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatrix.functions.scalar import match_type, normalize_email, normalize_phone7
-from curatrix.functions.similarity import similarity
+from curatrix.functions.similarity import similarity, token_sort
 from curatrix.operators.skew import first_per_key, salted_join
 
 EPS = 1e-9
@@ -136,42 +136,61 @@ def text_floor(rules: list[MatchRule], threshold: float) -> float | None:
     return None if weight <= 0 or need > weight + EPS else (need - EPS) / weight
 
 
-def _edits(floor: float, left: Column, right: Column) -> Column:
-    """Edits that two texts of these lengths may differ by and still have a Levenshtein ratio of ``floor``."""
-    return F.floor((1 - floor) * F.greatest(left, right) + 1e-6).cast("int")
+# Per algorithm: the compared form of a text, and the share of a text's characters that edits can take at a ratio of ``floor``.
+BOUNDED = {
+    "ratio": (F.lower, lambda floor: 1 - floor),
+    "token_sort": (token_sort, lambda floor: 1 - floor),
+    "indel": (F.lower, lambda floor: 2 * (1 - floor) / (2 - floor)),
+}
 
 
-def text_pairs(master: DataFrame, source: DataFrame, field: str, floor: float) -> DataFrame:
-    """(m_profile, s_profile) of every pair whose ``field`` may have a Levenshtein ratio of ``floor``; none is missed.
+def gram_length(floor: float, algorithm: str = "ratio") -> int:
+    """The longest q-grams, up to 3, of which two texts with a ratio of ``floor`` are sure to share one."""
+    share = BOUNDED[algorithm][1](floor)
+    return max(q for q in (1, 2, 3) if q == 1 or q * share <= 1 + EPS)
 
-    Texts that differ by k edits share one of k + 1 pieces of the first, moved by at most k places. So a master text is cut
-    into k + 1 pieces for each length a partner can have, a source text gives its substrings at the places these pieces can
-    have moved to, and an equi join on (lengths, piece number, piece) brings them together.
-    """
-    low, high = F.lit(floor), F.lit(1 / floor)
-
-    def lengths(df: DataFrame, name: str) -> DataFrame:
-        text = df.filter(F.length(field) > 0).select(F.col("profile").alias(f"{name}_profile"), F.lower(field).alias("text"))
-        text = text.withColumn("own", F.length("text"))
-        near = F.sequence(F.greatest(F.ceil(F.col("own") * low - 1e-6), F.lit(1)).cast("int"), F.floor(F.col("own") * high + 1e-6).cast("int"))
-        return text.select("*", F.explode(near).alias("other"))
 
-    def piece(i: Column, length: Column, k: Column) -> tuple[Column, Column]:
-        """Start (from 0) and length of piece ``i`` of ``k + 1`` pieces of about equal length."""
-        start = F.floor(i * length / (k + 1)).cast("int")
-        return start, F.floor((i + 1) * length / (k + 1)).cast("int") - start
+def text_pairs(master: DataFrame, source: DataFrame, field: str, floor: float, algorithm: str = "ratio") -> DataFrame:
+    """(m_profile, s_profile) of every pair whose ``field`` may have a ratio of ``floor``; none is missed.
 
-    m = lengths(master, "m").withColumn("k", _edits(floor, F.col("own"), F.col("other"))).select("*", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"))
-    at, size = piece(F.col("i"), F.col("own"), F.col("k"))
-    m = m.select("m_profile", F.col("own").alias("m_len"), F.col("other").alias("s_len"), "i", F.substring(F.col("text"), at + 1, size).alias("piece"))
-
-    s = lengths(source, "s").withColumn("k", _edits(floor, F.col("own"), F.col("other"))).select("*", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"))
-    at, size = piece(F.col("i"), F.col("other"), F.col("k"))
-    last = F.col("own") - F.col("size")
-    s = s.withColumn("at", at).withColumn("size", size).filter(last >= 0)
-    s = s.select("*", F.explode(F.sequence(F.greatest(F.col("at") - F.col("k"), F.lit(0)), F.greatest(F.least(F.col("at") + F.col("k"), last), F.greatest(F.col("at") - F.col("k"), F.lit(0))))).alias("p"))
-    s = s.select("s_profile", F.col("other").alias("m_len"), F.col("own").alias("s_len"), "i", F.substring(F.col("text"), F.col("p") + 1, F.col("size")).alias("piece")).distinct()
-    return salted_join(s, m, ["m_len", "s_len", "i", "piece"]).select("m_profile", "s_profile").distinct()
+    Prefix filter over q-grams: an edit spoils at most q of the padded q-grams of a text, so at this ratio at most
+    ``q * share * length`` of them are spoilt on either side.  With the grams of every text in one order, rarest first, the
+    side whose prefix of two grams more ends earlier holds two unspoilt grams (all there are, where the text is too short),
+    and the other side has them in its prefix too.  So an equi join on the grams of the prefixes finds the pair that often.
+    Grams that tie with the last one belong to the prefix.  Lengths and places must be within the edits as well.
+    """
+    if floor <= 0:
+        raise ValueError("a floor of 0 keeps every pair")
+    form, lost = BOUNDED[algorithm]
+    share, q = lost(floor), gram_length(floor, algorithm)
+    pad, meetings = F.lit("\0" * (q - 1)), 2
+    spoilt = lambda size: F.floor(q * share * size + 1e-6)
+
+    def grams(df: DataFrame) -> DataFrame:
+        text = df.select("profile", form(F.col(field).cast("string")).alias("text")).filter(F.length("text") > 0).withColumn("size", F.length("text"))
+        padded = F.concat(pad, F.col("text"), pad)
+        cut = F.transform(F.sequence(F.lit(1), F.col("size") + q - 1), lambda i: F.substr(padded, i, F.lit(q)))
+        return text.select("profile", "size", F.posexplode(cut).alias("at", "gram"))
+
+    sides = {"m": grams(master), "s": grams(source)}
+    often = sides["m"].select("gram").unionByName(sides["s"].select("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+
+    def prefix(name: str) -> DataFrame:
+        order = Window.partitionBy("profile").orderBy("often", "gram")
+        ranked = sides[name].join(often, "gram").withColumn("place", F.rank().over(order))
+        kept = ranked.filter(F.col("place") <= spoilt(F.col("size")) + meetings)
+        return kept.select("gram", *[F.col(c).alias(f"{name}_{c}") for c in ("profile", "size", "at")])
+
+    short, long = F.least("m_size", "s_size"), F.greatest("m_size", "s_size")
+    if algorithm == "indel":
+        edits = (1 - floor) * (short + long) + 1e-6
+        near, moved = 2 * short + 1e-6 >= floor * (short + long), (edits + long - short) / 2
+    else:
+        near, moved = short + 1e-6 >= floor * long, (1 - floor) * long + 1e-6
+    met = salted_join(prefix("s"), prefix("m"), ["gram"]).filter(near & (F.abs(F.col("m_at") - F.col("s_at")) <= moved))
+    left = F.greatest(*[F.col(c) + q - 1 - spoilt(F.col(c)) for c in ("m_size", "s_size")])
+    often_enough = F.col("met") >= F.least(F.lit(meetings), left)
+    return met.groupBy("m_profile", "s_profile", "m_size", "s_size").agg(F.count(F.lit(1)).alias("met")).filter(often_enough).select("m_profile", "s_profile")
 
 
 def score_deterministic(rule: MatchRule) -> Column:
@@ -207,9 +226,9 @@ def find_matches(master: DataFrame, source: DataFrame, rules: list[MatchRule], b
     floor = None if blocks else text_floor(used, threshold)
     if floor is not None:
         text = [r for r in used if not r.deterministic]
-        if any(r.algorithm != "ratio" for r in text):
-            raise ValueError("text rules reach the threshold alone: pass block keys, only the ratio bounds its candidates")
-        near = reduce(DataFrame.unionByName, [text_pairs(master, source, r.fields[0], floor) for r in text]).distinct()
+        if any(r.algorithm not in BOUNDED for r in text):
+            raise ValueError(f"text rules reach the threshold alone: pass block keys, only {', '.join(BOUNDED)} bound their candidates")
+        near = reduce(DataFrame.unionByName, [text_pairs(master, source, r.fields[0], floor, r.algorithm) for r in text]).distinct()
         sides = [df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns]) for p, df in (("m", master), ("s", source))]
         pairs.append(near.join(sides[0], "m_profile").join(sides[1], "s_profile"))
     if not pairs:

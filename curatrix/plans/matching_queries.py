@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from curatrix.functions.similarity import similarity
 from curatrix.operators import linking as lk
 from curatrix.operators import matching as mt
 from curatrix.operators.matching import MatchRule
@@ -76,6 +77,45 @@ def match_text_only(d):
     return out.select(F.col("m_p_name").alias("m_name"), F.col("s_p_name").alias("s_name"), F.round("confidence", 6).alias("confidence"))
 
 
+def _places(c):
+    """DuckDB: for each character of ``c`` the places where it stands, as bits."""
+    return f"""map_from_entries(list_transform(list_distinct(string_split(lower({c}), '')), lambda ch: struct_pack(k := ch, v := list_sum(list_transform(range(1, length({c}) + 1),
+ lambda i: CASE WHEN substr(lower({c}), i, 1) = ch THEN 1::HUGEINT << (i - 1)::INT ELSE 0::HUGEINT END))::HUGEINT)))"""
+
+
+def _common(places, size, text):
+    """DuckDB: length of the longest common subsequence of ``text`` (at most 100 characters) and the text behind ``places``."""
+    full = f"((1::HUGEINT << {size}::INT) - 1)"
+    return f"""({size} - bit_count(list_reduce([{full}] || list_transform(string_split(lower({text}), ''), lambda ch: COALESCE({places}[ch], 0::HUGEINT)),
+ lambda s, m: ((s + (s & m)) | (s - (s & m))) & {full})))"""
+
+
+@query("match_indel", "J7 ER1 ER3 SC8", f"""
+SELECT m_name, s_name, ROUND(r, 6) AS confidence FROM (SELECT m.p_name AS m_name, s.p_name AS s_name, 2.0::DOUBLE * {_common('m.places', 'm.size', 's.p_name')} / (m.size + length(s.p_name)) AS r
+ FROM (SELECT p_name, length(p_name) AS size, {_places('p_name')} AS places FROM (SELECT DISTINCT p_name FROM part)) m, (SELECT DISTINCT replace(p_name, 'e', 'a') AS p_name FROM part) s) WHERE r >= 0.8 - 1e-9""")
+def match_indel(d):
+    """One text rule by the longest common subsequence: every pair that the comparison of all with all finds."""
+    names = d["part"].select(F.col("p_partkey").alias("id"), "p_name")
+    m, _ = mt.profiles(names, ["p_name"], "id")
+    s, _ = mt.profiles(names.withColumn("p_name", F.replace("p_name", F.lit("e"), F.lit("a"))), ["p_name"], "id")
+    out = mt.find_matches(m, s, [MatchRule("name", "fuzzy", ("p_name",), 1.0, 0.8, "indel")])
+    return out.select(F.col("m_p_name").alias("m_name"), F.col("s_p_name").alias("s_name"), F.round("confidence", 6).alias("confidence"))
+
+
+_WINDOWS = f"""(SELECT MAX({_common('t.places', 't.size', 'substr(t.b, i, t.size)')}) FROM range(1, length(t.b) - t.size + 2) w(i))"""
+
+
+@query("text_ratios", "SC8 ER3", f"""
+SELECT p_partkey, ROUND(2.0::DOUBLE * {_common('t.places', 't.size', 't.b')} / (t.size + length(t.b)), 6) AS indel, ROUND({_WINDOWS}::DOUBLE / t.size, 6) AS partial
+FROM (SELECT p_partkey, p_name AS a, p_type || ' ' || p_brand || ' ' || p_name[3:] || ' ' || p_name[:4] AS b, length(p_name) AS size, {_places('p_name')} AS places FROM part) t""")
+def text_ratios(d):
+    """Indel ratio and its best window, of a name and a longer text around parts of it."""
+    longer = F.concat_ws(" ", "p_type", "p_brand", F.expr("substr(p_name, 3)"), F.expr("substr(p_name, 1, 4)"))
+    part = d["part"].withColumn("longer", longer)
+    ratio = lambda how: F.round(similarity(F.col("p_name"), F.col("longer"), how), 6)
+    return part.select("p_partkey", ratio("indel").alias("indel"), ratio("partial").alias("partial"))
+
+
 _JSON = "to_json({{'id': {a}.id, 'customer_name': {a}.customer_name, 'email': {a}.email, 'phone': {a}.phone, 'segment': {a}.segment}})::VARCHAR"
 
 

@@ -1,6 +1,10 @@
+import random
+
 import pytest
+from hypothesis import given
+from hypothesis import strategies as hs
 
-from curatrix.functions.similarity import _jaro_winkler
+from curatrix.functions.similarity import _indel, _jaro_winkler, _partial
 from curatrix.operators import matching as mt
 from curatrix.operators.matching import MatchRule
 from pyspark.sql import functions as F
@@ -75,6 +79,65 @@ def test_text_pairs_miss_nothing(spark):
         assert want <= got
 
 
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        prev = 0
+        for j, y in enumerate(b, 1):
+            prev, row[j] = row[j], prev + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+RATIOS = {
+    "ratio": lambda a, b: 1 - lev(a.lower(), b.lower()) / max(len(a), len(b)),
+    "indel": lambda a, b: 2 * lcs(a.lower(), b.lower()) / (len(a) + len(b)),
+    "token_sort": lambda a, b: RATIOS["ratio"](*(" ".join(sorted(t.lower().split())) for t in (a, b))),
+}
+
+
+@pytest.mark.parametrize("algorithm", sorted(RATIOS))
+def test_prefixes_of_grams_miss_nothing_between_edited_names(spark, algorithm):
+    rng = random.Random(5)
+    names = ["".join(rng.choice("abcd ") for _ in range(rng.randint(1, 14))).strip() or "a" for _ in range(60)]
+
+    def edited(t):
+        for _ in range(rng.randint(0, 4)):
+            i = rng.randint(0, len(t))
+            t = rng.choice([t[:i] + rng.choice("abcd") + t[i:], t[:i] + t[i + 1 :], t[:i] + "b" + t[i + 1 :]])
+        return t.strip() or "a"
+
+    frame = lambda rows: spark.createDataFrame([(r,) for r in sorted(set(rows))], "name string").selectExpr("name as profile", "name")
+    left, right = names, [edited(t) for t in names for _ in range(2)]
+    for floor in (0.3, 0.5, 0.6, 2 / 3, 0.75, 0.8, 0.95, 1.0):
+        got = {(r.m_profile, r.s_profile) for r in mt.text_pairs(frame(left), frame(right), "name", floor, algorithm).collect()}
+        want = {(a, b) for a in left for b in right if RATIOS[algorithm](a, b) >= floor - 1e-9}
+        assert want <= got, floor
+
+
+def test_few_candidates_among_names(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 4)))
+    words = [word() for _ in range(300)]
+    names = sorted({f"{rng.choice(words)} {rng.choice(words)}" for _ in range(1500)})
+    df = spark.createDataFrame([(n,) for n in names], "name string").selectExpr("name as profile", "name")
+    assert mt.text_pairs(df, df, "name", 0.8).count() < 0.01 * len(names) ** 2
+    assert mt.gram_length(0.8) == 3 and mt.gram_length(0.6) == 2 and mt.gram_length(0.4) == 1 and mt.gram_length(0.8, "indel") == 3
+
+
+def test_a_floor_of_zero_is_refused(spark):
+    df = spark.createDataFrame([("a", "a")], "profile string, name string")
+    with pytest.raises(ValueError):
+        mt.text_pairs(df, df, "name", 0.0)
+
+
+@given(hs.text("abcé ", max_size=12), hs.text("abcé ", max_size=12))
+def test_indel_and_its_best_window(a, b):
+    assert _indel(a, b) == (2 * lcs(a, b) / (len(a) + len(b)) if a and b else 0.0)
+    s, t = sorted((a, b), key=len)
+    windows = [t[i : i + len(s)] for i in range(len(t) - len(s) + 1)]
+    assert _partial(a, b) == (max(lcs(s, w) / len(s) for w in windows) if s else 0.0)
+
+
 def test_source_columns_take_the_masters_names(spark):
     df = spark.createDataFrame([(1, "a", "b")], "Id int, Mail string, x string")
     assert [tuple(r) for r in mt.with_master_columns(df, {"mail": "email"}, ["id", "email", "phone"]).collect()] == [(1, "a", None)]
