@@ -1,7 +1,7 @@
 """Data-quality checks: any number of checks on one table compile into one aggregation pass.
 
 A check is a ``Check``: a name, the column it is about, and a Column that says whether a row *violates* it.  Uniqueness
-needs its own grouping, so each unique key adds one pass.
+needs a grouping, so all unique keys together add one pass.
 """
 
 from __future__ import annotations
@@ -175,10 +175,31 @@ def duplicate_groups(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > 1)
 
 
+def repeated_values(df: DataFrame, keys: list[list[str]]) -> DataFrame:
+    """(key, rows) for every value of the column lists ``keys`` that more than one row has, from one scan; ``key`` counts from 0.
+
+    128-bit hashes of the values travel instead of the values, counted per task before the shuffle, so a hot value is cheap.
+    A NULL is a value, told from others by its own flag.
+    """
+    def marked(i: int, cols: list[str]) -> Column:
+        values = [F.col(c) for c in cols]
+        nulls = F.concat(*[F.when(v.isNull(), "1").otherwise("0") for v in values])
+        return F.struct(F.lit(i).alias("key"), nulls.alias("nulls"), F.xxhash64(*values).alias("h"), F.xxhash64(F.lit(i + 1), *values).alias("g"))
+
+    long = df.select(F.explode(F.array(*[marked(i, cols) for i, cols in enumerate(keys)])).alias("v")).select("v.*")
+    return long.groupBy("key", "nulls", "h", "g").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1).select("key", "rows")
+
+
+def check_unique_keys(df: DataFrame, keys: list[list[str]], object_name: str, first_seq: int = 0) -> DataFrame:
+    """One result per key, all from one pass; violations = number of duplicated values."""
+    counts = [F.count_if(F.col("key") == i).alias(f"n{i}") for i in range(len(keys))]
+    rows = [_result(first_seq + i, object_name, "unique", ",".join(cols), F.col(f"n{i}"), "duplicated values") for i, cols in enumerate(keys)]
+    return repeated_values(df, keys).agg(*counts).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 def check_unique(df: DataFrame, cols: list[str], object_name: str, seq: int = 0) -> DataFrame:
-    """Violations = number of duplicated values (partial counts before the shuffle keep a hot value cheap)."""
-    n = duplicate_groups(df, cols).agg(F.count(F.lit(1)).alias("n"))
-    return n.select(_result(seq, object_name, "unique", ",".join(cols), F.col("n"), "duplicated values").alias("r")).select("r.*")
+    """Violations = number of duplicated values."""
+    return check_unique_keys(df, [cols], object_name, seq)
 
 
 def run_contract_checks(df: DataFrame, object_name: str, props: list[Property]) -> DataFrame:
@@ -192,7 +213,8 @@ def run_contract_checks(df: DataFrame, object_name: str, props: list[Property])
         fused = run_checks(df, ordered, object_name)
         shift = F.when(F.col("seq") >= len(head), F.col("seq") + len(unique)).otherwise(F.col("seq"))
         parts.append(fused.withColumn("seq", shift))
-    parts += [check_unique(df, [c], object_name, len(head) + i) for i, c in enumerate(unique)]
+    if unique:
+        parts.append(check_unique_keys(df, [[c] for c in unique], object_name, len(head)))
     if not parts:
         return df.sparkSession.createDataFrame(
             [], "seq bigint, object_name string, check_type string, column_name string, passed boolean, violations_count bigint, message string"
@@ -308,13 +330,13 @@ def rule_dimension(function: Column) -> Column:
 def library_rule(function: str, col: str, **args) -> Column:
     """What a good value satisfies, for the named rule function.
 
-    ``is_unique`` counts the rows of a value in a window; ``unique_violations`` is the grouped form for large tables.
+    ``is_unique`` reads the flag that ``with_unique_flags`` adds for the column.
     """
     c = F.col(col)
     if function == "is_null":
         return c.isNull()
     if function == "is_unique":
-        return c.isNull() | (F.count(F.lit(1)).over(W.partitionBy(c)) == 1)
+        return F.col(unique_flag(col))
     if function == "is_not_null":
         return c.isNotNull()
     if function == "is_not_null_or_empty":
@@ -328,6 +350,25 @@ def library_rule(function: str, col: str, **args) -> Column:
     raise ValueError(f"unknown rule function {function}")
 
 
+def unique_flag(col: str) -> str:
+    return f"_unique_{col}"
+
+
+def with_unique_flags(df: DataFrame, cols: list[str]) -> DataFrame:
+    """``df`` with a flag per column: its value is NULL or this row's alone.
+
+    Values that more than one row has are counted first and joined back, one row per value.  No window holds the rows of a
+    value: they stay where the join finds them, and Spark splits skewed partitions.  NULLs take no part in the join.
+    """
+    out = df
+    for col in cols:
+        repeated = duplicate_groups(df.filter(F.col(col).isNotNull()), [col]).select(F.col(col).alias("_value"), F.lit(True).alias("_repeated"))
+        rows = out.filter(F.col(col).isNotNull()).join(repeated, F.col(col) == F.col("_value"), "left").drop("_value")
+        flagged = rows.withColumn(unique_flag(col), F.col("_repeated").isNull()).drop("_repeated")
+        out = flagged.unionByName(out.filter(F.col(col).isNull()).withColumn(unique_flag(col), F.lit(True)))
+    return out
+
+
 def unique_violations(df: DataFrame, col: str) -> DataFrame:
     """One row with ``violations_count``: rows whose value is not theirs alone; counted per value before the shuffle."""
     counts = df.filter(F.col(col).isNotNull()).groupBy(F.col(col)).agg(F.count(F.lit(1)).alias("n"))

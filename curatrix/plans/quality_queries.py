@@ -62,7 +62,7 @@ _ORDERS_SQL = " UNION ALL ".join([
 
 
 def contract_results(d):
-    """All checks of both contracts: one aggregation per table, plus one per unique column."""
+    """All checks of both contracts: one aggregation per table, plus one for all unique columns."""
     return q.run_contract_checks(d["customer"], "customer", CUSTOMER_CONTRACT).unionByName(
         q.run_contract_checks(d["orders"], "orders", ORDERS_CONTRACT)
     )
@@ -98,8 +98,16 @@ def check_required(d):
 @query("check_unique", "DQ2", _counts([("text", _dup("documents", "text")), ("lang,source", _dup("documents", "lang, source")), ("doc_id", _dup("documents", "doc_id"))]))
 def check_unique(d):
     docs = d["documents"]
-    out = q.check_unique(docs, ["text"], "documents").unionByName(q.check_unique(docs, ["lang", "source"], "documents"))
-    return _brief(out.unionByName(q.check_unique(docs, ["doc_id"], "documents")))
+    return _brief(q.check_unique_keys(docs, [["text"], ["lang", "source"], ["doc_id"]], "documents"))
+
+
+@query("split_unique", "DQ10 DQ7", """
+SELECT o_custkey, COUNT(*) AS n FROM (SELECT o_custkey, COUNT(*) OVER (PARTITION BY o_custkey) AS k FROM orders) WHERE k > 1 AND o_custkey IS NOT NULL GROUP BY 1""")
+def split_unique(d):
+    """Orders whose customer has other orders, as the bad side of a row-level uniqueness rule."""
+    rows = q.with_unique_flags(d["orders"], ["o_custkey"])
+    _, bad = q.split_rows(rows, [q.RowRule("one_order", q.library_rule("is_unique", "o_custkey"))])
+    return bad.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("check_range", "DQ3", _counts([

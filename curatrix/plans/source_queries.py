@@ -75,7 +75,7 @@ def materialize(d):
     n = d["customer"].join(d["nation"], F.col("c_nationkey") == F.col("n_nationkey")).join(d["region"], F.col("n_regionkey") == F.col("r_regionkey"))
     sk.materialize(n.groupBy("n_name", "r_name").agg(F.count(F.lit(1)).alias("customers")), path)
     sk.materialize(d["nation"].filter("n_nationkey < 0"), path)
-    return d.spark.read.parquet(path)
+    return sk.read_materialized(d.spark, path)
 
 
 @query("copy_table", "SRC6", "SELECT * FROM supplier")

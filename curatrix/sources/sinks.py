@@ -18,39 +18,99 @@ def _written(df: DataFrame, path: str, partition_by: list[str] | None = None) ->
     return seen.get["rows"]
 
 
-def _settle(spark: SparkSession, staged: str, path: str | None) -> None:
-    """Put a finished folder in the place of ``path``, or take it away."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    source = hadoop.Path(staged)
-    files = source.getFileSystem(spark._jsc.hadoopConfiguration())
-    if path is None:
-        files.delete(source, True)
-        return
-    target = hadoop.Path(path)
+def _files(spark: SparkSession, path: str):
+    """(file system, path) of ``path`` as Hadoop sees it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    files, target = _files(spark, path)
     files.delete(target, True)
-    if not files.rename(source, target):
-        raise OSError(f"{staged} could not be renamed to {path}")
 
 
-def materialize(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
+def versions(spark: SparkSession, path: str) -> dict[int, str]:
+    """Committed versions of the table at ``path``, oldest first, with the folder of each."""
+    files, target = _files(spark, f"{path.rstrip('/')}/_versions")
+    names = [s.getPath().getName() for s in files.listStatus(target)] if files.exists(target) else []
+    found = sorted(n.split(".") for n in names if n.count(".") == 1)
+    return {int(number): f"{path.rstrip('/')}/_data/{folder}" for number, folder in found}
+
+
+def current_folder(spark: SparkSession, path: str) -> str | None:
+    """Folder of the newest committed version; None before the first."""
+    known = versions(spark, path)
+    return known[max(known)] if known else None
+
+
+def read_materialized(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """The newest committed version of the table at ``path``."""
+    folder = current_folder(spark, path)
+    if folder is None:
+        raise FileNotFoundError(f"{path} has no committed version")
+    return (spark.read.schema(schema) if schema else spark.read).parquet(folder)
+
+
+def commit(spark: SparkSession, path: str, folder: str) -> int:
+    """Make ``_data/<folder>`` the current version, by one new empty file ``_versions/<number>.<folder>``.
+
+    The file is what counts: before it is there readers see the old version, afterwards the new one, and nothing is moved or
+    deleted in between. Of two writers that commit at once the one with the higher number and folder name is current.
+    """
+    number = max(versions(spark, path), default=0) + 1
+    files, mark = _files(spark, f"{path.rstrip('/')}/_versions/{number:012d}.{folder}")
+    files.create(mark, False).close()
+    return number
+
+
+def forget_versions(spark: SparkSession, path: str, keep: int = 2) -> int:
+    """Delete all but the newest ``keep`` versions, mark first, then rows; returns how many went."""
+    if keep < 1:
+        raise ValueError("the current version stays")
+    old = sorted(versions(spark, path).items())[:-keep]
+    for number, folder in old:
+        _remove(spark, f"{path.rstrip('/')}/_versions/{number:012d}.{folder.rsplit('/', 1)[-1]}")
+        _remove(spark, folder)
+    return len(old)
+
+
+def materialize(df: DataFrame, path: str, partition_by: list[str] | None = None, keep: int = 2) -> str:
     """Replace the table at ``path``; an empty frame is SKIPPED and leaves it alone.
 
-    The plan runs once, into a new folder beside ``path`` that takes its place if rows were counted on the way.
+    The plan runs once, into a folder of its own, which becomes the current version if rows were counted on the way. A crash
+    at any point leaves the version before it readable (``read_materialized``); ``keep`` versions stay for running readers.
     """
-    staged = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    rows = _written(df, staged, partition_by)
-    _settle(df.sparkSession, staged, path if rows else None)
-    return "WRITTEN" if rows else "SKIPPED"
+    folder = uuid.uuid4().hex
+    target = f"{path.rstrip('/')}/_data/{folder}"
+    rows = _written(df, target, partition_by)
+    if not rows:
+        _remove(df.sparkSession, target)
+        return "SKIPPED"
+    commit(df.sparkSession, path, folder)
+    forget_versions(df.sparkSession, path, keep)
+    return "WRITTEN"
 
 
 def materialize_table(df: DataFrame, name: str, staging: str) -> str:
-    """The same for a catalog table; ``staging`` is a folder all executors share."""
-    staged = f"{staging.rstrip('/')}/{uuid.uuid4().hex}"
-    rows = _written(df, staged)
-    if rows:
-        df.sparkSession.read.schema(df.schema).parquet(staged).write.mode("overwrite").saveAsTable(name)
-    _settle(df.sparkSession, staged, None)
-    return "WRITTEN" if rows else "SKIPPED"
+    """The same for a catalog table over versions in ``staging``, a folder all executors share.
+
+    A table of the same columns is pointed at the new version, one change in the catalog; other columns need a new table.
+    """
+    spark = df.sparkSession
+    if materialize(df, staging) == "SKIPPED":
+        return "SKIPPED"
+    folder = current_folder(spark, staging)
+    shape = lambda d: [(f.name, f.dataType) for f in d.schema.fields]
+    if spark.catalog.tableExists(name) and shape(spark.table(name)) == shape(df) and _external(spark, name):
+        spark.sql(f"ALTER TABLE {name} SET LOCATION '{folder}'")
+        spark.catalog.refreshTable(name)
+    else:
+        spark.read.schema(df.schema).parquet(folder).write.mode("overwrite").saveAsTable(name) if spark.catalog.tableExists(name) else spark.catalog.createTable(name, folder, "parquet")
+    return "WRITTEN"
+
+
+def _external(spark: SparkSession, name: str) -> bool:
+    return spark.catalog.getTable(name).tableType == "EXTERNAL"
 
 
 def copy_table(spark: SparkSession, src: str, dst: str) -> None:

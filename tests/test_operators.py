@@ -133,8 +133,47 @@ def test_quarantine_only_when_there_are_bad_rows(spark):
     assert spark.read.parquet(sk.write_quarantine(df, path, "p", datetime(2024, 1, 1))).count() == 1
     assert spark.read.parquet(sk.write_quarantine(df, path, "p", datetime(2024, 1, 2))).count() == 1  # the run again
     assert spark.read.parquet(sk.write_quarantine(df, path, "q", datetime(2024, 1, 2))).count() == 2
-    assert sk.materialize(df, path) == "WRITTEN" and sk.materialize(df.limit(0), path) == "SKIPPED"
-    assert spark.read.parquet(path).count() == 1
+
+
+def test_materialize_survives_a_crash_at_any_point(spark, monkeypatch):
+    path = new_shared_path(spark, "m")
+    frame = lambda *values: spark.createDataFrame([(v,) for v in values], "a int")
+    rows = lambda: sorted(r.a for r in sk.read_materialized(spark, path).collect())
+    with pytest.raises(FileNotFoundError):
+        sk.read_materialized(spark, path)
+    assert sk.materialize(frame(1), path) == "WRITTEN" and sk.materialize(frame().limit(0), path) == "SKIPPED" and rows() == [1]
+
+    def crash(*_args):
+        raise OSError("lost")
+
+    for step in ("_written", "commit"):
+        with monkeypatch.context() as m:
+            m.setattr(sk, step, crash)
+            with pytest.raises(OSError):
+                sk.materialize(frame(2), path)
+        assert rows() == [1]
+    with monkeypatch.context() as m:
+        m.setattr(sk, "forget_versions", crash)
+        with pytest.raises(OSError):
+            sk.materialize(frame(3), path)
+    assert rows() == [3]  # committed before the clean-up failed
+    reader = sk.read_materialized(spark, path)
+    assert sk.materialize(frame(4, 5), path) == "WRITTEN" and rows() == [4, 5]
+    assert [r.a for r in reader.collect()] == [3] and len(sk.versions(spark, path)) == 2
+    with pytest.raises(ValueError):
+        sk.forget_versions(spark, path, 0)
+
+
+def test_a_catalog_table_follows_its_versions(spark):
+    staging, name = new_shared_path(spark, "versions"), "curatrix_versions"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    for value in (1, 2, 3):
+        assert sk.materialize_table(spark.createDataFrame([(value,)], "a int"), name, staging) == "WRITTEN"
+        assert [r.a for r in spark.table(name).collect()] == [value]
+    assert sk.materialize_table(spark.createDataFrame([], "a int"), name, staging) == "SKIPPED"
+    assert sk.materialize_table(spark.createDataFrame([("x", 1)], "b string, a int"), name, staging) == "WRITTEN"
+    assert [tuple(r) for r in spark.table(name).collect()] == [("x", 1)]
+    spark.sql(f"DROP TABLE {name}")
 
 
 def test_a_run_written_twice_counts_once(spark):

@@ -31,6 +31,34 @@ def test_null_is_one_duplicate_group_but_no_range_violation(spark):
     assert q.run_checks(df, [q.value_range("a", 2, 40)], "t").first().violations_count == 2
 
 
+def test_all_unique_keys_in_one_more_scan(spark, tmp_path):
+    rng = Random(3)
+    rows = [(rng.choice([None, 1, 2, 3 + i]), rng.choice([None, "", "a", str(i)]), rng.choice([0.0, -0.0, float("nan"), float(i)])) for i in range(200)]
+    df = spark.createDataFrame(rows, "a int, b string, c double")
+    keys = [["a"], ["b"], ["a", "b"], ["b", "a"], ["c"]]
+    got = [r.violations_count for r in sorted(q.check_unique_keys(df, keys, "t", 4).collect(), key=lambda r: r.seq)]
+    assert got == [q.duplicate_groups(df, k).count() for k in keys]
+    df.write.parquet(str(tmp_path / "t"))
+    props = [Property("a", required=True, unique=True), Property("b", unique=True), Property("c", unique=True)]
+    plan = q.run_contract_checks(spark.read.parquet(str(tmp_path / "t")), "t", props)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2
+
+
+def test_shifted_nulls_are_different_values(spark):
+    df = spark.createDataFrame([(None, "a"), ("a", None), ("a", None)], "x string, y string")
+    assert q.check_unique(df, ["x", "y"], "t").first().violations_count == 1
+
+
+def test_unique_flags_need_no_window(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (None, None), (None, "c")], "x int, y string")
+    out = q.with_unique_flags(df, ["x", "y"])
+    got = sorted(((r.x, r.y, r._unique_x, r._unique_y) for r in out.collect()), key=str)
+    assert got == sorted([(1, "a", False, True), (1, "b", False, False), (2, "b", True, False), (None, None, True, True), (None, "c", True, True)], key=str)
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    good, bad = q.split_rows(out, [q.RowRule("one", q.library_rule("is_unique", "x"))])
+    assert (good.count(), bad.count()) == (3, 2)
+
+
 def test_invalid_pattern_is_a_failed_rule_error(spark):
     df = spark.createDataFrame([("x",)], "a string")
     row = q.run_checks(df, [q.pattern("a", "(")], "t").first()
