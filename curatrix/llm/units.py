@@ -25,6 +25,8 @@ CUT = re.compile(r"(?<=\S)(?= (?!\Z))")
 LONGEST = 256
 #: Characters whose classes are the same in every Unicode version: the pattern is applied here, others go to the library.
 SAFE = re.compile("[\n\x20-\x7e\xa1-ɏ]*").fullmatch
+#: One of these behind a word is a pre-token of its own.
+MARKS = frozenset(".,;:!?")
 
 
 def units(text: str) -> tuple[str, list[str]]:
@@ -91,6 +93,8 @@ class UnitTokenizer:
             return self._bytes([t.id for t in self.model.tokenize("Ġ" + unit[1:])])
         if not SAFE(unit):
             return self._bytes(self.tool.encode(unit, add_special_tokens=False).ids)
+        if unit[-1:] in MARKS and unit[0] == " " and unit[1:-1].isalpha():
+            return self.spaced[unit[1:-1]] + self.bare[unit[-1]]
         pieces = [unit] if unit[:1] == " " and unit[1:].isalpha() else self.find(unit)
         if len(pieces) == 1:
             return self._bytes([t.id for t in self.model.tokenize(unit.encode().decode("latin-1").translate(self.letters))])
