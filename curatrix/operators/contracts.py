@@ -9,21 +9,64 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from curatrix.functions.scalar import next_version
 from curatrix.operators.quality import score_expr
 from curatrix.operators.skew import first_per_key
+from curatrix.session import settled
 
 # Type changes that stay compatible.
 COMPATIBLE_TYPE_CHANGES = (("double", "float"), ("long", "int"), ("timestamp", "date"))
 
 
-def schema_rows(df: DataFrame, object_name: str) -> DataFrame:
-    """Actual schema of a table as (object_name, column_name, data_type) rows."""
-    rows = [(object_name, name, dtype) for name, dtype in df.dtypes]
+def field_paths(schema: T.DataType, path: str = "") -> list[tuple[str, str]]:
+    """(path, type) of every field below ``schema``: ``a.b`` in structs, ``a[]`` for elements of arrays."""
+    if isinstance(schema, T.StructType):
+        below = [(f"{path}.{f.name}" if path else f.name, f.dataType) for f in schema.fields]
+    elif isinstance(schema, T.ArrayType):
+        below = [(f"{path}[]", schema.elementType)]
+    else:
+        return []
+    return [row for name, kind in below for row in ((name, kind.simpleString()), *field_paths(kind, name))]
+
+
+def schema_rows(df: DataFrame, object_name: str, nested: bool = False) -> DataFrame:
+    """Actual schema of a table as (object_name, column_name, data_type) rows; ``nested`` adds the fields below columns, by path."""
+    rows = [(object_name, name, dtype) for name, dtype in (field_paths(df.schema) if nested else df.dtypes)]
     return df.sparkSession.createDataFrame(rows, "object_name string, column_name string, data_type string")
 
 
+def property_paths(props: DataFrame) -> DataFrame:
+    """``props`` with ``path``: names from the outermost property down, ``[]`` behind each array on the way, and ``depth``.
+
+    ``props``: id, parent_id, object_id, name, logical_type. One join per level, so as many as properties are nested; each is
+    written to the shared folder. A property whose parent is not there starts a path; those in a ring of parents have none.
+    """
+    rows = settled(props.select("id", "parent_id", "object_id", "name", "logical_type"), "properties")
+    inside = F.when(F.lower("logical_type") == "array", F.concat("path", F.lit("[]"))).otherwise(F.col("path"))
+    known = rows.select(F.col("id").alias("parent_id")).distinct()
+    level = settled(rows.join(known, "parent_id", "left_anti").select(*rows.columns, F.col("name").alias("path"), F.lit(0).alias("depth")), "properties")
+    levels = []
+    while level.head(1):
+        levels.append(level)
+        above = level.select(F.col("id").alias("parent_id"), inside.alias("above"), F.col("depth").alias("up"))
+        below = rows.join(above, "parent_id").withColumn("path", F.concat_ws(".", "above", "name")).withColumn("depth", F.col("up") + 1)
+        level = settled(below.select(*level.columns), "properties")
+    return reduce(DataFrame.unionByName, levels) if levels else level
+
+
+def declared_paths(props: DataFrame) -> DataFrame:
+    """(object_id, column_name, data_type) that nested properties declare: a row per property, and one per array whose items have a type.
+
+    ``props`` also holds items_logical_type.
+    """
+    paths = property_paths(props)
+    items = props.filter("items_logical_type IS NOT NULL AND lower(logical_type) = 'array'").select("id", "items_logical_type")
+    own = paths.select("object_id", F.col("path").alias("column_name"), F.col("logical_type").alias("data_type"))
+    return own.unionByName(paths.join(items, "id").select("object_id", F.concat("path", F.lit("[]")).alias("column_name"), F.col("items_logical_type").alias("data_type")))
+
+
 def schema_drift(actual: DataFrame, declared: DataFrame, keys: list[str]) -> DataFrame:
     """One row per column of either side: missing, extra, type_mismatch or ok.
 

@@ -2,10 +2,15 @@
 
 A check is a ``Check``: a name, the column it is about, and a Column that says whether a row *violates* it.  Uniqueness
 needs a grouping, so all unique keys together add one pass.
+
+A column may be a path: ``address.city`` is a field of a struct, ``lines[].price`` a field of every element of an array and
+``tags[]`` every element.  A row violates a check on elements when any of them does; results still count rows.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -56,38 +61,90 @@ def actual_name(df: DataFrame, name: str) -> str | None:
     return {c.lower(): c for c in df.columns}.get(name.lower())
 
 
+def actual_path(schema: T.DataType, path: str) -> str | None:
+    """``path`` as the schema spells it, whatever the case; None where the schema has no such field."""
+    done, here = "", schema
+    for step in re.findall(r"\[\]|[^.\[\]]+", path):
+        if step == "[]":
+            if not isinstance(here, T.ArrayType):
+                return None
+            done, here = done + "[]", here.elementType
+            continue
+        known = {f.name.lower(): f for f in here.fields} if isinstance(here, T.StructType) else {}
+        if step.lower() not in known:
+            return None
+        found = known[step.lower()]
+        done, here = f"{done}.{found.name}" if done else found.name, found.dataType
+    return done
+
+
+def _fields(c: Column, names: str) -> Column:
+    return reduce(lambda x, name: x.getField(name), [n for n in names.split(".") if n], c)
+
+
+def over(path: str, test: Callable[[Column], Column]) -> Column:
+    """``test`` of the value at ``path``; for a path through arrays, whether it holds for any element."""
+    head, *rest = path.split("[]")
+
+    def at(c: Column, left: list[str]) -> Column:
+        return F.exists(c, lambda e: at(_fields(e, left[0]), left[1:])) if left else F.coalesce(test(c), F.lit(False))
+
+    return at(F.col(head), rest)
+
+
+def elements(path: str) -> Column:
+    """Array of the values at ``path``: one for a plain path, one per element for a path through arrays."""
+    head, *rest = path.split("[]")
+    if not rest:
+        return F.array(F.col(head))
+
+    def at(c: Column, left: list[str]) -> Column:
+        inner = F.transform(c, lambda e: at(_fields(e, left[0]), left[1:]) if len(left) > 1 else _fields(e, left[0]))
+        return F.flatten(F.filter(inner, lambda x: x.isNotNull())) if len(left) > 1 else inner
+
+    return at(F.col(head), rest)
+
+
 def any_of(conds: list[Column]) -> Column:
     return F.coalesce(reduce(lambda a, b: a | b, [F.coalesce(c, F.lit(False)) for c in conds]), F.lit(False))
 
 
 def required(col: str) -> Check:
-    return Check("required", col, F.col(col).isNull(), "null values")
+    """NULL where a value has to be; a field is only required where the struct or element that holds it is there."""
+    parent, _, name = col.rpartition(".")
+    missing = over(parent, lambda c: c.isNotNull() & c.getField(name).isNull()) if parent and not name.endswith("[]") else over(col, lambda c: c.isNull())
+    return Check("required", col, F.coalesce(missing, F.lit(False)), "null values")
 
 
 def value_range(col: str, minimum=None, maximum=None, exclusive_minimum=None, exclusive_maximum=None, as_type="double") -> Check:
     """Inclusive (or exclusive) bounds after a cast; NULL is not a violation."""
-    c = F.col(col).try_cast(as_type)
     bound = lambda v: F.lit(v).cast(as_type)
-    conds = []
-    if minimum is not None:
-        conds.append(c < bound(minimum))
-    if maximum is not None:
-        conds.append(c > bound(maximum))
-    if exclusive_minimum is not None:
-        conds.append(c <= bound(exclusive_minimum))
-    if exclusive_maximum is not None:
-        conds.append(c >= bound(exclusive_maximum))
-    return Check("range", col, any_of(conds), f"outside [{minimum}, {maximum}]")
+
+    def outside(value: Column) -> Column:
+        c, conds = value.try_cast(as_type), []
+        if minimum is not None:
+            conds.append(c < bound(minimum))
+        if maximum is not None:
+            conds.append(c > bound(maximum))
+        if exclusive_minimum is not None:
+            conds.append(c <= bound(exclusive_minimum))
+        if exclusive_maximum is not None:
+            conds.append(c >= bound(exclusive_maximum))
+        return any_of(conds)
+
+    return Check("range", col, any_of([over(col, outside)]), f"outside [{minimum}, {maximum}]")
 
 
 def text_length(col: str, min_length: int | None = None, max_length: int | None = None) -> Check:
-    n = F.length(F.col(col).cast("string"))
-    conds = []
-    if min_length is not None:
-        conds.append(n < min_length)
-    if max_length is not None:
-        conds.append(n > max_length)
-    return Check("length", col, any_of(conds), f"length outside [{min_length}, {max_length}]")
+    def outside(value: Column) -> Column:
+        n, conds = F.length(value.cast("string")), []
+        if min_length is not None:
+            conds.append(n < min_length)
+        if max_length is not None:
+            conds.append(n > max_length)
+        return any_of(conds)
+
+    return Check("length", col, any_of([over(col, outside)]), f"length outside [{min_length}, {max_length}]")
 
 
 def valid_regex(pattern: str) -> bool:
@@ -99,27 +156,25 @@ def pattern(col: str, regex: str) -> Check:
     """Unanchored regex on the text form.  A pattern that does not compile is reported as a rule error on every row."""
     if not valid_regex(regex):
         return Check("rule_error", col, F.lit(True), f"invalid pattern {regex}")
-    return Check("pattern", col, any_of([~F.col(col).cast("string").rlike(regex)]), f"does not match {regex}")
+    return Check("pattern", col, any_of([over(col, lambda c: ~c.cast("string").rlike(regex))]), f"does not match {regex}")
 
 
 def enum(col: str, values) -> Check:
-    return Check("enum", col, any_of([~F.col(col).isin(list(values))]), "not an allowed value")
+    return Check("enum", col, any_of([over(col, lambda c: ~c.isin(list(values)))]), "not an allowed value")
 
 
 def array_items(col: str, min_items=None, max_items=None, unique_items=False) -> Check:
-    n = F.size(F.col(col))
-    conds = [F.col(col).isNotNull() & c for c in (
-        ([n < min_items] if min_items is not None else [])
-        + ([n > max_items] if max_items is not None else [])
-        + ([F.size(F.array_distinct(F.col(col))) < n] if unique_items else [])
-    )]
-    return Check("items", col, any_of(conds), "array items")
+    def wrong(c: Column) -> Column:
+        conds = ([F.size(c) < min_items] if min_items is not None else []) + ([F.size(c) > max_items] if max_items is not None else [])
+        return c.isNotNull() & any_of(conds + ([F.size(F.array_distinct(c)) < F.size(c)] if unique_items else []))
+
+    return Check("items", col, any_of([over(col, wrong)]), "array items")
 
 
 def required_keys(col: str, keys) -> Check:
     """Map keys or struct fields given as ``col.key`` that must be present."""
-    conds = [F.col(col).isNotNull() & F.try_element_at(F.col(col), F.lit(k)).isNull() for k in keys]
-    return Check("required_keys", col, any_of(conds), "missing keys " + ",".join(keys))
+    wrong = lambda c: any_of([c.isNotNull() & F.try_element_at(c, F.lit(k)).isNull() for k in keys])
+    return Check("required_keys", col, any_of([over(col, wrong)]), "missing keys " + ",".join(keys))
 
 
 def expression(name: str, sql_expr: str) -> Check:
@@ -129,7 +184,7 @@ def expression(name: str, sql_expr: str) -> Check:
 
 def checks_of(df: DataFrame, props: list[Property]) -> tuple[list[Check], list[str]]:
     """Checks in report order (required, range, length, pattern, ...) and the unique columns; unknown columns are left out."""
-    known = [(p, actual_name(df, p.name)) for p in props]
+    known = [(p, actual_name(df, p.name) or actual_path(df.schema, p.name)) for p in props]
     known = [(p, c) for p, c in known if c]
     out: list[Check] = [required(c) for p, c in known if p.required]
     for p, c in known:
@@ -179,14 +234,18 @@ def repeated_values(df: DataFrame, keys: list[list[str]]) -> DataFrame:
     """(key, rows) for every value of the column lists ``keys`` that more than one row has, from one scan; ``key`` counts from 0.
 
     128-bit hashes of the values travel instead of the values, counted per task before the shuffle, so a hot value is cheap.
-    A NULL is a value, told from others by its own flag.
+    A NULL is a value, told from others by its own flag.  A key of one path through arrays counts every element.
     """
-    def marked(i: int, cols: list[str]) -> Column:
-        values = [F.col(c) for c in cols]
+    def marked(i: int, values: list[Column]) -> Column:
         nulls = F.concat(*[F.when(v.isNull(), "1").otherwise("0") for v in values])
         return F.struct(F.lit(i).alias("key"), nulls.alias("nulls"), F.xxhash64(*values).alias("h"), F.xxhash64(F.lit(i + 1), *values).alias("g"))
 
-    long = df.select(F.explode(F.array(*[marked(i, cols) for i, cols in enumerate(keys)])).alias("v")).select("v.*")
+    def rows(i: int, cols: list[str]) -> Column:
+        if len(cols) == 1 and "[]" in cols[0]:
+            return F.coalesce(F.transform(elements(cols[0]), lambda v: marked(i, [v])), F.array())
+        return F.array(marked(i, [F.col(c) for c in cols]))
+
+    long = df.select(F.explode(F.concat(*[rows(i, cols) for i, cols in enumerate(keys)])).alias("v")).select("v.*")
     return long.groupBy("key", "nulls", "h", "g").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1).select("key", "rows")
 
 

@@ -28,6 +28,16 @@ def schema_drift(d):
     return _drift(d)
 
 
+@query("declared_paths", "DQ17 SRC2", """
+SELECT object_id, column_name, data_type FROM (WITH RECURSIVE t AS (
+ SELECT id, object_id, name AS path, logical_type, items_logical_type FROM {nested_properties} p WHERE parent_id IS NULL OR NOT EXISTS (SELECT 1 FROM {nested_properties} a WHERE a.id = p.parent_id)
+ UNION ALL SELECT p.id, p.object_id, t.path || CASE WHEN t.logical_type = 'Array' THEN '[].' ELSE '.' END || p.name, p.logical_type, p.items_logical_type FROM {nested_properties} p JOIN t ON p.parent_id = t.id)
+ SELECT object_id, path AS column_name, logical_type AS data_type FROM t UNION ALL SELECT object_id, path || '[]', items_logical_type FROM t WHERE logical_type = 'Array' AND items_logical_type IS NOT NULL)""")
+def declared_paths(d):
+    """Paths and types that properties below properties declare, items of arrays included."""
+    return ct.declared_paths(d["nested_properties"])
+
+
 DRIFT_RESULT = f"""SELECT contract_id, COUNT(*) FILTER (drift = 'missing') AS missing_columns, COUNT(*) FILTER (drift = 'extra') AS extra_columns,
  COUNT(*) FILTER (drift = 'type_mismatch') AS type_mismatches, COUNT(*) FILTER (drift IN ('missing', 'type_mismatch')) = 0 AS passed
 FROM ({DRIFT}) GROUP BY contract_id"""

@@ -69,6 +69,12 @@ SELECT l_orderkey * 16 + l_linenumber AS object_id, 'col_' || CAST(l_partkey AS
             ELSE chr(123) || '"minLength": ' || CAST(CAST(l_quantity AS BIGINT) AS STRING) || ', "minimum": "' || CAST(l_linenumber AS STRING) || '"' || chr(125) END AS options_json
 FROM {lineitem}"""
 
+FRAMES["nested_properties"] = """
+SELECT l_orderkey * 16 + l_linenumber AS id, CASE WHEN l_linenumber > 1 THEN l_orderkey * 16 + CAST(FLOOR(l_linenumber / 2) AS BIGINT) END AS parent_id, l_orderkey AS object_id,
+       'p' || CAST(MIN(l_partkey) AS STRING) AS name, CASE WHEN MIN(l_partkey) % 3 = 0 THEN 'Array' WHEN MIN(l_partkey) % 3 = 1 THEN 'object' ELSE 'string' END AS logical_type,
+       CASE WHEN MIN(l_partkey) % 2 = 0 THEN 'integer' END AS items_logical_type
+FROM {lineitem} GROUP BY l_orderkey, l_linenumber"""
+
 FRAMES["fields_old"] = """
 SELECT p_partkey % 200 AS contract_id, p_type AS schema_name, 'f' || CAST(p_partkey AS STRING) AS field_name,
        CASE WHEN p_size % 4 = 0 THEN 'double' WHEN p_size % 4 = 1 THEN 'long' WHEN p_size % 4 = 2 THEN 'timestamp' ELSE 'string' END AS logical_type,

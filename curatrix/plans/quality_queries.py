@@ -133,6 +133,40 @@ def check_pattern(d):
     return _brief(q.run_checks(d["pages"], specs, "pages"))
 
 
+NESTED_CONTRACT = [
+    Property("customer.ID", required=True, unique=True),
+    Property("Lines[].tax", required=True),
+    Property("lines[].part", unique=True),
+    Property("lines[].qty", minimum=2, maximum=48),
+    Property("customer.priority", pattern="^[1-4]-"),
+    Property("lines[].flag", enum=("A", "N")),
+    Property("lines", max_items=6),
+    Property("lines[].gone", required=True),
+]
+
+
+def _with_line(cond):
+    return f"SELECT COUNT(DISTINCT o_orderkey) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE {cond}"
+
+
+@query("nested_contract", "DQ6 DQ1 DQ2 DQ3 DQ5 DQ12 DQ13", " UNION ALL ".join(f"SELECT '{kind}' AS check_type, '{col}' AS column_name, CAST(n AS BIGINT) AS violations_count FROM ({count})" for kind, col, count in [
+    ("required", "customer.id", _cnt("orders", "o_custkey IS NULL")),
+    ("required", "lines[].tax", _with_line("l_tax > 0.07")),
+    ("unique", "customer.id", _dup("orders", "o_custkey")),
+    ("unique", "lines[].part", _dup("orders JOIN lineitem ON l_orderkey = o_orderkey", "l_partkey")),
+    ("range", "lines[].qty", _with_line("l_quantity < 2 OR l_quantity > 48")),
+    ("pattern", "customer.priority", _cnt("orders", "NOT regexp_matches(o_orderpriority, '^[1-4]-')")),
+    ("enum", "lines[].flag", _with_line("l_returnflag NOT IN ('A', 'N')")),
+    ("items", "lines", "SELECT COUNT(*) AS n FROM (SELECT o_orderkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1 HAVING COUNT(*) > 6)")]))
+def nested_contract(d):
+    """A contract over fields of structs and of the elements of arrays."""
+    line = F.struct(F.col("l_partkey").alias("part"), F.col("l_quantity").alias("qty"), F.when(F.col("l_tax") <= 0.07, F.col("l_tax")).alias("tax"), F.col("l_returnflag").alias("flag"))
+    lines = d["lineitem"].groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(line).alias("lines"))
+    customer = F.struct(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("priority"))
+    orders = d["orders"].select("o_orderkey", customer.alias("customer")).join(lines, "o_orderkey", "left")
+    return q.run_contract_checks(orders, "orders", NESTED_CONTRACT).select("check_type", "column_name", "violations_count")
+
+
 @query("check_enum", "DQ12", _counts([
     ("o_orderstatus", _cnt("orders", "o_orderstatus NOT IN ('F', 'O')")), ("lang", _cnt("documents", "lang NOT IN ('en', 'fr')"))]))
 def check_enum(d):

@@ -4,6 +4,7 @@ from random import Random
 from hypothesis import given, settings
 from hypothesis import strategies as hs
 
+from curatrix.operators import contracts as ct
 from curatrix.operators import quality as q
 from curatrix.operators.quality import Property
 from curatrix.operators.skew import first_per_key, hot_keys, left_join_parts, previous_in_order, salted_join
@@ -59,6 +60,36 @@ def test_unique_flags_need_no_window(spark):
     assert (good.count(), bad.count()) == (3, 2)
 
 
+def test_nested_fields_are_checked_by_path(spark):
+    rows = [
+        (1, ("Rome", None), [("a", 1, [1, 2]), ("b", None, [2])], ["x"]),
+        (2, None, [], []),
+        (3, (None, "z"), None, None),
+        (4, ("Oslo", "z"), [None, ("a", 90, None)], ["x", None, "long"]),
+    ]
+    df = spark.createDataFrame(rows, "id int, Place struct<City: string, zip: string>, items array<struct<sku: string, n: int, marks: array<int>>>, tags array<string>")
+    props = [
+        Property("place.city", required=True), Property("ITEMS[].n", required=True, maximum=50), Property("tags[]", required=True, max_length=2),
+        Property("items[].sku", unique=True, enum=("a",)), Property("items[].marks", max_items=1), Property("items[].marks[]", unique=True, minimum=2),
+        Property("place.zip", unique=True), Property("place.nothing", required=True), Property("items.sku", required=True)]
+    got = {(r.check_type, r.column_name): r.violations_count for r in q.run_contract_checks(df, "t", props).collect()}
+    assert got == {
+        ("required", "Place.City"): 1, ("required", "items[].n"): 1, ("required", "tags[]"): 1, ("unique", "items[].sku"): 1, ("unique", "items[].marks[]"): 1, ("unique", "Place.zip"): 2,
+        ("range", "items[].n"): 1, ("range", "items[].marks[]"): 1, ("length", "tags[]"): 1, ("enum", "items[].sku"): 1, ("items", "items[].marks"): 1}
+
+
+def test_declared_paths_against_the_nested_schema(spark):
+    props = [(1, None, 9, "items", "array", "object"), (2, 1, 9, "sku", "string", None), (3, 1, 9, "marks", "array", "int"), (4, None, 9, "place", "struct", None), (5, 4, 9, "city", "string", None),
+             (6, 77, 9, "lost", "string", None), (7, 8, 9, "ring", "object", None), (8, 7, 9, "ring2", "object", None)]
+    frame = spark.createDataFrame(props, "id int, parent_id int, object_id int, name string, logical_type string, items_logical_type string")
+    declared = ct.declared_paths(frame).withColumn("object_name", F.lit("t")).drop("object_id")
+    assert sorted(r.column_name for r in declared.collect()) == ["items", "items[]", "items[].marks", "items[].marks[]", "items[].sku", "lost", "place", "place.city"]
+    df = spark.createDataFrame([], "items array<struct<SKU: int, marks: array<int>>>, place struct<city: string, zip: string>")
+    drift = {r.column_name: r.drift for r in ct.schema_drift(ct.schema_rows(df, "t", nested=True), declared, ["object_name"]).collect()}
+    assert drift["items[].sku"] == "type_mismatch" and drift["items[].marks[]"] == "ok" and drift["place.zip"] == "extra" and drift["lost"] == "missing" and drift["place.city"] == "ok"
+    assert ct.property_paths(frame.limit(0)).count() == 0
+
+
 def test_invalid_pattern_is_a_failed_rule_error(spark):
     df = spark.createDataFrame([("x",)], "a string")
     row = q.run_checks(df, [q.pattern("a", "(")], "t").first()
