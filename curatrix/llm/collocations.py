@@ -31,7 +31,9 @@ MOST = 5
 SUPPORT = 100
 TOP = 2000
 #: Bytes of text that a task looks at together.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
+#: Windows that are spelled out at a time.
+SPELLED = 1 << 15
 #: Hashed counters as powers of two: one for about 8 words, within these bounds.
 LEAST_BITS, MOST_BITS = 16, 30
 SALTS = 64
@@ -56,7 +58,8 @@ class Words:
             ids += [number.setdefault(w, len(number)) for w in words_of(raw)]
             ids.append(0)
         self.lang, self.words = lang, list(number)
-        self.ids = np.array([*ids, *[0] * MOST], np.int64)
+        self.ids = np.zeros(len(ids) + MOST, np.int32)
+        self.ids[: len(ids)] = ids
         seed = xxhash.xxh3_64_intdigest(lang.encode())
         self.hash = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in self.words), np.uint64, len(self.words))
 
@@ -152,33 +155,29 @@ def lead_windows(texts: DataFrame, marks: Marks) -> DataFrame:
                 goes2, goes3 = np.zeros(len(some.ids), bool), np.zeros(len(some.ids), bool)
                 goes2[two] = sent.value.frequent(pair)
                 goes3[three] = sent.value.frequent(triple)
+                del two, pair, three, triple
                 words = pa.array([None, *[w.decode() for w in some.words[1:]]], pa.string())
-                for group, n in _counted_windows(some.ids, goes2, goes3):
-                    columns = [words.take(pa.array(group[:, k])) for k in range(MOST)]
-                    for i in range(0, len(n), 1 << 16):
-                        part = [c.slice(i, 1 << 16) for c in columns]
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part[0]), pa.string()), *part, pa.array(n[i : i + (1 << 16)])], ["lang", *names, "n"])
+                for size, places, counts in _counted_windows(some.ids, goes2, goes3):
+                    for i in range(0, len(places), SPELLED):
+                        at, n = places[i : i + SPELLED], counts[i : i + SPELLED]
+                        part = [words.take(pa.array(some.ids[at + k])) if k < size else pa.nulls(len(at), pa.string()) for k in range(MOST)]
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), *part, pa.array(n)], ["lang", *names, "n"])
 
     return texts.mapInArrow(run, f"lang string, {', '.join(f'{c} string' for c in names)}, n long")
 
 
 def _counted_windows(ids: np.ndarray, goes2: np.ndarray, goes3: np.ndarray):
-    """(windows, padded with 0; how often), by length: a window grows while its last pair and its last triple may be frequent."""
+    """(words, places where such a window starts, how often it is there), by length: a window grows while its last pair and its last triple may be frequent."""
     at = np.flatnonzero(ids)
-    windows = ids[at][:, None]
-    group = windows[:, 0]
+    group = ids[at].astype(np.int64)
     for k in range(1, MOST + 1):
         more = (goes2[at + k - 1] & (goes3[at + k - 2] if k > 1 else True)) if k < MOST else np.zeros(len(at), bool)
         _, first, n = np.unique(group[~more], return_index=True, return_counts=True)
-        done = at[~more][first]
-        out = np.zeros((len(done), MOST), np.int64)
-        for j in range(k):
-            out[:, j] = ids[done + j]
-        yield out, n.astype(np.int64)
-        at = at[more]
+        yield k, at[~more][first], n.astype(np.int64)
+        at, group = at[more], group[more]
         if not len(at):
             return
-        _, group = np.unique(group[more] * len(ids) + ids[at + k], return_inverse=True)
+        _, group = np.unique(group * len(ids) + ids[at + k], return_inverse=True)
 
 
 def phrase_counts(windows: DataFrame, support: int) -> DataFrame:
