@@ -1,16 +1,16 @@
-"""Traversals over edge frames: frontier loops whose rounds are equi joins.
+"""Traversals over edge frames: loops whose rounds are equi joins, by frontier from asked roots, by path doubling from all nodes.
 
 Every round is written to the shared checkpoint folder, so the plan stays short and no round is lost with an executor.
 The frontier holds distinct nodes only.  A frontier counted as small is broadcast, so that round neither shuffles the edges
 nor gathers a hub's edges in one task; a larger one joins by shuffle, where Spark splits skewed partitions.  Nothing is
-collected.  The number of rounds is the depth of the graph, never the number of nodes.
+collected.  The number of rounds is the depth of the graph, its logarithm for closures, never the number of nodes.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from curatrix.operators.skew import broadcast_if_small
@@ -32,11 +32,12 @@ def directed(edges: DataFrame, direction: str = "down") -> DataFrame:
 def reach(steps: DataFrame, seeds: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
     """(root, node, depth): everything reachable from each root, at its smallest depth; the root itself at 0.
 
-    ``steps`` holds distinct (src, dst), ``seeds`` one column ``root`` (None: every source of a step).  Without ``max_depth`` the loop runs until no new
-    node is found, which cycles cannot prevent.
+    ``steps`` holds distinct (src, dst), ``seeds`` one column ``root`` (None: every source of a step, see ``closure``).  Without ``max_depth`` the loop
+    runs until no new node is found, which cycles cannot prevent.
     """
+    if seeds is None:
+        return closure(steps, max_depth)
     steps = cut_lineage(steps)
-    seeds = steps.select(F.col("src").alias("root")) if seeds is None else seeds
     front = cut_lineage(seeds.select("root").distinct().select("root", F.col("root").alias("node"), F.lit(0).alias("depth")))
     seen, size, depth = [front], front.count(), 0
     while max_depth is None or depth < max_depth:
@@ -51,6 +52,38 @@ def reach(steps: DataFrame, seeds: DataFrame | None = None, max_depth: int | Non
     return reduce(DataFrame.unionByName, seen)
 
 
+def closure(steps: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(root, node, depth) from every source of a step, by path doubling: the rounds are the logarithm of the depth.
+
+    A round knows all pairs up to ``span`` steps apart. Every pair up to twice as far meets in a node exactly ``span`` steps from its
+    root, so only the farthest pairs are extended, by all pairs known, and the smallest sum is the depth.
+    """
+    steps = settled(steps.filter("src IS NOT NULL AND dst IS NOT NULL").select(F.col("src").alias("root"), F.col("dst").alias("node")).distinct())
+    far = steps.filter("root <> node").withColumn("depth", F.lit(1))
+    known, span = [far], 1
+    while max_depth is None or span < max_depth:
+        so_far = reduce(DataFrame.unionByName, known)
+        onward = so_far.select(F.col("root").alias("mid"), F.col("node").alias("end"), F.col("depth").alias("more"))
+        longer = far.filter(F.col("depth") == span).select("root", F.col("node").alias("mid")).join(onward, "mid").filter("root <> end")
+        found = longer.groupBy("root", F.col("end").alias("node")).agg((F.min("more") + span).cast("int").alias("depth"))
+        if max_depth is not None:
+            found = found.filter(F.col("depth") <= max_depth)
+        far, rows = _counted(found.join(so_far.select("root", "node"), ["root", "node"], "left_anti"), F.lit(True))
+        if rows == 0:
+            break
+        known.append(far)
+        span *= 2
+    out = reduce(DataFrame.unionByName, known) if max_depth is None or max_depth > 0 else far.limit(0)
+    return out.unionByName(steps.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct())
+
+
+def _counted(df: DataFrame, what) -> tuple[DataFrame, int]:
+    """The settled frame, and how many of its rows hold ``what``, observed while they are written."""
+    seen = Observation()
+    out = settled(df.observe(seen, F.count_if(what).alias("rows")))
+    return out, seen.get["rows"]
+
+
 def ancestors(parents: DataFrame, roots: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
     """(node, ancestor, depth) over (child, parent) rows; all nodes, or those in ``roots`` (column ``node``)."""
     steps = parents.select(F.col("child").alias("src"), F.col("parent").alias("dst")).distinct()
@@ -213,17 +246,17 @@ def delete_order(refs: DataFrame, roots: DataFrame) -> DataFrame:
 def propagate_max(edges: DataFrame, levels: DataFrame) -> DataFrame:
     """(node, inherited): the highest level of any certified entity upstream of a node.
 
-    Each round only the nodes whose level just rose pass it on, so the work follows the changes; the outcome does not
-    depend on the order of arrival.
+    One state frame (node, own, inherited) is carried from round to round. Only nodes whose inherited level just rose above everything
+    they passed on before, their own level included, pass it on, so the messages follow the changes; the outcome does not depend on the
+    order of arrival. The steps are spread by source once, and the rises of a round are counted while its state is written.
     """
-    steps = cut_lineage(directed(edges))
-    front = cut_lineage(levels.filter("level IS NOT NULL").groupBy("node").agg(F.max("level").alias("level")))
-    rises = [front.limit(0)]
-    while (size := front.count()) > 0:
-        sent = steps.join(broadcast_if_small(front, size), front.node == steps.src).groupBy(F.col("dst").alias("node")).agg(F.max("level").alias("level"))
-        # a node rises at most once per level, so the rises together stay linear in the nodes
-        known = reduce(DataFrame.unionByName, rises).groupBy("node").agg(F.max("level").alias("old"))
-        rise = sent.join(known, "node", "left").filter(F.col("old").isNull() | (F.col("level") > F.col("old")))
-        front = cut_lineage(rise.select("node", "level"))
-        rises.append(front)
-    return reduce(DataFrame.unionByName, rises).groupBy("node").agg(F.max("level").alias("inherited"))
+    steps = cut_lineage(directed(edges).repartition("src"))
+    own = levels.filter("level IS NOT NULL").groupBy("node").agg(F.max("level").alias("own"))
+    state, size = _counted(own.select("node", "own", F.lit(None).cast(own.schema["own"].dataType).alias("inherited"), F.lit(True).alias("rose")), F.lit(True))
+    while size > 0:
+        front = state.filter("rose").select("node", F.coalesce("inherited", "own").alias("level"))
+        sent = steps.join(broadcast_if_small(front, size), front.node == steps.src).groupBy(F.col("dst").alias("node")).agg(F.max("level").alias("sent"))
+        rose = F.col("sent").isNotNull() & (F.col("inherited").isNull() | (F.col("sent") > F.col("inherited")))
+        news = rose & (F.col("own").isNull() | (F.col("sent") > F.col("own")))
+        state, size = _counted(state.drop("rose").join(sent, "node", "full").select("node", "own", F.greatest("inherited", "sent").alias("inherited"), F.coalesce(news, F.lit(False)).alias("rose")), F.col("rose"))
+    return state.filter("inherited IS NOT NULL").select("node", "inherited")

@@ -478,11 +478,11 @@ def row_freshness(ts: Column, as_of, seconds: int) -> Column:
     return ts >= F.lit(as_of).cast("timestamp_ntz") - F.expr(f"interval {int(seconds)} seconds")
 
 
-def sequence_violations(df: DataFrame, key: str, ts: str, tie: str, event: str, ranks: dict[str, int], bucket: str = "day") -> DataFrame:
+def sequence_violations(df: DataFrame, key: str, ts: str, tie: str, event: str, ranks: dict[str, int]) -> DataFrame:
     """Events of one key whose rank does not rise over the event before them."""
     rank = F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv])[F.col(event)]
     ranked = df.filter(F.col(event).isin(list(ranks))).withColumn("rank", rank)
-    prev = previous_in_order(ranked, [key], ts, tie, ["rank", event], bucket)
+    prev = previous_in_order(ranked, [key], ts, tie, ["rank", event])
     return prev.filter(F.col("rank") <= F.col("prev_rank"))
 
 

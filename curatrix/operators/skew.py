@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from curatrix.session import settled
+
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int = 1, rank: str | None = None) -> DataFrame:
     """The first ``k`` rows per key.
@@ -18,20 +20,30 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int =
     return out if rank else out.drop(rn)
 
 
-def previous_in_order(df: DataFrame, keys: list[str], ts: str, tie: str, cols: list[str], bucket: str = "day") -> DataFrame:
+def in_ranges(df: DataFrame, keys: list[str], ts: str, tie: str) -> DataFrame:
+    """``df`` cut into ranges of (keys, ts, tie), numbered in order in ``_range``.
+
+    Ranges follow the rows, so a key, a day or an instant that owns many of them lies in many ranges; rows equal in all three stay
+    together. The frame is written once: everything that reads it sees the same ranges, also after an executor is lost.
+    """
+    return settled(df.repartitionByRange(*keys, ts, tie).withColumn("_range", F.spark_partition_id()), "ranges")
+
+
+def previous_in_order(df: DataFrame, keys: list[str], ts: str, tie: str, cols: list[str]) -> DataFrame:
     """``prev_<col>`` of the row before, per key in (ts, tie) order, without one task per key.
 
-    Rows are ordered inside (key, time bucket); the last row of the bucket before is carried over through a small
-    table with one row per key and bucket.
+    A segmented scan: rows are ordered inside (key, range of rows); the last row of a range is carried over to the key's next range
+    through a small table with one row per key and range.
     """
-    b = df.withColumn("_bucket", F.date_trunc(bucket, F.col(ts)))
-    part = [*keys, "_bucket"]
+    ranged = in_ranges(df, keys, ts, tie)
+    part = [*keys, "_range"]
     packed = F.struct(*cols)
-    w = W.partitionBy(*part).orderBy(ts, tie)
-    inner = b.withColumn("_prev", F.lag(packed).over(w))
-    last = b.groupBy(*part).agg(F.max_by(packed, F.struct(ts, tie)).alias("_last"))
-    carry = last.withColumn("_carry", F.lag("_last").over(W.partitionBy(*keys).orderBy("_bucket"))).drop("_last")
-    out = inner.join(carry, part, "left").withColumn("_prev", F.coalesce("_prev", "_carry"))
+    inner = ranged.withColumn("_prev", F.lag(packed).over(W.partitionBy(*part).orderBy(ts, tie)))
+    last = ranged.groupBy(*part).agg(F.max_by(packed, F.struct(ts, tie)).alias("_last"))
+    carry = last.withColumn("_carry", F.lag("_last").over(W.partitionBy(*keys).orderBy("_range"))).filter("_carry IS NOT NULL")
+    carry = carry.select(*[F.col(c).alias(f"_on_{i}") for i, c in enumerate(part)], "_carry")
+    same = [F.col(c).eqNullSafe(F.col(f"_on_{i}")) for i, c in enumerate(part)]
+    out = inner.join(carry, same, "left").withColumn("_prev", F.coalesce("_prev", "_carry"))
     return out.select(*df.columns, *[F.col(f"_prev.{c}").alias(f"prev_{c}") for c in cols])
 
 

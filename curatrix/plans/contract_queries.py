@@ -128,7 +128,7 @@ _TOP_COLS = ["o_orderstatus", "o_orderpriority", "o_custkey"]
 @query("top_values", "W8 DQ22", "SELECT column_name, value, n, rank FROM (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS INT) AS rank FROM ("
        + " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, COUNT(*) AS n FROM orders GROUP BY {c}" for c in _TOP_COLS) + ")) WHERE rank <= 3")
 def top_values(d):
-    return pf.top_values(pf.value_counts(d["orders"], _TOP_COLS))
+    return pf.frequent_values(d["orders"], _TOP_COLS)
 
 
 _SUPPLIER = ("s_suppkey", "s_name", "s_nationkey", "s_acctbal")

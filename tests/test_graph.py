@@ -24,6 +24,21 @@ def test_reach_stops_on_cycles_and_gives_least_depth(spark):
     assert got == {(root, n): d for root in (0, 3) for n, d in brute_reach(edges, root).items()}
 
 
+def test_closure_by_doubling_equals_frontiers_in_few_rounds(spark, monkeypatch):
+    rnd = Random(11)
+    edges = sorted({(rnd.randint(0, 40), rnd.randint(0, 40)) for _ in range(70)}) + [(n, n + 1) for n in range(100, 160)] + [(5, 5)]
+    steps = spark.createDataFrame(edges, "src int, dst int").distinct()
+    rounds, counted = [], g._counted
+    monkeypatch.setattr(g, "_counted", lambda *a: rounds.append(1) or counted(*a))
+    want = {(root, n): d for root in {a for a, _ in edges} for n, d in brute_reach(edges, root).items()}
+    assert {(r.root, r.node): r.depth for r in g.reach(steps).collect()} == want
+    assert len(rounds) <= 7  # a chain of 60 steps
+    for depth in (0, 1, 3, 4):
+        got = [(r.root, r.node, r.depth) for r in g.reach(steps, max_depth=depth).collect()]
+        assert sorted(got) == sorted((a, b, d) for (a, b), d in want.items() if d <= depth)
+    assert g.reach(steps.limit(0)).count() == 0
+
+
 def test_reach_is_idempotent_on_a_closure(spark):
     steps = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "src int, dst int")
     closure = g.reach(steps, steps.select(F.col("src").alias("root"))).filter("depth > 0").select(F.col("root").alias("src"), F.col("node").alias("dst"))

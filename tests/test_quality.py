@@ -5,9 +5,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as hs
 
 from curatrix.operators import contracts as ct
+from curatrix.operators import profiling as pf
 from curatrix.operators import quality as q
 from curatrix.operators.quality import Property
-from curatrix.operators.skew import first_per_key, hot_keys, left_join_parts, previous_in_order, salted_join
+from curatrix.operators.skew import first_per_key, hot_keys, in_ranges, left_join_parts, previous_in_order, salted_join
 from pyspark.sql import functions as F
 
 
@@ -117,10 +118,38 @@ def test_empty_split_scores_100(spark):
     assert q.split_score(spark.createDataFrame([], "n int"), [q.expr_rule("p", "n > 0")]).first().score_percent == 100.0
 
 
+def test_one_key_at_one_instant_lies_in_many_ranges(spark):
+    start = datetime(2024, 1, 1)
+    rows = [(i, None if i % 9 == 0 else 1, start + timedelta(seconds=i % 3)) for i in range(900)]
+    df = spark.createDataFrame(rows, "id int, k int, ts timestamp_ntz")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in in_ranges(df, ["k"], "ts", "id").groupBy("_range").count().collect()]
+        got = {r.id: r.prev_id for r in previous_in_order(df, ["k"], "ts", "id", ["id"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) == 4 and max(sizes) < 450
+    want, last = {}, {}
+    for i, k, t in sorted(rows, key=lambda r: (r[1] is not None, r[2], r[0])):
+        want[i] = last.get(k)
+        last[k] = i
+    assert got == want
+
+
+def test_frequent_values_equal_full_counts(spark):
+    rnd = Random(8)
+    rows = [(rnd.choice("aaab") if i % 3 else rnd.choice("abcdefgh"), i, rnd.randint(0, 300) if i % 5 else None, None, i % 2) for i in range(3000)]
+    df = spark.createDataFrame(rows, "hot string, apart int, many int, nothing string, two int")
+    for buckets in (1, 16, 8192):
+        got = sorted(map(tuple, pf.frequent_values(df, k=3, buckets=buckets).collect()))
+        assert got == sorted(map(tuple, pf.top_values(pf.value_counts(df), 3).collect()))
+    assert pf.frequent_values(df.limit(0)).count() == 0
+
+
 def test_previous_in_order_equals_a_plain_lag(spark):
     rnd = Random(3)
     start = datetime(2024, 1, 1)
-    # one key owns most rows, and buckets are skipped
+    # one key owns most rows
     rows = [(i, 1 if rnd.random() < 0.7 else rnd.randint(2, 5), start + timedelta(hours=rnd.randint(0, 400))) for i in range(400)]
     df = spark.createDataFrame(rows, "id int, k int, ts timestamp_ntz")
     got = {r.id: r.prev_id for r in previous_in_order(df, ["k"], "ts", "id", ["id"]).collect()}
