@@ -46,21 +46,64 @@ class EntropyRule:
     base64_bits: float = 3.9
 
 
-def _placed(text: Column, pattern: str, rank: int, group: int, least: int) -> Column:
-    """Spans of all matches whose ``group`` has at least ``least`` characters."""
+#: Items per block of a running value, and characters per block of a text that is cut.
+BLOCK = 256
+
+
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _running(items: Column, step) -> Column:
+    """Array of an int state, 0 at first, after each item: ``step(state, item)``.
+
+    An array grows by copying, so results are gathered in blocks: the work is linear in the items but for one append per block.
+    """
+    ints = F.expr("cast(array() as array<int>)")
+
+    def one(state, item):
+        return _bound(step(state["at"], item), lambda now: F.struct(now.alias("at"), F.array_append(state["out"], now).alias("out")))
+
+    def block(state, part):
+        done = F.aggregate(part, F.struct(state["at"].alias("at"), ints.alias("out")), one)
+        return _bound(done, lambda d: F.struct(d["at"].alias("at"), F.array_append(state["parts"], d["out"]).alias("parts")))
+
+    blocks = _bound(items, lambda xs: F.transform(F.sequence(F.lit(0), F.floor(F.size(xs) / BLOCK).cast("int")), lambda i: F.slice(xs, i * BLOCK + 1, F.lit(BLOCK))))
+    begin = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<array<int>>)").alias("parts"))
+    return F.flatten(F.aggregate(blocks, begin, block, lambda state: state["parts"]))
+
+
+def _matches(text: Column, pattern: str, group: int) -> Column:
+    """(word, part, end) of every match, ``part`` the length of its ``group``."""
     found = F.arrays_zip(
-        F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length).alias("long"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("word"),
         F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.length).alias("part"),
-        F.slice(F.transform(F.split(text, pattern, -1), F.length), 1, F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))).alias("gap"),
+        F.transform(F.split(text, pattern, -1), F.length).alias("gap"),  # one more than matches
     )
-    begin = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPANS})").alias("spans"))
+    found = F.filter(found, lambda m: m["word"].isNotNull())
+    return _bound(found, lambda ms: F.zip_with(
+        ms, _running(ms, lambda at, m: at + m["gap"] + F.length(m["word"])),
+        lambda m, end: F.struct(m["word"].alias("word"), m["part"].alias("part"), end.alias("end"))))
+
 
-    def step(state, m):
-        start = state["at"] + m["gap"]
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + m["long"]).alias("end"))
-        return F.struct((start + m["long"]).alias("at"), F.when(m["part"] >= least, F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
+def _placed(text: Column, pattern: str, rank: int, group: int, least: int) -> Column:
+    """Spans of all matches whose ``group`` has at least ``least`` characters."""
+    long = F.filter(_matches(text, pattern, group), lambda m: m["part"] >= least)
+    return F.transform(long, lambda m: F.struct((m["end"] - F.length(m["word"])).alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end")))
+
+
+def _reached(spans: Column, size: Column, point: Column) -> Column:
+    """How many of the first spans of an array sorted by start begin before ``point``, by halving."""
 
-    return F.aggregate(found, begin, step, lambda state: state["spans"])
+    def halve(state, _):
+        mid = F.floor((state["low"] + state["high"]) / 2).cast("int")
+        before = F.element_at(spans, F.greatest(F.least(mid + 1, size), F.lit(1)))["start"] < point
+        open_ = state["low"] < state["high"]
+        return F.struct(F.when(open_ & before, mid + 1).otherwise(state["low"]).alias("low"), F.when(open_ & ~before, mid).otherwise(state["high"]).alias("high"))
+
+    turns = F.sequence(F.lit(0), F.ceil(F.log2(size + 1)).cast("int"))
+    return F.aggregate(turns, F.struct(F.lit(0).alias("low"), size.alias("high")), halve, lambda state: state["low"])
 
 
 def _only_if(test: Column, spans: Column) -> Column:
@@ -76,28 +119,40 @@ def hot_range(word: Column, rule: EntropyRule) -> Column:
     bits = F.when(word.rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.lit(rule.hex_bits)).when(word.rlike("^[A-Za-z0-9]+$"), F.lit(rule.alnum_bits)).otherwise(F.lit(rule.base64_bits))
     w = rule.window
     #: Entropy >= bits holds exactly when sum(c * log2 c) <= w * (log2 w - bits).
-    known = F.struct(F.split(word, "").alias("chars"), F.array_distinct(F.split(word, "")).alias("kinds"), (w * (F.log2(F.lit(float(w))) - bits)).alias("most"))
+    most = w * (F.log2(F.lit(float(w))) - bits)
+
+    def coded(chars):
+        return _bound(F.array_distinct(chars), lambda kinds: F.struct(
+            F.transform(chars, lambda c: F.array_position(kinds, c).cast("int")).alias("codes"), F.transform(kinds, lambda _: F.lit(0)).alias("none"), most.alias("most")))
 
     def slide(k):
+        def moved(state, i, m):
+            plus = F.element_at(state["counts"], m["came"])
+            minus = F.when(m["went"] > 0, F.element_at(state["counts"], F.greatest(m["went"], F.lit(1)))).otherwise(F.lit(0))
+            return F.when(m["went"] == m["came"], state["total"]).otherwise(
+                state["total"] + (_clog(plus + 1) - _clog(plus) + F.when(m["went"] > 0, _clog(minus - 1) - _clog(minus)).otherwise(F.lit(0.0))))
+
         def step(state, i):
-            came = F.array_position(k["kinds"], F.element_at(k["chars"], i)).cast("int")
-            went = F.when(i > w, F.array_position(k["kinds"], F.element_at(k["chars"], F.greatest(i - w, F.lit(1)))).cast("int")).otherwise(F.lit(0))
-            plus = F.element_at(state["counts"], came)
-            minus = F.when(went > 0, F.element_at(state["counts"], F.greatest(went, F.lit(1)))).otherwise(F.lit(0))
-            change = F.when(went == came, F.lit(0.0)).otherwise(_clog(plus + 1) - _clog(plus) + F.when(went > 0, _clog(minus - 1) - _clog(minus)).otherwise(F.lit(0.0)))
-            total = state["total"] + change
-            hit = (i >= w) & (total <= k["most"] + 1e-9)
-            return F.struct(
-                F.transform(state["counts"], lambda c, j: c + (j + 1 == came).cast("int") - (j + 1 == went).cast("int")).alias("counts"),
-                total.alias("total"),
-                F.when(hit & (state["first"] < 0), i - w).otherwise(state["first"]).alias("first"),
-                F.when(hit, i).otherwise(state["last"]).alias("last"),
-            )
-
-        begin = F.struct(F.transform(k["kinds"], lambda _: F.lit(0)).alias("counts"), F.lit(0.0).cast("double").alias("total"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
-        return F.aggregate(F.sequence(F.lit(1), F.size(k["chars"])), begin, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
-
-    return F.element_at(F.transform(F.array(known), slide), 1)
+            came = F.element_at(k["codes"], i)
+            went = F.when(i > w, F.element_at(k["codes"], F.greatest(i - w, F.lit(1)))).otherwise(F.lit(0))
+            move = F.struct(came.alias("came"), went.alias("went"))
+
+            def after(m, total):
+                hit = (i >= w) & (total <= k["most"] + 1e-9)
+                counts = F.transform(state["counts"], lambda c, j: F.when(j + 1 == m["came"], c + 1).when(j + 1 == m["went"], c - 1).otherwise(c))
+                return F.struct(
+                    F.when(m["went"] == m["came"], state["counts"]).otherwise(counts).alias("counts"),
+                    total.alias("total"),
+                    F.when(hit & (state["first"] < 0), i - w).otherwise(state["first"]).alias("first"),
+                    F.when(hit, i).otherwise(state["last"]).alias("last"),
+                )
+
+            return _bound(move, lambda m: _bound(moved(state, i, m), lambda total: after(m, total)))
+
+        begin = F.struct(k["none"].alias("counts"), F.lit(0.0).cast("double").alias("total"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(k["codes"])), begin, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+
+    return _bound(_bound(F.split(word, ""), coded), slide)
 
 
 def secret_spans(docs: DataFrame, text: str = "text", into: str = "secret_spans", rule: EntropyRule = EntropyRule(), allow: tuple[str, ...] = ALLOW) -> DataFrame:
@@ -115,22 +170,28 @@ def secret_spans(docs: DataFrame, text: str = "text", into: str = "secret_spans"
             _only_if(t.rlike(HEX), _placed(t, HEX, 2, 0, 32)),
         )),
     )
-    df = df.withColumn("__sec_cand", _only_if(t.rlike(CANDIDATE), _placed(t, CANDIDATE, 3, 0, 20)))
-
-    def judged(c):
-        word = F.substring(t, c["start"] + 1, c["end"] - c["start"])
+    df = df.withColumn("__sec_cand", F.when(t.rlike(CANDIDATE), _matches(t, CANDIDATE, 0)))
+    has = F.size("__sec_cand") > 0
+    #: The fixed spans, and the farthest end up to each: with the number that begin before a candidate ends, it tells whether one touches it.
+    #: Bound here, outside the walk over the candidates: a column named once within that walk would be worked out for each of them.
+    fixed = F.struct(F.col("__sec_base").alias("base"), _running(F.col("__sec_base"), lambda at, b: F.greatest(at, b["end"])).alias("far"))
+
+    def judged(known, c):
+        word = c["word"]
+        start = c["end"] - F.length(word)
         allowed = F.lit(False)
         for p in allow:
             allowed = allowed | word.rlike(p)
-        touches = F.exists(F.col("__sec_base"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+        base = known["base"]
+        touches = F.when(F.size(base) > 0, _bound(_reached(base, F.size(base), c["end"]), lambda n: (n > 0) & (F.element_at(known["far"], F.greatest(n, F.lit(1))) > start))).otherwise(F.lit(False))
         hot = F.when(allowed | touches, F.lit(None)).otherwise(hot_range(word, rule))
-        return F.struct(c["start"].alias("start"), hot.alias("hot"))
+        return F.struct(start.alias("start"), hot.alias("hot"))
 
     extra = F.transform(
-        F.filter(F.transform(F.col("__sec_cand"), judged), lambda c: c["hot"]["first"] >= 0),
+        F.filter(_bound(fixed, lambda known: F.transform(F.col("__sec_cand"), lambda c: judged(known, c))), lambda c: c["hot"]["first"] >= 0),
         lambda c: F.struct((c["start"] + c["hot"]["first"]).alias("start"), F.lit(3).alias("rank"), (c["start"] + c["hot"]["last"]).alias("end")),
     )
-    df = df.withColumn(into, F.when(F.size("__sec_cand") > 0, F.array_sort(F.concat(F.col("__sec_base"), extra.cast(SPANS)))).otherwise(F.col("__sec_base")))
+    df = df.withColumn(into, F.when(has, F.array_sort(F.concat(F.col("__sec_base"), extra.cast(SPANS)))).otherwise(F.col("__sec_base")))
     return df.drop("__sec_text", "__sec_low", "__sec_base", "__sec_cand")
 
 
@@ -142,16 +203,24 @@ def written(spans: Column) -> Column:
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """The text with every span replaced; spans that overlap become one mark."""
-    begin = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("parts"))
+    far = _running(spans, lambda at, s: F.greatest(at, s["end"]))
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+    def cut(parts, begin, end):
+        """Characters from ``begin`` to before ``end``, of the blocks that hold them alone."""
+        first = F.floor(begin / BLOCK).cast("int")
+        some = F.slice(parts, first + 1, F.floor(end / BLOCK).cast("int") - first + 1)
+        return F.substring(F.array_join(some, ""), (begin - first * BLOCK + 1).cast("int"), (end - begin).cast("int"))
 
-    def step(state, s):
-        piece = F.concat(F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit(mark))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(s["start"] >= state["at"], F.array_append(state["parts"], piece)).otherwise(state["parts"]).alias("parts"))
+    def joined(bound):
+        def piece(s, i):
+            before = F.when(i > 0, F.element_at(bound["far"], F.greatest(i, F.lit(1)))).otherwise(F.lit(0))
+            return F.when(s["start"] >= before, F.concat(cut(bound["blocks"], before, s["start"]), F.lit(mark)))
 
-    def end(state):
-        return F.concat(F.array_join(state["parts"], ""), F.substring(text, state["at"] + 1, F.length(text)))
+        kept = F.filter(F.transform(spans, piece), lambda p: p.isNotNull())
+        return F.concat(F.array_join(kept, ""), cut(bound["blocks"], F.element_at(bound["far"], -1), F.length(text)))
 
-    return F.when(F.size(spans) > 0, F.aggregate(spans, begin, step, end)).otherwise(text)
+    return F.when(F.size(spans) > 0, _bound(F.struct(far.alias("far"), blocks.alias("blocks")), joined)).otherwise(text)
 
 
 def _of_kind(spans: Column, rank: int) -> Column:

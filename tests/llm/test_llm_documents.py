@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -427,3 +428,23 @@ def test_language_defined_cases(tricky, nothing):
     assert langid.language_report(nothing).count() == 0
     unlabelled = tricky.withColumn("lang", langid.F.lit(None).cast("string"))
     assert {r["lang_pred"] for r in rows(langid.language_report(unlabelled))} == {"und"}
+
+
+def test_secrets_of_one_text_with_very_many_matches(spark):
+    """Spans and the redacted text against a plain scan; 6 000 words in one text, spans that overlap and touch."""
+    rnd = random.Random(4)
+    words = ["token=aB3dE5gH7", "AKIA" + "Q7" * 8, "0123456789abcdef" * 2, "é plain", "secret: 0123456789abcdef0123456789abcdef,", "xK9vQ2mZ7pL4wT8rB1nY"]
+    texts = [" ".join(rnd.choice(words) for _ in range(n)) for n in (0, 1, 255, 256, 257, 700, 6_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = secrets.secret_spans(docs)
+    for r in rows(found.select("text", "secret_spans", secrets.redacted(found["text"], found["secret_spans"]).alias("clean"))):
+        spans, out, at = [(s["start"], s["end"], s["rank"]) for s in r["secret_spans"]], [], 0
+        base = [(m.start(), m.end(), rank) for rank, (pattern, long_enough) in enumerate(KIND.values()) for m in pattern.finditer(r["text"]) if long_enough(m)]
+        assert sorted(s for s in spans if s[2] < 3) == sorted(base)
+        assert all(r["text"][s:e] == words[5] for s, e, k in spans if k == 3)
+        assert sum(k == 3 for _, _, k in spans) == r["text"].count(words[5])
+        for s, e, _ in spans:
+            if s >= at:
+                out += [r["text"][at:s], "[SECRET]"]
+            at = max(at, e)
+        assert r["clean"] == "".join(out) + r["text"][at:]
