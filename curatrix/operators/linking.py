@@ -52,8 +52,8 @@ def price_as_of(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """Left join on the price that is valid when the usage ends; usage without a price costs 0.
 
     Prices are repeated per month of their validity (open ends stop at the last usage), so the equi key is (sku, month)
-    and a long price history never meets all usage of its sku.  A price list under the broadcast threshold is broadcast
-    by Spark itself.
+    and a long price history never meets all usage of its sku.  The months are joined by sort and merge: Spark estimates
+    them at the size of the price list and would broadcast however many there are.
     """
     last = usage.agg(F.max("usage_end_time")).scalar()
     until = F.least(F.coalesce(F.col("price_end_time").cast("timestamp_ntz"), last), last)
@@ -65,20 +65,21 @@ def price_as_of(usage: DataFrame, prices: DataFrame) -> DataFrame:
         (F.col("u.sku_name") == F.col("p.sku_name")) & (F.col("u.month") == F.col("p.month")) & (t >= F.col("p.price_start_time"))
         & (F.col("p.price_end_time").isNull() | (t < F.col("p.price_end_time")))
     )
-    return u.join(p, on, "left").select(*[F.col(f"u.{c}") for c in usage.columns], F.coalesce("p.price", F.lit(0.0)).alias("price"))
+    return u.join(p.hint("merge"), on, "left").select(*[F.col(f"u.{c}") for c in usage.columns], F.coalesce("p.price", F.lit(0.0)).alias("price"))
 
 
 def campaign_sales(sales: DataFrame, campaigns: DataFrame) -> DataFrame:
     """Revenue and buyers of every campaign, over the sales of its product within its dates.
 
     Sales are summed to (product, day, customer) first; campaigns are repeated per month, so the equi key is
-    (product, month).
+    (product, month).  The months are joined by sort and merge: Spark estimates them at the size of the campaigns and
+    would broadcast however many there are.
     """
     daily = sales.groupBy("product_id", "sold_on", "customer_id").agg(F.sum("amount").alias("amount"))
     s = daily.withColumn("month", F.trunc("sold_on", "month")).alias("s")
     c = campaigns.filter("start_date <= end_date").withColumn("month", F.explode(_month_range(F.col("start_date"), F.col("end_date")))).alias("c")
     on = (F.col("s.product_id") == F.col("c.product_id")) & (F.col("s.month") == F.col("c.month")) & F.col("s.sold_on").between(F.col("c.start_date"), F.col("c.end_date"))
-    return s.join(c, on).groupBy("c.campaign").agg(
+    return s.join(c.hint("merge"), on).groupBy("c.campaign").agg(
         F.round(F.sum("s.amount"), 2).alias("revenue"), F.countDistinct("s.customer_id").alias("customers"))
 
 

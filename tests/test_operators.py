@@ -94,6 +94,21 @@ def test_link_schema_is_exact_for_short_and_long_names(spark):
     assert {r.object_id: r.asset_id for r in lk.link_schema_to_assets(objects, assets).collect()} == {1: 8, 2: 8, 3: 7}
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_months_of_campaigns_and_prices_are_never_broadcast(spark):
+    sales = spark.sql("SELECT id AS product_id, DATE'2024-03-05' AS sold_on, 2.0D AS amount, id % 2 AS customer_id FROM range(4)")
+    campaigns = spark.sql("SELECT 'c' AS campaign, id AS product_id, DATE'2024-01-01' AS start_date, DATE'2030-12-31' AS end_date FROM range(3)")
+    out = lk.campaign_sales(sales, campaigns)
+    assert "Broadcast" not in plan(out) and [tuple(r) for r in out.collect()] == [("c", 6.0, 2)]
+    usage = spark.sql("SELECT id, 'A' AS sku_name, TIMESTAMP_NTZ'2024-01-31 23:00:00' AS usage_end_time FROM range(2)")
+    prices = spark.sql("SELECT 'A' AS sku_name, DATE'2023-12-15' AS price_start_time, DATE'2024-02-01' AS price_end_time, 1.5D AS price")
+    out = lk.price_as_of(usage, prices)
+    assert "BroadcastHashJoin" not in plan(out) and {r.price for r in out.collect()} == {1.5}
+
+
 def test_diff_only_reports_changes(spark):
     cols = "c int, schema_name string, field_name string, logical_type string, required boolean"
     old = spark.createDataFrame([(1, "s", "a", "double", False), (1, "s", "b", "int", True), (1, "gone", "x", "int", True)], cols)
