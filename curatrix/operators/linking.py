@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.operators.skew import first_per_key, left_join_parts, salted_join
+from curatrix.operators.skew import BROADCAST_ROWS, broadcast_if_small, first_per_key, left_join_parts, salted_join
 
 
 def contract_tag_sources(contracts: DataFrame, objects: DataFrame, domains: DataFrame, ports: DataFrame, products: DataFrame, links: DataFrame) -> DataFrame:
@@ -132,7 +132,8 @@ def link_schema_to_assets(objects: DataFrame, assets: DataFrame) -> DataFrame:
 
     ``objects``: object_id, match_name.  Containment without comparing all pairs: every location is cut into its
     substrings of the lengths that names have, the lowest asset per substring is kept before the shuffle, and names meet
-    them by equality.  The work is linear in the assets however common a name is.
+    them by equality.  The work is linear in the assets however common a name is.  Few names are broadcast and pick their
+    substrings before the shuffle; the substrings themselves never are, whatever size Spark estimates.
     """
     cand = assets.filter(F.col("type").isin("Table", "View")).select("id", "name", F.lower("location").alias("loc"))
     objs = objects.filter(F.length("match_name") > 0).select("object_id", "match_name", F.lower("match_name").alias("m"))
@@ -141,8 +142,12 @@ def link_schema_to_assets(objects: DataFrame, assets: DataFrame) -> DataFrame:
     sized = cand.filter(F.length("loc") > 0).select("id", "loc", F.explode(lengths).alias("n")).filter(F.col("n") <= F.length("loc"))
     pieces = sized.select("id", F.explode(F.transform(
         F.sequence(F.lit(1), F.length("loc") - F.col("n") + 1), lambda i: F.substr(F.col("loc"), i, F.col("n")))).alias("m"))
+    names = objs.select("m").distinct()
+    rows = names.count()
+    if rows <= BROADCAST_ROWS:
+        pieces = pieces.join(broadcast_if_small(names, rows), "m", "left_semi")
     by_piece = pieces.groupBy("m").agg(F.min("id").alias("loc_id"))
-    out = objs.join(by_name, "match_name", "left").join(by_piece, "m", "left")
+    out = objs.join(by_name.hint("merge"), "match_name", "left").join(by_piece.hint("merge"), "m", "left")
     return out.select("object_id", F.least("name_id", "loc_id").alias("asset_id")).filter("asset_id IS NOT NULL")
 
 

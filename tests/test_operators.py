@@ -109,6 +109,18 @@ def test_months_of_campaigns_and_prices_are_never_broadcast(spark):
     assert "BroadcastHashJoin" not in plan(out) and {r.price for r in out.collect()} == {1.5}
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_substrings_of_locations_are_never_broadcast(spark, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(lk, "BROADCAST_ROWS", 1)
+    objects = spark.sql("SELECT * FROM VALUES (1, 'A'), (2, 'sales.Orders'), (3, 'Plain'), (4, 'none') AS t(object_id, match_name)")
+    assets = spark.sql("SELECT * FROM VALUES (7, 'Plain', 'Table', NULL), (8, 'x', 'View', 'cat.sales.orders_v2'), (9, 'y', 'Table', 'CAT.sales.orders') AS t(id, name, type, location)")
+    out = lk.link_schema_to_assets(objects, assets)
+    joins = [line for line in plan(out).splitlines() if "BroadcastHashJoin" in line]
+    assert all("LeftSemi" in line for line in joins) and len(joins) == int(few)
+    assert {r.object_id: r.asset_id for r in out.collect()} == {1: 8, 2: 8, 3: 7}
+
+
 def test_diff_only_reports_changes(spark):
     cols = "c int, schema_name string, field_name string, logical_type string, required boolean"
     old = spark.createDataFrame([(1, "s", "a", "double", False), (1, "s", "b", "int", True), (1, "gone", "x", "int", True)], cols)
