@@ -94,6 +94,31 @@ def _fewest(packed: DataFrame, n: int, newest: bool) -> DataFrame:
     return packed.mapInPandas(run, "_key string, _order string, _row string")
 
 
+def _earliest(packed: DataFrame) -> DataFrame:
+    """The earliest row of every key of a batch, of equally early ones the first by its values, key by key in one place.
+
+    A task holds the best row of the keys it has met, merged as Arrow batches come.
+    """
+
+    def run(batches):
+        best, waiting, rows = None, [], 0
+        for pdf in batches:
+            waiting.append(pdf)
+            rows += len(pdf)
+            if best is None or rows >= len(best):
+                best, waiting, rows = first(best, waiting), [], 0
+        if waiting:
+            best = first(best, waiting)
+        if best is not None:
+            yield from (best[i:i + 50_000] for i in range(0, len(best), 50_000))
+
+    def first(best, more):
+        return pd.concat([*([] if best is None else [best]), *more]).sort_values(["_order", "_row"]).drop_duplicates("_key")
+
+    kind = "_key string, _order string, _row string"
+    return _fewest(packed, 1, False).repartition("_key").mapInPandas(run, kind)
+
+
 def stage_events(stream: DataFrame, key: str, ts: str, base: str, trigger: dict | None = None) -> StreamingQuery:
     """At-least-once input staged once per key, however late a first arrival or a repeat is; NULL is one key.
 
@@ -102,19 +127,8 @@ def stage_events(stream: DataFrame, key: str, ts: str, base: str, trigger: dict
     RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
     """
     stream = stream.withColumn(ts, F.col(ts).cast("timestamp"))
-    fields = list(stream.schema)
-
-    def first(key, batches, state):
-        best = None
-        for pdf in batches:
-            here = pdf.sort_values(["_order", "_row"]).iloc[0]
-            best = min(filter(None, (best, (here["_order"], here["_row"]))))
-        if not state.exists:
-            state.update((True,))
-            yield pd.DataFrame({"_row": [best[1]]})
-
-    once = _fewest(_packed(stream, key, [ts], stream.columns), 1, False).groupBy("_key").applyInPandasWithState(first, "_row string", "staged boolean", "append", "NoTimeout")
-    return run(once.select(*_unpacked("_row", fields)), base, lambda df, i: put(df, f"{base}/events", i), trigger=trigger)
+    once = _earliest(_packed(stream, key, [ts], stream.columns)).dropDuplicates(["_key"])
+    return run(once.select(*_unpacked("_row", list(stream.schema))), base, lambda df, i: put(df, f"{base}/events", i), trigger=trigger)
 
 
 def event_volume(stream: DataFrame, ts: str, kind: str, width: str = "1 hour", slide: str | None = None, delay: str = "10 minutes") -> DataFrame:

@@ -61,6 +61,20 @@ def test_late_events_and_late_repeats_are_staged_once(spark):
     assert ids.count(None) == 1 and sorted(i for i in ids if i is not None) == list(range(30))
 
 
+def test_staging_calls_no_python_per_key(spark):
+    """Many keys, each several times in a batch and over the batches: the earliest row of its first batch is staged, in vectorised steps."""
+    path, base = new_shared_path(spark, "keys-in"), new_shared_path(spark, "keys")
+    at = "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, {}, 0)"
+    for i in range(2):
+        rows = spark.sql(f"SELECT CAST(id % 20000 AS INT) AS event_id, {i} AS user_id, {at.format('CAST((id DIV 20000 + 2) % 3 AS INT)')} AS ts, 'v' AS event_type, CAST(id AS DOUBLE) AS value FROM range(60000)")
+        rows.select("event_id", "user_id", "ts", "event_type", "value").coalesce(1).write.mode("append").parquet(path)
+    query = st.stage_events(stream(spark, path), "event_id", "ts", base)
+    query.awaitTermination()
+    assert "FlatMapGroupsInPandasWithState" not in query._jsq.explainInternal(False)
+    got = st.read_sink(spark, f"{base}/events").agg(F.count("*"), F.countDistinct("event_id"), F.max("user_id") - F.min("user_id"), F.min("value"), F.max("value")).first()
+    assert tuple(got) == (20000, 20000, 0, 20000.0, 39999.0)
+
+
 def test_current_state_keeps_the_two_newest(spark, files):
     base = new_shared_path(spark, "state")
     st.current_state(stream(spark, files), "user_id", ["ts", "event_id"], ["value"], base).awaitTermination()
