@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from curatrix.functions.scalar import match_type, normalize_email, normalize_phone7
 from curatrix.functions.similarity import similarity, token_sort
-from curatrix.operators.skew import first_per_key, salted_join
+from curatrix.operators.skew import first_per_key, hot_keys, salted_join
 
 EPS = 1e-9
 
@@ -250,10 +250,12 @@ def with_master_columns(source: DataFrame, mapping: dict[str, str], columns: lis
 
 
 def pair_candidates(matches: DataFrame, master: DataFrame, source: DataFrame, master_members: DataFrame, source_members: DataFrame, ident: str) -> DataFrame:
-    """One pending candidate for every pair of records behind the matches, with both records as JSON."""
-    record = lambda df, name: df.select(F.col(ident).alias(f"{name}_id"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias(f"{name}_record"))
-    pairs = expand_matches(matches, master_members, source_members)
-    rows = pairs.join(record(master, "master"), "master_id").join(record(source, "source"), "source_id")
+    """One pending candidate for every pair of records behind the matches, with both records as JSON.
+
+    The JSON is made once per record and joined to the members, so that the pairs, which grow with the square of a profile's copies, are never shuffled.
+    """
+    record = lambda df, name: df.select(F.col(ident).alias("id"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias(f"{name}_record"))
+    rows = expand_matches(matches, master_members.join(record(master, "master").hint("merge"), "id"), source_members.join(record(source, "source").hint("merge"), "id"))
     return rows.select("source_id", "master_id", "confidence", match_type(F.col("confidence")).alias("match_type"), "matched_rules", "master_record", "source_record", F.lit("pending").alias("status"))
 
 
@@ -269,10 +271,15 @@ def best_candidates(matches: DataFrame, source_members: DataFrame) -> DataFrame:
 
 
 def expand_matches(matches: DataFrame, master_members: DataFrame, source_members: DataFrame) -> DataFrame:
-    """Record pairs behind profile pairs, for callers who want every single one; the result is as large as it is."""
-    m = master_members.select(F.col("profile").alias("m_profile"), F.col("id").alias("master_id"))
-    s = source_members.select(F.col("profile").alias("s_profile"), F.col("id").alias("source_id"))
-    return salted_join(salted_join(matches.select("m_profile", "s_profile", "confidence", "matched_rules"), s, ["s_profile"]), m, ["m_profile"])
+    """Record pairs behind profile pairs, for callers who want every single one; the result is as large as it is.
+
+    Further columns of the members come along. The members of a profile with many copies are spread over several tasks on both sides.
+    """
+    side = lambda df, pre, name: df.withColumnsRenamed({"profile": f"{pre}_profile", "id": f"{name}_id"})
+    hot = lambda df, pre: hot_keys(df, ["profile"], 0.001).withColumnRenamed("profile", f"{pre}_profile")
+    found = matches.select("m_profile", "s_profile", "confidence", "matched_rules")
+    sources = salted_join(side(source_members, "s", "source"), found, ["s_profile"], hot=hot(source_members, "s"))
+    return salted_join(sources, side(master_members, "m", "master"), ["m_profile"], hot=hot(master_members, "m"))
 
 
 def run_totals(candidates: DataFrame, master: DataFrame, source: DataFrame) -> DataFrame:

@@ -76,7 +76,8 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     broadcast. Without it the join is a plain one, whose skewed partitions Spark splits at run time.
 
     Rows of a hot key get one of ``salts`` numbers on the left, and the right rows of that key are repeated for each number, so
-    every left row meets every right row of its key exactly once.
+    every left row meets every right row of its key exactly once. The join is by sort and merge: a broadcast of the right side would
+    leave the left rows of a hot key where they lie.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"salting does not keep a {how} join whole")
@@ -87,7 +88,7 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     salted = left.join(hot, keys, "left").withColumn("_number", own).drop("_hot")
     repeated = right.join(hot, keys, "left").withColumn("_number", F.explode(every)).drop("_hot")
-    return salted.join(repeated, [*keys, "_number"], how).drop("_number")
+    return salted.join(repeated.hint("merge"), [*keys, "_number"], how).drop("_number")
 
 
 def left_join_parts(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame | None = None) -> DataFrame:

@@ -159,3 +159,15 @@ def test_jaro_winkler_known_values():
     assert round(_jaro_winkler("martha", "marhta"), 4) == 0.9611
     assert round(_jaro_winkler("dixon", "dicksonx"), 4) == 0.8133
     assert _jaro_winkler("", "a") == 0.0
+
+
+def test_pairs_of_a_profile_with_many_copies_are_spread(spark):
+    rows = lambda first: spark.sql(f"SELECT id + {first} AS id, CASE WHEN id < 300 THEN 'Desk' ELSE concat('n', id) END AS name FROM range(400)")
+    (m, mm), (s, sm) = (mt.profiles(rows(x), ["name"], "id") for x in (0, 5000))
+    found = mt.find_matches(m, s, [MatchRule("name", "exact", ("name",), 1.0, 1.0)])
+    out = mt.pair_candidates(found, rows(0), rows(5000), mm, sm, "id")
+    assert out.count() == 300 * 300 + 100
+    assert out.filter("get_json_object(master_record, '$.id') <> master_id OR get_json_object(source_record, '$.id') <> source_id").count() == 0
+    shown = out._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in shown.splitlines() if "Join" in line and "_profile" in line]
+    assert sum("_number" in line for line in joins) == 2 and not any("Broadcast" in line for line in joins if "_number" in line)
