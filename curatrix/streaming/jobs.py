@@ -7,6 +7,7 @@ rows.  Checkpoints and output live in the folder the caller names, which on a cl
 from __future__ import annotations
 
 from collections.abc import Callable
+from heapq import nlargest
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -261,8 +262,7 @@ def current_state(stream: DataFrame, key: str, order: list[str], cols: list[str]
     def newest(key, batches, state):
         top = [x for x in zip(state.get[0::2], state.get[1::2], strict=True) if x[0] is not None] if state.exists else []
         for pdf in batches:
-            some = pdf.sort_values(["_order", "_row"], ascending=False).head(2)
-            top = sorted([*top, *zip(some["_order"], some["_row"], strict=True)], reverse=True)[:2]
+            top = nlargest(2, [*top, *zip(pdf["_order"].tolist(), pdf["_row"].tolist(), strict=True)])  # a few rows of each upstream batch
         held = [*top, (None, None)][:2]
         state.update((*held[0], *held[1]))
         yield pd.DataFrame({"_now": [held[0][1]], "_before": [held[1][1]]}, dtype=object)
