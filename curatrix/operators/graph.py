@@ -118,30 +118,45 @@ def _trimmed(edges: DataFrame) -> DataFrame:
     return edges
 
 
-def _contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Edges with every chain of nodes that one edge enters and one leaves in one edge; (node, src, dst) of the nodes inside them; rings as (node, component).
+def _merged(edges: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame], DataFrame]:
+    """Edges after every node that one edge leaves was merged into the node where its single edges end; what ``_unmerged`` needs; rings.
 
-    Pointer doubling to both ends: the rounds are the logarithm of the longest chain. A chain without an end is a ring.
+    A cycle through such a node goes on along its edge, so merging keeps every cycle, however many edges enter the node. Pointers double: the rounds
+    are the logarithm of the longest way. Single edges without an end run into a ring, and nothing in front of a ring lies on another cycle.
+    Returned: edges, loops among them; (src, dst, root) of the edges that were no single ones; (node, to) for 1, 2, 4, ... steps; (node, component) of the rings.
     """
-    degree = edges.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(edges.select(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))
-    inner = settled(degree.groupBy("node").agg(F.sum("o").alias("o"), F.sum("i").alias("i")).filter("o = 1 AND i = 1").select("node"))
-    ends = edges.join(inner.select(F.col("node").alias("dst"), F.lit(True).alias("goes_on")), "dst", "left").join(inner.select(F.col("node").alias("src"), F.lit(True).alias("came")), "src", "left")
-    marked = settled(ends.select("src", "dst", F.coalesce("came", F.lit(False)).alias("came"), F.coalesce("goes_on", F.lit(False)).alias("goes_on")))
-    onward = marked.filter("came").select(F.col("src").alias("node"), F.col("dst").alias("to"), F.col("goes_on").alias("more"))
-    onward = onward.join(marked.filter("goes_on").select(F.col("dst").alias("node"), F.col("src").alias("back"), F.col("came").alias("less")), "node")
-    ptr, made, n = settled(onward.withColumn("low", F.least("node", F.when(F.col("more"), F.col("to")).otherwise(F.col("node"))))), 1, inner.count()
-    while made <= n and ptr.filter("more OR less").head(1):
-        ahead = ptr.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("more").alias("more2"), F.col("low").alias("low2"))
-        behind = ptr.select(F.col("node").alias("back"), F.col("back").alias("back2"), F.col("less").alias("less2"))
-        both = ptr.join(ahead, "to", "left").join(behind, "back", "left")
-        ptr = settled(both.select(
-            "node", F.when(F.col("more"), F.col("to2")).otherwise(F.col("to")).alias("to"), (F.col("more") & F.col("more2")).alias("more"),
-            F.when(F.col("less"), F.col("back2")).otherwise(F.col("back")).alias("back"), (F.col("less") & F.col("less2")).alias("less"), F.least("low", F.when(F.col("more"), F.col("low2")).otherwise(F.col("low"))).alias("low")))
+    single = settled(edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("to")).filter("n = 1").select(F.col("src").alias("node"), "to"))
+    ptr = single.join(single.select(F.col("node").alias("to"), F.lit(True).alias("more")), "to", "left")
+    ptr, going = _counted(ptr.select("node", "to", F.coalesce("more", F.lit(False)).alias("more"), F.least("node", "to").alias("low")), F.col("more"))
+    steps, made, bound = [ptr], 1, 1 + going
+    while going and made < bound:  # a way that ends has no more steps than were made, and nodes that still went on then
+        nxt = ptr.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("more").alias("more2"), F.col("low").alias("low2"))
+        ahead = ptr.filter("more").join(nxt, "to").select("node", F.col("to2").alias("to"), F.col("more2").alias("more"), F.least("low", "low2").alias("low"))
+        ptr, going = _counted(ptr.filter("NOT more").unionByName(ahead), F.col("more"))
+        steps.append(ptr)
         made *= 2
-    chains = ptr.filter("NOT more AND NOT less").select("node", F.col("back").alias("src"), F.col("to").alias("dst"))
-    rings = ptr.filter("more").select("node", F.col("low").alias("component"))
-    plain = marked.filter("NOT came AND NOT goes_on").select("src", "dst")
-    return settled(plain.unionByName(chains.select("src", "dst")).distinct()), chains, rings
+        bound = min(bound, made + going)
+    endless = ptr.filter("more")
+    rings = endless.join(endless.select(F.col("to").alias("node")).distinct(), "node", "left_semi").select("node", F.col("low").alias("component"))
+    others = edges.join(single.select(F.col("node").alias("src")), "src", "left_anti").join(ptr.select(F.col("node").alias("dst"), "to", "more"), "dst", "left")
+    others = settled(others.filter("more IS NULL OR NOT more").select("src", "dst", F.coalesce("to", "dst").alias("root")))
+    return settled(others.select("src", F.col("root").alias("dst")).distinct()), others, [p.select("node", "to") for p in steps], rings
+
+
+def _unmerged(known: DataFrame, others: DataFrame, steps: list[DataFrame]) -> DataFrame:
+    """``known`` with the merged nodes: where an edge within a component enters the merged nodes, all from there to their end belong to it."""
+    inner = others.filter("dst <> root").join(known.select(F.col("node").alias("src"), F.col("component").alias("a")), "src")
+    inner = inner.join(known.select(F.col("node").alias("root"), F.col("component").alias("b")), "root").filter("a = b")
+    inner, entered = _counted(inner.select(F.col("dst").alias("node"), F.col("a").alias("component")).distinct(), F.lit(True))
+    if not entered:
+        return known
+    for ptr in steps:
+        inner = settled(inner.unionByName(inner.join(ptr, "node").select(F.col("to").alias("node"), "component")).distinct())
+    return settled(known.join(inner, "node", "left_anti").unionByName(inner))  # also for a node that was a loop of its own
+
+
+def _flipped(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
 def _highest(edges: DataFrame, ranks: DataFrame) -> DataFrame:
@@ -154,16 +169,29 @@ def _highest(edges: DataFrame, ranks: DataFrame) -> DataFrame:
     return tops
 
 
+# A core of at most this many edges is settled by the closure of its few nodes: the logarithm of its depth in rounds.
+CORE_EDGES = 1000
+
+
+def _mutual(edges: DataFrame) -> DataFrame:
+    """(node, component) of the nodes that reach each other, from the closure of a small graph."""
+    pairs = settled(closure(edges).filter("depth > 0").select("root", "node"))
+    back = pairs.select(F.col("node").alias("root"), F.col("root").alias("node"))
+    return settled(pairs.join(back, ["root", "node"]).groupBy(F.col("root").alias("node")).agg(F.min("node").alias("least")).select("node", F.least("node", "least").alias("component")))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node on a cycle of (src, dst) edges; ``component`` is the smallest node that it shares cycles with.
 
-    Nodes without a way in or out are trimmed and chains contracted, as long as that takes a quarter of the edges. The core that is left is settled
+    Nodes without a way in or out are trimmed; nodes with a single edge out, then those with a single edge in, are merged into the node where their single
+    edges end, as long as that takes a quarter of the edges. A small core that is left is settled by its closure, a large one
     by forward and backward colouring: a node's colour is the highest ranked node that leads to it, and the nodes of a colour that lead
     back to that node are its strongly connected component. Every colour is settled at once; what is left goes on with new ranks. Ranks are
-    hashes, so the passes do not follow an order in the ids. The nodes inside a chain belong to the component of both its ends.
+    hashes, so the passes do not follow an order in the ids. Merged nodes are settled last, in the opposite order.
     """
     edges = settled(edges.filter("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())
-    found, inside, turn = [edges.filter("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))], [], 0
+    loops = lambda df: df.filter("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
+    found, inside, turn = [loops(edges)], [], 0
     left = settled(edges.filter("src <> dst"))
     while left.head(1):
         size = 0
@@ -172,11 +200,16 @@ def components(edges: DataFrame) -> DataFrame:
             size = left.count()
             if not size:
                 break
-            left, chains, rings = _contracted(left)
-            inside.append(chains)
-            found += [rings, left.filter("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))]
-            left = left.filter("src <> dst")
-        if not left.head(1):
+            for _ in ("out", "in"):
+                left, *merged, rings = _merged(left)
+                inside.append(merged)
+                found += [rings, loops(left)]
+                left = _flipped(left.filter("src <> dst"))
+        size = left.count()
+        if not size:
+            break
+        if size <= CORE_EDGES:
+            found.append(_mutual(left))
             break
         turn += 1
         nodes = left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct()
@@ -184,18 +217,16 @@ def components(edges: DataFrame) -> DataFrame:
         of = _highest(left, ranks).select("node", F.col("top.id").alias("colour"))
         src, dst = of.select(F.col("node").alias("src"), F.col("colour").alias("a")), of.select(F.col("node").alias("dst"), F.col("colour").alias("b"))
         within = settled(left.join(src, "src").join(dst, "dst").filter("a = b").select("src", "dst"))
-        returning = _highest(within.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ranks).select("node", F.col("top.id").alias("returns"))
+        returning = _highest(_flipped(within), ranks).select("node", F.col("top.id").alias("returns"))
         same = settled(of.join(returning, "node").filter("colour = returns").select("node", "colour"))
         sized = same.groupBy("colour").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("colour", "component")
         found.append(same.join(sized, "colour").select("node", "component"))
         gone = same.select(F.col("node").alias("src"))
         left = settled(within.join(gone, "src", "left_anti").join(gone.select(F.col("src").alias("dst")), "dst", "left_anti").select("src", "dst"))
     known = settled(reduce(DataFrame.unionByName, found).groupBy("node").agg(F.min("component").alias("component")))
-    for chains in reversed(inside):
-        ends = chains.join(known.select(F.col("node").alias("src"), F.col("component").alias("a")), "src").join(known.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst")
-        more = settled(ends.filter("a = b").select("node", F.col("a").alias("component")))
-        known = settled(known.join(more, "node", "left_anti").unionByName(more))  # the ends decide, also for a node that was a loop of its own
-    least = known.groupBy("component").agg(F.min("node").alias("least"))  # a node inside a chain may be the smallest
+    for others, steps in reversed(inside):
+        known = _unmerged(known, others, steps)
+    least = known.groupBy("component").agg(F.min("node").alias("least"))  # a merged node may be the smallest
     return known.join(least, "component").select("node", F.col("least").alias("component"))
 
 

@@ -81,6 +81,38 @@ def test_components_equal_mutual_reachability(spark):
         assert {want[c] for c in paths} == set(want.values())
 
 
+def mutual(edges):
+    """Brute force: the smallest node that each node on a cycle shares cycles with."""
+    after = {n: set(brute_reach(edges, n)) for n in {x for e in edges for x in e}}
+    loops = {a for a, b in edges if a == b}
+    same = {n: {m for m in after[n] if n in after[m]} for n in after}
+    return {n: min(s) for n, s in same.items() if len(s) > 1 or n in loops}
+
+
+def test_components_of_merged_nodes_and_of_a_core(spark, monkeypatch):
+    def found(edges):
+        return {r.node: r.component for r in g.components(spark.createDataFrame(sorted(edges), "src int, dst int")).collect()}
+
+    rnd = Random(11)
+    sparse = {(rnd.randint(0, 40), rnd.randint(0, 40)) for _ in range(55)} | {(i, i) for i in (3, 8)}
+    hung = {(50 + i, 50 + i // 3) for i in range(1, 30)} | {(50, 61), (52, 70), (70, 71), (71, 90), (90, 71), (95, 71), (96, 97), (97, 96), (98, 97)}
+    dense = {(100 + a, 100 + b) for a in range(9) for b in ((2 * a) % 9, (2 * a + 1) % 9, (a + 4) % 9)} | {(a, 100) for a in range(5)} | {(104, 120), (120, 121), (121, 120), (120, 122), (122, 121)}
+    edges = sparse | hung | dense
+    assert found(edges) == mutual(edges)
+    monkeypatch.setattr(g, "CORE_EDGES", 0)
+    assert found(edges) == mutual(edges)
+
+
+def test_components_rounds_do_not_follow_a_long_path_that_many_enter(spark, monkeypatch):
+    n = 120
+    edges = {(i, i + 1) for i in range(n)} | {e for i in range(n) for e in ((1000 + i, 2000 + i), (2000 + i, 1000 + i), (1000 + i, i))} | {(40, 20)}
+    rounds, settled = [], g.settled
+    monkeypatch.setattr(g, "settled", lambda *a, **k: rounds.append(1) or settled(*a, **k))
+    got = {r.node: r.component for r in g.components(spark.createDataFrame(sorted(edges), "src int, dst int")).collect()}
+    assert got == {**dict.fromkeys(range(20, 41), 20), **{k + i: 1000 + i for i in range(n) for k in (1000, 2000)}}
+    assert len(rounds) < n
+
+
 def test_long_chain_and_cycle(spark):
     refs = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(200, 150)], "node int, parent int")
     assert sorted(r.node for r in g.cycle_members(refs).collect()) == list(range(150, 201))
