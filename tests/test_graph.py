@@ -105,12 +105,18 @@ def test_components_of_merged_nodes_and_of_a_core(spark, monkeypatch):
 
 def test_components_rounds_do_not_follow_a_long_path_that_many_enter(spark, monkeypatch):
     n = 120
-    edges = {(i, i + 1) for i in range(n)} | {e for i in range(n) for e in ((1000 + i, 2000 + i), (2000 + i, 1000 + i), (1000 + i, i))} | {(40, 20)}
+    knots = {(k + i, j + i) for i in range(n) for k in (1000, 2000, 3000) for j in (1000, 2000, 3000) if j != k}
+    edges = {(i, i + 1) for i in range(n)} | knots | {(1000 + i, i) for i in range(n)} | {(40, 20)}
     rounds, settled = [], g.settled
-    monkeypatch.setattr(g, "settled", lambda *a, **k: rounds.append(1) or settled(*a, **k))
+
+    def counted(*args):
+        rounds.append(1)
+        assert len(rounds) < n
+        return settled(*args)
+
+    monkeypatch.setattr(g, "settled", counted)
     got = {r.node: r.component for r in g.components(spark.createDataFrame(sorted(edges), "src int, dst int")).collect()}
-    assert got == {**dict.fromkeys(range(20, 41), 20), **{k + i: 1000 + i for i in range(n) for k in (1000, 2000)}}
-    assert len(rounds) < n
+    assert got == {**dict.fromkeys(range(20, 41), 20), **{k + i: 1000 + i for i in range(n) for k in (1000, 2000, 3000)}}
 
 
 def test_long_chain_and_cycle(spark):
