@@ -353,13 +353,13 @@ def move_concepts(triples: DataFrame, requests: DataFrame, collection_rows: Data
         triple(good, new, GOV + "promotedAt", F.lit(at), False, target),
     ]
     draft = F.coalesce("status", F.lit("draft")) == "draft"
-    gone = good.filter(draft) if kind == "migrated" else good.limit(0)
     stays = good.filter(~draft) if kind == "migrated" else good
     inserts.append(triple(stays, old, GOV + "status", F.lit("deprecated"), False, home_c))
     if kind == "promoted":
         inserts.append(triple(stays, old, RDFS + "seeAlso", new, True, home_c))
-    deletes = triples.join(gone.select(F.col("concept_iri").alias("subject")), "subject", "left_semi").select(*COLUMNS).unionByName(
-        triples.filter(F.col("predicate") == GOV + "status").join(stays.select(F.col("concept_iri").alias("subject")), "subject", "left_semi").select(*COLUMNS))
+    # an inner join: a semi join would be done once for each frame that the triples are a union of, all of them in the same tasks
+    leaving = good.select(F.col("concept_iri").alias("subject"), (draft if kind == "migrated" else F.lit(False)).alias("gone")).distinct()
+    deletes = triples.join(leaving, "subject").filter(F.col("gone") | (F.col("predicate") == GOV + "status")).select(*COLUMNS)
     return reduce(DataFrame.unionByName, inserts).distinct(), deletes.distinct(), conflicts
 
 
