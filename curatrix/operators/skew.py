@@ -56,6 +56,19 @@ def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+# A task holds about this many rows of a frame that is spread by its rows.
+TASK_ROWS = 500_000
+
+
+def spread_by_rows(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hashed by ``keys`` into as many parts as the counted rows need, so that what a task holds does not follow the input.
+
+    For frames whose rows are distinct but for a few: they need no summing up before the shuffle, where a map of them would fill the task.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, df.count() // TASK_ROWS), *keys)
+
+
 def hot_keys(df: DataFrame, keys: list[str], share: float = 0.01) -> DataFrame:
     """Keys that own at least ``share`` of the rows: never more than 1/share of them, so small whatever the data."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from curatrix.operators.skew import spread_by_rows
+
 # Public vocabulary terms.
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 RDFS = "http://www.w3.org/2000/01/rdf-schema#"
@@ -96,7 +98,7 @@ def active_triples(triples: DataFrame, disabled_contexts: DataFrame, links: Data
     assigned = links.select(
         F.concat(F.lit(GOV), F.concat_ws(":", "entity_type", F.col("entity_id").cast("string"))).alias("subject"), F.lit(GOV + "semanticAssignment").alias("predicate"),
         F.col("iri").alias("object"), F.lit(True).alias("object_is_uri"), none.alias("language"), none.alias("datatype"), F.lit(LINK_CONTEXT).alias("context"))
-    return kept.unionByName(assigned).dropDuplicates(list(COLUMNS))
+    return spread_by_rows(kept.unionByName(assigned), list(COLUMNS)).dropDuplicates(list(COLUMNS))
 
 
 def entities_to_triples(domains: DataFrame, products: DataFrame, contracts: DataFrame, contract_type: str) -> DataFrame:
