@@ -118,11 +118,13 @@ def product_hierarchy(relations: DataFrame) -> DataFrame:
     """
     rel = lambda kind, a, b: relations.filter(F.col("relationship_type") == kind).select(F.col("source_id").alias(a), F.col("target_id").alias(b)).distinct()
     none = F.lit(None).cast("bigint")
-    datasets = rel("hasDataset", "product_id", "dataset_id")
-    paths = datasets.join(rel("hasTable", "dataset_id", "table_id"), "dataset_id", "left").join(rel("hasColumn", "table_id", "column_id"), "table_id", "left")
-    governed = datasets.join(rel("governedBy", "dataset_id", "contract_id"), "dataset_id")
-    return paths.select(F.lit("path").alias("part"), "product_id", "dataset_id", "table_id", "column_id", none.alias("contract_id")).unionByName(
-        governed.select(F.lit("contract").alias("part"), "product_id", "dataset_id", none.alias("table_id"), none.alias("column_id"), "contract_id"))
+    datasets, tables, contracts = rel("hasDataset", "product_id", "dataset_id"), rel("hasTable", "dataset_id", "table_id"), rel("governedBy", "dataset_id", "contract_id")
+    # tables and contracts are one side of one join, so the datasets of all products are spread and sorted once; a dataset with contracts alone still has a path
+    bare = contracts.select("dataset_id").distinct().join(tables, "dataset_id", "left_anti").select("dataset_id", F.lit("path").alias("part"), none.alias("table_id"), none.alias("contract_id"))
+    below = tables.select("dataset_id", F.lit("path").alias("part"), "table_id", none.alias("contract_id")).unionByName(
+        contracts.select("dataset_id", F.lit("contract").alias("part"), none.alias("table_id"), "contract_id")).unionByName(bare)
+    rows = datasets.join(below, "dataset_id", "left").join(rel("hasColumn", "table_id", "column_id"), "table_id", "left")
+    return rows.select(F.coalesce("part", F.lit("path")).alias("part"), "product_id", "dataset_id", "table_id", "column_id", "contract_id")
 
 
 # The key under which two relationship rows are the same.
