@@ -414,15 +414,16 @@ def shape_checks(triples: DataFrame, shapes: DataFrame) -> DataFrame:
     """Violations of shapes: (shape, focus, violation, value).
 
     ``shapes``: shape, target_class, path, min_count, pattern, min_inclusive, max_inclusive.  Values are counted per (focus,
-    path) before they meet the shapes; value tests are row filters after an inner join, which can split a hot focus.
+    path) before they meet the shapes, and only along their paths; value tests are row filters after an inner join, which can split a hot focus.
     """
     focus = triples.filter(F.col("predicate") == TYPE).select(F.col("subject").alias("focus"), F.col("object").alias("target_class")).distinct()
     wanted = focus.join(shapes, "target_class")
     values = triples.select(F.col("subject").alias("focus"), F.col("predicate").alias("path"), F.col("object").alias("value"))
+    values = values.join(F.broadcast(shapes.select("path").distinct()), "path")  # predicates that definitions name: few
     sizes = values.groupBy("focus", "path").agg(F.count("value").alias("n"))
     counts = wanted.join(sizes, ["focus", "path"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     few = counts.filter(F.col("n") < F.col("min_count")).select("shape", "focus", F.lit("min_count").alias("violation"), F.col("n").cast("string").alias("value"))
-    both = wanted.join(values, ["focus", "path"])
+    both = wanted.join(values, ["path", "focus"])  # the other way round than the counts: a union of frames spread alike is worked by the same tasks
     number = F.col("value").try_cast("double")
     bad = F.array(
         F.when(F.coalesce(~F.regexp_like("value", F.col("pattern")), F.lit(False)), "pattern"),
