@@ -6,8 +6,8 @@ level up to its own, so that its level is found by probing level after level unt
 
 How it runs:
 
-1. One pass cuts the corpus into chunks of documents. A chunk keeps its texts (packed) and, for every bucket of words, its
-   distinct words with how often its training documents use them.
+1. One pass cuts the corpus into chunks of documents. A chunk keeps its distinct words and its tokens as their numbers (packed),
+   so that no text is split again, and, for every bucket of words, its words with how often its training documents use them.
 2. Each bucket of words adds up the counts of all chunks and answers every chunk in the order of its own words. So every
    chunk gets exact counts for just the words it has; no vocabulary is broadcast.
 3. Pairs and triples travel as sorted, delta-coded hash blocks, one bucket per hash prefix; the buckets grow in number with
@@ -30,8 +30,10 @@ is a chunk of its own; further columns are not read.
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +52,7 @@ CHUNK = 4 << 20  # bytes of text in a chunk
 HELD = 2_000_000  # n-grams that a task sums up before it sends them
 START = np.uint64(0x5851F42D4C957F2D)
 END = b" "  # no word holds white space
+EDGES = np.concatenate([[0.0], 2.0 ** np.arange(64)])  # lower edge of the counts of each level
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -68,30 +71,44 @@ def triple_codes(first: np.ndarray, second: np.ndarray, word: np.ndarray) -> np.
     return mixed(first * np.uint64(0x8CB92BA72F3D8DD7) + second * np.uint64(0x9E3779B97F4A7C15) + word * np.uint64(0xD1B54A32D192ED03) + np.uint64(3))
 
 
-def sequence(docs: list[list[int]], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of start, words and end of all documents in a row, and where the starts are."""
-    sizes = np.array([len(d) for d in docs], np.int64)
-    starts = np.cumsum(sizes + 1) - (sizes + 1)
-    out = np.empty(int(sizes.sum()) + len(docs), np.uint64)
-    is_start = np.zeros(len(out), bool)
-    is_start[starts] = True
-    out[is_start] = START
-    out[~is_start] = hashes[np.concatenate([np.asarray(d, np.int64) for d in docs])] if docs else np.zeros(0, np.uint64)
-    return out, is_start
+def numbers() -> dict[bytes, int]:
+    """Numbers words in the order in which they are first looked up."""
+    return defaultdict(itertools.count().__next__)
 
 
-class WordBuckets:
-    """The distinct words of a chunk, in order of first use, and their places in the buckets."""
+class Numbered:
+    """The tokens of a chunk's documents in a row, as numbers of its distinct words, and the number of tokens of each document."""
 
-    def __init__(self, texts: list[bytes], buckets: int):
-        index: dict[bytes, int] = {}
-        place = index.setdefault
-        self.docs = [[place(w, len(index)) for w in tokens(t)] for t in texts]
-        self.words = list(index)
-        self.hashes = word_hashes(self.words)
-        bucket = (self.hashes % np.uint64(buckets)).astype(np.int64)
-        self.order = np.argsort(bucket, kind="stable")
-        self.edges = np.searchsorted(bucket[self.order], np.arange(buckets + 1))
+    def __init__(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray):
+        self.words, self.ids, self.sizes, self.hashes = words, ids, sizes, word_hashes(words)
+
+    @classmethod
+    def of(cls, texts: list[bytes]) -> Numbered:
+        index, ids = numbers(), []
+        for text in texts:
+            words = tokens(text)
+            ids.append(np.fromiter(map(index.__getitem__, words), np.uint32, len(words)))
+        return cls(list(index), np.concatenate(ids), np.array([len(d) for d in ids], np.int64))
+
+    @classmethod
+    def read(cls, row: dict, codec) -> Numbered:
+        sizes = np.array(row["sizes"], np.int64)
+        return cls(codec.decompress(row["words"]).split(b"\n"), unpacked(row["tokens"], int(sizes.sum()), np.uint32, codec), sizes)
+
+    def buckets(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The words in the order of their buckets, and where each bucket begins."""
+        bucket = (self.hashes % np.uint64(n)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        return order, np.searchsorted(bucket[order], np.arange(n + 1))
+
+    def sequence(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of start, words and end of all documents, and where the starts are."""
+        out = np.empty(len(self.ids) + len(self.sizes), np.uint64)
+        is_start = np.zeros(len(out), bool)
+        is_start[np.cumsum(self.sizes + 1) - (self.sizes + 1)] = True
+        out[is_start] = START
+        out[~is_start] = self.hashes[self.ids]
+        return out, is_start
 
 
 def _chunks(batches) -> Iterator[tuple[list, list[bool], list[bytes]]]:
@@ -110,8 +127,8 @@ def _chunks(batches) -> Iterator[tuple[list, list[bool], list[bytes]]]:
         yield ids, train, texts
 
 
-_CHUNK_SCHEMA = "chunk long, bucket int, ids array<long>, train array<boolean>, sizes array<long>, texts binary, words binary, counts binary, n int"
-_CHUNK_TYPES = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("texts", pa.binary()), ("words", pa.binary()), ("counts", pa.binary()), ("n", pa.int32())])
+_CHUNK_SCHEMA = "chunk long, bucket int, ids array<long>, train array<boolean>, sizes array<long>, tokens binary, words binary, counts binary, n int"
+_CHUNK_TYPES = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("tokens", pa.binary()), ("words", pa.binary()), ("counts", pa.binary()), ("n", pa.int32())])
 
 
 def _cut(buckets: int):
@@ -121,15 +138,13 @@ def _cut(buckets: int):
         codec = zstandard.ZstdCompressor(level=1)
         first = TaskContext.get().partitionId() << 32
         for k, (ids, train, texts) in enumerate(_chunks(batches)):
-            nothing = {"ids": None, "train": None, "sizes": None, "texts": None, "words": None, "counts": None, "n": None}
-            rows = [{**nothing, "chunk": first + k, "bucket": -1, "ids": ids, "train": train, "sizes": [len(t) for t in texts], "texts": codec.compress(b"".join(texts))}]
-            made = WordBuckets(texts, buckets)
-            counts = np.zeros(len(made.words), np.int64)
-            for doc, learn in zip(made.docs, train, strict=True):
-                if learn:
-                    np.add.at(counts, doc, 1)
+            nothing = {"ids": None, "train": None, "sizes": None, "tokens": None, "words": None, "counts": None, "n": None}
+            made = Numbered.of(texts)
+            rows = [{**nothing, "chunk": first + k, "bucket": -1, "ids": ids, "train": train, "sizes": made.sizes.tolist(), "tokens": packed(made.ids, codec), "words": codec.compress(b"\n".join(made.words))}]
+            counts = np.bincount(made.ids[np.repeat(np.array(train, bool), made.sizes)], minlength=len(made.words))
+            order, edges = made.buckets(buckets)
             for b in range(buckets):
-                mine = made.order[made.edges[b] : made.edges[b + 1]]
+                mine = order[edges[b] : edges[b + 1]]
                 if len(mine):
                     rows.append({**nothing, "chunk": first + k, "bucket": b, "words": codec.compress(b"\n".join(made.words[i] for i in mine.tolist())), "counts": packed(counts[mine].astype(np.uint32), codec), "n": len(mine)})
             yield pa.RecordBatch.from_pylist(rows, _CHUNK_TYPES)
@@ -140,16 +155,14 @@ def _cut(buckets: int):
 def _answers(group: pa.Table) -> pa.Table:
     """Adds up the counts of a bucket's words, answers every chunk in its order, and tells the bucket's totals (chunk -1)."""
     codec, back = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
-    index: dict[bytes, int] = {}
-    place = index.setdefault
+    index = numbers()
     asked, parts = [], []
     for row in group.select(["chunk", "words", "counts", "n"]).to_pylist():
-        at = np.array([place(w, len(index)) for w in codec.decompress(row["words"]).split(b"\n")], np.int64)
-        asked.append((row["chunk"], at))
+        asked.append((row["chunk"], np.fromiter(map(index.__getitem__, codec.decompress(row["words"]).split(b"\n")), np.int64, row["n"])))
         parts.append(unpacked(row["counts"], row["n"], np.uint32, codec))
     total = np.zeros(len(index), np.int64)
     for (_, at), n in zip(asked, parts, strict=True):
-        np.add.at(total, at, n.astype(np.int64))
+        total[at] += n  # the words of a chunk are distinct
     bucket = group.column("bucket")[0].as_py()
     rows = [{"chunk": c, "bucket": bucket, "counts": packed(total[at], back), "n": len(at), "tokens": None, "types": None, "once": None} for c, at in asked]
     rows.append({"chunk": -1, "bucket": bucket, "counts": None, "n": None, "tokens": int(total.sum()), "types": int((total > 0).sum()), "once": int((total == 1).sum())})
@@ -170,17 +183,19 @@ def _blocks(code: np.ndarray, n: np.ndarray, bits: int, prefix: int, codec) -> l
     return rows
 
 
-def ngram_codes(made: WordBuckets, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all pairs and triples of a chunk, and the place in the chunk's ``sequence`` where each ends."""
-    seq, is_start = sequence(made.docs, made.hashes)
-    two, three = np.flatnonzero(~is_start[1:]) + 1, np.flatnonzero(~(is_start[1:-1] | is_start[2:])) + 2
-    pairs, triples = pair_codes(seq[two - 1], seq[two]), triple_codes(seq[three - 2], seq[three - 1], seq[three])
-    return np.concatenate([pairs, triples]) >> np.uint64(64 - bits), np.concatenate([two, three])
+def summed(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct codes and the sums of their counts."""
+    order = np.argsort(code)
+    code, n = code[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    return code[first], np.add.reduceat(n, first).astype(np.uint32)
 
 
-def _texts_of(row: dict, codec) -> list[bytes]:
-    data, ends = codec.decompress(row["texts"]), np.cumsum(row["sizes"])
-    return [data[e - s : e] for s, e in zip(row["sizes"], ends.tolist(), strict=True)]
+def ngram_codes(seq: np.ndarray, is_start: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of all pairs, then of all triples, of a chunk's ``sequence``, and the places where the pairs and the triples end."""
+    two, three = np.flatnonzero(~is_start[1:]) + 1, np.flatnonzero(~(is_start[1:-1] | is_start[2:])) + 2
+    pairs, triples = pair_codes(seq[two - 1], seq[two]), triple_codes(seq[three - 2], seq[three - 1], seq[three])
+    return np.concatenate([pairs, triples]) >> np.uint64(64 - bits), two, three
 
 
 def _chunk_blocks(bits: int, prefix: int):
@@ -191,11 +206,10 @@ def _chunk_blocks(bits: int, prefix: int):
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                made = WordBuckets(_texts_of(row, back), 1)
-                code, at = ngram_codes(made, bits)
-                learn = np.repeat(np.array(row["train"], bool), [len(d) + 1 for d in made.docs])[at]
-                code, place = np.unique(code, return_inverse=True)
-                n = np.bincount(place[learn], minlength=len(code)).astype(np.uint32)
+                made = Numbered.read(row, back)
+                code, two, three = ngram_codes(*made.sequence(), bits)
+                learn = np.repeat(np.array(row["train"], np.uint32), made.sizes + 1)
+                code, n = summed(code, np.concatenate([learn[two], learn[three]]))
                 rows = [{"chunk": row["chunk"], **r} for r in _blocks(code, n, bits, prefix, codec)]
                 yield pa.RecordBatch.from_pylist(rows, pa.schema([("chunk", pa.int64()), *_BLOCK_TYPES]))
 
@@ -211,16 +225,11 @@ def _ngram_blocks(bits: int, prefix: int):
         size = 0
 
         def flush():
-            code = np.concatenate([c for c, _ in held])
-            order = np.argsort(code, kind="stable")
-            code, n = code[order], np.concatenate([n for _, n in held])[order]
-            first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-            code, n = code[first], np.add.reduceat(n, first).astype(np.uint32)
+            code, n = summed(np.concatenate([c for c, _ in held]), np.concatenate([n for _, n in held]))
             yield pa.RecordBatch.from_pylist(_blocks(code, n, bits, prefix, codec), _BLOCK_TYPES)
 
         for _, _, texts in _chunks(batches):
-            made = WordBuckets(texts, 1)
-            code, n = np.unique(ngram_codes(made, bits)[0], return_counts=True)
+            code, n = np.unique(ngram_codes(*Numbered.of(texts).sequence(), bits)[0], return_counts=True)
             held.append((code, n))
             size += len(code)
             if size > HELD:
@@ -232,10 +241,17 @@ def _ngram_blocks(bits: int, prefix: int):
     return run
 
 
-def bit_places(code: np.ndarray, level: np.ndarray, bits: np.ndarray, probe: int) -> np.ndarray:
-    a = mixed(code * np.uint64(0xA0761D6478BD642F) + level.astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB))
-    step = (a >> np.uint64(32)) | np.uint64(1)
-    return (((a & np.uint64(0xFFFFFFFF)) + np.uint64(probe) * step) % bits.astype(np.uint64)).astype(np.int64)
+def bit_places(code: np.ndarray, level: np.ndarray | int, bits: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """The bit of each code's first probe, and the step to the next one (``next_places``)."""
+    a = mixed(code * np.uint64(0xA0761D6478BD642F) + np.asarray(level, np.uint64) * np.uint64(0xE7037ED1A0B428DB))
+    bits = np.asarray(bits, np.uint64)
+    return (a & np.uint64(0xFFFFFFFF)) % bits, ((a >> np.uint64(32)) | np.uint64(1)) % bits
+
+
+def next_places(place: np.ndarray, step: np.ndarray, bits: np.ndarray | int) -> np.ndarray:
+    """(place + step) modulo bits; below ``bits`` the difference wraps around and is the larger."""
+    place = place + step
+    return np.minimum(place, place - np.asarray(bits, np.uint64))
 
 
 def count_segment(code: np.ndarray, n: np.ndarray) -> dict:
@@ -244,9 +260,10 @@ def count_segment(code: np.ndarray, n: np.ndarray) -> dict:
     size = max(64, math.ceil(int(level.sum()) * PROBES / math.log(2)))
     bitmap = np.zeros(size, bool)
     for at in range(1, int(level.max(initial=0)) + 1):
-        some = code[level >= at]
-        for probe in range(PROBES):
-            bitmap[bit_places(some, np.full(len(some), at), np.full(len(some), size), probe)] = True
+        place, step = bit_places(code[level >= at], at, size)
+        for _ in range(PROBES):
+            bitmap[place] = True
+            place = next_places(place, step, size)
     return {"bits": size, "lowest": 1, "n": len(code), "data": np.packbits(bitmap).tobytes()}
 
 
@@ -258,8 +275,7 @@ def _unpacked_blocks(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarra
         codes.append(np.cumsum(unpacked(row["codes"], row["n"], np.uint64, codec), dtype=np.uint64))
         counts.append(unpacked(row["counts"], row["n"], np.uint32, codec))
     code, place = np.unique(np.concatenate(codes), return_inverse=True)
-    n = np.zeros(len(code), np.int64)
-    np.add.at(n, place, np.concatenate(counts).astype(np.int64))
+    n = np.bincount(place, np.concatenate(counts), len(code)).astype(np.int64)  # exact: far below 2**53
     return code, n, place
 
 
@@ -313,12 +329,14 @@ class CountFilter:
         level = self.lowest[bucket].copy()
         open_ = np.arange(len(code))
         while len(open_):
-            for probe in range(PROBES):
-                b = bucket[open_]
-                place = bit_places(code[open_], level[open_], self.bits[b], probe)
-                open_ = open_[(self.data[self.start[b] + (place >> 3)] >> (7 - (place & 7)).astype(np.uint8)) & 1 > 0]
-                if not len(open_):
-                    break
+            b = bucket[open_]
+            size, start = self.bits[b].astype(np.uint64), self.start[b].astype(np.uint64)
+            place, step = bit_places(code[open_], level[open_], size)
+            for _ in range(PROBES):
+                hit = (self.data[start + (place >> np.uint64(3))] >> (np.uint64(7) - (place & np.uint64(7))).astype(np.uint8)) & 1 > 0
+                if not hit.all():
+                    open_, place, step, size, start = open_[hit], place[hit], step[hit], size[hit], start[hit]
+                place = next_places(place, step, size)
             out[open_] = level[open_]
             level[open_] += 1
         return out
@@ -326,31 +344,29 @@ class CountFilter:
     def counts(self, code: np.ndarray) -> np.ndarray:
         """Lower edges of the counts."""
         unique, back = np.unique(code, return_inverse=True)
-        level = self.levels(unique)
-        return np.where(level > 0, 2.0 ** (level - 1), 0.0)[back]
-
+        return EDGES[self.levels(unique)][back]
 
-class ChunkCounts:
-    """The levels that the buckets answered for the sorted distinct codes of a chunk."""
 
-    def __init__(self, code: np.ndarray, level: np.ndarray, bits: int):
-        self.code, self.level, self.code_bits = code, level, bits
+def answered_counts(seq: np.ndarray, is_start: np.ndarray, level: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lower edges of the counts of the pair and of the triple that end at each place, by the levels of the chunk's sorted distinct codes."""
+    code, two, three = ngram_codes(seq, is_start, bits)
+    order = np.argsort(code)
+    code = code[order]
+    found = np.empty(len(code), np.uint8)
+    found[order] = level[np.cumsum(np.concatenate([[False], code[1:] != code[:-1]]))]
+    pairs, triples = np.zeros(len(seq)), np.zeros(len(seq))
+    pairs[two], triples[three] = EDGES[found[: len(two)]], EDGES[found[len(two) :]]
+    return pairs, triples
 
-    def counts(self, code: np.ndarray) -> np.ndarray:
-        """Lower edges of the counts."""
-        unique, back = np.unique(code, return_inverse=True)
-        level = self.level[np.searchsorted(self.code, unique)].astype(np.int64)
-        return np.where(level > 0, 2.0 ** (level - 1), 0.0)[back]
 
+def token_probabilities(seq: np.ndarray, is_start: np.ndarray, pairs: Callable, triples: Callable, c: np.ndarray, total: tuple[int, int, int, int], mix: float) -> np.ndarray:
+    """Of every token of a ``sequence``; ``pairs`` and ``triples`` give the counts of those that end at some places, ``c`` has the tokens' own.
 
-def token_probabilities(lm: CountFilter | ChunkCounts, docs: list[list[int]], hashes: np.ndarray, counts: np.ndarray, total: tuple[int, int, int, int], mix: float) -> np.ndarray:
-    """Of every token of the documents in a row; ``total``: training tokens, types, types seen once, documents."""
+    ``total``: training tokens, types, types seen once, documents.
+    """
     n, types, once, documents = total
     unknown = (once + 1) / (n + once + 2) if types else 1.0
-    c = counts[np.concatenate([np.asarray(d, np.int64) for d in docs])] if docs else np.zeros(0)
     p = np.where(c > 0, (1 - unknown) * (c + 1) / max(1, n + types), unknown)
-    seq, is_start = sequence(docs, hashes)
-    shift = np.uint64(64 - lm.code_bits)
     known = np.zeros(len(seq), bool)
     known[~is_start] = c > 0
     before = np.zeros(len(seq))  # exact count of the word before
@@ -359,7 +375,7 @@ def token_probabilities(lm: CountFilter | ChunkCounts, docs: list[list[int]], ha
     before[1:] = full[:-1]
     both = np.zeros(len(seq))
     at = np.flatnonzero(~is_start & known & (before > 0))
-    both[at] = lm.counts(pair_codes(seq[at - 1], seq[at]) >> shift)
+    both[at] = pairs(at)
     wide = np.zeros(len(seq))
     wide[~is_start] = p
     p = np.where(before > 0, (1 - mix) * wide + mix * np.minimum(1, both / np.maximum(before, 1)), wide)
@@ -368,7 +384,7 @@ def token_probabilities(lm: CountFilter | ChunkCounts, docs: list[list[int]], ha
     history[is_start] = 0
     three = np.zeros(len(seq))
     at = np.flatnonzero(~is_start & known & (history > 0) & (both > 0))
-    three[at] = lm.counts(triple_codes(seq[at - 2], seq[at - 1], seq[at]) >> shift)
+    three[at] = triples(at)
     p = np.where(history > 0, (1 - mix) * p + mix * np.minimum(1, three / np.maximum(2 * history, 1)), p)
     return p[~is_start]
 
@@ -379,21 +395,24 @@ def _score(lm: Shipped | None, total: tuple[int, int, int, int], buckets: int, b
     def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         codec = zstandard.ZstdDecompressor()
         row = chunk.to_pylist()[0]
-        made = WordBuckets(_texts_of(row, codec), buckets)
+        made = Numbered.read(row, codec)
+        order, edges = made.buckets(buckets)
         counts = np.zeros(len(made.words), np.int64)
         said = answers.to_pylist()
         for a in said:
             if not a["ngrams"]:
-                counts[made.order[made.edges[a["bucket"]] : made.edges[a["bucket"] + 1]]] = unpacked(a["counts"], a["n"], np.int64, codec)
+                counts[order[edges[a["bucket"]] : edges[a["bucket"] + 1]]] = unpacked(a["counts"], a["n"], np.int64, codec)
+        seq, is_start = made.sequence()
         if lm:
-            one = lm.value
+            one, shift = lm.value, np.uint64(64 - bits)
+            pairs = lambda at: one.counts(pair_codes(seq[at - 1], seq[at]) >> shift)
+            triples = lambda at: one.counts(triple_codes(seq[at - 2], seq[at - 1], seq[at]) >> shift)
         else:  # codes are in the order of their buckets
             level = [unpacked(a["counts"], a["n"], np.uint8, codec) for a in sorted((a for a in said if a["ngrams"]), key=lambda a: a["bucket"])]
-            one = ChunkCounts(np.unique(ngram_codes(made, bits)[0]), np.concatenate(level), bits)
-        p = np.log10(token_probabilities(one, made.docs, made.hashes, counts, total, mix))
-        sizes = np.array([len(d) for d in made.docs], np.int64)
+            pairs, triples = (found.__getitem__ for found in answered_counts(seq, is_start, np.concatenate(level), bits))
+        c, sizes = counts[made.ids], made.sizes
+        p = np.log10(token_probabilities(seq, is_start, pairs, triples, c, total, mix))
         first = np.cumsum(sizes) - sizes
-        c = counts[np.concatenate([np.asarray(d, np.int64) for d in made.docs])]
         base = np.log10((c + 1) / (total[0] + total[1] + 1))
         k = len(sizes)
         return pa.table({
@@ -420,19 +439,19 @@ def scores(docs: DataFrame, train, mix: float = MIX, most_bits: int = MOST_BITS)
     t = answers.where("chunk = -1").agg(F.sum("tokens"), F.sum("types"), F.sum("once")).first()
     total = (int(t[0] or 0), int(t[1] or 0), int(t[2] or 0), int(about["train"] or 0))
 
-    texts = chunks.where("bucket = -1")
+    read = chunks.where("bucket = -1")
     said = answers.where("chunk >= 0").select("chunk", "bucket", "counts", "n", F.lit(False).alias("ngrams"))
     if 2 * total[0] * PROBES / math.log(2) + (64 << prefix) <= most_bits:  # a token ends two n-grams, and no count has more levels than its number
         blocks = rows.where("train").mapInArrow(_ngram_blocks(bits, prefix), "bucket int, codes binary, counts binary, n int")
         segments = blocks.groupBy("bucket").applyInArrow(_segment(most_bits), "bucket int, bits long, lowest int, n long, data binary").toArrow().sort_by("bucket")
         lm = Shipped(spark, CountFilter(segments.to_pylist(), bits, prefix))
     else:
-        blocks = texts.select("chunk", "train", "sizes", "texts").mapInArrow(_chunk_blocks(bits, prefix), "chunk long, bucket int, codes binary, counts binary, n int")
+        blocks = read.select("chunk", "train", "sizes", "tokens", "words").mapInArrow(_chunk_blocks(bits, prefix), "chunk long, bucket int, codes binary, counts binary, n int")
         levels = blocks.groupBy("bucket").applyInArrow(_levels(bits), "chunk long, bucket int, counts binary, n int")
         said, lm = said.unionByName(levels.withColumn("ngrams", F.lit(True))), None
 
-    texts = texts.select("chunk", "ids", "sizes", "texts")
-    return texts.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInArrow(_score(lm, total, buckets, bits, mix), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    read = read.select("chunk", "ids", "sizes", "tokens", "words")
+    return read.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInArrow(_score(lm, total, buckets, bits, mix), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def score_report(docs: DataFrame) -> DataFrame:

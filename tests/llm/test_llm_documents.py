@@ -10,6 +10,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from curatrix.llm import bpe, langid, neardup, ngram_lm, packing, quality, queries, repeats, secrets
@@ -360,6 +362,28 @@ def test_lm_scores_do_not_depend_on_what_fits_a_broadcast(spark, request, which)
     assert by_size[0] == by_size[1] and len(by_size[0]) == docs.count()
 
 
+def test_lm_splits_each_text_once(monkeypatch):
+    """The passes after the first read the numbered tokens of a chunk; the scores come from one sort of its codes."""
+    split, plain = [], ngram_lm.tokens
+    monkeypatch.setattr(ngram_lm, "tokens", lambda text: split.append(text) or plain(text))
+    monkeypatch.setattr(ngram_lm, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("One", (), {"partitionId": lambda self: 0})())}))
+    texts = ["a b a b c", "", "A  b\tc", "b"]
+    batch = pa.RecordBatch.from_pylist([{"doc_id": i, "text": t, "train": i != 3} for i, t in enumerate(texts)])
+    chunk = pa.Table.from_batches(list(ngram_lm._cut(2)([batch]))).filter(pc.field("bucket") == -1)
+    blocks = pa.Table.from_batches(list(ngram_lm._chunk_blocks(40, 1)(chunk.to_batches())))
+    said = [{**r, "ngrams": True} for b in range(2) for r in ngram_lm._levels(40)(blocks.filter(pc.field("bucket") == b)).to_pylist()]
+    words = pa.Table.from_batches(list(ngram_lm._cut(1)([batch]))).filter(pc.field("bucket") == 0)
+    said += [{**r, "ngrams": False} for r in ngram_lm._answers(words).select(["chunk", "bucket", "counts", "n"]).slice(0, 1).to_pylist()]
+    split.clear()
+    got = ngram_lm._score(None, (12, 4, 0, 3), 1, 40, 0.1)(chunk, pa.Table.from_pylist(said))
+    list(ngram_lm._chunk_blocks(40, 1)(chunk.to_batches()))
+    assert not split
+    assert got["n_tokens"].to_pylist() == [6, 1, 4, 2] and got["n_known"].to_pylist() == [6, 1, 4, 2]
+    # the end alone: 3 of 12 training tokens end a text; one of the 3 documents starts with its end
+    want = math.log10(0.9 * (1 - 1 / 14) * 4 / 16 + 0.1 * 1 / 3)
+    assert math.isclose(got["score"].to_pylist()[1], want, rel_tol=1e-12)
+
+
 # --- operators 8 and 10
 
 
