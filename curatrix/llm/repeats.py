@@ -21,6 +21,9 @@ Defined cases: a null text is empty; texts shorter than ``width`` bytes lose not
 so its text of ``width`` bytes or more goes in both; documents are told apart by doc_id and text; matches never cross
 documents; further columns stay as they are; an empty table gives an empty result. A text is read in segments, so its
 length is no matter. Where removal cuts a character, ``without_repeats`` drops its remaining bytes.
+
+Memory: no stage runs two Python functions one after the other, since each would hold a worker of its own in every task. So joins
+with texts that a Python function gave are never broadcast joins, which would leave both in one stage.
 """
 
 from __future__ import annotations
@@ -45,7 +48,7 @@ GRAM, FINER = 40, 150
 LONGEST, SORTED, BLOCK, RANGE, HASHES = 1024, 40_000, 1_000, 120_000, 1_000_000
 #: Windows from which splitters are chosen. Only the balance of the ranges depends on it.
 SAMPLE = 20_000
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18  # bytes in one buffer; the hashes of a buffer and their minima take some 80 bytes for each
 
 
 def _least(h: np.ndarray, span: int) -> np.ndarray:
@@ -182,7 +185,7 @@ def _texts(docs: DataFrame, runs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows)), pa.array(out, pa.binary())], ["__key", "packed"])
 
     per_doc = runs.groupBy("__key").agg(F.collect_list(F.struct("start", "n", "known")).alias("runs"))  # bounded by the document
-    return docs.select("__key", "text").mapInArrow(squeeze, "__key long, packed binary").join(per_doc, "__key")
+    return docs.select("__key", "text").mapInArrow(squeeze, "__key long, packed binary").join(per_doc.hint("merge"), "__key")
 
 
 def front_coded(strings: np.ndarray, shared: np.ndarray) -> bytes:
@@ -323,7 +326,7 @@ def _open_windows(batches, width: int):
                 at.append(r["start"])
                 known.append(r["known"])
                 held, size = held + r["n"], size + len(slices[-1])
-                if held >= SORTED or size >= SEGMENT:
+                if held >= SORTED or size >= 4 * SEGMENT:
                     yield flush()
                     slices, docs, at, known, held, size = [], [], [], [], 0, 0
     if held:
@@ -436,6 +439,7 @@ def _merged(width: int):
     def stream(row: dict, codec):
         strings, shared, d, p, k = _unblock(row, width, codec)
         raw = strings.tobytes()
+        del strings  # all blocks of a range are open at once
         for i, (s, doc, at, known) in enumerate(zip(shared.tolist(), d.tolist(), p.tolist(), k.tolist(), strict=True)):
             yield raw[i * width : (i + 1) * width], s, (doc, at, known)
 
@@ -518,7 +522,7 @@ def _with_spans(docs: DataFrame, width: int, gram: int, finer: int) -> tuple[Dat
     spans = stored(repeated_spans(keyed.select("text", "__key"), width, gram, finer), "repeat-spans")
     per_doc = spans.groupBy("__key").agg(F.collect_list(F.struct("lo", "hi")).alias("__spans"))  # bounded by the document
     marked = _marked_by(Shipped(docs.sparkSession, Bitmap(spans, "__key")))
-    return keyed.where(~marked("__key")), keyed.where(marked("__key")).join(per_doc, "__key", "left")
+    return keyed.where(~marked("__key")), keyed.where(marked("__key")).join(per_doc.hint("merge"), "__key", "left")
 
 
 def without_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, finer: int = FINER) -> DataFrame:
@@ -562,14 +566,17 @@ def removal_report(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, finer:
     def squeeze(batches):
         pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            out = [pack.compress(t.as_buffer()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("__key"), pa.array(out, pa.binary())], ["doc_id", "__key", "packed"])
+            rows = np.flatnonzero(wanted.value.has(batch.column("__key").to_numpy()))
+            texts, at = batch.column("text"), pa.array(rows)
+            out = [pack.compress(texts[i].as_buffer()) for i in rows.tolist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("__key").take(at), pa.array(out, pa.binary())], ["doc_id", "__key", "packed"])
 
     keyed = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     spans = stored(repeated_spans(keyed.select("text", "__key"), width, gram, finer), "repeat-spans")
-    marked = _marked_by(Shipped(docs.sparkSession, Bitmap(spans, "__key")))
+    wanted = Shipped(docs.sparkSession, Bitmap(spans, "__key"))
+    marked = _marked_by(wanted)
     per_doc = spans.groupBy("__key").agg(F.collect_list(F.struct("lo", "hi")).alias("__spans"))  # bounded by the document
-    touched = keyed.where(marked("__key")).mapInArrow(squeeze, "doc_id long, __key long, packed binary").join(per_doc, "__key", "left")
+    touched = keyed.select("doc_id", "__key", "text").mapInArrow(squeeze, "doc_id long, __key long, packed binary").join(per_doc.hint("merge"), "__key", "left")
     none = F.lit(0).cast("long")
     clean = keyed.where(~marked("__key")).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
     return clean.union(touched.select("doc_id", "packed", "__spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))

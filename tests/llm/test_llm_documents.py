@@ -206,6 +206,35 @@ def test_repeats_in_many_forms(spark, monkeypatch):
     assert kept[len(texts) - 1] == "" and len(kept) == len(texts)
 
 
+def most_python_in_a_stage(frame):
+    """The largest number of Python functions that one task of the frame's plan would run one after the other."""
+    most = 0
+
+    def within(node):
+        nonlocal most
+        name, kids = node.nodeName(), node.children()
+        found = [within(kids.apply(i)) for i in range(kids.size())]
+        n = (max if name == "Union" else sum)(found or [0]) + any(x in name for x in ("Python", "InArrow", "InPandas"))
+        most = max(most, n)
+        return 0 if "Exchange" in name else n
+
+    within(frame._jdf.queryExecution().executedPlan())
+    return most
+
+
+def test_repeats_hold_one_python_worker_a_task(spark, small, monkeypatch):
+    """Two in a stage would double the memory that the workers of an executor take."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        seen, plain = [], repeats.stored
+        monkeypatch.setattr(repeats, "stored", lambda df, label: seen.append((label, most_python_in_a_stage(df))) or plain(df, label))
+        docs = table(spark, small, "documents")
+        seen += [("report", most_python_in_a_stage(repeats.removal_report(docs))), ("texts", most_python_in_a_stage(repeats.without_repeats(docs)))]
+        assert len(seen) > 10 and max(n for _, n in seen) == 1, seen
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_loser_tree_orders_and_shares():
     rng = np.random.default_rng(1)
     streams = [sorted(bytes(rng.integers(97, 99, 6, dtype=np.uint8)) for _ in range(int(rng.integers(0, 9)))) for _ in range(7)]
