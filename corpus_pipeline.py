@@ -9,6 +9,16 @@ from pyspark.sql import functions as F
 from curatrix.llm import neardup, packing, quality, repeats, secrets
 from curatrix.llm.common import stored, table
 
+#: Bytes of texts that Spark hands to Python at once, and the setting for it. A batch stands several times over in an executor, in the JVM and in each worker,
+#: and neither gives all of that memory back between the stages.
+BATCH, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the size of batches for the session, unless it has its own: the setting counts when a stage's result is written, which is up to the caller."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH))
+
 
 def recounted(changed: DataFrame, docs: DataFrame) -> DataFrame:
     """Sets n_chars to the length of the changed text."""
@@ -17,6 +27,7 @@ def recounted(changed: DataFrame, docs: DataFrame) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the classifier does not reject (operator 8)."""
+    small_batches(spark)
     return quality.accepted(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
 
 
@@ -25,12 +36,14 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     The operator keeps a row that repeats as often as it is there; one is kept here, or the next stage would take each for a repeat of the other.
     """
+    small_batches(spark)
     kept = neardup.near_duplicates(docs, names=("__class", "__size", "__kept")).where("__kept").select(*docs.columns)
     return kept.dropDuplicates(["doc_id", "text"])
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the bytes that repeat elsewhere (operator 9)."""
+    small_batches(spark)
     return recounted(repeats.without_repeats(docs), docs)
 
 
@@ -42,6 +55,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, path: str = public_tokenizers.path("word_bpe_49k.json")) -> DataFrame:
     """One row per packed piece (operator 4)."""
+    small_batches(spark)
     with open(path, encoding="utf-8") as spec:
         return packing.pack(docs, spec.read())
 

@@ -32,17 +32,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatrix.llm.common import Shipped, id_and_text, stored
-from curatrix.llm.units import Memo
+from curatrix.llm.units import Memo, byte_values
 
 LIMIT = 4096
-#: Space-separated strings of one generation whose ids a worker keeps.
-KEPT = 700_000
+#: Space-separated strings of one generation whose ids a worker keeps: about 65 MB, just below the number at which a dict of Python doubles its table.
+KEPT = 349_000
 #: Characters on which str.split and the tokenizer's white space differ, and those that might join across a space.
 ODD = re.compile("[\x1c-\x1f]")
 
 #: The pattern of the tokenizer's words, as its file has it (a fixed value), and what it finds in lower-case printable ASCII without apostrophes.
 WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 PIECES = re.compile("[a-z]+|[0-9]|[^a-z0-9 ]+").findall
+#: What the tokenizer does to a text before it splits it (a fixed value). Latin-1 letters become lower case one by one, so such letters, and ASCII marks behind them, are a word each.
+NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+LETTERS, MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-&(-/:-@\[-`{-~]"
+MARKED = re.compile(f"({LETTERS}+)({MARKS}*)").fullmatch
+#: What can stand inside such a string.
+INSIDE = re.compile(f"{LETTERS}*{MARKS}*").fullmatch
 
 
 class ChunkTokenizer:
@@ -58,21 +64,34 @@ class ChunkTokenizer:
         split = ((read.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
         #: Whether printable ASCII strings fall into PIECES, which the model can be given one by one.
         self.plain = split.get("pattern") == {"Regex": WORDS} and split.get("behavior") == "Removed"
+        #: Whether strings of MARKED do too, special tokens being none of them.
+        self.simple = self.plain and read.get("normalizer") == NORMAL and not any(map(INSIDE, self.special))
 
     def __getstate__(self):
-        return {"spec": self.spec, "special": self.special, "plain": self.plain, "tool": None}
+        return {"spec": self.spec, "special": self.special, "plain": self.plain, "simple": self.simple, "tool": None}
 
     def _load(self) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for one task
         from tokenizers import Tokenizer
 
         self.tool, self.kept = Tokenizer.from_str(self.spec), Memo(KEPT, self._ids)
+        self.letters = {b: c for c, b in byte_values().items()}
+
+    def _piece(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.tool.model.tokenize(piece)]).tobytes()
 
     def _ids(self, word: str) -> bytes:
+        found = MARKED(word) if self.simple else None
+        if found:
+            head, tail = found.groups()
+            if tail:
+                return self.kept[head.lower()] + self.kept[tail]
+            head = head.lower()
+            return self._piece(head if head.isascii() else head.encode().decode("latin-1").translate(self.letters))
         if self.plain and word.isascii() and word.isprintable() and "'" not in word and not any(map(word.__contains__, self.special)):
             pieces = [word] if word.isalpha() and word.islower() else PIECES(word.lower())
             if len(pieces) == 1:
-                return array("I", [t.id for t in self.tool.model.tokenize(pieces[0])]).tobytes()
+                return self._piece(pieces[0])
             return b"".join(map(self.kept.__getitem__, pieces))
         return array("I", self.tool.encode_batch_fast([word], add_special_tokens=False)[0].ids).tobytes()
 

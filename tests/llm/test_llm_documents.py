@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -145,6 +146,32 @@ def test_packing(spark, request, which):
     assert got.sequence_id.nunique() <= math.ceil(got.length.sum() / 4096) + 1
 
 
+def test_packing_words_are_the_librarys():
+    """Latin letters with marks behind them go to the model piece by piece, all else to the library."""
+    from tokenizers import Tokenizer
+
+    spec = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
+    rng, letters, marks = random.Random(4), "abzAZßÀÖØöøÿéÑÜ", "!&(/:@[`{~-_.,;<|>\""
+    words = ["".join(rng.choices(letters, k=rng.randint(1, 7))) + "".join(rng.choices(marks, k=rng.randint(0, 3))) for _ in range(3000)]
+    words += ["don't", "été's", "ªº", "µ", "×÷", "İı", "ſK", "é", "é́x", "x1y", "a\x1fb", "<|endoftext|>", "ab<|endoftext|>", "É<|endoftext|>!"]
+    one, tool = packing.ChunkTokenizer(spec), Tokenizer.from_str(spec)
+    assert one.simple
+    for w in words:
+        assert np.frombuffer(one.ids(w), "<u4").tolist() == tool.encode(w, add_special_tokens=False).ids, w
+    for token in ("abc", "!!", "a!"):  # such special tokens can stand inside of words
+        assert not packing.ChunkTokenizer(spec.replace("<|endoftext|>", token)).simple
+
+
+def test_packing_remembers_a_bounded_share_of_a_worker():
+    """Two full generations of 700 000 strings, in each of an executor's workers, were more than the pipeline leaves."""
+    one = packing.ChunkTokenizer(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
+    a = [x + y for x in "abcdefghij" for y in "klmnopqrst"]
+    for x in a[:90]:
+        one.ids(" ".join(x + y + z for y in a for z in a))
+    held = [sys.getsizeof(d) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in d.items()) for d in (one.kept, one.kept.old)]
+    assert len(one.kept.old) and sum(held) < 110e6
+
+
 def test_plan_uses_exact_complements():
     counts = {6: 2, 4: 2, 5: 3, 3: 1, 2: 1, 1: 2, 10: 1}
     planned = packing.plan(counts, 10)

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from test_llm_documents import classes_by_hand, fixed_spans, repeats_by_hand, texts_of
 
 import corpus_pipeline as cp
@@ -80,6 +81,29 @@ def test_stages_take_odd_rows_and_empty_tables(spark, small, tricky, nothing):
         assert docs_out.count() >= docs.count()
 
 
+def test_texts_reach_python_in_small_batches(spark, small):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    large = spark.range(0, 200, 1, 1).selectExpr("repeat('word ', 20000) AS text")
+    docs = table(spark, small, "documents")
+    few = cp.stored(docs.limit(5), "t")
+    try:
+        for name, stage in cp.STAGES:
+            if name == "secrets":  # no Python there
+                continue
+            spark.conf.unset(cp.BATCH_SETTING)
+            stage(spark, docs if name == "quality" else few, small)
+            seen = large.mapInArrow(sizes, "n long, size long").collect()
+            assert sum(r["n"] for r in seen) == 200 and max(r["size"] for r in seen) < cp.BATCH + 200_000, name
+        spark.conf.set(cp.BATCH_SETTING, "1m")
+        cp.packing_stage(spark, few, small)
+        assert spark.conf.get(cp.BATCH_SETTING) == "1m"  # the session's own setting stays
+    finally:
+        spark.conf.unset(cp.BATCH_SETTING)
+
+
 def test_a_repeated_row_leaves_one_whole_copy(spark):
     text = " ".join(f"word{i} number{i * 7 % 31}" for i in range(120))
     rows = [(1, text), (1, text), (2, "something else altogether " * 3), (3, None), (3, None), (4, "x")]
