@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from curatrix.functions.scalar import match_type, normalize_email, normalize_phone7
 from curatrix.functions.similarity import similarity, token_sort
-from curatrix.operators.skew import first_per_key, hot_keys, salted_join
+from curatrix.operators.skew import first_per_key, salt, salted_join
+from curatrix.session import settled
 
 EPS = 1e-9
 
@@ -270,16 +271,46 @@ def best_candidates(matches: DataFrame, source_members: DataFrame) -> DataFrame:
         F.coalesce("matched_rules", F.array().cast("array<string>")).alias("matched_rules"), F.lit("pending").alias("status"))
 
 
+# Records of a profile that stand together: a file names so few of them by number, and two such tiles make a few million pairs. Masters of a tile that a row holds.
+TILE, RUN = 2048, 64
+
+
 def expand_matches(matches: DataFrame, master_members: DataFrame, source_members: DataFrame) -> DataFrame:
     """Record pairs behind profile pairs, for callers who want every single one; the result is as large as it is.
 
-    Further columns of the members come along. The members of a profile with many copies are spread over several tasks on both sides.
+    ``matches`` come from ``find_matches`` and are written once. Further columns of the members come along.
     """
     side = lambda df, pre, name: df.withColumnsRenamed({"profile": f"{pre}_profile", "id": f"{name}_id"})
-    hot = lambda df, pre: hot_keys(df, ["profile"], 0.001).withColumnRenamed("profile", f"{pre}_profile")
-    found = matches.select("m_profile", "s_profile", "confidence", "matched_rules")
-    sources = salted_join(side(source_members, "s", "source"), found, ["s_profile"], hot=hot(source_members, "s"))
-    return salted_join(sources, side(master_members, "m", "master"), ["m_profile"], hot=hot(master_members, "m"))
+    found = settled(matches.select("m_profile", "s_profile", "confidence", "matched_rules", "m_records", "s_records"), "matches")
+    masters, sources = side(master_members, "m", "master"), side(source_members, "s", "source")
+    many = F.greatest("m_records", "s_records") > RUN
+    few = sources.join(found.filter(~many), "s_profile").join(masters, "m_profile").drop("m_records", "s_records")
+    return few.unionByName(_tiled(found.filter(many), masters, sources).select(*few.columns))
+
+
+def _tiled(found: DataFrame, masters: DataFrame, sources: DataFrame) -> DataFrame:
+    """The record pairs of matches that have many: tile against tile, each source record of one with runs of masters of the other, always in the same order.
+
+    The records of a profile are dealt into tiles by their content. What is shuffled are tiles, not pairs, and they go to tasks by the number of pairs, of which
+    AQE knows nothing. A task writes pairs of few different records, again and again in one order, so that a file of very many pairs stays small. A run is
+    short because Spark holds what a row of runs makes with all sources of a tile before it hands on the first pair.
+    """
+    tiles = lambda pre: F.ceil(F.col(f"{pre}_records") / TILE).cast("int")
+    every = lambda pre: F.explode(F.sequence(F.lit(0), tiles(pre) - 1))
+    cell = ["m_profile", "s_profile", "m_number", "s_number"]
+    held, rest = [[c for c in df.columns if c != key] for df, key in ((masters, "m_profile"), (sources, "s_profile"))]
+
+    dealt = masters.join(found.select("m_profile", tiles("m").alias("_tiles")).distinct(), "m_profile").withColumn("m_number", salt(masters, F.col("_tiles")))
+    tile = dealt.groupBy("m_profile", "m_number").agg(F.collect_list(F.struct(*held)).alias("_tile"))
+    starts = F.sequence(F.lit(1), F.size("_tile"), F.lit(RUN))
+    runs = tile.select("m_profile", "m_number", F.explode(F.transform(starts, lambda i: F.slice("_tile", i, RUN))).alias("_run"))
+    cells = found.withColumn("m_number", every("m")).withColumn("s_number", every("s")).select(*cell, "confidence", "matched_rules")
+    left = cells.join(runs.hint("merge"), ["m_profile", "m_number"])
+    right = sources.join(found, "s_profile").withColumn("s_number", salt(sources, tiles("s"))).withColumn("m_number", every("m")).select(*cell, *rest)
+
+    pairs = found.agg(F.sum(F.col("m_records") * F.col("s_records"))).head()[0] or 0
+    spread = lambda df: df.repartition(pairs // TILE**2 + 1, *cell)
+    return spread(left).join(spread(right).hint("merge"), cell).select(*cell[:2], "confidence", "matched_rules", *rest, F.inline("_run"))
 
 
 def run_totals(candidates: DataFrame, master: DataFrame, source: DataFrame) -> DataFrame:

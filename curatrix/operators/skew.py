@@ -76,7 +76,7 @@ def hot_keys(df: DataFrame, keys: list[str], share: float = 0.01) -> DataFrame:
     return counts.filter(F.col("_n") >= total * share).select(*keys)
 
 
-def _salt(df: DataFrame, salts: int) -> Column:
+def salt(df: DataFrame, salts: int | Column) -> Column:
     """Salt from the row's own content, so a task that runs again sends every row to the same place."""
     plain = [f.name for f in df.schema.fields if not f.dataType.simpleString().startswith(("map", "variant"))]
     return F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int")
@@ -97,7 +97,7 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     if hot is None:
         return left.join(right, keys, how)
     hot = F.broadcast(hot.select(*keys).distinct().withColumn("_hot", F.lit(True)))
-    own = F.when(F.col("_hot"), _salt(left, salts)).otherwise(0)
+    own = F.when(F.col("_hot"), salt(left, salts)).otherwise(0)
     every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     salted = left.join(hot, keys, "left").withColumn("_number", own).drop("_hot")
     repeated = right.join(hot, keys, "left").withColumn("_number", F.explode(every)).drop("_hot")

@@ -171,3 +171,27 @@ def test_pairs_of_a_profile_with_many_copies_are_spread(spark):
     shown = out._jdf.queryExecution().executedPlan().toString()
     joins = [line for line in shown.splitlines() if "Join" in line and "_profile" in line]
     assert sum("_number" in line for line in joins) == 2 and not any("Broadcast" in line for line in joins if "_number" in line)
+
+
+def copies(spark, n, first):
+    return spark.sql(f"SELECT id + {first} AS id, CASE WHEN id < {n} THEN 'Desk' WHEN id < {n} + 20 THEN 'Few' ELSE concat('n', id) END AS name FROM range({n} + 50)")
+
+
+def test_tiles_of_copies_make_every_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(mt, "TILE", 100)
+    monkeypatch.setattr(mt, "RUN", 8)
+    master, source = copies(spark, 330, 0).unionByName(copies(spark, 330, 0).filter("id = 7")), copies(spark, 250, 5000)
+    (m, mm), (s, sm) = (mt.profiles(df, ["name"], "id") for df in (master, source))
+    out = mt.expand_matches(mt.find_matches(m, s, [MatchRule("name", "exact", ("name",), 1.0, 1.0)]), mm, sm)
+    names = lambda df: [(r.name, r.id) for r in df.collect()]
+    assert sorted((r.master_id, r.source_id) for r in out.collect()) == sorted((i, j) for a, i in names(master) for b, j in names(source) if a == b)
+
+
+def test_neighbouring_pairs_of_many_copies_name_few_records(spark):
+    (m, mm), (s, sm) = (mt.profiles(copies(spark, 700, x), ["name"], "id") for x in (0, 5000))
+    found = mt.find_matches(m, s, [MatchRule("name", "exact", ("name",), 1.0, 1.0)])
+    out = mt.pair_candidates(found, copies(spark, 700, 0), copies(spark, 700, 5000), mm, sm, "id")
+    ids = out.filter("get_json_object(master_record, '$.name') = 'Desk'").select("master_id", "source_id", F.floor(F.monotonically_increasing_id() / 4096).alias("stretch"))
+    seen = ids.groupBy("stretch").agg(F.count_distinct("master_id").alias("masters"), F.count_distinct("source_id").alias("sources"), F.count(F.lit(1)).alias("n")).collect()
+    assert sum(r.n for r in seen) == 700 * 700
+    assert all(r.masters <= 128 and r.sources <= 2 + r.n / 28 for r in seen if r.n > 1000)
