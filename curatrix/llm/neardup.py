@@ -38,6 +38,7 @@ BANDS, ROWS = 20, 4
 RARE = 1 / 1000
 DRAWS = 14  # bits of the index into the table of draws
 SIDE = 256  # nodes in a block of an open bucket
+BINS = 1024  # of a text's shingles, for a bound of its similarity
 ROUNDS = 1  # of comparisons with one member of the largest component of each bucket, before whole buckets are compared
 SEGMENT = 1 << 20
 
@@ -62,6 +63,12 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, hashing: RangeHash) -> tu
     return np.searchsorted(offsets, start, "right") - 1, hashing.of(sums, start, stops)
 
 
+def _by_owner(owner: np.ndarray, code: np.ndarray, rows: int) -> np.ndarray:
+    """The order by owner, then code. Owners below 1 << 16 are put in order by counting."""
+    order = np.argsort(code)
+    return order[np.argsort(owner[order].astype(np.uint16 if rows <= 1 << 16 else np.int64), kind="stable")] if rows > 1 else order
+
+
 class Weights:
     """idf of frequent words; all others have 2."""
 
@@ -69,9 +76,25 @@ class Weights:
         order = np.argsort(words)
         self.words = np.append(words[order], np.uint64(2**64 - 1))
         self.idf = np.append(1 + np.log(documents / np.maximum(df[order], RARE * documents)) / math.log(1 / RARE), 2.0)
+        self.slots = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"slots": None}
+
+    def _places(self) -> None:
+        """The place of a word by the low bits of its hash: the last place for none, -1 where words share the bits."""
+        self.mask = np.uint64((1 << max(10, (8 * len(self.words)).bit_length())) - 1)
+        low = (self.words[:-1] & self.mask).astype(np.intp)
+        self.slots = np.full(int(self.mask) + 1, len(self.words) - 1, np.int32)
+        self.slots[low] = np.arange(len(low))
+        self.slots[np.bincount(low, minlength=len(self.slots)) > 1] = -1
 
     def of(self, h: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+        if self.slots is None:
+            self._places()
+        at = self.slots[(h & self.mask).astype(np.intp)]
+        shared = np.flatnonzero(at < 0)
+        at[shared] = np.minimum(np.searchsorted(self.words, h[shared]), len(self.words) - 1)
         return np.where(self.words[at] == h, self.idf[at], 2.0)
 
     def shingles(self, row: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,17 +103,29 @@ class Weights:
         first = np.cumsum(count) - count
         made = np.where(count == 0, 0, np.maximum(count - WORDS + 1, 1))
         owner = np.repeat(np.arange(rows), made)
-        start = first[owner] + np.arange(len(owner)) - (np.cumsum(made) - made)[owner]
-        short = np.minimum(count, WORDS)[owner]
+        start = np.arange(len(owner)) + np.repeat(first - (np.cumsum(made) - made), made)
         idf = self.of(h)
         code, weight = np.zeros(len(owner), np.uint64), np.zeros(len(owner))
-        for k in range(WORDS):
-            use = k < short
-            at = np.where(use, start + k, 0)
-            code = np.where(use, mixed(code * np.uint64(0x9E3779B97F4A7C15) + h[at] + np.uint64(k + 1)), code) if len(h) else code
-            weight += np.where(use, idf[at], 0.0) if len(h) else 0.0
-        weight /= np.maximum(short, 1)
-        order = np.lexsort((code, owner))
+        # a shingle at every place of the buffer, of which those are taken that lie in one text; texts of fewer words after that
+        for size in range(1, WORDS + 1):
+            texts = count >= WORDS if size == WORDS else count == size
+            if not texts.any():
+                continue
+            at = np.flatnonzero(np.repeat(texts, made))
+            places = start[at]
+            if size == WORDS:
+                ends = len(h) - size + 1
+                parts, given = [h[k : ends + k] for k in range(size)], [idf[k : ends + k] for k in range(size)]
+            else:
+                parts, given = [h[places + k] for k in range(size)], [idf[places + k] for k in range(size)]
+                places = slice(None)
+            made_code, made_weight = np.zeros(len(parts[0]), np.uint64), np.zeros(len(parts[0]))
+            for k in range(size):
+                made_code = mixed(made_code * np.uint64(0x9E3779B97F4A7C15) + parts[k] + np.uint64(k + 1))
+                made_weight += given[k]
+            made_weight /= size
+            code[at], weight[at] = made_code[places], made_weight[places]
+        order = _by_owner(owner, code, rows)
         owner, code, weight = owner[order], code[order], weight[order]
         new = np.ones(len(owner), bool)
         new[1:] = (owner[1:] != owner[:-1]) | (code[1:] != code[:-1])
@@ -115,14 +150,19 @@ class Sampler:
         first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
         local = np.cumsum(np.concatenate([[0], owner[1:] != owner[:-1]]))
         log_w = np.log(weight).astype(np.float32)
+        made = np.diff(np.append(first, len(owner)))
         out = np.empty((len(first), len(self.r)), np.uint64)
         for k in range(len(self.r)):
             at = ((code * self.turn[k, 0]) >> np.uint64(64 - DRAWS)).astype(np.intp)
             r, beta = self.r[k][at], self.beta[k][at]
-            level = np.floor(log_w / r + beta)
-            value = self.log_c[k][at] - r * (level + 1 - beta)
-            least = np.minimum.reduceat(value, first)
-            best = np.flatnonzero(value == least[local])
+            level = log_w / r
+            level += beta
+            np.floor(level, out=level)
+            value = level + 1
+            value -= beta
+            value *= r
+            np.subtract(self.log_c[k][at], value, out=value)
+            best = np.flatnonzero(value == np.repeat(np.minimum.reduceat(value, first), made))
             tie = mixed(code[best] * self.turn[k, 1])
             order = np.lexsort((tie, local[best]))
             best = best[order]
@@ -133,22 +173,32 @@ class Sampler:
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of two (sorted shingles, weights)."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    least = np.minimum(a[1][i], b[1][j]).sum()
+    if len(a[0]) > len(b[0]):
+        a, b = b, a
+    at = np.searchsorted(b[0], a[0])
+    at[at == len(b[0])] = 0
+    same = np.flatnonzero(b[0][at] == a[0]) if len(a[0]) else at
+    least = np.minimum(a[1][same], b[1][at[same]]).sum()
     whole = a[1].sum() + b[1].sum() - least
     return float(least / whole) if whole else 0.0
 
 
+def alike(a: tuple[np.ndarray, np.ndarray, float], b: tuple[np.ndarray, np.ndarray, float], threshold: float) -> bool:
+    """Whether the similarity of two (shingles, weights, sum of weights) reaches the threshold; the share of the sums is never below it."""
+    least, most = min(a[2], b[2]), max(a[2], b[2])
+    return least >= (threshold - 1e-9) * most and similarity(a, b) >= threshold
+
+
 def _counted(batches):
     """Words and in how many documents of this task they are."""
     hashing = RangeHash(61)
     words, counts, held = [], [], 0
     for batch in batches:
         data, offsets = byte_view(batch.column("text"))
-        for a, b in blocks(offsets, SEGMENT):
+        for a, b in blocks(offsets, SEGMENT >> 2):
             lo, hi = offsets[a], offsets[b]
             row, h = word_hashes(data[lo:hi], offsets[a : b + 1] - lo, hashing)
-            order = np.lexsort((h, row))
+            order = _by_owner(row, h, b - a)
             row, h = row[order], h[order]
             new = np.ones(len(row), bool)
             new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
@@ -204,11 +254,25 @@ def _band_batches(weights, sampler, bands: int, rows: int):
     return run
 
 
-def _vector(packed, weights: Weights, hashing: RangeHash, unpack) -> tuple[np.ndarray, np.ndarray]:
-    data = np.frombuffer(unpack.decompress(packed), np.uint8)
-    row, h = word_hashes(data, np.array([0, len(data)]), hashing)
-    _, code, weight = weights.shingles(row, h, 1)
-    return code, weight
+def _vectors(packed: list, weights: Weights, hashing: RangeHash, unpack) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """(shingles, weights, sum of weights) of each packed text, worked out for many texts at a time."""
+    out, texts, held = [], [], 0
+    for i, one in enumerate(packed):
+        texts.append(unpack.decompress(one.as_buffer()))
+        held += len(texts[-1])
+        if held < SEGMENT and i + 1 < len(packed):
+            continue
+        row, h = word_hashes(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]), hashing)
+        owner, code, weight = weights.shingles(row, h, len(texts))
+        edges = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()
+        out += [(code[lo:hi], weight[lo:hi], float(weight[lo:hi].sum())) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+        texts, held = [], 0
+    return out
+
+
+def _bins(code: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Sums of the weights of a text by the low bits of its shingles."""
+    return np.bincount((code & np.uint64(BINS - 1)).astype(np.intp), weight, BINS).astype(np.float32)
 
 
 def _verify_batches(weights, threshold: float):
@@ -219,12 +283,12 @@ def _verify_batches(weights, threshold: float):
             if node not in kept:
                 if len(kept) >= 64:
                     kept.clear()
-                kept[node] = _vector(packed.as_buffer(), w, hashing, unpack)
+                kept[node] = _vectors([packed], w, hashing, unpack)[0]
             return kept[node]
 
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            keep = [similarity(vector(x, p), vector(y, q)) >= threshold for x, p, y, q in zip(a, batch.column("pa"), b, batch.column("pb"), strict=True)]
+            keep = [alike(vector(x, p), vector(y, q), threshold) for x, p, y, q in zip(a, batch.column("pa"), b, batch.column("pb"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -243,21 +307,21 @@ def _open_group(weights, threshold: float):
                 x = root[x]
             return x
 
-        rows = list(zip(group.column("node").to_pylist(), group.column("root").to_pylist(), group.column("left").to_pylist(), strict=True))
         packed = dict(zip(group.column("node").to_pylist(), group.column("packed"), strict=True))
-        kept = {}
-
-        def vector(node):
-            if node not in kept:
-                kept[node] = _vector(packed[node].as_buffer(), w, hashing, unpack)
-            return kept[node]
-
+        vectors = dict(zip(packed, _vectors(list(packed.values()), w, hashing, unpack), strict=True))
+        node, roots, left = (group.column(c).to_numpy() for c in ("node", "root", "left"))
+        total = np.array([vectors[n][2] for n in node.tolist()])
+        sums = {n: _bins(code, weight) for n, (code, weight, _) in vectors.items()}
+        sums = np.array([sums[n] for n in node.tolist()])
         out = []
-        for n, r, s in rows:
-            if not s:
-                continue
-            for m, q, t in rows:
-                if (not t or m > n) and m != n and find(r) != find(q) and similarity(vector(n), vector(m)) >= threshold:
+        for i in np.flatnonzero(left).tolist():
+            n, r = int(node[i]), int(roots[i])
+            apart = np.flatnonzero((roots != r) & (node != n) & (~left | (node > n)))
+            # two texts share no more than the smaller sums of their bins; the margin is for the sums' rounding
+            most = np.minimum(sums[apart], sums[i]).sum(1, dtype=np.float64) * 1.001
+            for j in apart[most >= threshold / (1 + threshold) * (total[apart] + total[i])].tolist():
+                m, q = int(node[j]), int(roots[j])
+                if find(r) != find(q) and similarity(vectors[n], vectors[m]) >= threshold:
                     root[find(r)] = find(q)
                     out.append((n, m))
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})

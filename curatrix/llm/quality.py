@@ -14,13 +14,17 @@ Learning takes every labelled row: there is no sample.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
+from itertools import islice
+from operator import eq, itemgetter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from curatrix.llm.common import blocks, byte_view, id_and_text, remainder, stored
 
@@ -37,30 +41,41 @@ _CLASS[np.frombuffer(b".,:;", np.uint8)] = 5
 _CLASS[np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8)] = 6
 
 
-def _logit(share: float) -> float:
-    return float(np.log((share + 0.005) / (1.005 - share)))
+_IS_CLASS = np.eye(8, dtype=np.int64)[_CLASS]
 
 
-def statistics(text: str, counts: np.ndarray) -> list[float]:
-    """The transformed statistics of one text; ``counts`` holds its bytes by class."""
+def _logit(share: np.ndarray) -> np.ndarray:
+    return np.log((share + 0.005) / (1.005 - share))
+
+
+def _measures(text: str) -> tuple[float, ...]:
+    """Number of words, mean and deviation of their lengths, distinct words, words equal to the one before, copies of the most frequent, shares of distinct lines and of distinct words that end in a symbol."""
     words = text.split()
-    n, size = max(1, len(words)), max(1, int(counts.sum() - counts[6]))
-    long = np.fromiter(map(len, words), np.int64, len(words)) if words else np.zeros(1, np.int64)
-    seen: dict[str, int] = {}
-    for w in words:
-        seen[w] = seen.get(w, 0) + 1
-    same = sum(map(str.__eq__, words, words[1:]))
+    seen = Counter(words)
+    long = np.fromiter(map(len, words), np.float64, len(words)) if words else np.zeros(1)
+    mean = np.add.reduce(long) / len(long)
+    long -= mean
     lines = [x for x in text.split("\n") if x]
-    ends = sum(1 for w in seen if not w[-1].isalnum() and w[-1] not in ".,:;") / max(1, len(seen))
-    return [
-        float(np.log1p(len(words))),
-        _logit(counts[2] / size), _logit(counts[3] / size), _logit(counts[4] / size), _logit(counts[5] / size),
-        float(np.log1p(long.mean())), float(np.log1p(long.std())),
-        float(np.log((len(seen) + 1) / (n + 1)) / np.log(n + 2)),
-        _logit(same / n), _logit(max(seen.values(), default=0) / n),
-        _logit(len(set(lines)) / len(lines) if lines else 1.0),
-        _logit(ends),
-    ]
+    last = Counter(map(itemgetter(-1), seen))
+    ends = sum(k for c, k in last.items() if not c.isalnum() and c not in ".,:;")
+    return (
+        len(words), mean, np.sqrt(np.add.reduce(long * long) / len(long)), len(seen), sum(map(eq, words, islice(words, 1, None))), max(seen.values(), default=0),
+        len(set(lines)) / len(lines) if lines else 1.0, ends / max(1, len(seen)),
+    )
+
+
+def statistics(texts: list[str], bytes_of: list[np.ndarray]) -> np.ndarray:
+    """The transformed statistics of each text; ``bytes_of`` holds its UTF-8 bytes."""
+    counts = np.zeros((len(texts), 8))
+    for i, data in enumerate(bytes_of):
+        counts[i] = np.bincount(data, minlength=256) @ _IS_CLASS
+    size = np.maximum(1, counts.sum(1) - counts[:, 6])
+    words, mean, dev, distinct, same, top, lines, ends = np.array([_measures(t) for t in texts], np.float64).reshape(-1, 8).T
+    n = np.maximum(1, words)
+    return np.column_stack([
+        np.log1p(words), *[_logit(counts[:, k] / size) for k in (2, 3, 4, 5)], np.log1p(mean), np.log1p(dev),
+        np.log((distinct + 1) / (n + 1)) / np.log(n + 2), _logit(same / n), _logit(top / n), _logit(lines), _logit(ends),
+    ])
 
 
 def _statistics_batches(batches):
@@ -68,11 +83,7 @@ def _statistics_batches(batches):
         data, offsets = byte_view(batch.column("text"))
         texts = batch.column("text")
         for first, last in blocks(offsets, 4 << 20):
-            lo, hi = offsets[first], offsets[last]
-            row = np.repeat(np.arange(last - first), np.diff(offsets[first : last + 1]))
-            counts = np.bincount(row * 8 + _CLASS[data[lo:hi]], minlength=(last - first) * 8).reshape(-1, 8)
-            rows = [statistics(texts[i].as_py(), counts[i - first]) for i in range(first, last)]
-            x = np.array(rows, np.float64).reshape(-1, len(STATS))
+            x = statistics([texts[i].as_py() for i in range(first, last)], [data[offsets[i] : offsets[i + 1]] for i in range(first, last)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), *[pa.array(x[:, j]) for j in range(len(STATS))]], ["doc_id", *STATS])
 
 
@@ -140,6 +151,8 @@ def training_labels(labels: DataFrame) -> DataFrame:
 
 def learn(docs: DataFrame, labels: DataFrame) -> Discriminant:
     """The model of all labelled documents that may be learned from."""
+    if all(isinstance(df.schema["doc_id"].dataType, IntegralType) for df in (docs, labels)):
+        docs = docs.where(remainder(5) != 0)  # the others have no such label, so their statistics are not needed
     return fit(stored(document_statistics(docs).join(training_labels(labels), "doc_id"), "quality-labelled"))
 
 
@@ -148,11 +161,11 @@ def accepted(docs: DataFrame, model: Discriminant, threshold: float = THRESHOLD)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        out = np.zeros(len(texts))
-        for i, text in enumerate(texts):
-            counts = np.bincount(_CLASS[np.frombuffer(text.encode(), np.uint8)], minlength=8)
-            out[i] = model.scores(np.array([statistics(text, counts)]))[0]
-        return pd.Series(out)
+        out = [np.zeros(0)]
+        for first in range(0, len(texts), 256):
+            some = texts.iloc[first : first + 256].tolist()
+            out.append(model.scores(statistics(some, [np.frombuffer(text.encode(), np.uint8) for text in some])))
+        return pd.Series(np.concatenate(out))
 
     return docs.where(score(F.coalesce(F.col("text").cast("string"), F.lit(""))) >= threshold)
 

@@ -528,3 +528,57 @@ def test_secrets_of_one_text_with_very_many_matches(spark):
                 out += [r["text"][at:s], "[SECRET]"]
             at = max(at, e)
         assert r["clean"] == "".join(out) + r["text"][at:]
+
+
+def test_open_groups_work_out_few_similarities(monkeypatch):
+    """Texts of one size that share little are told apart by sums of weights, and links come out as by comparing all."""
+    import zstandard
+
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(rng.choice(words, 200)) for _ in range(40)]
+    texts += [t.rsplit(" ", 2)[0] + " end" for t in texts[:10]] + ["", "one", "one two"]
+    weights = neardup.Weights(np.zeros(0, np.uint64), np.zeros(0), len(texts))
+    packed = [zstandard.compress(t.encode()) for t in texts]
+    nodes = pa.table({"node": pa.array(range(len(texts)), pa.int64()), "root": pa.array(range(len(texts)), pa.int64()), "left": pa.array([True] * len(texts)), "packed": pa.array(packed, pa.binary())})
+    calls, exact = [], neardup.similarity
+    monkeypatch.setattr(neardup, "similarity", lambda a, b: calls.append(1) or exact(a, b))
+
+    class Given:
+        value = weights
+
+    found = neardup._open_group(Given, 0.8)(nodes)
+    assert {tuple(sorted(x)) for x in zip(*found.to_pydict().values(), strict=True)} == {(i, 40 + i) for i in range(10)}
+    assert len(calls) < 100
+
+
+def test_order_by_owner_and_words_in_shared_slots():
+    rng = np.random.default_rng(4)
+    owner, code = np.sort(rng.integers(0, 50, 5000)), rng.integers(0, 400, 5000).astype(np.uint64)
+    order, plain = neardup._by_owner(owner, code, 50), np.lexsort((code, owner))
+    assert np.array_equal(owner[order], owner[plain]) and np.array_equal(code[order], code[plain])
+    words = np.unique(rng.integers(0, 1 << 62, 3000, dtype=np.uint64) // np.uint64(1 << 14) * np.uint64(1 << 14) + rng.integers(0, 700, 3000, dtype=np.uint64))
+    weights = neardup.Weights(words, rng.integers(1, 100, len(words)).astype(float), 100)
+    asked = np.concatenate([words, rng.integers(0, 1 << 62, 500, dtype=np.uint64)])
+    at = np.minimum(np.searchsorted(weights.words, asked), len(weights.words) - 1)
+    assert np.array_equal(weights.of(asked), np.where(weights.words[at] == asked, weights.idf[at], 2.0))
+
+
+def test_statistics_of_many_texts_are_those_of_each():
+    texts = ["", " ", "One two two.\n\nOne two two.", "Äh, naïve 1984 — x=y;", "a " * 500 + "b!"]
+    raw = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    together = quality.statistics(texts, raw)
+    for i, t in enumerate(texts):
+        words = t.split()
+        assert np.array_equal(together[i], quality.statistics([t], [raw[i]])[0])
+        assert together[i][0] == np.log1p(len(words)) and together[i][5] == np.log1p(np.mean([len(w) for w in words] or [0]))
+        assert together[i][6] == np.log1p(np.std([len(w) for w in words] or [0]))
+
+
+def test_only_texts_with_a_usable_label_are_measured(spark, monkeypatch):
+    docs = spark.sql("SELECT id AS doc_id, concat('text ', id) AS text FROM range(200)")
+    labels = spark.sql("SELECT id AS doc_id, CAST(id % 2 AS int) AS quality FROM range(200)")
+    seen, before = [], quality.document_statistics
+    monkeypatch.setattr(quality, "document_statistics", lambda df: seen.append(df.count()) or before(df))
+    quality.learn(docs, labels)
+    assert seen == [quality.training_labels(labels).count()]
